@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, line_dedup
+from tidemark.llm import decontaminate, line_dedup, quality
 
-QUERIES = {"op3_decontaminate": decontaminate.op3_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup}
+QUERIES = {"op5_quality_rules": quality.op5_quality_rules, "op3_decontaminate": decontaminate.op3_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup}
 SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
