@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, line_dedup, quality
+from tidemark.llm import decontaminate, line_dedup, packing, quality, secrets, token_store
 
-QUERIES = {"op5_quality_rules": quality.op5_quality_rules, "op3_decontaminate": decontaminate.op3_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup}
+QUERIES = {"op1_secret_scan": secrets.op1_secret_scan, "op4_token_store": token_store.op4_token_store, "op7_packing": packing.op7_packing, "op5_quality_rules": quality.op5_quality_rules, "op3_decontaminate": decontaminate.op3_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup}
 SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
