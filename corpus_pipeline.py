@@ -1,12 +1,51 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes what its predecessor kept, as columns of documents, and is written before the
+next one reads it; the last returns the packed pieces. A stage is only a call of its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from tidemark.llm.common import cut, read
 
-STAGES: list = []
+#: A line goes from all but its first document once so many documents hold it.
+LINE_DOCS = 10
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_low_quality(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep="first")
+    return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.encode(docs)).drop("__part", "__row")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("packing", packing_stage),
+]
+
+#: Robust estimates, order MinHash and tokens are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
