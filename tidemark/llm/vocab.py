@@ -11,11 +11,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces whose ids a worker remembers; of at most twice as many, those used last.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Printable ASCII, space, line end and the Latin letters to U+00FF: all libraries agree on their kinds, and none changes under NFC.
 _LATIN = re.compile(r"[ \n!-~\xc0-\xff]*")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r" \s|\s ")
 
 
 def path(name: str) -> str:
@@ -55,10 +54,21 @@ def _byte_chars(text: str) -> str:
     return text.encode().decode("latin-1").translate(_BYTES)
 
 
+class _Known(dict):
+    """Ids of pieces; a new one is taken from those of before or made."""
+
+    def __init__(self, make, before: dict):
+        self.make, self.before = make, before
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.before.get(key) or self.make(key)
+        return got
+
+
 class Encoder:
     """Texts to ids of a tokenizers file, as encode(text, add_special_tokens=False) gives them.
 
-    Texts are cut only where no vocabulary piece can span: before a single space between two
+    Texts are cut only where no vocabulary piece can span: before a single space or line end between two
     characters that are no white space ("prefix" files, where a space belongs to the next word), or at
     spaces and line ends ("drop" files, where white space is dropped). A new piece of Latin
     text goes straight to the library's model, by the file's own pattern; any other goes
@@ -81,14 +91,9 @@ class Encoder:
         self.drops = self.tok.normalizer is not None
         made = json.loads(self.tok.to_str())["pre_tokenizer"]
         self.words = regex.compile(made["pretokenizers"][0]["pattern"]["Regex"] if self.drops else public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.drops:
-            return text.replace("\n", " ").split(" ")
-        parts = _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        self.make = self.piece if self.drops else lambda p: self.piece(p if p[:1] == "\n" else " " + p)
+        self.known = _Known(self.make, {})
+        self.parts: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         """Ids of a new piece."""
@@ -103,24 +108,37 @@ class Encoder:
             words = [text[:-1], text[-1]]
         else:
             words = self.words(text)
-        return b"".join([self.known.get(w) or self._word(w) for w in words])
+        return b"".join(map(self._part, words))
+
+    def _part(self, word: str) -> bytes:
+        """Ids of a word inside a piece; letters alone are a piece that is known by itself."""
+        key = word if self.drops else word[1:] if word[0] == " " else ""
+        if key.isalpha():
+            return self.known[key]
+        got = self.parts.get(word)
+        if got is None:
+            got = self.parts[word] = self._word(word)
+        return got
 
     def _word(self, word: str) -> bytes:
-        got = array(self.code, [t.id for t in self.model.tokenize(_byte_chars(word))]).tobytes()
-        self.known[word] = got
-        return got
+        return array(self.code, [t.id for t in self.model.tokenize(_byte_chars(word))]).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.drops:
+            return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] == "\n") and text.replace("\n", "").isprintable()
+        parts = text.replace("\n", " \n").split(" ") if plain else _SAFE_SPACE.split(text)
+        return self.piece(parts[0]) + b"".join(map(self.known.__getitem__, parts[1:]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, uint16 if the vocabulary allows."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = [[] if i in whole else self.pieces(t) for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        for p in {p for parts in cut for p in parts if p not in known}:
-            known[p] = before.get(p) or self.piece(p)
-        get = known.__getitem__
-        return [np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.kind) if i in whole else np.frombuffer(b"".join(map(get, parts)), self.kind) for i, parts in enumerate(cut)]
+            self.known = _Known(self.make, dict(self.known))
+        if len(self.parts) > REMEMBERED // 4:
+            self.parts.clear()
+        return [np.frombuffer(self._one(t), self.kind) for t in texts]
 
 
 @lru_cache(maxsize=2)
