@@ -20,15 +20,20 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).withColumn("symbol", F.col("l_suppkey"))
 
 
+def _exact_sum(column: str):
+    """The sum of cents, the same in whatever order they are added."""
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, d, open, high, low, close, volume, amount: one bar for each supplier and ship date."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("d"), "l_quantity", "l_extendedprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     made = lines.groupBy("symbol", "d").agg(
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"),
+        F.round(_exact_sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"),
         F.sum("l_quantity").cast("long").alias("volume"),
-        F.round(F.sum("l_extendedprice"), 2).alias("amount"),
+        _exact_sum("l_extendedprice").alias("amount"),
     )
     return made.select("symbol", "d", F.round((F.col("high") + F.col("low")) / 2, 4).alias("open"), F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), "close", "volume", "amount")
 
@@ -85,7 +90,7 @@ def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """account, seq, d, equity, flow_in, flow_out: an order adds to equity if finished, else it is a flow."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("d"), "o_orderstatus", "o_totalprice")
     order = Window.partitionBy("account").orderBy("d", "seq")
-    gain = F.when(F.col("o_orderstatus") == "F", -F.col("o_totalprice") / 2).when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(F.lit(0.0))
+    gain = F.when(F.col("o_orderstatus") == "F", -F.floor(F.col("o_totalprice") / 2).cast("double")).when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(F.lit(0.0))
     flow = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(F.lit(0.0))
     return o.select(
         "account",
@@ -135,13 +140,20 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rnd(sql: str, n: int) -> str:
+    """SQL that rounds a double as Spark's round() does: half up on its shortest decimal form."""
+    return f"CAST(round(CAST(CAST({sql} AS VARCHAR) AS DECIMAL(38, 20)), {n}) AS DOUBLE)"
+
+
+_EXACT = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)"
+
 #: The same views in SQL.
 SQL_VIEWS = {
     "shipped": """SELECT l.*, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS eff, CAST(o_orderdate AS DATE) AS known, o_custkey, o_orderstatus
         FROM lineitem l JOIN orders ON l_orderkey = o_orderkey""",
-    "bars": """SELECT symbol, d, round((high + low) / 2, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, close, volume, amount
+    "bars": f"""SELECT symbol, d, {rnd("(high + low) / 2", 4)} AS open, {rnd("high", 4)} AS high, {rnd("low", 4)} AS low, close, volume, amount
         FROM (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS d, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-        round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume, round(sum(l_extendedprice), 2) AS amount
+        {rnd(_EXACT + ' / sum(l_quantity)', 4)} AS close, CAST(sum(l_quantity) AS BIGINT) AS volume, {_EXACT} AS amount
         FROM lineitem GROUP BY 1, 2)""",
     "facts": "SELECT symbol, eff, known, round(sum(l_extendedprice), 2) AS value FROM shipped GROUP BY 1, 2, 3",
     "cash_events": """SELECT symbol, eff AS ex_date, known, CASE WHEN l_linestatus = 'O' THEN 'SPECIAL' ELSE 'ORDINARY' END AS kind, round(sum(l_tax), 4) AS cash
@@ -156,7 +168,7 @@ SQL_VIEWS = {
         FROM orders JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     "nav": """SELECT account, seq, d, round(1e6 + sum(gain + flow) OVER w, 2) AS equity, round(CASE WHEN row_number() OVER w = 1 THEN 1e6 ELSE 0.0 END + flow, 2) AS flow_in
         FROM (SELECT o_custkey AS account, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS d,
-        CASE o_orderstatus WHEN 'F' THEN -o_totalprice / 2 WHEN 'O' THEN o_totalprice ELSE 0.0 END AS gain, CASE o_orderstatus WHEN 'P' THEN o_totalprice ELSE 0.0 END AS flow FROM orders)
+        CASE o_orderstatus WHEN 'F' THEN -floor(o_totalprice / 2) WHEN 'O' THEN o_totalprice ELSE 0.0 END AS gain, CASE o_orderstatus WHEN 'P' THEN o_totalprice ELSE 0.0 END AS flow FROM orders)
         WINDOW w AS (PARTITION BY account ORDER BY d, seq)""",
     "cross_section": """SELECT p_partkey AS symbol, as_of, p_brand AS industry, CASE WHEN p_size % 17 = 0 THEN 'FUND' ELSE 'STOCK' END AS asset_type,
         CASE WHEN p_size % 13 = 0 THEN 'D' WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS data_quality, CASE WHEN p_size % 19 = 0 THEN 'SUSPENDED' ELSE 'TRADING' END AS trading_status,

@@ -26,3 +26,4 @@ class Registry:
 def text_dates(df: DataFrame) -> DataFrame:
     """Dates as text, as SQL engines print them alike."""
     return df.select(*[F.col(n).cast("string").alias(n) if t == "date" else F.col(n) for n, t in df.dtypes])
+
