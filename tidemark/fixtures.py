@@ -163,8 +163,8 @@ SQL_VIEWS = {
         CASE WHEN l_quantity > 5 THEN l_quantity * 1000 END AS minimum,
         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2))) AS product
         FROM shipped JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE known <= eff""",
-    "fills": """SELECT o_custkey AS account, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, quantity,
-        round(o_totalprice / quantity, 2) AS price
+    "fills": f"""SELECT o_custkey AS account, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, quantity,
+        {rnd('o_totalprice / quantity', 2)} AS price
         FROM orders JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     "nav": """SELECT account, seq, d, round(1e6 + sum(gain + flow) OVER w, 2) AS equity, round(CASE WHEN row_number() OVER w = 1 THEN 1e6 ELSE 0.0 END + flow, 2) AS flow_in
         FROM (SELECT o_custkey AS account, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS d,

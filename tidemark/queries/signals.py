@@ -151,7 +151,7 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     X.with_views("bars") + f""", r AS (SELECT *, close / lag(close) OVER w - 1 AS r, {rnd("(close / lag(close, 20) OVER w - 1) * 100", 4)} AS momentum20, {rnd("(close / lag(close, 60) OVER w - 1) * 100", 4)} AS momentum60,
   row_number() OVER w AS history_days FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))
  SELECT symbol, CAST(d AS VARCHAR) AS d, momentum20, momentum60, history_days, CASE WHEN count(r) OVER w = 20 THEN {rnd("list_aggregate(list(r) OVER w, 'stddev_samp') * sqrt(252) * 100", 4)} END AS volatility,
-  CASE WHEN count(amount) OVER w = 20 THEN {rnd("CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER w AS DOUBLE) / 20", 2)} END AS avg_amount FROM r WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING)""",
+  CASE WHEN count(amount) OVER w = 20 THEN sum(floor(amount) * 20) OVER w / 20 END AS avg_amount FROM r WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING)""",
 )
 def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = X.bars(spark, sf_dir).select("symbol", "d", "close", (F.floor("amount") * 20).cast("double").alias("amount"))
