@@ -1,4 +1,147 @@
-from tidemark.queries.base import Registry
+"""Queries of scans and sinks: what a table gives after it went through a file and back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import fixtures as X
+from tidemark.queries.base import Registry, text_dates
+from tidemark.sources import files, parsers
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the warehouse's or checkpoint's shared place."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = X.bars(spark, sf_dir)
+    dec = {c: F.col(c).cast("decimal(18,4)").alias(c) for c in ("open", "high", "low", "close")}
+    return b.select(F.col("symbol").cast("string").alias("symbol"), F.lit("SSE").alias("exchange"), F.col("d").alias("effective_date"), F.col("d").cast("timestamp").alias("known_at"), *dec.values(), "volume", F.col("amount").cast("decimal(22,2)").alias("amount"), F.lit("x").alias("source_id"), F.lit(None).cast("string").alias("source_uri"), (F.col("volume") < 5).alias("is_synthetic"))
+
+
+@query("s1_scan_bitemporal", X.with_views("bars") + " SELECT CAST(symbol AS VARCHAR) AS symbol, CAST(d AS VARCHAR) AS effective_date, close, volume FROM bars WHERE volume >= 5")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    _prices(spark, sf_dir).write.parquet(path)
+    return text_dates(files.scan_bitemporal(spark, path, "prices").select("symbol", "effective_date", F.col("close").cast("double").alias("close"), "volume"))
+
+
+@query("s2_scan_parquet", "SELECT o_orderkey, o_custkey FROM orders")
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    return files.scan_parquet(spark, path)
+
+
+@query("s3_scan_csv", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    c = X.table(spark, sf_dir, "customer")
+    c.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 9 == 0, "none").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal")).write.option("header", True).csv(path)
+    return files.scan_csv(spark, path, {"c_custkey": "bigint", "c_name": "string", "c_acctbal": "double"})
+
+
+@query("s4_scan_jsonl", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 2 = 1 THEN p_type END AS p_type FROM part")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    p = X.table(spark, sf_dir, "part")
+    p.where("p_partkey % 2 = 0").select("p_partkey", "p_brand").write.json(path)
+    p.where("p_partkey % 2 = 1").select("p_type", "p_partkey").write.mode("append").json(path)
+    return files.scan_jsonl(spark, path, "p_partkey bigint, p_brand string, p_type string")
+
+
+def _matrices(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    b = X.bars(spark, sf_dir).where("symbol < 6")
+    return {f: b.groupBy("d").pivot("symbol", list(range(6))).agg(F.max(v)) for f, v in {"close": F.when(F.col("volume") % 5 != 0, F.col("close")), "open": F.col("open")}.items()}
+
+
+@query("s7_matrices_to_rows", X.with_views("bars") + " SELECT CAST(d AS VARCHAR) AS d, CAST(symbol AS VARCHAR) AS symbol, close, open FROM bars WHERE symbol < 6 AND volume % 5 <> 0")
+def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_dates(files.matrices_to_rows(_matrices(spark, sf_dir)))
+
+
+def quote_lines(df: DataFrame) -> DataFrame:
+    """Quote lines out of orders."""
+    blank = F.lit("")
+    parts = [blank] * 38
+    k = F.col("o_orderkey")
+    filled = {0: F.lit("1"), 1: F.concat(F.lit("N"), F.col("o_custkey")), 2: F.lpad(k.cast("string"), 6, "0"), 3: F.col("o_totalprice").cast("decimal(18,2)").cast("string"), 4: (F.col("o_totalprice") + 1).cast("decimal(18,2)").cast("string"), 6: (k % 1000).cast("string"), 30: F.date_format("o_orderdate", "yyyyMMddHHmmss"), 32: F.when(k % 7 == 0, "--").otherwise((k % 20 - 10).cast("string")), 37: (k % 5000).cast("string")}
+    for i, c in filled.items():
+        parts[i] = c
+    good = F.concat(F.lit("v_sh"), F.lpad(k.cast("string"), 6, "0"), F.lit('="'), F.concat_ws("~", *parts), F.lit('";'))
+    return df.select(k, F.when(k % 11 == 0, "pv_none_match=1;").otherwise(good).alias("value"))
+
+
+@query(
+    "s8_parse_quotes",
+    """SELECT o_orderkey, 'N' || o_custkey AS name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS quoted_at, o_totalprice AS price, CAST(o_orderkey % 1000 AS DOUBLE) * 100 AS volume, CAST(o_orderkey % 5000 AS DOUBLE) * 10000 AS amount,
+ CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 - 10 AS DOUBLE) END AS change_pct FROM orders WHERE o_orderkey % 11 <> 0""",
+)
+def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = parsers.parse_quotes(quote_lines(X.table(spark, sf_dir, "orders")))
+    return out.select("o_orderkey", "name", F.date_format("quoted_at", "yyyy-MM-dd HH:mm:ss").alias("quoted_at"), "price", "volume", "amount", "change_pct")
+
+
+@query("s9_parse_sectors", "SELECT p_brand AS brand, 'c' || p_partkey AS key, p_name AS name, CAST(p_size AS BIGINT) AS members, CAST(p_size - 25 AS DOUBLE) / 10 AS change_pct, p_retailprice AS amount FROM part WHERE p_partkey % 6 <> 0")
+def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = X.table(spark, sf_dir, "part"), F.col("p_partkey")
+    full = F.concat_ws(",", F.concat(F.lit("c"), k), "p_name", "p_size", F.lit("1"), F.lit("2"), ((F.col("p_size") - 25) / 10).cast("decimal(6,1)").cast("string"), F.lit("3"), F.col("p_retailprice").cast("decimal(18,2)").cast("string"))
+    entry = F.struct(F.concat(F.lit("c"), k).alias("key"), F.when(k % 6 == 0, "short,row").otherwise(full).alias("value"))
+    lines = p.groupBy("p_brand").agg(F.concat(F.lit("var S_Finance = "), F.to_json(F.map_from_entries(F.collect_list(entry)))).alias("value"))
+    return parsers.parse_sectors(lines.withColumnRenamed("p_brand", "brand")).select("brand", "key", "name", "members", "change_pct", "amount")
+
+
+@query(
+    "s10_check_import",
+    X.with_views("bars") + """ SELECT problem, found, expected FROM (SELECT 'row_count' AS problem, CAST(count(*) AS VARCHAR) AS found, '10' AS expected FROM bars UNION ALL SELECT 'maximum', CAST(max(d) AS VARCHAR), '2000-01-01' FROM bars
+ UNION ALL SELECT 'synthetic_rows', CAST(count(*) FILTER (WHERE volume < 5) AS VARCHAR), '0' FROM bars UNION ALL SELECT 'columns', 'extra', '' UNION ALL SELECT 'manifest_id', 'm1', 'new') WHERE found <> expected""",
+)
+def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _prices(spark, sf_dir)
+    first = X.bars(spark, sf_dir).agg(F.min("d").cast("string")).collect()[0][0]
+    manifest = {"manifest_id": "m1", "columns": [*df.columns, "extra"], "row_count": 10, "minimum": first, "maximum": "2000-01-01"}
+    return files.check_import(df, manifest, spark.createDataFrame([("m1",)], "manifest_id string"))
+
+
+@query("s11_upsert", "SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS o_orderkey FROM orders GROUP BY 1")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return files.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), keys=["o_custkey"], newest=["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("s12_newest_rows", X.with_views("bars") + " SELECT symbol, CAST(d AS VARCHAR) AS d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS position FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 30)")
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = files.newest_rows(X.bars(spark, sf_dir).select("symbol", "d", "close"), 30, keys=["symbol"], order=["d"])
+    return text_dates(out.withColumn("position", F.col("position").cast("long")))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws(":", "event_type", F.floor(F.col("value") / 10)).alias("body"))
+
+
+@query("s13_new_snapshots", "WITH e AS (SELECT user_id, event_id, event_type || ':' || CAST(floor(value / 10) AS BIGINT) AS body FROM events) SELECT user_id, body, min(event_id) AS event_id, sha256(body) AS payload_hash FROM e WHERE (user_id, body) NOT IN (SELECT (user_id, body) FROM e WHERE event_id % 10 = 0) GROUP BY 1, 2")
+def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _snapshots(spark, sf_dir)
+    stored = e.where("event_id % 10 = 0").withColumn("payload_hash", F.sha2("body", 256))
+    return files.new_snapshots(e, stored, keys=["user_id"], payload=F.col("body"), at="event_id").select("user_id", "body", "event_id", "payload_hash")
+
+
+@query("s13_latest_snapshot", "SELECT user_id, max(struct_pack(k := event_id, t := event_type)).t AS event_type FROM events GROUP BY 1")
+def s13_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return files.latest_snapshot(e, keys=["user_id"], at="ts", tie="event_id").select("user_id", "event_type")
+
+
+@query("s14_write_once", "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_keys, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    return text_dates(files.write_once(o, scratch(spark), keys=["o_custkey"], date="d").drop("content_hash"))
