@@ -251,7 +251,11 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("sequence"), "event_id", "event_type")
 
 
-_CORE = F.concat_ws("|", "run_id", "sequence", "event_id", "event_type")
+
+def _core():
+    return F.concat_ws("|", "run_id", "sequence", "event_id", "event_type")
+
+
 _CHAIN = """ WITH RECURSIVE s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, event_id, event_type FROM events),
  r AS (SELECT run_id, sequence, event_id, CAST(NULL AS VARCHAR) AS prev_event_hash, sha256(concat_ws('|', run_id, sequence, event_id, event_type)) AS event_hash FROM s WHERE sequence = 1
   UNION ALL SELECT s.run_id, s.sequence, s.event_id, r.event_hash, sha256(r.event_hash || concat_ws('|', s.run_id, s.sequence, s.event_id, s.event_type)) FROM r JOIN s ON s.run_id = r.run_id AND s.sequence = r.sequence + 1)"""
@@ -259,7 +263,7 @@ _CHAIN = """ WITH RECURSIVE s AS (SELECT user_id AS run_id, row_number() OVER (P
 
 @query("w27_build_chain", _CHAIN + " SELECT run_id, sequence, event_id, prev_event_hash, event_hash FROM r")
 def w27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.build_chain(_log(spark, sf_dir), core=_CORE).select("run_id", "sequence", "event_id", "prev_event_hash", "event_hash")
+    return lg.build_chain(_log(spark, sf_dir), core=_core()).select("run_id", "sequence", "event_id", "prev_event_hash", "event_hash")
 
 
 @query(
@@ -269,9 +273,9 @@ def w27(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain with the fifth hash of every third run spoilt."""
-    chain = lg.build_chain(_log(spark, sf_dir), core=_CORE)
+    chain = lg.build_chain(_log(spark, sf_dir), core=_core())
     spoilt = chain.withColumn("event_hash", F.when((F.col("run_id") % 3 == 0) & (F.col("sequence") == 5), "spoilt").otherwise(F.col("event_hash")))
-    return lg.verify_chain(spoilt, core=_CORE)
+    return lg.verify_chain(spoilt, core=_core())
 
 
 @query(

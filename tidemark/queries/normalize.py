@@ -13,14 +13,13 @@ from tidemark.queries.base import Registry, text_dates
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-#: Six-digit codes out of order keys.
-_CODE = F.lpad(((F.col("o_orderkey") * 7919) % 1000000).cast("string"), 6, "0")
 _CODES = "codes AS (SELECT *, lpad(CAST((o_orderkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code FROM orders)"
 _EX = "CASE WHEN regexp_matches(code, '^(5|6|9[01])') THEN 'SSE' WHEN regexp_matches(code, '^(4|8|92)') THEN 'BSE' WHEN regexp_matches(code, '^(0|1|2|3)') THEN 'SZSE' END"
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "orders").withColumn("code", _CODE)
+    """Orders with a six-digit code out of their keys."""
+    return X.table(spark, sf_dir, "orders").withColumn("code", F.lpad(((F.col("o_orderkey") * 7919) % 1000000).cast("string"), 6, "0"))
 
 
 @query("p1_exchange_of", f"WITH {_CODES} SELECT o_orderkey, {_EX} AS exchange, CASE WHEN o_orderkey % 70 IN (1, 2, 32) THEN 'SSE' WHEN o_orderkey % 70 IN (4, 8, 16) THEN 'SZSE' WHEN o_orderkey % 70 = 64 THEN 'BSE' END AS by_type FROM codes")
