@@ -126,9 +126,9 @@ def adjust_bars(bars: DataFrame, actions: DataFrame, *, keys: Sequence[str], as_
         same = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         both = both.withColumn("__x", total / same)
     else:
-        both = both.withColumn("__x", F.lit(1.0) / F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        both = both.withColumn("__x", F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     out = both.where("__bar IS NOT NULL").select("__bar.*", "__x")
-    return out.withColumns({p: F.round(F.col(p) * F.col("__x"), 6) for p in prices}).drop("__x")
+    return out.withColumns({p: F.round(F.col(p) * F.col("__x") if mode == "forward" else F.col(p) / F.col("__x"), 6) for p in prices}).drop("__x")
 
 
 def drawdown(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
