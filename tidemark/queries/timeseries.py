@@ -113,22 +113,22 @@ _ACTIONS = """actions AS (SELECT (o_orderkey // 50) % 97 + 1 AS symbol, CAST(o_o
 
 @query(
     "w11_adjust_forward",
-    X.with_views("bars") + f""", {_ACTIONS} SELECT b.symbol, CAST(b.d AS VARCHAR) AS d, {rnd('round(any_value(close) * coalesce(product(factor), 1), 6)', 4)} AS close FROM bars b
+    X.with_views("bars") + f""", {_ACTIONS} SELECT b.symbol, CAST(b.d AS VARCHAR) AS d, {rnd('round(any_value(close) * coalesce(product(factor), 1), 6)', 2)} AS close FROM bars b
  LEFT JOIN usable u ON u.symbol = b.symbol AND u.effective_date > b.d GROUP BY b.symbol, b.d""",
 )
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ts.adjust_bars(_bars(spark, sf_dir), actions(spark, sf_dir), keys=["symbol"], as_of="1997-06-30", mode="forward", prices=["close"])
-    return text_dates(out.select("symbol", "d", F.round("close", 4).alias("close")))
+    return text_dates(out.select("symbol", "d", F.round("close", 2).alias("close")))
 
 
 @query(
     "w11_adjust_backward",
-    X.with_views("bars") + f""", {_ACTIONS} SELECT b.symbol, CAST(b.d AS VARCHAR) AS d, {rnd('round(any_value(close) / coalesce(product(factor), 1), 6)', 4)} AS close FROM bars b
+    X.with_views("bars") + f""", {_ACTIONS} SELECT b.symbol, CAST(b.d AS VARCHAR) AS d, {rnd('round(any_value(close) / coalesce(product(factor), 1), 6)', 2)} AS close FROM bars b
  LEFT JOIN usable u ON u.symbol = b.symbol AND u.effective_date <= b.d GROUP BY b.symbol, b.d""",
 )
 def w11_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ts.adjust_bars(_bars(spark, sf_dir), actions(spark, sf_dir), keys=["symbol"], as_of="1997-06-30", mode="backward", prices=["close"])
-    return text_dates(out.select("symbol", "d", F.round("close", 4).alias("close")))
+    return text_dates(out.select("symbol", "d", F.round("close", 2).alias("close")))
 
 
 @query(
