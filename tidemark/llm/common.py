@@ -67,3 +67,18 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 def on_key(left: DataFrame, right: DataFrame) -> Column:
     return left["__id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__th"])
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of counts (with a column n) of the greatest n, limit at most: all from some n on, found from a histogram.
+
+    No task sorts or returns more than its share of them, however many rows there are.
+    """
+    step = F.floor(F.log2("n") * 16)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["b"]):  # some hundred rows
+        total += r["c"]
+        if total > limit:
+            break
+        least = r["b"]
+    return counts.where("false") if least is None else counts.where(step >= least)

@@ -61,7 +61,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     sizes = rows.groupBy("__lang").agg((sample_rows / F.count("*")).alias("__share"))
     picked = rows.join(F.broadcast(sizes), "__lang").where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * F.col("__share"))  # a row for each language
     words = picked.select("__lang", F.explode(F.split(F.lower("__text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    table = words.groupBy("__lang", "w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w", "__lang").limit(model_words).toPandas()
+    counts = C.cut(words.groupBy("__lang", "w").agg(F.count("*").alias("n")))
+    table = C.most_frequent(counts, model_words).toPandas()
     if table.empty:
         return None
     langs = sorted(set(table["__lang"]))
