@@ -54,6 +54,13 @@ def _byte_chars(text: str) -> str:
     return text.encode().decode("latin-1").translate(_BYTES)
 
 
+def _split_pattern(file: str) -> str:
+    """The Split pattern of a tokenizers file, without reading its vocabulary into Python."""
+    with open(file, encoding="utf-8") as f:
+        found = re.search(r'"type":\s*"Split",\s*"pattern":\s*\{\s*"Regex":\s*("(?:[^"\\]|\\.)*")', f.read())
+    return json.loads(found[1])
+
+
 class _Known(dict):
     """Ids of pieces; a new one is taken from those of before or made."""
 
@@ -89,8 +96,7 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         #: A normalizer that makes white space one kind means that white space is dropped.
         self.drops = self.tok.normalizer is not None
-        made = json.loads(self.tok.to_str())["pre_tokenizer"]
-        self.words = regex.compile(made["pretokenizers"][0]["pattern"]["Regex"] if self.drops else public_tokenizers.PATTERN).findall
+        self.words = regex.compile(_split_pattern(path(name)) if self.drops else public_tokenizers.PATTERN).findall
         self.make = self.piece if self.drops else lambda p: self.piece(p if p[:1] == "\n" else " " + p)
         self.known = _Known(self.make, {})
         self.parts: dict[str, bytes] = {}
