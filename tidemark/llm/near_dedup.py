@@ -3,8 +3,10 @@
 A sketch takes the few least-hashed 5-word shingles of a text (each labelled with its
 occurrence) in the order in which they stand, so it follows edit similarity rather than mere overlap.
 Texts that agree in a sketch share a bucket. A bucket's members are held against its
-least member, never against each other, and only until a chain of matches connects them; those
-that it doesn't match are held against the next ones until none is left. A match is verified by alignment: the longest chain of common
+least member, then against the one with the most matches, and only until a chain of matches connects them.
+What is then still in different classes of a bucket may be similar all the same, as similarity isn't transitive:
+of these texts, matched ones too, all pairs are tried that could have enough shingles in common
+(a prefix filter, which is exact). A match is verified by alignment: the longest chain of common
 shingles in order, within the band that the similarity allows.
 """
 
@@ -25,9 +27,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of each text and shingles in each; texts of under SHORT shingles have SHORT_SKETCHES more of SHORT_SIZE.
 SKETCHES, SIZE = 36, 8
 SHORT, SHORT_SKETCHES, SHORT_SIZE = 24, 24, 4
-#: Times more members of a band of sizes that the others of an unsettled bucket are held against in each round, and times more
-#: pairs tried between two components that share buckets.
-LEADERS, WIDER = 4, 256
+#: Times more pairs tried in each round between two components whose texts share leaders.
+WIDER = 256
 #: Pairs up to which the texts they need are picked out by a broadcast list of nodes.
 BROADCAST_PAIRS = 50_000
 
@@ -129,25 +130,19 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _band(size: int) -> int:
-    """Texts that are similar are in the same band of sizes or in neighbouring ones."""
-    return int(np.log(max(size, 1)) / -np.log(SIMILARITY) + 1e-9)
-
-
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each distinct text: node, rep (its least id), keys, band (of its number of shingles)."""
+    """One row for each distinct text: node, rep (its least id), keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [shingles(w) for w in _lists(batch.column(2))]
-            keys, bands = [sketches(s) for s in texts], [_band(len(s)) for s in texts]
+            keys = [sketches(shingles(w)) for w in _lists(batch.column(2))]
             made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array(bands, pa.int32())], names=["node", "rep", "keys", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["node", "rep", "keys"])
 
     C.small_batches(docs.sparkSession, 256)
     rows = docs.select(_node(F.col(text_col)).alias("node"), F.col(id_col).alias("rep"), _word_hashes(F.col(text_col)).alias("w"))
-    return C.cut(rows.mapInArrow(run, f"node binary, rep {kind}, keys array<bigint>, band int").groupBy("node").agg(F.min("rep").alias("rep"), F.first("keys").alias("keys"), F.first("band").alias("band")))
+    return C.cut(rows.mapInArrow(run, f"node binary, rep {kind}, keys array<bigint>").groupBy("node").agg(F.min("rep").alias("rep"), F.first("keys").alias("keys")))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, few: bool) -> DataFrame:
@@ -169,15 +164,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, few: bool) ->
 
 def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between nodes: enough of them to connect every class, not all pairs."""
-    keyed = nodes.select("node", "band", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    bucket = C.cut(keyed.join(shared.drop("n"), "key"))
-    wanted = bucket.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    members = C.cut(keyed.join(shared.drop("n"), "key"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["__id"].eqNullSafe(wanted["rep"])).select(texts["node"], "text")
-    texts, bucket = C.cut(texts), bucket.where("a <> node")
+    texts, bucket = C.cut(texts), members.where("a <> node")
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    tried, roots, width, leaders = links, bucket.select("node").distinct().withColumn("root", F.col("node")), 0, 1
+    tried, roots, width, led = links, bucket.select("node").distinct().withColumn("root", F.col("node")), 0, False
     while True:
         rows = _rooted(bucket, roots)
         untried = rows.join(tried.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
@@ -189,18 +184,19 @@ def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id",
             pairs = untried.groupBy("root", "leader_root", salt.alias("salt")).agg(F.min(F.struct("a", "node")).alias("p")).select("p.*")
         pairs = C.cut(pairs.select("a", F.col("node").alias("b")).distinct())
         n = pairs.count()
-        if not n:
-            leaders *= LEADERS
-            bucket = _lead_again(rows, leaders)
-            if bucket is None:
-                return links
-            width = WIDER
-            continue
-        found = C.cut(_verify(pairs, texts, similarity, n <= BROADCAST_PAIRS).distinct())  # a repeated row gives its text twice
-        tried, width = C.cut(tried.unionAll(pairs)), max(1, width) * WIDER
-        if not found.isEmpty():
-            links = C.cut(links.unionAll(found))
-            roots = C.cut(graph.components(links))
+        if n:
+            found = C.cut(_verify(pairs, texts, similarity, n <= BROADCAST_PAIRS).distinct())  # a repeated row gives its text twice
+            tried, width = C.cut(tried.unionAll(pairs)), max(1, width) * WIDER
+            if not found.isEmpty():
+                links = C.cut(links.unionAll(found))
+                roots = C.cut(graph.components(links))
+        elif not led:
+            bucket, width, led = _lead_again(_unsettled(members, roots), links), 0, True
+        else:
+            break
+    rest = C.cut(_rest(_unsettled(members, roots), texts, tried, similarity))
+    n = rest.count()
+    return links.unionAll(C.cut(_verify(rest, texts, similarity, n <= BROADCAST_PAIRS).distinct())) if n else links
 
 
 def _rooted(bucket: DataFrame, roots: DataFrame) -> DataFrame:
@@ -211,19 +207,56 @@ def _rooted(bucket: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where("root <> leader_root")
 
 
-def _lead_again(rows: DataFrame, leaders: int) -> DataFrame | None:
-    """New leaders for members that their bucket's leaders don't match, None if no bucket has two components of them.
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All members (key, node, root) of the buckets that have two components or more, matched ones too."""
+    own = members.select("key", "node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return C.cut(own.join(mixed, "key").select("key", "node", "root"))
+
+
+def _lead_again(unsettled: DataFrame, links: DataFrame) -> DataFrame:
+    """The unsettled buckets (key, node, a), led by the member with the most links: it is likely what the others were made from."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    known = unsettled.join(degree, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    lead = known.groupBy("key").agg(F.max(F.struct("d", "node"))["node"].alias("a"))
+    return C.cut(unsettled.join(lead, "key").where("a <> node").select("key", "node", "a"))
+
 
-    Each band of sizes has leaders of its own, for itself and its neighbours: texts further apart can't be similar.
-    A member that is connected to any of the leaders it was held against is settled.
+def _rest(unsettled: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """All untried pairs (a, b) of unsettled texts of different components that could be similar.
+
+    With each text's shingles in one order, rarest first, similar texts meet in a shingle that comes so early
+    in both that what follows it suffices (prefix and position filters). No pair that is similar is missed. What
+    many texts share comes late, so that texts with one passage in common don't meet in it.
     """
-    led = rows.select("key", F.col("a").alias("node")).distinct()  # held against all others of their bucket
-    rest = rows.select("key", "node", "root", "band").distinct().join(led, ["key", "node"], "left_anti")
-    salted = rest.groupBy("key", "band", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("salt")).agg(F.min("node").alias("a"), F.min("root").alias("low"), F.max("root").alias("high"))
-    still = salted.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
-    lead = salted.join(still, "key").select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "a")
-    again = C.cut(rest.join(lead, ["key", "band"]).where("a <> node").select("key", "node", "a", "band"))
-    return None if again.isEmpty() else again
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(w).view(np.int64) for w in _lists(batch.column(1))]
+            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "s"])
+
+    own = unsettled.select("node", "root").distinct()
+    hashed = C.cut(texts.join(own, "node", "left_semi").dropDuplicates(["node"]).select("node", _word_hashes(F.col("text")).alias("w")).mapInArrow(run, "node binary, s array<bigint>"))
+    each = hashed.select("node", F.size("s").alias("n"), F.explode("s").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(common, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t"))
+    alone, prefix = F.col("n") - F.size("t"), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    early = ranked.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("t", 1, F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("i", "t"))
+    early = C.cut(early.select("node", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("t.s").alias("s")).join(own, "node"))
+    sizes = early.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    early = C.cut(early.join(sizes.drop("roots"), "s"))
+    need = similarity / (1 + similarity)
+    pairs = None
+    small = early.where(F.col("i") <= F.col("n") - 2 * need * F.col("n") + 1e-9)
+    for x, y in ((small.where("root <> main"), early), (small, early.where("root <> main"))):  # a shingle's main component never meets itself
+        x, y = x.alias("x"), y.alias("y")
+        order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+        enough = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= need * (F.col("x.n") + F.col("y.n")) - 1e-9
+        met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = met if pairs is None else pairs.unionAll(met)
+    both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.distinct().join(both, ["a", "b"], "left_anti")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
