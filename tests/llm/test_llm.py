@@ -181,6 +181,20 @@ def test_concentration_steps_find_the_core(spark):
     assert np.allclose(est["l00"], np.linalg.cholesky(now[1])[0, 0], rtol=0.1)
 
 
+def test_small_strata_are_judged(spark):
+    """Few rows of a source are held against their language, a small table against itself."""
+    rng = np.random.default_rng(2)
+
+    def prose(n):
+        return "\n".join(" ".join("abcdefghij"[: rng.integers(2, 9)] + str(rng.integers(1000)) for _ in range(rng.integers(8, 14))) for _ in range(n))
+
+    rows = [(i, prose(rng.integers(12, 30)), "en", "web") for i in range(230)] + [(901, prose(20), "en", "rare")]
+    kept = {r["__id"]: (r["kept"], r["d2"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[901][0] and kept[901][1] is not None
+    few = spark.createDataFrame(rows[:80], "doc_id long, text string, lang string, source string")
+    assert few.count() == quality.judge(few).where("d2 IS NOT NULL").count()
+
+
 def test_near_duplicates_by_brute_force(result, small):
     got = result("op6_order_minhash").set_index("doc_id")
     hashed = [near_dedup.shingles(np.array([zlib.crc32(w.encode()) * 2654435761 + zlib.adler32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t))], np.uint64)) for t in small.text]

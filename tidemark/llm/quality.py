@@ -2,8 +2,9 @@
 
 Each document becomes a vector of transformed statistics. For each stratum (language and
 source; small ones are pooled by language) a minimum-covariance-determinant estimate is
-found by concentration steps: from median and MAD, keep the share of rows with the smallest
-Mahalanobis distances, take their mean and covariance, and repeat. Every step is a pre-aggregated
+found by concentration steps: from median and MAD, and from the covariance of spatial signs about the
+median, keep the share of rows with the smallest Mahalanobis distances, take their mean and covariance, and
+repeat; of the two ends the one with the smaller determinant counts. Every step is a pre-aggregated
 group-by, so a hot source costs no more than any other; only one row of estimates for each
 stratum is ever joined back.
 """
@@ -22,8 +23,10 @@ SYMBOLS = r"[#*$%&|<>]"
 VECTOR = (("x_words", 0.5), ("x_word_len", 0.1), ("x_line_len", 0.5), ("x_symbols", 0.05), ("x_repeats", 0.1), ("x_dup_lines", 0.25))
 #: Share of a stratum that the estimate is made from, concentration steps, and the least rows of a stratum.
 SHARE, STEPS, LEAST_ROWS = 0.75, 3, 200
-#: Squared Mahalanobis distance beyond which a row is rejected: chi-square, six degrees of freedom, upper tail 1e-9.
-CUTOFF = 52.9
+#: Fitted rows of a whole table below which nothing is judged: five for each statistic, the least a covariance is estimated from.
+FEWEST = 5 * len(VECTOR)
+#: Squared Mahalanobis distance beyond which a row is rejected: chi-square, six degrees of freedom, upper tail 1e-5 (a conventional choice, not fitted to labels).
+CUTOFF = 33.1
 #: Median of that chi-square: distances are scaled so that the stratum's median meets it.
 CHI2_MEDIAN = 5.348
 
@@ -81,7 +84,7 @@ def _vector(stats: DataFrame) -> DataFrame:
 
 
 def _estimates(groups: DataFrame) -> DataFrame:
-    """m0.. and l00.. (Cholesky) for each stratum, from its moments c, s0.., p00..."""
+    """m0.. and l00.. (Cholesky) for each stratum and start, from its moments c, s0.., p00..."""
     out = groups.withColumns({f"m{i}": F.col(f"s{i}") / F.col("c") for i in range(len(VECTOR))})
     cov = {(i, j): F.col(f"p{i}{j}") / F.col("c") - F.col(f"m{i}") * F.col(f"m{j}") + (VECTOR[i][1] ** 2 if i == j else 0) for i in range(len(VECTOR)) for j in range(i + 1)}
     out = out.withColumns({f"v{i}{j}": x for (i, j), x in cov.items()})
@@ -89,7 +92,7 @@ def _estimates(groups: DataFrame) -> DataFrame:
         for j in range(i + 1):
             rest = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"v{i}{j}"))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("stratum", *_names())
+    return out.select("stratum", "start", *_names())
 
 
 def _names() -> list[str]:
@@ -117,15 +120,24 @@ def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS)
     around = rows.join(centre, "stratum")
     mads = around.groupBy("stratum").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
     start = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0) for i in p for j in range(i + 1)}
-    now = C.cut(mads.withColumns(start).select("stratum", *_names()))
+    first = C.cut(mads.withColumns(start).select("stratum", F.lit(0).alias("start"), *_names()))
+    signs = rows.join(first, "stratum")
+    signs = signs.withColumns({f"u{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, x in enumerate(names)})
+    length = F.greatest(reduce(lambda a, i: a + F.col(f"u{i}") * F.col(f"u{i}"), p, F.lit(0.0)), F.lit(1e-12))
+    spread = lambda i, j: len(names) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length) * F.first(f"l{i}{i}") * F.first(f"l{j}{j}")
+    second = signs.groupBy("stratum").agg(F.lit(1).alias("start"), F.lit(1).alias("c"), *[F.first(f"m{i}").alias(f"s{i}") for i in p], *[(spread(i, j) + F.first(f"m{i}") * F.first(f"m{j}")).alias(f"p{i}{j}") for i in p for j in range(i + 1)])
+    now, key = C.cut(first.unionByName(_estimates(second))), ["stratum", "start"]
     for _ in range(steps):
         near = _distance(rows.join(now, "stratum"))
-        reach = near.groupBy("stratum").agg(F.percentile_approx("d2", share).alias("reach"))
-        inner = _distance(rows.join(now.join(reach, "stratum"), "stratum")).where(F.col("d2") <= F.col("reach"))
-        moments = inner.groupBy("stratum").agg(F.count("*").alias("c"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in p for j in range(i + 1)])
+        reach = near.groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
+        inner = _distance(rows.join(now.join(reach, key), "stratum")).where(F.col("d2") <= F.col("reach"))
+        moments = inner.groupBy(key).agg(F.count("*").alias("c"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in p for j in range(i + 1)])
         now = C.cut(_estimates(moments))
+    log_det = reduce(lambda a, i: a + F.log(F.col(f"l{i}{i}")), p, F.lit(0.0))
+    best = now.groupBy("stratum").agg(F.min(F.struct(log_det.alias("det"), "start"))["start"].alias("start"))
+    now = C.cut(now.join(best, key).drop("start"))
     half = _distance(rows.join(now, "stratum")).groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("half"))
-    return now.join(half, "stratum").withColumn("scale", F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest("half", F.lit(1e-6)))).drop("half")
+    return now.join(half, "stratum").withColumn("scale", F.when(F.col("half") > 1e-6, CHI2_MEDIAN / F.col("half")).otherwise(1.0)).drop("half")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
@@ -133,8 +145,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     base_failed rows are not kept and shape no estimate. Strata are (language, source) with
     least_rows others, else the language's remaining rows together, else all remaining rows;
-    a null language or source is a value of its own. Where even those are fewer, d2
-    is null and the row is kept. Copies of a row all count.
+    a null language or source is a value of its own. Where even those are fewer, the row is held
+    against all of its language (if least_rows), else against the whole table. Only where that has
+    under FEWEST rows, d2 is null and the row is kept. Copies of a row all count.
     """
     text = F.col(text_col)
     lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(C.SPACES)) != ""))
@@ -144,14 +157,22 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     by_source = fit.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
     by_lang = by_source.where(F.col("n") < least_rows).groupBy("__lang").agg(F.sum("n").alias("nl"))
     rest = by_lang.where(F.col("nl") < least_rows).agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("na"))
+    all_of = F.to_json(F.struct(F.col("__lang").alias("all")))
     name = (
         F.when(F.col("n") >= least_rows, F.to_json(F.array("__lang", "__source")))
         .when(F.col("nl") >= least_rows, F.to_json(F.array("__lang")))
         .when(F.col("na") >= least_rows, F.lit("[]"))
+        .when(F.col("nall") >= least_rows, all_of)
+        .when(F.col("every") >= FEWEST, F.lit("{}"))
     )
-    strata = C.cut(by_source.join(by_lang, "__lang", "left").join(F.broadcast(rest)).select("__lang", "__source", name.alias("stratum")))
+    whole = by_source.groupBy("__lang").agg(F.sum("n").alias("nall"))
+    every = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
+    strata = C.cut(by_source.join(by_lang, "__lang", "left").join(whole, "__lang").join(F.broadcast(rest)).join(F.broadcast(every)).select("__lang", "__source", name.alias("stratum")))
     named = C.cut(stats.join(strata, ["__lang", "__source"], "left"))
-    est = mcd_estimates(named.where(~F.col("base_failed") & F.col("stratum").isNotNull()).select("stratum", *[x for x, _ in VECTOR]))
+    # a row shapes the estimate of its own stratum, and of its language and table where some rows are held against all of these
+    shapes = strata.select("__lang", "__source", F.explode(F.array_distinct(F.array("stratum", all_of, F.lit("{}")))).alias("stratum"))
+    shapes = shapes.join(strata.select("stratum").distinct(), "stratum", "left_semi")
+    est = mcd_estimates(named.where(~F.col("base_failed")).drop("stratum").join(shapes, ["__lang", "__source"]).select("stratum", *[x for x, _ in VECTOR]))
     far = _distance(named.join(est, "stratum", "left"))
     out = far.withColumn("d2", F.col("d2") * F.col("scale"))
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
