@@ -35,6 +35,16 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """n column names that df has not, whatever the case of its own."""
+    taken, names, k = {c.lower() for c in df.columns}, [], 0
+    while len(names) < n:
+        if (name := f"__own{k}") not in taken:
+            names.append(name)
+        k += 1
+    return names
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts go to Python workers so many rows at a time; long ones then fit in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -2,12 +2,12 @@
 
 A sketch takes the few least-hashed 5-word shingles of a text (each labelled with its
 occurrence) in the order in which they stand, so it follows edit similarity rather than mere overlap.
-Texts that agree in a sketch share a bucket. A bucket's members are held against its
-least member, then against the one with the most matches, and only until a chain of matches connects them.
-What is then still in different classes of a bucket may be similar all the same, as similarity isn't transitive:
-of these texts, matched ones too, all pairs are tried that could have enough shingles in common
-(a prefix filter, which is exact). A match is verified by alignment: the longest chain of common
-shingles in order, within the band that the similarity allows.
+Texts that agree in a sketch share a bucket. First each member of a bucket is held against one member
+drawn at random, which connects most of what is similar. Similarity isn't transitive, so buckets that still hold
+several components are gone through once more: there all members meet, and a pair goes on only if signatures
+of one bit for each of 1,024 MinHash functions, carried in the rows, differ in few enough places for its similarity.
+A match is always verified by alignment: the longest chain of common shingles in order, within the band that the
+similarity allows. Components are found twice, however many texts there are.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of each text and shingles in each; texts of under SHORT shingles have SHORT_SKETCHES more of SHORT_SIZE.
 SKETCHES, SIZE = 36, 8
 SHORT, SHORT_SKETCHES, SHORT_SIZE = 24, 24, 4
-#: Times more pairs tried in each round between two components whose texts share leaders.
-WIDER = 256
+#: Bits of a signature, and standard deviations by which a pair at the least similarity may differ more than expected (lost: one in a thousand).
+BITS, SLACK = 1024, 3.1
+#: Rows of a bucket that meet in one task; larger buckets are dealt over several.
+BUCKET_ROWS = 4096
 #: Pairs up to which the texts they need are picked out by a broadcast list of nodes.
 BROADCAST_PAIRS = 50_000
+#: Shingled texts that a verifying task remembers, of so many shingles at most.
+KNOWN_TEXTS, KNOWN_SIZE = 2_000, 2_000
 
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -145,118 +149,100 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.cut(rows.mapInArrow(run, f"node binary, rep {kind}, keys array<bigint>").groupBy("node").agg(F.min("rep").alias("rep"), F.first("keys").alias("keys")))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, few: bool) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    if few:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = texts.join(F.broadcast(needed), "node", "left_semi")
+def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar, written once."""
+    pairs = C.cut(pairs)
+    if pairs.count() <= BROADCAST_PAIRS:  # of checked size
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}  # a text takes part in several pairs that follow each other
+
+        def made(node: bytes, words: np.ndarray) -> np.ndarray:
+            s = known.get(node)
+            if s is None:
+                if len(known) >= KNOWN_TEXTS:
+                    known.clear()
+                s = shingles(words)
+                if len(s) <= KNOWN_SIZE:
+                    known[node] = s
+            return s
+
         for batch in batches:
-            same = [aligned_similarity(shingles(x), shingles(y), similarity) >= similarity for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
+            a, b = (batch.column(k).to_pylist() for k in (0, 1))
+            same = [aligned_similarity(made(i, x), made(j, y), similarity) >= similarity for i, j, x, y in zip(a, b, _lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", _word_hashes(F.col("ta")).alias("wa"), _word_hashes(F.col("tb")).alias("wb"))
-    return both.mapInArrow(run, "a binary, b binary")
+    return C.cut(both.mapInArrow(run, "a binary, b binary"))
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """One bit for each of BITS MinHash functions of a text's shingles, as BITS / 64 int64."""
+    bits, step, low = np.empty(BITS, np.uint8), max(1, 4_000_000 // max(1, len(s))), (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    seeds = _SEEDS[1024 : 1024 + BITS].astype(np.uint32)[:, None]
+    for a in range(0, BITS, step):
+        least = ((low ^ seeds[a : a + step]) * np.uint32(0x85EBCA6B)).min(axis=1)
+        bits[a : a + step] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bits).view("<i8")
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which the signatures of two texts of that similarity may differ."""
+    p = (1 - similarity) / 2
+    return int(BITS * p + SLACK * (BITS * p * (1 - p)) ** 0.5)
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between nodes: enough of them to connect every class, not all pairs."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    members = C.cut(keyed.join(shared.drop("n"), "key"))
+    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("a")).where("n > 1")
+    members = C.cut(keyed.join(shared, "key"))
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["__id"].eqNullSafe(wanted["rep"])).select(texts["node"], "text")
-    texts, bucket = C.cut(texts), members.where("a <> node")
-    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    tried, roots, width, led = links, bucket.select("node").distinct().withColumn("root", F.col("node")), 0, False
-    while True:
-        rows = _rooted(bucket, roots)
-        untried = rows.join(tried.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
-        if not width:  # first each text against the leader it shares most buckets with
-            often = untried.groupBy("node", "a").agg(F.count("*").alias("n"))
-            pairs = often.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        else:  # then texts of different components, width for each two of them
-            salt = F.pmod(F.xxhash64("a", "node"), F.lit(width))
-            pairs = untried.groupBy("root", "leader_root", salt.alias("salt")).agg(F.min(F.struct("a", "node")).alias("p")).select("p.*")
-        pairs = C.cut(pairs.select("a", F.col("node").alias("b")).distinct())
-        n = pairs.count()
-        if n:
-            found = C.cut(_verify(pairs, texts, similarity, n <= BROADCAST_PAIRS).distinct())  # a repeated row gives its text twice
-            tried, width = C.cut(tried.unionAll(pairs)), max(1, width) * WIDER
-            if not found.isEmpty():
-                links = C.cut(links.unionAll(found))
-                roots = C.cut(graph.components(links))
-        elif not led:
-            bucket, width, led = _lead_again(_unsettled(members, roots), links), 0, True
-        else:
-            break
-    rest = C.cut(_rest(_unsettled(members, roots), texts, tried, similarity))
-    n = rest.count()
-    return links.unionAll(C.cut(_verify(rest, texts, similarity, n <= BROADCAST_PAIRS).distinct())) if n else links
-
-
-def _rooted(bucket: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of bucket (key, node, a) whose node and leader a are in different components: with root and leader_root."""
-    own = bucket.join(roots.select("node", "root"), "node", "left")
-    both = own.join(roots.select(F.col("node").alias("a"), F.col("root").alias("leader_root")), "a", "left")
-    both = both.withColumns({"root": F.coalesce("root", "node"), "leader_root": F.coalesce("leader_root", "a")})
-    return both.where("root <> leader_root")
+    texts = C.cut(texts.dropDuplicates(["node"]))
+    links = _verify(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)
+    mixed = _unsettled(members, graph.components(links))
+    return links.unionAll(_verify(_close(mixed, texts, nodes, similarity), texts, similarity))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All members (key, node, root) of the buckets that have two components or more, matched ones too."""
-    own = members.select("key", "node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """All members (key, n, node, root) of the buckets that have two components or more, connected ones too."""
+    own = members.select("key", "n", "node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return C.cut(own.join(mixed, "key").select("key", "node", "root"))
+    return C.cut(own.join(mixed, "key"))
 
 
-def _lead_again(unsettled: DataFrame, links: DataFrame) -> DataFrame:
-    """The unsettled buckets (key, node, a), led by the member with the most links: it is likely what the others were made from."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    known = unsettled.join(degree, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    lead = known.groupBy("key").agg(F.max(F.struct("d", "node"))["node"].alias("a"))
-    return C.cut(unsettled.join(lead, "key").where("a <> node").select("key", "node", "a"))
+def _close(mixed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components in one bucket whose sizes and signatures allow the similarity; each pair once.
 
-
-def _rest(unsettled: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """All untried pairs (a, b) of unsettled texts of different components that could be similar.
-
-    With each text's shingles in one order, rarest first, similar texts meet in a shingle that comes so early
-    in both that what follows it suffices (prefix and position filters). No pair that is similar is missed. What
-    many texts share comes late, so that texts with one passage in common don't meet in it.
+    No pairs are made of what the signatures rule out: they are a condition of the join. A large bucket is
+    dealt over tasks: each row goes to one place in a row and a column of blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(w).view(np.int64) for w in _lists(batch.column(1))]
-            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "s"])
-
-    own = unsettled.select("node", "root").distinct()
-    hashed = C.cut(texts.join(own, "node", "left_semi").dropDuplicates(["node"]).select("node", _word_hashes(F.col("text")).alias("w")).mapInArrow(run, "node binary, s array<bigint>"))
-    each = hashed.select("node", F.size("s").alias("n"), F.explode("s").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(common, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t"))
-    alone, prefix = F.col("n") - F.size("t"), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    early = ranked.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("t", 1, F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("i", "t"))
-    early = C.cut(early.select("node", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("t.s").alias("s")).join(own, "node"))
-    sizes = early.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    early = C.cut(early.join(sizes.drop("roots"), "s"))
-    need = similarity / (1 + similarity)
-    pairs = None
-    small = early.where(F.col("i") <= F.col("n") - 2 * need * F.col("n") + 1e-9)
-    for x, y in ((small.where("root <> main"), early), (small, early.where("root <> main"))):  # a shingle's main component never meets itself
-        x, y = x.alias("x"), y.alias("y")
-        order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-        enough = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= need * (F.col("x.n") + F.col("y.n")) - 1e-9
-        met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = met if pairs is None else pairs.unionAll(met)
-    both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.distinct().join(both, ["a", "b"], "left_anti")
+            made = [shingles(w) for w in _lists(batch.column(1))]
+            bits = np.array([signature(s) for s in made], np.int64).reshape(len(made), -1)
+            columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int32()), *columns], names=["node", "size", *names])
+
+    names = [f"s{k}" for k in range(BITS // 64)]
+    own = mixed.select("node").distinct()
+    words = texts.join(own, "node", "left_semi").select("node", _word_hashes(F.col("text")).alias("w"))
+    signed = words.mapInArrow(run, "node binary, size int, " + ", ".join(f"{s} bigint" for s in names)).join(nodes.select("node", F.array_sort("keys").alias("keys")), "node")
+    rows = mixed.join(C.cut(signed), "node").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x, y = rows.withColumns({"r": F.col("block"), "c": every}).alias("x"), rows.withColumns({"r": every, "c": F.col("block")}).alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names[1:]), F.bit_count(F.col(f"x.{names[0]}").bitwiseXOR(F.col(f"y.{names[0]}"))))
+    near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & (differ <= most_bits(similarity))
+    first = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "r", "c")] + [(F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")), near, first])
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -290,11 +276,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates() keeps: one document of each class."""
+    """The rows of docs, all columns, that near_duplicates() keeps: one document of each class.
+
+    Rows that repeat the chosen id and text all stay, as they are one document. Of null and empty texts, one class,
+    the least id stays; a class of null ids only keeps its chosen text. An empty table gives an empty table.
+    """
     classes = _classes(docs, id_col, text_col, similarity)
-    chosen = classes.where(F.col("node") == F.col("chosen")).select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
-    keyed = docs.select("*", _node(F.col(text_col)).alias("__own"))
-    return keyed.join(chosen, (keyed["__own"] == chosen["__node"]) & keyed[id_col].eqNullSafe(chosen["__class"]), "left_semi").select(*docs.columns)
+    own, node, least = C.unused(docs, 3)
+    chosen = classes.where(F.col("node") == F.col("chosen")).select(F.col("node").alias(node), F.col("class_id").alias(least))
+    keyed = docs.select("*", _node(F.col(text_col)).alias(own))
+    return keyed.join(chosen, (F.col(own) == F.col(node)) & F.col(id_col).eqNullSafe(F.col(least)), "left_semi").select(*docs.columns)
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
