@@ -23,12 +23,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs that may be random strings: at least so many characters, one a digit and one a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: Runs that may be random strings or hold one between separators, and what lies between these. Each place is looked at once.
+RUN, PART = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), re.compile(r"[A-Za-z0-9+]{20,}")
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
-NAMED = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[+/_=-]+|$))+")
-#: Characters a token below which a candidate is a random string, and the least share of distinct characters.
-MAX_RATIO, MIN_VARIETY = 2.0, 0.3
+#: Words, capitals and short numbers between separators: each part can be read in one way only, so failing takes no longer than matching.
+NAMED = re.compile(r"[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,8}+)(?:[+/_=-]++|\Z))+")
+#: Characters a token below which a run is a random string (LETTERS_RATIO: one without digits, which may be a long word), and the least share of distinct characters.
+MAX_RATIO, LETTERS_RATIO, MIN_VARIETY = 2.0, 1.6, 0.3
+#: Tokens are counted in slices of so many characters.
+SLICE = 4096
 
 KINDS = ("assign", "access", "hex", "random")
 SCHEMA = "n_assign long, n_access long, n_hex long, n_random long, base_spans string, spans string"
@@ -46,15 +49,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_random(s: str, count_tokens, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether s has too few characters a token, and is no known digest and no name."""
+    digits = any(map(str.isdigit, s))
+    if not any(map(str.isalpha, s)) or len(set(s)) < MIN_VARIETY * min(len(s), 30) or digits and (KNOWN.fullmatch(s) or NAMED.fullmatch(s)):
+        return False
+    return len(s) < (max_ratio if digits else min(max_ratio, LETTERS_RATIO)) * sum(count_tokens(s[i : i + SLICE]) for i in range(0, len(s), SLICE))
+
+
 def random_spans(text: str, count_tokens, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """Candidates with under max_ratio characters a token that are no known digest or identifier."""
+    """Runs that are random strings; else their parts between / _ = - that are, so that wording beside a secret doesn't hide it."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if KNOWN.fullmatch(s) or NAMED.fullmatch(s) or len(set(s)) < MIN_VARIETY * min(len(s), 30):
-            continue
-        if len(s) < max_ratio * count_tokens(s):
-            found.append((m.start(), 3, m.end()))
+    for run in RUN.finditer(text):
+        if is_random(run[0], count_tokens, max_ratio):
+            found.append((run.start(), 3, run.end()))
+        elif not KNOWN.fullmatch(run[0]):
+            found += [(m.start(), 3, m.end()) for m in PART.finditer(text, run.start(), run.end()) if m[0] != run[0] and is_random(m[0], count_tokens, max_ratio)]
     return found
 
 
