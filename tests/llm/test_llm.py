@@ -324,6 +324,46 @@ def test_language_held_out(result, small):
     assert (out.lang == out.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_model_by_brute_force(spark):
+    """Training counts and the backoff of every word held against plain Python; letters are category L only."""
+    import unicodedata
+
+    texts = [(1, "the cat the dog\u00bd x\u00b2", "en"), (2, "der Hund der hund stra\u00dfe", "de"), (3, "the \u2167 42 \u2462", "en"), (4, None, "en"), (5, "le chat", None)]
+    model = langid.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+
+    def words(t):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+
+    rows = [(lang, w) for _, t, lang in texts if t and lang for w in words(t)]
+    counts, langs = Counter(rows), ["de", "en"]
+    names = {w for (_, w), n in counts.items() if n >= langid.LEAST_COUNT}
+    grams = [Counter((lang, f"_{w}_"[i : i + k]) for lang, w in rows for i in range(len(w) + 3 - k)) for k in langid.ORDERS]
+
+    def logp(table, kinds, lang, name):
+        own = sum(n for (x, y), n in table.items() if x == lang and y in kinds)
+        return math.log10((table[lang, name] + langid.SMOOTHING) / (own + langid.SMOOTHING * (len(kinds) + 1)))
+
+    def row(w):
+        if w in names:
+            return np.array([logp(counts, names, x, w) for x in langs])
+        for k, table in zip(langid.ORDERS, grams, strict=True):
+            kinds = {g for _, g in table}
+            known = [g for i in range(len(w) + 3 - k) if (g := f"_{w}_"[i : i + k]) in kinds]
+            if known:
+                return np.mean([[logp(table, kinds, x, g) for x in langs] for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    assert model.langs == langs and set(model.words) == names
+    for text in ("the hund", "catdog zzz the the", "\u00e9", "Stra\u00dfe und the", "hhhh \u00bd der"):
+        own = [row(w) for w in words(text)]
+        mean = np.mean(own, axis=0) * min(len(own), 20) * math.log(10)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        lang, score = langid.predict_text(model, text, {})
+        assert lang == langs[int(p.argmax())] and math.isclose(score, p.max(), rel_tol=1e-4), text
+    for text in (None, "", "\u00bd \u00b2 \u2167 \u2462", "12 _ !"):
+        assert langid.predict_text(model, text, {}) == ("und", 0.0)
+
+
 def test_odd_and_empty_tables(spark, odd, empty):
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     ops = {
