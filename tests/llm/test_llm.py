@@ -201,6 +201,27 @@ def test_quality_statistics(result, small):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def brute_mcd(x):
+    """Mean, covariance and log determinant of the better of two starts, in NumPy: MADs, and spatial signs."""
+    floor, ridge, n = np.array([f for _, f in quality.VECTOR]), np.diag([(quality.RIDGE * f) ** 2 for _, f in quality.VECTOR]), len(x)
+    low = lambda v, q: np.sort(v, 0)[max(0, math.ceil(q * n) - 1)]
+    centre = low(x, 0.5)
+    sd = np.sqrt((low(abs(x - centre), 0.5) * 1.4826) ** 2 + floor**2)
+    u = (x - centre) / sd
+    signs = u / np.sqrt(np.maximum((u**2).sum(1, keepdims=True), 1e-12))
+    found = []
+    for cov in (np.diag(sd**2), len(floor) * signs.T @ signs / n * np.outer(sd, sd) + ridge):
+        mean = centre
+        for _ in range(quality.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            core = x[d <= low(d, quality.SHARE)]
+            mean, cov = core.mean(0), np.cov(core.T, bias=True).reshape(len(floor), -1) + ridge
+        found.append((np.linalg.slogdet(cov)[1], mean, cov))
+    det, mean, cov = min(found, key=lambda f: f[0])
+    half = low(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), 0.5)
+    return mean, cov * (half / quality.CHI2_MEDIAN if half > 1e-6 else 1), det
+
+
 def test_concentration_steps_find_the_core(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, len(quality.VECTOR))) * 2
@@ -208,13 +229,39 @@ def test_concentration_steps_find_the_core(spark):
     names = [n for n, _ in quality.VECTOR]
     rows = spark.createDataFrame([("s", *map(float, r)) for r in x], "stratum string, " + ", ".join(f"{n} double" for n in names))
     est = quality.mcd_estimates(rows).collect()[0]
-    now = np.median(x, 0), np.diag((np.median(abs(x - np.median(x, 0)), 0) * 1.4826) ** 2 + [f**2 for _, f in quality.VECTOR])
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - now[0], np.linalg.inv(now[1]), x - now[0])
-        core = x[d <= np.sort(d)[int(np.ceil(quality.SHARE * len(x))) - 1]]
-        now = core.mean(0), np.cov(core.T, bias=True) + np.diag([f**2 for _, f in quality.VECTOR])
-    assert np.allclose([est[f"m{i}"] for i in range(len(names))], now[0], atol=0.2) and abs(now[0]).max() < 1
-    assert np.allclose(est["l00"], np.linalg.cholesky(now[1])[0, 0], rtol=0.1)
+    mean, cov, det = brute_mcd(x)
+    assert np.allclose([est[f"m{i}"] for i in range(len(names))], mean) and abs(mean).max() < 1
+    assert np.allclose([est[f"v{i}{i}"] for i in range(len(names))], np.diag(cov)) and math.isclose(est["det"], det, rel_tol=1e-9)
+
+
+def test_kept_by_brute_force(result, small, spark):
+    """Distances and verdicts of every document against NumPy: estimates of table, language and source, each leaning on the next."""
+    got = result("op5_quality_rules").set_index("doc_id")
+    texts = small.text.fillna("")
+    words = texts.map(lambda t: re.findall(r"[^\x20\x09-\x0D]+", t))
+    lines = np.maximum(1, [len([x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]) for t in texts])
+    own = got.loc[small.doc_id]
+    w, c = np.maximum(1, words.map(len).to_numpy()), np.maximum(1, own.word_chars.to_numpy())
+    x = np.stack([np.log(w), np.log(c / w), np.log(w / lines), np.sqrt(own.n_symbols / c), np.sqrt(own.n_repeat_words / w), np.sqrt(own.n_dup_lines / lines)], 1)
+    floor, fit, prior = np.array([f for _, f in quality.VECTOR]), ~own.base_failed.to_numpy(), quality.PRIOR
+    lang, source = small.lang.fillna("").to_numpy(), small.source.fillna("").to_numpy()
+
+    def lean(rows, upper):
+        n = rows.sum()
+        mean, cov, _ = brute_mcd(x[rows]) if n else (np.zeros(len(floor)), np.zeros((len(floor),) * 2), 0)
+        up = upper or (mean, np.diag((quality.WIDE * floor) ** 2))
+        return (n * mean + prior * up[0]) / (n + prior), (n * cov + prior * up[1]) / (n + prior)
+
+    top = lean(fit, None)
+    for a, b in sorted(set(zip(lang, source, strict=True))):
+        here = (lang == a) & (source == b)
+        mean, cov = lean(fit & here, lean(fit & (lang == a), top))
+        d2 = np.einsum("ij,jk,ik->i", x[here] - mean, np.linalg.inv(cov + np.diag(floor**2)), x[here] - mean)
+        assert np.allclose(own.d2.to_numpy()[here], d2, rtol=1e-6)
+        assert (own.kept.to_numpy()[here] == (fit[here] & (d2 <= quality.CUTOFF))).all()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas(), left_on="doc_id", right_on="__id")
+    judged = labels[~labels.base_failed]
+    assert judged[judged.quality == 1].kept.mean() > 0.98 and judged[judged.quality == 0].kept.mean() < 0.05
 
 
 def test_small_strata_are_judged(spark):

@@ -1,12 +1,12 @@
-"""Quality rules: text statistics and robust multivariate outliers; DataFrame functions only.
-
-Each document becomes a vector of transformed statistics. For each stratum (language and
-source; small ones are pooled by language) a minimum-covariance-determinant estimate is
-found by concentration steps: from median and MAD, and from the covariance of spatial signs about the
-median, keep the share of rows with the smallest Mahalanobis distances, take their mean and covariance, and
-repeat; of the two ends the one with the smaller determinant counts. Every step is a pre-aggregated
-group-by, so a hot source costs no more than any other; only one row of estimates for each
-stratum is ever joined back.
+"""Quality rules with robust multivariate outliers; DataFrame functions only.
+
+Six transformed statistics of a text are held against minimum-covariance-determinant estimates of its
+language and source. Each stratum (language and source; language; the whole table) starts twice: at medians
+and MADs, and at spatial signs. Concentration steps then re-estimate from the nearest share of rows, and the start
+whose covariance has the smaller determinant counts. A stratum's estimate counts with its number of rows, that of
+its language with PRIOR rows and, within that, that of the table likewise, so a stratum of few rows leans on its
+language smoothly: no number of rows changes the rule. Every estimate is a group-by, so a hot source costs no more
+than any other; only rows of estimates are ever joined back.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 SYMBOLS = r"[#*$%&|<>]"
-#: The vector: name, and the least standard deviation that counts as spread (keeps near-constant statistics from rejecting everything).
+#: The vector: name, and the least standard deviation that counts as spread when a row is judged (keeps near-constant statistics from rejecting everything).
 VECTOR = (("x_words", 0.5), ("x_word_len", 0.1), ("x_line_len", 0.5), ("x_symbols", 0.05), ("x_repeats", 0.1), ("x_dup_lines", 0.25))
-#: Share of a stratum that the estimate is made from, concentration steps, and the least rows of a stratum.
-SHARE, STEPS, LEAST_ROWS = 0.75, 3, 200
-#: Fitted rows of a whole table below which nothing is judged: five for each statistic, the least a covariance is estimated from.
-FEWEST = 5 * len(VECTOR)
+#: Share of a stratum that the estimate is made from, and concentration steps of each start.
+SHARE, STEPS = 0.75, 3
+#: Of the least spread, what concentration steps add to keep a covariance regular; of the least spread, the spread that a table without rows would have.
+RIDGE, WIDE = 0.1, 3.0
+#: Rows that the estimate one level up counts for.
+PRIOR = 60
+#: Strata up to which their estimates (28 numbers each) are sent to every executor; beyond that they are joined.
+BROADCAST_STRATA = 50_000
 #: Squared Mahalanobis distance beyond which a row is rejected: chi-square, six degrees of freedom, upper tail 1e-5 (a conventional choice, not fitted to labels).
 CUTOFF = 33.1
-#: Median of that chi-square: distances are scaled so that the stratum's median meets it.
+#: Median of that chi-square: a covariance is scaled so that its stratum's median distance meets it.
 CHI2_MEDIAN = 5.348
 
 
@@ -83,21 +87,21 @@ def _vector(stats: DataFrame) -> DataFrame:
     return stats.withColumns(x)
 
 
-def _estimates(groups: DataFrame) -> DataFrame:
-    """m0.. and l00.. (Cholesky) for each stratum and start, from its moments c, s0.., p00..."""
-    out = groups.withColumns({f"m{i}": F.col(f"s{i}") / F.col("c") for i in range(len(VECTOR))})
-    cov = {(i, j): F.col(f"p{i}{j}") / F.col("c") - F.col(f"m{i}") * F.col(f"m{j}") + (VECTOR[i][1] ** 2 if i == j else 0) for i in range(len(VECTOR)) for j in range(i + 1)}
-    out = out.withColumns({f"v{i}{j}": x for (i, j), x in cov.items()})
-    for i in range(len(VECTOR)):
+def _p() -> range:
+    return range(len(VECTOR))
+
+
+def _cholesky(df: DataFrame) -> DataFrame:
+    """df with l00.., the lower triangle whose square is the covariance v00... (columns of df)."""
+    for i in _p():
         for j in range(i + 1):
             rest = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"v{i}{j}"))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("stratum", "start", *_names())
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    return df
 
 
-def _names() -> list[str]:
-    p = range(len(VECTOR))
-    return [f"m{i}" for i in p] + [f"l{i}{j}" for i in p for j in range(i + 1)]
+def _names(*kinds: str) -> list[str]:
+    return [f"m{i}" for i in _p()] * ("m" in kinds) + [f"{k}{i}{j}" for k in kinds if k != "m" for i in _p() for j in range(i + 1)]
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -105,85 +109,87 @@ def _distance(df: DataFrame) -> DataFrame:
     for i, (x, _) in enumerate(VECTOR):
         rest = reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(x) - F.col(f"m{i}"))
         df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), range(len(VECTOR)), F.lit(0.0))).drop(*[f"z{i}" for i in range(len(VECTOR))])
+    return df.withColumn("d2", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), _p(), F.lit(0.0))).drop(*[f"z{i}" for i in _p()])
 
 
 def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row for each stratum of rows (stratum, and the columns of VECTOR): m*, l*, scale.
+    """One row for each stratum of rows (stratum, and the columns of VECTOR): stratum, n, m*, v* (mean and covariance), det (its log).
 
-    scale times a squared distance follows chi-square where rows are normal. Medians and the
+    The covariance is that of the nearest share of rows, scaled so that the median distance is a chi-square's. Medians and the
     share's distance are approximate percentiles, exact up to 10,000 rows of a stratum.
     """
-    names = [x for x, _ in VECTOR]
-    p = range(len(names))
-    centre = rows.groupBy("stratum").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)])
-    around = rows.join(centre, "stratum")
-    mads = around.groupBy("stratum").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
-    start = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0) for i in p for j in range(i + 1)}
-    first = C.cut(mads.withColumns(start).select("stratum", F.lit(0).alias("start"), *_names()))
-    signs = rows.join(first, "stratum")
-    signs = signs.withColumns({f"u{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, x in enumerate(names)})
-    length = F.greatest(reduce(lambda a, i: a + F.col(f"u{i}") * F.col(f"u{i}"), p, F.lit(0.0)), F.lit(1e-12))
-    spread = lambda i, j: len(names) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length) * F.first(f"l{i}{i}") * F.first(f"l{j}{j}")
-    second = signs.groupBy("stratum").agg(F.lit(1).alias("start"), F.lit(1).alias("c"), *[F.first(f"m{i}").alias(f"s{i}") for i in p], *[(spread(i, j) + F.first(f"m{i}") * F.first(f"m{j}")).alias(f"p{i}{j}") for i in p for j in range(i + 1)])
-    now, key = C.cut(first.unionByName(_estimates(second))), ["stratum", "start"]
+    names, key = [x for x, _ in VECTOR], ["stratum", "start"]
+    ridge = [(RIDGE * s) ** 2 for _, s in VECTOR]
+    centre = C.cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]))
+    small = centre.count() <= BROADCAST_STRATA
+    held = lambda est: rows.join(F.broadcast(est) if small else est, "stratum")  # noqa: E731  of checked size
+    mads = held(centre).groupBy("stratum").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _p()], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
+    spread = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0) for i in _p() for j in range(i + 1)}
+    first = C.cut(mads.withColumns(spread).select("stratum", F.lit(0).alias("start"), *_names("m", "l")))
+    signs = held(first).withColumns({f"u{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, x in enumerate(names)})
+    length = F.greatest(reduce(lambda a, i: a + F.col(f"u{i}") * F.col(f"u{i}"), _p(), F.lit(0.0)), F.lit(1e-12))
+    shape = lambda i, j: len(names) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length) * F.first(f"l{i}{i}") * F.first(f"l{j}{j}") + (ridge[i] if i == j else 0)
+    second = signs.groupBy("stratum").agg(F.lit(1).alias("start"), *[F.first(f"m{i}").alias(f"m{i}") for i in _p()], *[shape(i, j).alias(f"v{i}{j}") for i in _p() for j in range(i + 1)])
+    now = C.cut(first.unionByName(_cholesky(second).select(*key, *_names("m", "l"))))
     for _ in range(steps):
-        near = _distance(rows.join(now, "stratum"))
-        reach = near.groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
-        inner = _distance(rows.join(now.join(reach, key), "stratum")).where(F.col("d2") <= F.col("reach"))
-        moments = inner.groupBy(key).agg(F.count("*").alias("c"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in p for j in range(i + 1)])
-        now = C.cut(_estimates(moments))
-    log_det = reduce(lambda a, i: a + F.log(F.col(f"l{i}{i}")), p, F.lit(0.0))
-    best = now.groupBy("stratum").agg(F.min(F.struct(log_det.alias("det"), "start"))["start"].alias("start"))
-    now = C.cut(now.join(best, key).drop("start"))
-    half = _distance(rows.join(now, "stratum")).groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("half"))
-    return now.join(half, "stratum").withColumn("scale", F.when(F.col("half") > 1e-6, CHI2_MEDIAN / F.col("half")).otherwise(1.0)).drop("half")
-
-
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
-    """One row for each row of docs: __id, __th, the statistics, base_failed, d2 (scaled), kept.
-
-    base_failed rows are not kept and shape no estimate. Strata are (language, source) with
-    least_rows others, else the language's remaining rows together, else all remaining rows;
-    a null language or source is a value of its own. Where even those are fewer, the row is held
-    against all of its language (if least_rows), else against the whole table. Only where that has
-    under FEWEST rows, d2 is null and the row is kept. Copies of a row all count.
+        reach = _distance(held(now)).groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
+        inner = _distance(held(now.join(reach, key))).where(F.col("d2") <= F.col("reach"))
+        core = inner.groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in _p() for j in range(i + 1)])
+        core = core.withColumns({f"v{i}{j}": F.col(f"c{i}{j}") + (ridge[i] if i == j else 0) for i in _p() for j in range(i + 1)})
+        now = C.cut(_cholesky(core).select(*key, *_names("m", "v", "l")))
+    log_det = 2 * reduce(lambda a, i: a + F.log(F.col(f"l{i}{i}")), _p(), F.lit(0.0))
+    best = now.withColumn("det", log_det).groupBy("stratum").agg(F.min_by(F.struct(*now.columns[1:], "det"), F.struct("det", "start")).alias("best"))
+    best = C.cut(best.select("stratum", "best.*").drop("start"))
+    half = _distance(held(best)).groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("half"))
+    scale = F.when(F.col("half") > 1e-6, F.col("half") / CHI2_MEDIAN).otherwise(1.0)
+    scaled = best.join(half, "stratum").withColumns({v: F.col(v) * scale for v in _names("v")})
+    return scaled.join(centre.select("stratum", "n"), "stratum").select("stratum", "n", *_names("m", "v"), "det")
+
+
+def _leaning(df: DataFrame, own: str, upper: str | None) -> DataFrame:
+    """df with struct own (n, m*, v*; null: no rows) moved towards struct upper as PRIOR rows; towards a wide spread about its own mean without one."""
+    n, parts = F.coalesce(F.col(f"{own}.n"), F.lit(0)), []
+    for name in _names("m", "v"):
+        i, j = int(name[1]), int(name[-1])
+        wide = F.col(f"{own}.{name}") if name[0] == "m" else F.lit((WIDE * VECTOR[i][1]) ** 2 if i == j else 0.0)
+        parts.append(((n * F.coalesce(F.col(f"{own}.{name}"), F.lit(0.0)) + PRIOR * (F.col(f"{upper}.{name}") if upper else wide)) / (n + PRIOR)).alias(name))
+    return df.withColumn(own, F.struct(n.alias("n"), *parts))
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """One row for each row of docs: __id, __th, the statistics, base_failed, d2, kept.
+
+    base_failed rows are not kept and shape no estimate. Every other row is held against the estimate of its language and
+    source, which leans on that of the language and of the table as far as it has few rows; a null language or source is a
+    value of its own. d2 is null where no row of the whole table shapes an estimate; then no row is kept, as all have
+    base_failed. Copies of a row all count. An empty table gives an empty result.
     """
     text = F.col(text_col)
     lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(C.SPACES)) != ""))
-    picked = docs.select(*C.row_key(F.col(id_col), text), text.alias("__text"), F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"), lines.alias("n_lines"))
+    picked = docs.select(*C.row_key(F.col(id_col), text), text.alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), lines.alias("n_lines"))
     stats = C.cut(_vector(statistics(picked, "__text").drop("__text")).withColumn("base_failed", base_failed()))
-    fit = stats.where(~F.col("base_failed"))
-    by_source = fit.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    by_lang = by_source.where(F.col("n") < least_rows).groupBy("__lang").agg(F.sum("n").alias("nl"))
-    rest = by_lang.where(F.col("nl") < least_rows).agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("na"))
-    all_of = F.to_json(F.struct(F.col("__lang").alias("all")))
-    name = (
-        F.when(F.col("n") >= least_rows, F.to_json(F.array("__lang", "__source")))
-        .when(F.col("nl") >= least_rows, F.to_json(F.array("__lang")))
-        .when(F.col("na") >= least_rows, F.lit("[]"))
-        .when(F.col("nall") >= least_rows, all_of)
-        .when(F.col("every") >= FEWEST, F.lit("{}"))
-    )
-    whole = by_source.groupBy("__lang").agg(F.sum("n").alias("nall"))
-    every = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
-    strata = C.cut(by_source.join(by_lang, "__lang", "left").join(whole, "__lang").join(F.broadcast(rest)).join(F.broadcast(every)).select("__lang", "__source", name.alias("stratum")))
-    named = C.cut(stats.join(strata, ["__lang", "__source"], "left"))
-    # a row shapes the estimate of its own stratum, and of its language and table where some rows are held against all of these
-    shapes = strata.select("__lang", "__source", F.explode(F.array_distinct(F.array("stratum", all_of, F.lit("{}")))).alias("stratum"))
-    shapes = shapes.join(strata.select("stratum").distinct(), "stratum", "left_semi")
-    est = mcd_estimates(named.where(~F.col("base_failed")).drop("stratum").join(shapes, ["__lang", "__source"]).select("stratum", *[x for x, _ in VECTOR]))
-    far = _distance(named.join(est, "stratum", "left"))
-    out = far.withColumn("d2", F.col("d2") * F.col("scale"))
+    levels = F.array(F.to_json(F.array("__lang", "__source")), F.to_json(F.array("__lang")), F.lit("[]"))
+    fit = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *[x for x, _ in VECTOR])
+    est = C.cut(mcd_estimates(fit))
+    small = est.count() <= BROADCAST_STRATA
+    strata = stats.select("__lang", "__source").distinct()
+    for k, name in enumerate(("own", "mid", "top")):
+        level = est.select(F.col("stratum").alias("__s"), F.struct("n", *_names("m", "v")).alias(name))
+        strata = strata.join(level, levels[k] == F.col("__s"), "left").drop("__s")
+    strata = _leaning(_leaning(_leaning(strata, "top", None), "mid", "top"), "own", "mid")
+    floors = {f"v{i}{i}": F.col(f"v{i}{i}") + VECTOR[i][1] ** 2 for i in _p()}
+    final = C.cut(_cholesky(strata.select("__lang", "__source", "own.*").withColumns(floors)).select("__lang", "__source", *_names("m", "l")))
+    far = _distance(stats.join(F.broadcast(final) if small else final, ["__lang", "__source"]))
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
-    return out.select("__id", "__th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
+    return far.select("__id", "__th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
 
 
 def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps."""
-    bad = judge(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select("__id", "__th").distinct()
-    keyed = docs.select("*", *C.row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(bad, C.on_key(keyed, bad), "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that judge() keeps; whatever their names are. Rows of the same id and text stay or go together."""
+    i, h, bi, bh = C.unused(docs, 4)
+    bad = judge(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("__id").alias(bi), F.col("__th").alias(bh)).distinct()
+    keyed = docs.select("*", *[c.alias(x) for c, x in zip(C.row_key(F.col(id_col), F.col(text_col)), (i, h), strict=True)])
+    return keyed.join(bad, F.col(i).eqNullSafe(F.col(bi)) & (F.col(h) == F.col(bh)), "left_anti").select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
