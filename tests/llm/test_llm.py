@@ -411,6 +411,13 @@ def test_language_model_by_brute_force(spark):
         assert langid.predict_text(model, text, {}) == ("und", 0.0)
 
 
+def test_joined_and_sent_lines_agree(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for keep in ("first", "none"):
+        a, b = ({(r["__id"], r["__th"], r["n_dropped"], str(r["keep_runs"])) for r in line_dedup.keep_bitmaps(docs, keep=keep, broadcast_lines=n).collect()} for n in (0, 10**6))
+        assert a == b and a
+
+
 def test_odd_and_empty_tables(spark, odd, empty):
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     ops = {

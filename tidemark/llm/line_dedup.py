@@ -1,9 +1,10 @@
 """Line de-duplication by range-partitioned hashes; DataFrame functions only.
 
-Line hashes are range-partitioned by (hash, document, position), so a line that a third of
-all documents share is spread over many tasks. Each sorted range streams to one row per
-(line, document), then to one partial count per line; only those meet by line. The result
-is a run-length compressed keep bitmap for each document, never the text.
+Line hashes are written once and range-partitioned by (hash, document, position), so a line that a third of
+all documents share is spread over many tasks. Each sorted range streams to its first occurrence for each
+(line, document), then to one partial count and first occurrence for each line; only those meet by line. The few lines
+that are common go to every executor if their number allows it, so no line ever gathers its documents. The
+result is a run-length compressed keep bitmap for each document, never the text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
+#: Common lines (two hashes and a place each) up to which they are sent to every executor; beyond that they are joined.
+BROADCAST_LINES = 500_000
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
@@ -27,7 +31,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return keyed.select(F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), "__key").alias("__h2"), "__id", "__th", "__pos", "__n")
 
 
-def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, keep: str = "first", min_chars: int = 1) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, keep: str = "first", min_chars: int = 1, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """One row for each distinct (id, text) that loses a line: __id, __th, n_dropped, keep_runs.
 
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of at least
@@ -39,12 +43,12 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     if keep not in ("first", "none"):
         raise ValueError(f"keep: first or none, not {keep!r}")
-    lines = _hashed(docs, id_col, text_col, min_chars)
+    lines = C.cut(_hashed(docs, id_col, text_col, min_chars))
     ranged = lines.repartitionByRange("__h1", "__h2", "__id", "__th").sortWithinPartitions("__h1", "__h2", "__id", "__th", "__pos")
     per_doc = ranged.groupBy("__h1", "__h2", "__id", "__th").agg(F.min("__pos").alias("__pos"))
     first = [F.min(F.struct("__id", "__th", "__pos")).alias("__first")] if keep == "first" else []
-    common = per_doc.groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), *first).where(F.col("__docs") >= min_docs).drop("__docs")
-    hits = lines.join(common, ["__h1", "__h2"])
+    common = C.cut(per_doc.groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), *first).where(F.col("__docs") >= min_docs).drop("__docs"))
+    hits = lines.join(F.broadcast(common) if common.count() <= broadcast_lines else common, ["__h1", "__h2"])  # of checked size
     if keep == "first":
         hits = hits.where(~F.struct("__id", "__th", "__pos").eqNullSafe(F.col("__first")))
     dropped = hits.groupBy("__id", "__th").agg(F.array_sort(F.collect_set("__pos")).alias("__dropped"), F.max("__n").alias("__n"))
@@ -70,8 +74,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = ("n_lines", "n_dropped", "keep_runs", "kept_text")
     names = [c for c in docs.columns if c not in own]
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, keep=keep, min_chars=min_chars)
-    left = docs.select(*names, *C.row_key(F.col(id_col), F.col(text_col)))
-    found = left.join(maps, C.on_key(left, maps), "left").select(*[left[c] for c in names], maps["n_dropped"], maps["keep_runs"])
+    i, h, bi, bh = C.unused(docs, 4)
+    left = docs.select(*names, *[c.alias(x) for c, x in zip(C.row_key(F.col(id_col), F.col(text_col)), (i, h), strict=True)])
+    maps = maps.withColumnsRenamed({"__id": bi, "__th": bh})
+    found = left.join(maps, F.col(i).eqNullSafe(F.col(bi)) & (F.col(h) == F.col(bh)), "left").drop(i, h, bi, bh)
     n_lines, untouched = F.size(_lines(F.col(text_col))), F.col("n_dropped").isNull()
     kept = C.let(_lines(F.col(text_col)), lambda ls: F.flatten(F.transform(F.col("keep_runs"), lambda r: F.slice(ls, r["start"] + 1, r["length"]))))
     whole = F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("length")))
