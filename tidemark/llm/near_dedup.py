@@ -5,9 +5,10 @@ occurrence) in the order in which they stand, so it follows edit similarity rath
 Texts that agree in a sketch share a bucket. First each member of a bucket is held against one member
 drawn at random, which connects most of what is similar. Similarity isn't transitive, so buckets that still hold
 several components are gone through once more: there all members meet, and a pair goes on only if signatures
-of one bit for each of 1,024 MinHash functions, carried in the rows, differ in few enough places for its similarity.
+of one bit for each of 2,048 MinHash functions, carried in the rows, differ in few enough places for its similarity.
 A match is always verified by alignment: the longest chain of common shingles in order, within the band that the
-similarity allows. Components are found twice, however many texts there are.
+similarity allows. Components are found twice, however many texts there are: of the first links, then of what the
+others connect among these.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, SIZE = 36, 8
 SHORT, SHORT_SKETCHES, SHORT_SIZE = 24, 24, 4
 #: Bits of a signature, and standard deviations by which a pair at the least similarity may differ more than expected (lost: one in a thousand).
-BITS, SLACK = 1024, 3.1
+BITS, SLACK = 2048, 3.1
 #: Rows of a bucket that meet in one task; larger buckets are dealt over several.
 BUCKET_ROWS = 4096
 #: Pairs up to which the texts they need are picked out by a broadcast list of nodes.
@@ -195,8 +196,8 @@ def most_bits(similarity: float) -> int:
     return int(BITS * p + SLACK * (BITS * p * (1 - p)) ** 0.5)
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between nodes: enough of them to connect every class, not all pairs."""
+def similar_roots(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of every node that has a similar one: the same root for what verified links connect."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("a")).where("n > 1")
@@ -205,9 +206,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id",
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["__id"].eqNullSafe(wanted["rep"])).select(texts["node"], "text")
     texts = C.cut(texts.dropDuplicates(["node"]))
-    links = _verify(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)
-    mixed = _unsettled(members, graph.components(links))
-    return links.unionAll(_verify(_close(mixed, texts, nodes, similarity), texts, similarity))
+    roots = C.cut(graph.components(_verify(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)))
+    more = _verify(_close(_unsettled(members, roots), texts, nodes, similarity), texts, similarity)
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+    among = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = graph.components(among).toDF("root", "top")
+    known = roots.unionAll(among.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
+    return known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     if similarity < SIMILARITY:
         raise ValueError(f"similarity: {SIMILARITY} or more, as the sketches and bands are made for")
     nodes = _nodes(docs, id_col, text_col)
-    roots = graph.components(similar_links(docs, nodes, id_col=id_col, text_col=text_col, similarity=similarity))
+    roots = C.cut(similar_roots(docs, nodes, id_col=id_col, text_col=text_col, similarity=similarity))
     rooted = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("best"))
     return C.cut(rooted.join(best, "root").select("node", "root", F.col("best.rep").alias("class_id"), F.col("best.node").alias("chosen")))
