@@ -1,6 +1,6 @@
 """Known answers and properties of the market operators."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -150,3 +150,85 @@ def test_table_hash_ignores_order(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     a, b = (one(dc.table_hash(x))["input_hash"] for x in (df, df.orderBy(F.desc("id"))))
     assert a == b != one(dc.table_hash(df.where("id > 0")))["input_hash"]
+
+
+def test_scalars_with_known_answers(spark):
+    texts = {"12%": 12.0, "(12": 12.0, "(1,234.5)": -1234.5, "1,000": 1000.0, "--": None, "": None, "(3%)": -3.0}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nz.accounting_number(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in got} == texts
+    heat = spark.createDataFrame([(2.0, None, 20.0), (2.0, -5e8, 20.0), (-1.0, 9e8, 22.0), (50.0, 0.0, 100.0), (None, 1e8, None)], "c double, a double, h double")
+    assert all(r["h"] == r["x"] for r in heat.select("h", nz.sector_heat(F.col("c"), F.col("a")).alias("x")).collect())
+    clock = {"09:29:59": False, "09:30:00": True, "11:30:00": True, "11:30:01": False, "12:59:59": False, "13:00:00": True, "15:00:00": True, "15:00:00.5": False}
+    times = spark.createDataFrame([(t, datetime.fromisoformat(f"2024-01-03 {t}")) for t in clock], "t string, ts timestamp")
+    assert {r["t"]: r["o"] for r in times.select("t", nz.in_session(F.col("ts")).alias("o")).collect()} == clock
+    status = one(spark.range(1).select(nz.trading_status(F.lit(0.0), F.lit(0.0)).alias("a"), nz.trading_status(F.lit(None).cast("double"), F.lit(1.0)).alias("b"), nz.trading_status(F.lit(1.0), F.lit(None).cast("double")).alias("c")))
+    assert tuple(status) == ("NORMAL", "UNKNOWN", "SUSPENDED")
+    tenors = {"五年": 5.0, "18个月": 1.5, "1个月": 1 / 12, "3年期": 3.0, "2年A款": 2.0, "十年": None}
+    assert {r["t"]: r["y"] for r in spark.createDataFrame([(t,) for t in tenors], "t string").select("t", nz.tenor_in(F.col("t")).alias("y")).collect()} == tenors
+
+
+def test_redaction_at_any_depth(spark):
+    import json
+
+    deep = {"token": 1}
+    for _ in range(40):
+        deep = {"secret": [deep]} if _ % 2 else [deep]
+    cases = [{"token": {"value": "x1"}, "cookie": ["a", "b"], "n": 1}, {"a": [{"EMAIL": "q\"}x", "b": {"myPhone": -1.5e3}}, "token"]}, {"apikey": True, "k": {"secret": {"deep": [[{"z": "]"}]]}}}, {"plain": "token: x"}, deep]
+
+    def withheld(v):
+        if isinstance(v, dict):
+            return {k: "[REDACTED]" if any(s in k.lower() for s in nz.SENSITIVE) else withheld(x) for k, x in v.items()}
+        return [withheld(x) for x in v] if isinstance(v, list) else v
+
+    out = [json.loads(r["o"]) for r in spark.createDataFrame([(json.dumps(c),) for c in cases], "t string").select(nz.redact(F.col("t")).alias("o")).collect()]
+    assert out[:-1] == [withheld(c) for c in cases[:-1]] and out[-1] == "[REDACTED]"
+    long = json.dumps({"token": ["x" * 50_000, *range(20_000)], "k": "y" * 50_000})
+    assert json.loads(one(spark.createDataFrame([(long,)], "t string").select(nz.redact(F.col("t")).alias("o")))["o"]) == {"token": "[REDACTED]", "k": "y" * 50_000}
+
+
+def test_quote_lines_with_known_answers(spark):
+    parts = [""] * 50
+    for i, v in {1: "name", 2: "600000", 3: "10.5", 31: "x", 36: "12", 37: "3", 38: "-1", 44: "2", 45: "1", 46: "0.9", 47: "11.55"}.items():
+        parts[i] = v
+    line = 'v_sh600000="' + "~".join(parts) + '";'
+    r = one(parsers.parse_quotes(spark.createDataFrame([(line,), ('v_sh600001="' + "~".join(parts[:49]) + '";',)], "value string")))
+    assert (r["price"], r["open"], r["change"], r["volume"], r["amount"], r["turnover_pct"], r["pe_ttm"], r["float_market_cap"], r["total_market_cap"], r["pb"], r["limit_up"], r["limit_down"]) == (10.5, 0.0, 0.0, 1200.0, 30000.0, None, None, 2e8, 1e8, 0.9, 11.55, None)
+    assert parsers.parse_quotes(spark.createDataFrame([('v_s_sh000001="1~i~000001~3000.5~1~0";',)], "value string"), index=True).count() == 0
+    assert one(parsers.parse_quotes(spark.createDataFrame([('v_sh000001="1~i~000001~3000.5~1~0";',)], "value string"), index=True))["price"] == 3000.5
+
+
+def test_upsert_stream_goes_on_after_a_restart(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "k long, n long, v string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
+        out = jobs.upsert_latest(stream, str(tmp_path / "t"), keys=["k"], newest=["n"], checkpoint=str(tmp_path / "c"), buckets=4)
+        return {r["k"]: r["v"] for r in out.collect()}
+
+    assert feed([(1, 1, "a"), (2, 1, "b")]) == {1: "a", 2: "b"}
+    assert feed([(3, 1, "c")]) == {1: "a", 2: "b", 3: "c"}
+    assert feed([(1, 0, "old"), (2, 5, "new")]) == {1: "a", 2: "new", 3: "c"}
+
+
+def test_rate_needs_two_real_banks(spark):
+    day = date(2020, 1, 2)
+    rows = [("ICBC", 5, 0.04, day, date(2020, 1, 1), date(2020, 3, 31), True), ("ABC", 3, 0.031, day, date(2020, 1, 1), date(2020, 3, 31), False), ("BOC", 3, 0.033, day, date(2020, 1, 1), date(2020, 3, 31), None)]
+    obs = spark.createDataFrame(rows, "bank string, tenor long, rate double, known date, start date, end date, synthetic boolean")
+    probe = spark.createDataFrame([(day,), (date(2020, 1, 1),), (date(2020, 3, 31),), (date(2020, 4, 1),)], "d date")
+    got = {r["d"]: (round(r["rate"], 9), r["tenor"], r["quality"], r["banks"]) for r in pit.rate_signal(probe, obs, synthetic="synthetic").collect()}
+    assert got == {d: (0.032, 3, "TENOR_FALLBACK", 2) for d in (day, date(2020, 3, 31))}
+    assert pit.rate_signal(probe, obs.where("bank <> 'BOC'"), synthetic="synthetic").isEmpty()
+
+
+def test_asof_with_a_signal_by_brute_force(spark):
+    import random
+
+    rng, start = random.Random(4), date(2019, 1, 1)
+    day = lambda: start + timedelta(days=rng.randrange(400))
+    facts = list({(k, e, n): (k, e, n, v) for v in range(300) for k, e, n in [(rng.randrange(4), day(), day())]}.values())
+    probes = [(rng.randrange(5), day(), day()) for _ in range(200)] + [(1, None, day()), (1, day(), None)]
+    want = sorted(((k, d, s, max(((e, n, v) for x, e, n, v in facts if d and s and x == k and e <= d and n <= s), default=(None,) * 3)[2]) for k, d, s in probes), key=repr)
+    p, f = spark.createDataFrame(probes, "k long, d date, s date"), spark.createDataFrame(facts, "k long, eff date, known date, v long")
+    assert sorted((tuple(r) for r in pit.bitemporal_asof(p.repartition(3), f.repartition(5), keys=["k"], signal="s", values=["v"]).collect()), key=repr) == want

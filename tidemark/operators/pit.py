@@ -14,18 +14,14 @@ def bitemporal_asof(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str],
     Of the facts of its keys with eff <= date and known <= signal, the one with the greatest (eff,
     known); nulls where there is none. A fact counts from greatest(eff, known) on, so where date and
     signal are one instant both tables merge into one ordered stream and a running maximum
-    answers every probe: one shuffle by key, linear after the sort. With a signal apart from the date, probes
-    and facts meet by range instead. Facts should be unique by keys, eff and known; facts with a null date are
+    answers every probe: one shuffle by key, linear after the sort. With a signal apart from the date, facts are cut
+    into blocks of days and probes meet the blocks' running maxima; see _asof_signal(). Facts should be unique by keys, eff and known; facts with a null date are
     never visible.
     """
     keys = list(keys)
     payload = F.struct(F.col(eff).alias("__e"), F.col(known).alias("__k"), *[F.col(v).alias(v) for v in values])
     if signal is not None and signal != date:
-        p = probe.withColumn("__row", F.monotonically_increasing_id())
-        f = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], payload.alias("__f"))
-        cond = [p[k] == f[f"__{k}"] for k in keys] + [F.col("__f.__e") <= F.col(date), F.col("__f.__k") <= F.col(signal)]
-        best = p.select("__row", *keys, date, signal).join(f, cond).groupBy("__row").agg(F.max("__f").alias("__best"))
-        return p.join(best, "__row", "left").select(*probe.columns, *[F.col(f"__best.{v}").alias(v) for v in values])
+        return _asof_signal(probe, facts.where(F.col(eff).isNotNull() & F.col(known).isNotNull()).select(*keys, F.col(eff).alias("__eff"), F.col(known).alias("__known"), payload.alias("__f")), keys, date, signal, values)
     seen = facts.where(F.col(eff).isNotNull() & F.col(known).isNotNull()).select(*keys, F.greatest(eff, known).alias("__at"), F.lit(0).alias("__side"), payload.alias("__f"))
     asks = probe.select(*keys, F.col(date).alias("__at"), F.lit(1).alias("__side"), F.struct(*probe.columns).alias("__p"))
     both = seen.unionByName(asks, allowMissingColumns=True)
@@ -34,8 +30,27 @@ def bitemporal_asof(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str],
     return best.select("__p.*", *[F.col(f"__best.{v}").alias(v) for v in values])
 
 
+def _asof_signal(probe: DataFrame, facts: DataFrame, keys: list[str], date: str, signal: str, values: Sequence[str]) -> DataFrame:
+    """J1 with a signal of its own: of each key the greatest __f with __eff <= date and __known <= signal.
+
+    Dates up to a probe's are LEVELS binary blocks of days, one for each bit of the day. A fact is in one block of each level; in
+    a block, facts and probes merge into one stream by known and signal, where a running maximum answers. So facts and probes are
+    repeated LEVELS times at most and never paired, and distinct probes of a key are asked once.
+    """
+    asks = probe.select(*keys, F.col(date).alias("__d"), F.col(signal).alias("__s")).where(F.col(date).isNotNull() & F.col(signal).isNotNull()).distinct()
+    last = _day("__d") + 1  # days before it: one block of each set bit
+    taken = F.array_compact(F.array(*[F.when(F.shiftright(last, k) % 2 == 1, F.struct(F.lit(k).alias("level"), (F.shiftright(last, k) - 1).alias("number"))) for k in range(LEVELS)]))
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(_day("__eff"), k).alias("number")) for k in range(LEVELS)])
+    asked = asks.select(*keys, F.explode(taken).alias("__b"), F.col("__s").cast("timestamp").alias("__at"), F.lit(1).alias("__side"), F.struct("__d", "__s").alias("__p"))
+    seen = facts.select(*keys, F.explode(own).alias("__b"), F.col("__known").cast("timestamp").alias("__at"), F.lit(0).alias("__side"), "__f")
+    order = Window.partitionBy(*keys, "__b").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = seen.unionByName(asked, allowMissingColumns=True).withColumn("__best", F.max("__f").over(order)).where("__side = 1 AND __best IS NOT NULL")
+    best = found.groupBy(*keys, F.col("__p.__d").alias(date), F.col("__p.__s").alias(signal)).agg(F.max("__best").alias("__best"))
+    return probe.join(best, list(dict.fromkeys([*keys, date, signal])), "left").select(*probe.columns, *[F.col(f"__best.{v}").alias(v) for v in values])
+
+
 def bitemporal_asof_by_range(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, signal: str, eff: str, known: str, values: Sequence[str]) -> DataFrame:
-    """J1 by range join and max_by, as bitemporal_asof() answers with a signal of its own."""
+    """J1 as bitemporal_asof() answers with a signal of its own, also where that is the date."""
     signal_col = "__signal" if signal == date else signal
     p = probe.withColumn("__signal", F.col(signal)) if signal == date else probe
     out = bitemporal_asof(p, facts, keys=keys, date=date, signal=signal_col, eff=eff, known=known, values=values)
@@ -112,20 +127,52 @@ def month_firsts(sessions: DataFrame, *, date: str = "d", keys: Sequence[str] =
     return sessions.groupBy(*keys, F.trunc(date, "month").alias("month")).agg(F.min(date).alias(date))
 
 
-def rate_signal(probe: DataFrame, observations: DataFrame, *, date: str = "d", bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", known: str = "known", preferred: Column | None = None, least_banks: int = 2) -> DataFrame:
+#: Levels of the binary blocks of days that an interval is cut into: 2^22 days are more than all dates have.
+LEVELS = 23
+
+
+def _day(date: str) -> Column:
+    return F.datediff(F.col(date), F.lit("0001-01-01"))
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """The binary blocks (level, number) that the days from first to last consist of; 2 a level at most, none twice."""
+    out = []
+    for k in range(LEVELS):
+        a, b = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(last + 1, k)
+        out.append(F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("number"))))
+        out.append(F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("number"))))
+    return F.array_compact(F.array(*out))
+
+
+def latest_valid(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, start: str, end: str, known: str, value: Column, order: Column) -> DataFrame:
+    """For each date and key the value of the greatest order among facts with start <= date <= end and known <= date: (date, keys, value).
+
+    A fact's days are cut into binary blocks, and each block of a key keeps its best fact, before any date is met: a date then
+    looks its LEVELS blocks up. Nothing is paired with every day it is valid, and a key with very many facts comes down to one row a block.
+    """
+    keys = list(keys)
+    days = _blocks(F.greatest(_day(start), _day(known)), _day(end))
+    cut = facts.where(F.col(start).isNotNull() & F.col(known).isNotNull() & F.col(end).isNotNull()).select(*keys, order.alias("__o"), value.alias("__v"), F.explode(days).alias("__b"))
+    best = cut.groupBy(*keys, "__b.level", "__b.number").agg(F.max(F.struct("__o", "__v")).alias("__f"))
+    asked = probe.select(date).where(F.col(date).isNotNull()).distinct()
+    asked = asked.select(date, F.posexplode(F.array(*[F.shiftright(_day(date), k) for k in range(LEVELS)])).alias("level", "number"))
+    found = asked.join(best, ["level", "number"]).groupBy(date, *keys).agg(F.max("__f").alias("__f"))
+    return found.select(date, *keys, F.col("__f.__v").alias("value"))
+
+
+def rate_signal(probe: DataFrame, observations: DataFrame, *, date: str = "d", bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", known: str = "known", synthetic: str | None = None, preferred: Column | None = None, least_banks: int = 2) -> DataFrame:
     """For each date the median over banks of their latest valid rate: preferred tenor (default: 3 to 2017, then 5), else 3.
 
     (date, rate, tenor, quality, banks); quality is OBSERVED or TENOR_FALLBACK. A tenor needs
     least_banks banks; dates without one give no row. Among a bank's valid observations the latest start
-    counts, then the lowest rate. Dates meet observations by month, not as a product.
+    counts, then the lowest rate. Rows whose column synthetic is true don't count. A date meets one row for each bank, tenor and block of days.
     """
     wanted = F.when(F.col(date) <= F.lit("2017-12-31").cast("date"), 3).otherwise(5) if preferred is None else preferred
-    p = probe.select(date).distinct().withColumn("__m", F.trunc(date, "month"))
-    o = observations.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("rate"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(known).alias("__k"))
-    months = o.withColumn("__m", F.explode(F.sequence(F.trunc("__s", "month"), F.trunc("__e", "month"), F.expr("interval 1 month"))))
-    live = p.join(months, "__m").where((F.col("__s") <= F.col(date)) & (F.col(date) <= F.col("__e")) & (F.col("__k") <= F.col(date)))
-    by_bank = live.groupBy(date, "tenor", "bank").agg(F.max_by("rate", F.struct(F.col("__s"), -F.col("rate"))).alias("rate"))
-    by_tenor = by_bank.groupBy(date, "tenor").agg(F.percentile("rate", F.lit(0.5)).alias("rate"), F.count("*").alias("banks")).where(F.col("banks") >= least_banks)
+    real = observations if synthetic is None else observations.where(~F.coalesce(F.col(synthetic), F.lit(False)))
+    named = real.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("__rate"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(known).alias("__k"))
+    by_bank = latest_valid(probe, named, keys=["bank", "tenor"], date=date, start="__s", end="__e", known="__k", value=F.col("__rate"), order=F.struct(F.col("__s").alias("s"), (-F.col("__rate")).alias("r")))
+    by_tenor = by_bank.groupBy(date, "tenor").agg(F.percentile("value", F.lit(0.5)).alias("rate"), F.count("*").alias("banks")).where(F.col("banks") >= least_banks)
     ranked = by_tenor.where((F.col("tenor") == wanted) | (F.col("tenor") == 3)).groupBy(date).agg(F.max(F.struct((F.col("tenor") == wanted).alias("own"), "tenor", "rate", "banks")).alias("b"))
     return ranked.select(date, "b.rate", "b.tenor", F.when(F.col("b.own"), "OBSERVED").otherwise("TENOR_FALLBACK").alias("quality"), "b.banks")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import pit, timeseries
@@ -58,14 +58,21 @@ def decide(held: Column, *, known_late: Column, quality_pass: Column, d_ttm: Col
     }
 
 
+#: Fixed values: status codes of the pre-screen.
+PRESCREEN = {
+    "price": "BLOCKED_PRICE", "rate": "BLOCKED_CD_RATE", "dividend": "DEFINITELY_INELIGIBLE_NO_TTM_DIVIDEND", "bound": "DEFINITELY_INELIGIBLE_UPPER_BOUND",
+    "open": "POTENTIAL_ENTRY_REQUIRES_D_MED3_AND_QUALITY_GATE",
+}
+
+
 def prescreen(close: Column, d_ttm: Column, rate: Column, spread: float = SPREAD) -> Column:
     """A safe upper bound: what can't reach the hurdle by its trailing dividend alone, and why the rest is blocked."""
     return (
-        F.when(close.isNull() | (close <= 0), "BLOCKED_PRICE")
-        .when(rate.isNull(), "BLOCKED_RATE")
-        .when(d_ttm <= 0, "INELIGIBLE_NO_DIVIDEND")
-        .when(d_ttm / F.when(close > 0, close) < rate + spread, "INELIGIBLE_UPPER_BOUND")
-        .otherwise("POTENTIAL_ENTRY")
+        F.when(close.isNull() | (close <= 0), PRESCREEN["price"])
+        .when(rate.isNull(), PRESCREEN["rate"])
+        .when(d_ttm <= 0, PRESCREEN["dividend"])
+        .when(d_ttm / F.when(close > 0, close) < rate + spread, PRESCREEN["bound"])
+        .otherwise(PRESCREEN["open"])
     )
 
 
@@ -98,9 +105,15 @@ def readiness(blockers: DataFrame, coverage: DataFrame, *, dataset: str = "datas
 
 
 def statutory_rates(days: DataFrame, schedule: DataFrame, *, date: str = "d", component: str = "component", start: str = "start", rate: str = "rate") -> DataFrame:
-    """The rate of each component of a schedule in force on each date: the latest start."""
-    live = days.select(date).distinct().join(schedule, F.col(start) <= F.col(date))  # a schedule has a few rows
-    return live.groupBy(date, component).agg(F.max_by(rate, start).alias(rate))
+    """The rate of each component of a schedule in force on each date: the latest start (of equal starts the highest rate).
+
+    Starts of a component follow each other, so each is in force until the day before the next; dates meet them as binary blocks of days.
+    """
+    one = schedule.groupBy(F.col(component).alias("__c"), F.col(start).alias("__s")).agg(F.max(rate).alias("__r"))
+    until = F.lead(F.date_sub("__s", 1)).over(Window.partitionBy("__c").orderBy("__s"))
+    spans = one.withColumn("__e", F.coalesce(until, F.lit("9999-12-31").cast("date")))
+    found = pit.latest_valid(days, spans, keys=["__c"], date=date, start="__s", end="__e", known="__s", value=F.col("__r"), order=F.col("__s"))
+    return found.select(date, F.col("__c").alias(component), F.col("value").alias(rate))
 
 
 def factor_rows(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), date: str = "d", benchmark: DataFrame | None = None) -> DataFrame:
@@ -110,8 +123,6 @@ def factor_rows(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), date: str
     out = timeseries.momentum(out, n=60, alias="momentum60", **k)
     out = timeseries.volatility(out, **k)
     out = timeseries.average_amount(out, **k)
-    from pyspark.sql import Window
-
     out = out.withColumn("history_days", F.count("*").over(Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
     return out if benchmark is None else timeseries.relative_strength(out, benchmark, date=date, value="momentum20", alias="relative20")
 

@@ -50,7 +50,7 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p4_accounting_number",
-    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -round(abs(c_acctbal), 2) WHEN 1 THEN c_acctbal WHEN 2 THEN CAST(c_custkey % 100 AS DOUBLE) / 100 END AS value FROM customer""",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -round(abs(c_acctbal), 2) WHEN 1 THEN c_acctbal WHEN 2 THEN CAST(c_custkey % 100 AS DOUBLE) END AS value FROM customer""",
 )
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -68,7 +68,7 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p6_chinese_text",
     """SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') WHEN year(o_orderdate + INTERVAL 30 DAY) >= 2000 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END AS "end",
  CAST(o_orderkey % 500 AS DOUBLE) / 100 / 100 AS rate, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 90 AS DOUBLE) * 10000 ELSE CAST(o_orderkey % 9000 AS DOUBLE) END AS amount, CASE o_orderkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 0.5 WHEN 2 THEN 5.0 END AS tenor
- FROM orders WHERE o_orderkey % 3 = 0""".replace(", CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start", ", CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN year(o_orderdate + INTERVAL 30 DAY) >= 2000 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END AS start").replace("CAST(o_orderkey % 500 AS DOUBLE) / 100 / 100 AS rate", rnd("CAST(o_orderkey % 500 AS DOUBLE) / 100 / 100", 8) + " AS rate").replace("THEN 3.0 WHEN 1 THEN 0.5 WHEN 2 THEN 5.0 END", "THEN CAST(3 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(5 AS DOUBLE) END"),
+ FROM orders""".replace(", CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start", ", CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN year(o_orderdate + INTERVAL 30 DAY) >= 2000 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END AS start").replace("CAST(o_orderkey % 500 AS DOUBLE) / 100 / 100 AS rate", rnd("CAST(o_orderkey % 500 AS DOUBLE) / 100 / 100", 8) + " AS rate").replace("THEN 3.0 WHEN 1 THEN 0.5 WHEN 2 THEN 5.0 END", "THEN CAST(3 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(5 AS DOUBLE) END"),
 )
 def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, later = F.col("o_orderkey"), F.col("o_orderdate") + F.expr("interval 30 days")
@@ -77,7 +77,7 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(k % 2 == 0, F.concat((k % 90).cast("string"), F.lit(" 万元起"))).otherwise(F.concat(F.format_number(k % 9000, 0), F.lit("元")))
     tenor = F.element_at(F.array(F.lit("三年"), F.lit(" 6 个月"), F.lit("5年A款"), F.lit("活期")), (k % 4 + 1).cast("int"))
     span = nz.date_range_in(text)
-    out = X.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", span["start"].alias("start"), span["end"].alias("end"), nz.rate_in(rate).alias("rate"), nz.amount_in(amount).alias("amount"), nz.tenor_in(tenor).alias("tenor"))
+    out = X.table(spark, sf_dir, "orders").select("o_orderkey", span["start"].alias("start"), span["end"].alias("end"), nz.rate_in(rate).alias("rate"), nz.amount_in(amount).alias("amount"), nz.tenor_in(tenor).alias("tenor"))
     return text_dates(out)
 
 
@@ -185,9 +185,14 @@ def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", nz.freshness(F.col("ts"), F.col("now")).alias("freshness"))
 
 
-@query("p16_sector_heat", f"""SELECT o_orderkey, {rnd("least(CAST(100 AS DOUBLE), abs((o_orderkey % 37 - 18) / 7.0::DOUBLE) * 10 + log10(o_totalprice * 5000 / 1e8::DOUBLE + 1) * 12)", 1)} AS heat FROM orders""")
+@query(
+    "p16_sector_heat",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN {rnd("least(CAST(100 AS DOUBLE), abs((o_orderkey % 37 - 18) / 7.0::DOUBLE) * 10 + log10(CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 8 = 0 THEN 0 ELSE o_totalprice * 5000 / 1e8::DOUBLE END + 1) * 12)", 1)} END AS heat FROM orders""",
+)
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "orders").select("o_orderkey", nz.sector_heat((F.col("o_orderkey") % 37 - 18) / F.lit(7.0), F.col("o_totalprice") * 5000).alias("heat"))
+    k, amount = F.col("o_orderkey"), F.col("o_totalprice") * 5000
+    change = F.when(k % 10 != 0, (k % 37 - 18) / F.lit(7.0))
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", nz.sector_heat(change, F.when(k % 9 == 0, None).when(k % 8 == 0, -amount).otherwise(amount)).alias("heat"))
 
 
 @query("p17_without_excluded", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
@@ -203,9 +208,14 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "orders").select("o_orderkey", nz.is_full_report(title).alias("full_report"), nz.title_year(title).alias("year"))
 
 
-@query("p19_in_session", "SELECT event_id, dayofweek(ts) NOT IN (0, 6) AND (hour(ts) * 60 + minute(ts) BETWEEN 570 AND 689 OR hour(ts) * 60 + minute(ts) BETWEEN 780 AND 899) AS open FROM events")
+_SESSION = "dayofweek(t) NOT IN (0, 6) AND ((hour(t) * 3600 + minute(t) * 60) * 1000000 + microsecond(t) BETWEEN 34200000000 AND 41400000000 OR (hour(t) * 3600 + minute(t) * 60) * 1000000 + microsecond(t) BETWEEN 46800000000 AND 54000000000)"
+
+
+@query("p19_in_session", f"SELECT event_id, {_SESSION} AS open FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE date_trunc('hour', ts) + to_minutes(CAST(event_id % 2 * 30 AS INT)) END AS t FROM events)")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "events").select("event_id", nz.in_session(F.col("ts")).alias("open"))
+    edge = F.date_trunc("hour", "ts") + F.expr("interval 30 minutes")  # half hours: the ends of sessions among them
+    e = X.table(spark, sf_dir, "events").withColumn("t", F.when(F.col("event_id") % 2 == 0, F.col("ts").cast("timestamp")).otherwise(edge))
+    return e.select("event_id", nz.in_session(F.col("t")).alias("open"))
 
 
 @query(
@@ -218,9 +228,9 @@ def p19_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dates(nz.trading_days(days, off, first="1995-06-01", last="1998-06-01")[0])
 
 
-@query("p20_redact", """SELECT event_id, '{"user":' || user_id || ',"inner":{"api_key":"[REDACTED]","Token":"[REDACTED]"},"kind":"' || event_type || '"}' AS json FROM events""")
+@query("p20_redact", """SELECT event_id, '{"user":' || user_id || ',"inner":{"api_key":"[REDACTED]","Token":"[REDACTED]","tokens":"[REDACTED]"},"kind":"' || event_type || '","Phone_no":"[REDACTED]","rest":[{"email":"[REDACTED]"},' || event_id || ']}' AS json FROM events""")
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.format_string('{"user":%d,"inner":{"api_key":"k%d","Token":%d},"kind":"%s"}', "user_id", "event_id", "event_id", "event_type")
+    raw = F.format_string('{"user":%d,"inner":{"api_key":"k%d","Token":%d,"tokens":{"a":["x","]}"],"b":{"c":null}}},"kind":"%s","Phone_no":[1,[2,"\\""]],"rest":[{"email":false},%d]}', "user_id", "event_id", "event_id", "event_type", "event_id")
     return X.table(spark, sf_dir, "events").select("event_id", nz.redact(raw).alias("json"))
 
 
@@ -266,8 +276,8 @@ def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p23_month_windows",
     X.with_views("rates") + """ SELECT product, CAST(greatest(start, CAST(m AS DATE)) AS VARCHAR) AS window_start, CAST(least("end", last_day(CAST(m AS DATE))) AS VARCHAR) AS window_end
- FROM (SELECT DISTINCT product, start, "end", unnest(generate_series(date_trunc('month', start)::DATE, date_trunc('month', "end")::DATE, INTERVAL 1 MONTH)) AS m FROM (SELECT DISTINCT product, start, "end" FROM rates WHERE bank = 3))""",
+ FROM (SELECT DISTINCT product, start, "end", unnest(generate_series(date_trunc('month', start)::DATE, date_trunc('month', "end")::DATE, INTERVAL 1 MONTH)) AS m FROM (SELECT DISTINCT product, start, "end" FROM rates))""",
 )
 def p23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = X.rates(spark, sf_dir).where("bank = 3").select("product", "start", "end").distinct()
+    spans = X.rates(spark, sf_dir).select("product", "start", "end").distinct()
     return text_dates(nz.month_windows(spans, start="start", end="end").drop("start", "end"))

@@ -136,9 +136,13 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("d")).distinct()
 
 
-@query("a19_rate_signal", X.with_views("rates") + f", {_CAL}, " + RATE_SIGNAL_SQL + " SELECT CAST(d AS VARCHAR) AS d, round(rate, 8) AS rate, tenor, quality, banks FROM rate_signal")
+@query(
+    "a19_rate_signal",
+    X.with_views("rates") + f""", real AS (SELECT * FROM rates WHERE NOT (bank % 5 = 0 AND day(start) < 4)), {_CAL}, """ + RATE_SIGNAL_SQL.replace("JOIN rates r", "JOIN real r") + " SELECT CAST(d AS VARCHAR) AS d, round(rate, 8) AS rate, tenor, quality, banks FROM rate_signal",
+)
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pit.rate_signal(calendar(spark, sf_dir), X.rates(spark, sf_dir))
+    observed = X.rates(spark, sf_dir).withColumn("synthetic", (F.col("bank") % 5 == 0) & (F.day("start") < 4))
+    out = pit.rate_signal(calendar(spark, sf_dir), observed, synthetic="synthetic")
     return text_dates(out.withColumn("rate", F.round("rate", 8)))
 
 
@@ -163,13 +167,13 @@ def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a22_monthly_series",
     X.with_views("rates") + """, months AS (SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS month FROM lineitem),
- best AS (SELECT date_trunc('month', start)::DATE AS month, bank, tenor, rate, product FROM rates WHERE bank < 4
+ best AS (SELECT date_trunc('month', start)::DATE AS month, bank, tenor, rate, product FROM rates
    QUALIFY row_number() OVER (PARTITION BY date_trunc('month', start) ORDER BY tenor DESC, bank, minimum IS NULL, minimum, rate, product) = 1)
  SELECT CAST(m.month AS VARCHAR) AS month, bank, tenor, rate, product, CASE WHEN b.month IS NULL THEN 'GAP' ELSE 'OBSERVED' END AS status FROM months m FULL JOIN best b ON m.month = b.month
  WHERE m.month IS NOT NULL UNION ALL SELECT CAST(month AS VARCHAR), bank, tenor, rate, product, 'OBSERVED' FROM best WHERE month NOT IN (SELECT month FROM months)""",
 )
 def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.rates(spark, sf_dir).where("bank < 4").withColumn("month", F.trunc("start", "month"))
+    rows = X.rates(spark, sf_dir).withColumn("month", F.trunc("start", "month"))
     months = X.table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("month"))
     order = [-F.col("tenor"), "bank", F.col("minimum").isNull(), "minimum", "rate", "product"]
     return text_dates(pit.monthly_series(rows, months, order=order, values=["bank", "tenor", "rate", "product"]))

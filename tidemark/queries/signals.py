@@ -82,7 +82,7 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "g4_prescreen",
     _SIGNAL + """ SELECT symbol, status, count(*) AS days, CAST(min(d) AS VARCHAR) AS first, CAST(max(d) AS VARCHAR) AS last FROM (SELECT symbol, d,
- CASE WHEN close IS NULL OR close <= 0 THEN 'BLOCKED_PRICE' WHEN rate IS NULL THEN 'BLOCKED_RATE' WHEN d_ttm <= 0 THEN 'INELIGIBLE_NO_DIVIDEND' WHEN d_ttm / close < rate + CAST(0.03 AS DOUBLE) THEN 'INELIGIBLE_UPPER_BOUND' ELSE 'POTENTIAL_ENTRY' END AS status FROM frame)
+ CASE WHEN close IS NULL OR close <= 0 THEN 'BLOCKED_PRICE' WHEN rate IS NULL THEN 'BLOCKED_CD_RATE' WHEN d_ttm <= 0 THEN 'DEFINITELY_INELIGIBLE_NO_TTM_DIVIDEND' WHEN d_ttm / close < rate + CAST(0.03 AS DOUBLE) THEN 'DEFINITELY_INELIGIBLE_UPPER_BOUND' ELSE 'POTENTIAL_ENTRY_REQUIRES_D_MED3_AND_QUALITY_GATE' END AS status FROM frame)
  GROUP BY 1, 2""",
 )
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +135,12 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g8_statutory_rates",
-    """WITH s AS (SELECT o_orderpriority AS component, CAST(o_orderdate AS DATE) AS start, max(o_custkey % 100 / 10000) AS rate FROM orders WHERE o_orderkey % 1000 = 0 GROUP BY 1, 2),
+    """WITH s AS (SELECT o_orderpriority AS component, CAST(o_orderdate AS DATE) AS start, max(o_custkey % 100 / 10000) AS rate FROM orders GROUP BY 1, 2),
  d AS (SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS d FROM lineitem)
  SELECT CAST(d AS VARCHAR) AS d, component, max(struct_pack(s := start, r := rate)).r AS rate FROM d JOIN s ON start <= d GROUP BY d, component""",
 )
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = X.table(spark, sf_dir, "orders").where("o_orderkey % 1000 = 0")
+    o = X.table(spark, sf_dir, "orders")
     schedule = o.groupBy(F.col("o_orderpriority").alias("component"), F.to_date("o_orderdate").alias("start")).agg(F.max(F.col("o_custkey") % 100 / 10000).alias("rate"))
     days = X.table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("d"))
     return text_dates(sg.statutory_rates(days, schedule))

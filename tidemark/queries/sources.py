@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as X
-from tidemark.queries.base import Registry, text_dates
+from tidemark.queries.base import Registry, scratch, text_dates
 from tidemark.sources import files, parsers
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the warehouse's or checkpoint's shared place."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars(spark, sf_dir)
     dec = {c: F.col(c).cast("decimal(18,4)").alias(c) for c in ("open", "high", "low", "close")}
@@ -59,36 +50,59 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_jsonl(spark, path, "p_partkey bigint, p_brand string, p_type string")
 
 
+#: Columns of a matrix file: a symbol's place in its block of symbols.
+BLOCK = 50
+
+
 def _matrices(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    b = X.bars(spark, sf_dir).where("symbol < 6")
-    return {f: b.groupBy("d").pivot("symbol", list(range(6))).agg(F.max(v)) for f, v in {"close": F.when(F.col("volume") % 5 != 0, F.col("close")), "open": F.col("open")}.items()}
+    """Matrices of all symbols, a row for each date and block of BLOCK symbols."""
+    b = X.bars(spark, sf_dir).withColumns({"place": F.concat(F.lit("c"), F.col("symbol") % BLOCK), "block": F.floor(F.col("symbol") / BLOCK)})
+    return {f: b.groupBy("d", "block").pivot("place", [f"c{i}" for i in range(BLOCK)]).agg(F.max(v)) for f, v in {"close": F.when(F.col("volume") % 5 != 0, F.col("close")), "open": F.col("open")}.items()}
 
 
-@query("s7_matrices_to_rows", X.with_views("bars") + " SELECT CAST(d AS VARCHAR) AS d, CAST(symbol AS VARCHAR) AS symbol, close, open FROM bars WHERE symbol < 6 AND volume % 5 <> 0")
+@query("s7_matrices_to_rows", X.with_views("bars") + " SELECT CAST(d AS VARCHAR) AS d, CAST(symbol AS VARCHAR) AS symbol, close, open FROM bars WHERE volume % 5 <> 0")
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_dates(files.matrices_to_rows(_matrices(spark, sf_dir)))
+    rows = files.matrices_to_rows(_matrices(spark, sf_dir), others=["block"])
+    return text_dates(rows.withColumn("symbol", (F.col("block") * BLOCK + F.substring("symbol", 2, 9).cast("int")).cast("string")).drop("block"))
 
 
 def quote_lines(df: DataFrame) -> DataFrame:
     """Quote lines out of orders."""
     blank = F.lit("")
-    parts = [blank] * 38
+    parts = [blank] * 50
     k = F.col("o_orderkey")
-    filled = {0: F.lit("1"), 1: F.concat(F.lit("N"), F.col("o_custkey")), 2: F.lpad(k.cast("string"), 6, "0"), 3: F.col("o_totalprice").cast("decimal(18,2)").cast("string"), 4: (F.col("o_totalprice") + 1).cast("decimal(18,2)").cast("string"), 6: (k % 1000).cast("string"), 30: F.date_format("o_orderdate", "yyyyMMddHHmmss"), 32: F.when(k % 7 == 0, "--").otherwise((k % 20 - 10).cast("string")), 37: (k % 5000).cast("string")}
+    money = lambda c: c.cast("decimal(18,2)").cast("string")
+    filled = {
+        0: F.lit("1"), 1: F.when(k % 13 != 0, F.concat(F.lit("N"), F.col("o_custkey"))).otherwise(""), 2: F.lpad(k.cast("string"), 6, "0"), 3: money(F.col("o_totalprice")), 4: money(F.col("o_totalprice") + 1),
+        6: F.lit("777"), 30: F.date_format("o_orderdate", "yyyyMMddHHmmss"), 32: F.when(k % 7 == 0, "--").otherwise((k % 20 - 10).cast("string")), 36: (k % 1000).cast("string"), 37: (k % 5000).cast("string"),
+        38: (k % 9 / 4).cast("decimal(6,2)").cast("string"), 39: (k % 50 - 10).cast("string"), 44: (k % 300).cast("string"), 45: (k % 400).cast("string"), 46: F.when(k % 5 == 0, "-").otherwise((k % 8).cast("string")), 47: money(F.col("o_totalprice") + 2), 48: F.lit("0.00"),
+    }
     for i, c in filled.items():
         parts[i] = c
-    good = F.concat(F.lit("v_sh"), F.lpad(k.cast("string"), 6, "0"), F.lit('="'), F.concat_ws("~", *parts), F.lit('";'))
+    short = F.when(k % 17 == 0, F.concat_ws("~", *parts[:40])).otherwise(F.concat_ws("~", *parts))
+    good = F.concat(F.lit("v_sh"), F.lpad(k.cast("string"), 6, "0"), F.lit('="'), short, F.lit('";'))
     return df.select(k, F.when(k % 11 == 0, "pv_none_match=1;").otherwise(good).alias("value"))
 
 
 @query(
     "s8_parse_quotes",
-    """SELECT o_orderkey, 'N' || o_custkey AS name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS quoted_at, o_totalprice AS price, CAST(o_orderkey % 1000 AS DOUBLE) * 100 AS volume, CAST(o_orderkey % 5000 AS DOUBLE) * 10000 AS amount,
- CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 - 10 AS DOUBLE) END AS change_pct FROM orders WHERE o_orderkey % 11 <> 0""",
+    """SELECT o_orderkey, 'N' || o_custkey AS name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS quoted_at, o_totalprice AS price, CAST(0 AS DOUBLE) AS high, CAST(o_orderkey % 1000 AS DOUBLE) * 100 AS volume, CASE WHEN o_orderkey % 5000 > 0 THEN CAST(o_orderkey % 5000 AS DOUBLE) * 10000 END AS amount,
+ CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 - 10 AS DOUBLE) ELSE 0 END AS change_pct, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey % 9 AS DOUBLE) / 4 END AS turnover_pct, CASE WHEN o_orderkey % 50 > 10 THEN CAST(o_orderkey % 50 - 10 AS DOUBLE) END AS pe_ttm,
+ CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 > 0 THEN CAST(o_orderkey % 8 AS DOUBLE) END AS pb, CASE WHEN o_orderkey % 400 > 0 THEN CAST(o_orderkey % 400 AS DOUBLE) * 1e8 END AS total_market_cap, CASE WHEN o_orderkey % 300 > 0 THEN CAST(o_orderkey % 300 AS DOUBLE) * 1e8 END AS float_market_cap,
+ CAST(CAST(o_totalprice + 2 AS DECIMAL(18,2)) AS DOUBLE) AS limit_up, CAST(NULL AS DOUBLE) AS limit_down FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""",
 )
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parsers.parse_quotes(quote_lines(X.table(spark, sf_dir, "orders")))
-    return out.select("o_orderkey", "name", F.date_format("quoted_at", "yyyy-MM-dd HH:mm:ss").alias("quoted_at"), "price", "volume", "amount", "change_pct")
+    return out.select("o_orderkey", "name", F.date_format("quoted_at", "yyyy-MM-dd HH:mm:ss").alias("quoted_at"), "price", "high", "volume", "amount", "change_pct", "turnover_pct", "pe_ttm", "pb", "total_market_cap", "float_market_cap", "limit_up", "limit_down")
+
+
+@query(
+    "s8_parse_indices",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN 'N' || o_custkey ELSE '' END AS name, o_totalprice AS price, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 - 10 AS DOUBLE) ELSE 0 END AS change_pct,
+ CASE WHEN o_orderkey % 5000 > 0 THEN CAST(o_orderkey % 5000 AS DOUBLE) * 10000 END AS amount FROM orders WHERE o_orderkey % 11 <> 0""",
+)
+def s8_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.parse_quotes(quote_lines(X.table(spark, sf_dir, "orders")), index=True).select("o_orderkey", "name", "price", "change_pct", "amount")
 
 
 @query("s9_parse_sectors", "SELECT p_brand AS brand, 'c' || p_partkey AS key, p_name AS name, CAST(p_size AS BIGINT) AS members, CAST(p_size - 25 AS DOUBLE) / 10 AS change_pct, p_retailprice AS amount FROM part WHERE p_partkey % 6 <> 0")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as X
-from tidemark.queries.base import Registry
-from tidemark.queries.sources import quote_lines, scratch
+from tidemark.queries.base import Registry, scratch
+from tidemark.queries.sources import quote_lines
 from tidemark.streaming import jobs
 
 query = Registry()
@@ -23,19 +23,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _in_batches(spark: SparkSession, df: DataFrame, order: str, n: int = 4) -> DataFrame:
-    """df as a stream of n files in the given order, one a batch; files are taken by age, so they are written one after another."""
+def _in_batches(spark: SparkSession, df: DataFrame, order: str, n: int = 4, files: int = 4) -> DataFrame:
+    """df as a stream of n batches in the given order, each of so many files; files are taken by age, so batches are written one after another."""
     path = scratch(spark)
     cuts = df.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if low is None else df.where(F.col(order) > low)
-        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(spark, path, df.schema, files_per_batch=1)
+        (part if high is None else part.where(F.col(order) <= high)).repartition(files).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, df.schema, files_per_batch=files)
 
 
 @query(
     "t1_quote_stream",
-    f"""SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'LIVE' WHEN o_orderkey % 3 = 1 THEN 'DELAYED' ELSE 'STALE' END AS freshness FROM orders WHERE o_orderkey % 11 <> 0""",
+    f"""SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'LIVE' WHEN o_orderkey % 3 = 1 THEN 'DELAYED' ELSE 'STALE' END AS freshness FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""",
 )
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.table(spark, sf_dir, "orders")
@@ -67,8 +67,7 @@ def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t4_upsert_latest", "SELECT user_id, max(event_id) AS event_id, max(struct_pack(i := event_id, v := value)).v AS value FROM events GROUP BY 1")
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    path = jobs.upsert_latest(_in_batches(spark, e, "event_id"), scratch(spark), keys=["user_id"], newest=["event_id"], checkpoint=scratch(spark))
-    return spark.read.schema(e.schema).parquet(path)
+    return jobs.upsert_latest(_in_batches(spark, e, "event_id"), scratch(spark), keys=["user_id"], newest=["event_id"], checkpoint=scratch(spark))
 
 
 @query("t5_route_late", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'REJECTED' ELSE 'ACCEPTED' END AS route FROM events")

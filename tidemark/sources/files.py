@@ -56,10 +56,14 @@ def scan_symbol_files(spark: SparkSession, path: str, columns: Mapping[str, str]
     return kept.drop("__file"), twice
 
 
-def matrices_to_rows(fields: Mapping[str, DataFrame], *, date: str = "d", required: str = "close", symbol: str = "symbol") -> DataFrame:
-    """Date by symbol matrices, one for each field, as rows; cells where the required field is finite are kept."""
-    long = [m.unpivot([date], [c for c in m.columns if c != date], symbol, f) for f, m in fields.items()]
-    both = reduce(lambda a, b: a.join(b, [date, symbol], "full_outer"), long)
+def matrices_to_rows(fields: Mapping[str, DataFrame], *, date: str = "d", required: str = "close", symbol: str = "symbol", others: Sequence[str] = ()) -> DataFrame:
+    """Date by symbol matrices, one for each field, as rows; cells where the required field is finite are kept.
+
+    others are further columns that a matrix row is known by, such as the block of symbols its columns stand for.
+    """
+    keys = [date, *others]
+    long = [m.unpivot(keys, [c for c in m.columns if c not in keys], symbol, f) for f, m in fields.items()]
+    both = reduce(lambda a, b: a.join(b, [*keys, symbol], "full_outer"), long)
     r = F.col(required)
     return both.where(r.isNotNull() & ~F.isnan(r.cast("double")) & (F.abs(r) != float("inf")))
 

@@ -39,19 +39,32 @@ def dedup_payloads(events: DataFrame, payload: Column, *, keys: Sequence[str], t
     return events.withColumn("payload_hash", F.sha2(payload, 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark([*keys, "payload_hash"])
 
 
-def upsert_latest(stream: DataFrame, folder: str, *, keys: Sequence[str], newest: Sequence[str], checkpoint: str) -> str:
-    """T4: keeps the newest row of each key: every batch writes a new version of the table from the one before; returns the last version's path."""
-    last = {"path": None}
+def latest_table(spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """What upsert_latest() keeps in folder, with the column __bucket: of each bucket its newest version (before a batch, if given)."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__v", T.LongType())])).parquet(folder)
+    rows = rows if before is None else rows.where(F.col("__v") < before)
+    newest = rows.groupBy("__bucket").agg(F.max("__v").alias("__v"))
+    return rows.join(F.broadcast(newest), ["__bucket", "__v"]).drop("__v")  # one row for each bucket
+
+
+def upsert_latest(stream: DataFrame, folder: str, *, keys: Sequence[str], newest: Sequence[str], checkpoint: str, buckets: int = 64) -> DataFrame:
+    """T4: keeps the newest row of each key, and returns the table as it is in the end.
+
+    Keys are dealt to buckets by hash. A batch rewrites the buckets that its keys are in as folder/__v=batch/__bucket=k; all others stay
+    as they are. What came before is found in the folder alone, by batch numbers below its own, so a run that starts
+    again with the same checkpoint goes on where the last one ended, and a batch that is done twice gives the same table.
+    """
+    schema = stream.schema
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        path = f"{folder}/v={n}"
-        old = spark.read.schema(batch.schema).parquet(last["path"]) if last["path"] else batch.where("false")
-        upsert(old, batch, keys=keys, newest=newest).write.mode("overwrite").parquet(path)
-        last["path"] = path
+        new = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = F.broadcast(new.select("__bucket").distinct())  # buckets rows at most
+        old = latest_table(batch.sparkSession, folder, schema, n).join(touched, "__bucket", "left_semi") if n else new.where("false")
+        upsert(old.select(new.columns), new, keys=keys, newest=newest).write.mode("overwrite").partitionBy("__bucket").parquet(f"{folder}/__v={n}")
+        new.unpersist()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last["path"]
+    return latest_table(stream.sparkSession, folder, schema).drop("__bucket")
 
 
 def route_late(stream: DataFrame, late: Column, good: str, rejected: str, *, checkpoint: str) -> None:
