@@ -39,8 +39,8 @@ def _asof_signal(probe: DataFrame, facts: DataFrame, keys: list[str], date: str,
     """
     asks = probe.select(*keys, F.col(date).alias("__d"), F.col(signal).alias("__s")).where(F.col(date).isNotNull() & F.col(signal).isNotNull()).distinct()
     last = _day("__d") + 1  # days before it: one block of each set bit
-    taken = F.array_compact(F.array(*[F.when(F.shiftright(last, k) % 2 == 1, F.struct(F.lit(k).alias("level"), (F.shiftright(last, k) - 1).alias("number"))) for k in range(LEVELS)]))
-    own = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(_day("__eff"), k).alias("number")) for k in range(LEVELS)])
+    taken = F.array_compact(F.array(*[F.when(F.shiftright(last, k) % 2 == 1, _block(k, F.shiftright(last, k) - 1)) for k in range(LEVELS)]))
+    own = F.array(*[_block(k, F.shiftright(_day("__eff"), k)) for k in range(LEVELS)])
     asked = asks.select(*keys, F.explode(taken).alias("__b"), F.col("__s").cast("timestamp").alias("__at"), F.lit(1).alias("__side"), F.struct("__d", "__s").alias("__p"))
     seen = facts.select(*keys, F.explode(own).alias("__b"), F.col("__known").cast("timestamp").alias("__at"), F.lit(0).alias("__side"), "__f")
     order = Window.partitionBy(*keys, "__b").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -135,30 +135,39 @@ def _day(date: str) -> Column:
     return F.datediff(F.col(date), F.lit("0001-01-01"))
 
 
+def _block(level: int, number: Column) -> Column:
+    """A block of 2^level days as one number."""
+    return F.lit(level << 32) + number.cast("bigint")
+
+
 def _blocks(first: Column, last: Column) -> Column:
-    """The binary blocks (level, number) that the days from first to last consist of; 2 a level at most, none twice."""
+    """The binary blocks that the days from first to last consist of; 2 a level at most, none twice."""
     out = []
     for k in range(LEVELS):
         a, b = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(last + 1, k)
-        out.append(F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("number"))))
-        out.append(F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("number"))))
+        out.append(F.when((a < b) & (a % 2 == 1), _block(k, a)))
+        out.append(F.when((a < b) & (b % 2 == 1), _block(k, b - 1)))
     return F.array_compact(F.array(*out))
 
 
-def latest_valid(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, start: str, end: str, known: str, value: Column, order: Column) -> DataFrame:
-    """For each date and key the value of the greatest order among facts with start <= date <= end and known <= date: (date, keys, value).
+def latest_valid(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, start: str, end: str, known: str, value: str) -> DataFrame:
+    """For each date and key the value of the latest start among facts with start <= date <= end and known <= date, of equal starts the least: (date, keys, value).
 
     A fact's days are cut into binary blocks, and each block of a key keeps its best fact, before any date is met: a date then
     looks its LEVELS blocks up. Nothing is paired with every day it is valid, and a key with very many facts comes down to one row a block.
     """
     keys = list(keys)
-    days = _blocks(F.greatest(_day(start), _day(known)), _day(end))
-    cut = facts.where(F.col(start).isNotNull() & F.col(known).isNotNull() & F.col(end).isNotNull()).select(*keys, order.alias("__o"), value.alias("__v"), F.explode(days).alias("__b"))
-    best = cut.groupBy(*keys, "__b.level", "__b.number").agg(F.max(F.struct("__o", "__v")).alias("__f"))
+
+    def best(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by, "__s").agg(F.min("__v").alias("__v")).groupBy(*by).agg(F.max_by("__v", "__s").alias("__v"), F.max("__s").alias("__s"))
+
+    whole = facts.where(F.col(start).isNotNull() & F.col(known).isNotNull() & F.col(end).isNotNull())
+    days = whole.select(*keys, F.col(start).alias("__s"), F.greatest(_day(start), _day(known)).alias("__a"), _day(end).alias("__z"), F.col(value).alias("__v"))
+    once = days.groupBy(*keys, "__s", "__a", "__z").agg(F.min("__v").alias("__v"))
+    cut = best(once.select(*keys, "__s", "__v", F.explode(_blocks(F.col("__a"), F.col("__z"))).alias("__b")), [*keys, "__b"])
     asked = probe.select(date).where(F.col(date).isNotNull()).distinct()
-    asked = asked.select(date, F.posexplode(F.array(*[F.shiftright(_day(date), k) for k in range(LEVELS)])).alias("level", "number"))
-    found = asked.join(best, ["level", "number"]).groupBy(date, *keys).agg(F.max("__f").alias("__f"))
-    return found.select(date, *keys, F.col("__f.__v").alias("value"))
+    asked = asked.select(date, F.explode(F.array(*[_block(k, F.shiftright(_day(date), k)) for k in range(LEVELS)])).alias("__b"))
+    return best(asked.join(cut, "__b"), [date, *keys]).select(date, *keys, F.col("__v").alias("value"))
 
 
 def rate_signal(probe: DataFrame, observations: DataFrame, *, date: str = "d", bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", known: str = "known", synthetic: str | None = None, preferred: Column | None = None, least_banks: int = 2) -> DataFrame:
@@ -170,8 +179,8 @@ def rate_signal(probe: DataFrame, observations: DataFrame, *, date: str = "d", b
     """
     wanted = F.when(F.col(date) <= F.lit("2017-12-31").cast("date"), 3).otherwise(5) if preferred is None else preferred
     real = observations if synthetic is None else observations.where(~F.coalesce(F.col(synthetic), F.lit(False)))
-    named = real.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("__rate"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(known).alias("__k"))
-    by_bank = latest_valid(probe, named, keys=["bank", "tenor"], date=date, start="__s", end="__e", known="__k", value=F.col("__rate"), order=F.struct(F.col("__s").alias("s"), (-F.col("__rate")).alias("r")))
+    named = real.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("__rate"), F.col(start).alias("__from"), F.col(end).alias("__e"), F.col(known).alias("__k"))
+    by_bank = latest_valid(probe, named, keys=["bank", "tenor"], date=date, start="__from", end="__e", known="__k", value="__rate")
     by_tenor = by_bank.groupBy(date, "tenor").agg(F.percentile("value", F.lit(0.5)).alias("rate"), F.count("*").alias("banks")).where(F.col("banks") >= least_banks)
     ranked = by_tenor.where((F.col("tenor") == wanted) | (F.col("tenor") == 3)).groupBy(date).agg(F.max(F.struct((F.col("tenor") == wanted).alias("own"), "tenor", "rate", "banks")).alias("b"))
     return ranked.select(date, "b.rate", "b.tenor", F.when(F.col("b.own"), "OBSERVED").otherwise("TENOR_FALLBACK").alias("quality"), "b.banks")

@@ -109,10 +109,10 @@ def statutory_rates(days: DataFrame, schedule: DataFrame, *, date: str = "d", co
 
     Starts of a component follow each other, so each is in force until the day before the next; dates meet them as binary blocks of days.
     """
-    one = schedule.groupBy(F.col(component).alias("__c"), F.col(start).alias("__s")).agg(F.max(rate).alias("__r"))
-    until = F.lead(F.date_sub("__s", 1)).over(Window.partitionBy("__c").orderBy("__s"))
+    one = schedule.groupBy(F.col(component).alias("__c"), F.col(start).alias("__from")).agg(F.max(rate).alias("__r"))
+    until = F.lead(F.date_sub("__from", 1)).over(Window.partitionBy("__c").orderBy("__from"))
     spans = one.withColumn("__e", F.coalesce(until, F.lit("9999-12-31").cast("date")))
-    found = pit.latest_valid(days, spans, keys=["__c"], date=date, start="__s", end="__e", known="__s", value=F.col("__r"), order=F.col("__s"))
+    found = pit.latest_valid(days, spans, keys=["__c"], date=date, start="__from", end="__e", known="__from", value="__r")
     return found.select(date, F.col("__c").alias(component), F.col("value").alias(rate))
 
 
