@@ -232,3 +232,23 @@ def test_asof_with_a_signal_by_brute_force(spark):
     want = sorted(((k, d, s, max(((e, n, v) for x, e, n, v in facts if d and s and x == k and e <= d and n <= s), default=(None,) * 3)[2]) for k, d, s in probes), key=repr)
     p, f = spark.createDataFrame(probes, "k long, d date, s date"), spark.createDataFrame(facts, "k long, eff date, known date, v long")
     assert sorted((tuple(r) for r in pit.bitemporal_asof(p.repartition(3), f.repartition(5), keys=["k"], signal="s", values=["v"]).collect()), key=repr) == want
+
+
+def test_actions_on_positions(spark):
+    lots = spark.createDataFrame([("a", "x", date(2020, 1, 1), 101, 10.0), ("a", "x", date(2020, 1, 1), 101, 10.0), ("a", "x", date(2020, 6, 1), 3, 12.0), ("b", "x", date(2020, 1, 1), 101, 10.0), ("c", "y", date(2020, 1, 1), 7, 1.0)], "account string, symbol string, acquired date, remaining long, cost double")
+    actions = spark.createDataFrame([(1, "x", date(2020, 2, 1), 1.5, None), (1, "x", date(2020, 2, 1), 1.5, None), (2, "x", date(2020, 7, 1), None, 0.125)], "action_id long, symbol string, effective_date date, share_multiplier double, cash_per_share double")
+    out, errors, cash = lg.apply_actions(lots, actions, cost="cost")
+    assert sorted((r["account"], r["remaining"], r["adjusted"], round(r["cost"], 6)) for r in out.collect()) == [("a", 3, 3, 12.0), ("a", 101, 152, round(10 / 1.5, 6)), ("a", 101, 152, round(10 / 1.5, 6)), ("c", 7, 7, 1.0)]
+    assert [(r["account"], r["adjusted"]) for r in errors.collect()] == [("b", None)]  # 151.5 shares
+    assert [tuple(r) for r in cash.collect()] == [("a", "x", 2, 306.0, 38.25)]
+    cut = lg.apply_actions(lots, actions, cost="cost", truncate=True)[0]
+    assert sorted(r["adjusted"] for r in cut.collect()) == [3, 7, 151, 151, 151]
+
+
+def test_coverage_takes_unique_rates_of_two_banks(spark):
+    day = lambda n: date(2017, 12, 28) + timedelta(days=n)
+    rows = [("A", 3, 0.03, day(0), day(9)), ("B", 3, 0.031, day(0), day(5)), ("B", 3, 0.032, day(2), day(2)), ("A", 5, 0.04, day(5), day(7)), ("C", 5, 0.04, day(5), day(7)), ("C", 5, 0.04, day(6), day(8)), ("D", 3, 0.03, None, day(9))]
+    obs = spark.createDataFrame(rows, "bank string, tenor long, rate double, start date, end date")
+    counts, gaps = ts.rate_coverage(obs, first="2017-12-28", last="2018-01-06")
+    assert {r["counter"]: r["days"] for r in counts.collect()} == {"covered": 7, "uncovered": 3, "covered_2_banks": 7, "covered_tenor_3": 4, "covered_tenor_5": 3}
+    assert sorted((r["start"], r["end"], r["days"]) for r in gaps.collect()) == [(day(2), day(2), 1), (day(8), day(9), 2)]

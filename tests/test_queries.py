@@ -37,5 +37,5 @@ def test_query_meets_its_sql(spark, duck, name):
     assert rows(df.select(*names).collect()) == rows(want.fetchall())
 
 
-def test_every_query_has_sql_but_hashes():
-    assert set(QUERIES) - set(SQL) == {"h15_table_hash"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)

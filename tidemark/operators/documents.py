@@ -25,12 +25,18 @@ def excerpt(text: Column, at: Column, width: int = 520) -> Column:
     return F.left(compact(F.substring(text, start + 1, at + width - start)), F.lit(800))
 
 
-def classify_pages(pages: DataFrame, classes: Sequence[tuple[str, Sequence[str]]], *, doc: str = "doc_id", page: str = "page_no", text: str = "text", negations: Mapping[str, str] | None = None, fallback: tuple[str, Sequence[str], str] | None = None, missing: str = "NOT_FOUND") -> DataFrame:
+#: H2, H3: fixed values: what a document is called that can't be read, and whether a flag was found.
+UNREADABLE = "UNREADABLE"
+FLAG_STATUS = ("FLAG_FOUND", "NOT_FOUND_IN_EXTRACTED_TEXT")
+
+
+def classify_pages(pages: DataFrame, classes: Sequence[tuple[str, Sequence[str]]], *, doc: str = "doc_id", page: str = "page_no", text: str = "text", negations: Mapping[str, str] | None = None, fallback: tuple[str, Sequence[str], str] | None = None, missing: str = "NOT_FOUND", gate: DataFrame | None = None) -> DataFrame:
     """H2: of each document the class of its first phrase by (priority, page): classification, page, excerpt and its SHA-256.
 
     A phrase whose class has a negation doesn't count after that character. fallback (class,
-    markers, anchor) applies where no phrase is found and all markers stand on one page. The phrases
-    are columns of one pass over the pages, not a join.
+    markers, anchor) applies where no phrase is found and all markers stand on one page. With gate, readable()'s
+    result, documents that are not readable are UNREADABLE without page and excerpt. The phrases are columns of one pass over
+    the pages, not a join.
     """
     negations, t = negations or {}, compact_for_search(F.col(text))
     p = pages.select(doc, page, t.alias("__t"), compact(F.col(text)).alias("__c"))
@@ -47,19 +53,29 @@ def classify_pages(pages: DataFrame, classes: Sequence[tuple[str, Sequence[str]]
         every = reduce(lambda a, b: a & b, [F.col("__c").contains(m) for m in markers])
         hits.append(F.when(every, F.struct(F.lit(len(classes)).alias("rank"), F.col(page).alias("page"), F.lit(name).alias("name"), excerpt(F.col("__c"), F.instr("__c", anchor) - 1).alias("text"))))
     best = p.groupBy(doc).agg(F.min(F.array_min(F.array_compact(F.array(*hits)))).alias("b"))
+    if gate is not None:
+        best = best.join(gate.select(doc, "readable"), doc, "left").withColumn("b", F.when(F.col("readable"), F.col("b")))
     found = F.col("b").isNotNull()
-    return best.select(doc, F.coalesce("b.name", F.lit(missing)).alias("classification"), F.col("b.page").alias("page"), F.col("b.text").alias("excerpt"), F.when(found, F.sha2("b.text", 256)).alias("sha256"))
+    none = F.lit(missing) if gate is None else F.when(F.col("readable"), missing).otherwise(UNREADABLE)
+    return best.select(doc, F.coalesce("b.name", none).alias("classification"), F.col("b.page").alias("page"), F.col("b.text").alias("excerpt"), F.when(found, F.sha2("b.text", 256)).alias("sha256"))
+
 
+def flag_phrases(pages: DataFrame, phrases: Sequence[str], *, doc: str = "doc_id", page: str = "page_no", text: str = "text", most: int = 5, gate: DataFrame | None = None) -> DataFrame:
+    """H3: of each document its first pages with a phrase (at most most), in page order, and their excerpts; status as FLAG_STATUS.
 
-def flag_phrases(pages: DataFrame, phrases: Sequence[str], *, doc: str = "doc_id", page: str = "page_no", text: str = "text", most: int = 5) -> DataFrame:
-    """H3: of each document its first pages with a phrase (at most most), in page order, and their excerpts; status FLAG_FOUND or NOT_FOUND."""
+    With gate, readable()'s result, documents that are not readable are UNREADABLE and have no pages.
+    """
     c = compact(F.col(text))
     at = F.coalesce(*[F.when(F.instr("__c", p) > 0, F.instr("__c", p)) for p in phrases])
     hit = pages.select(doc, page, c.alias("__c")).withColumn("__at", at)
     first = hit.where("__at IS NOT NULL").withColumn("__r", F.row_number().over(Window.partitionBy(doc).orderBy(page))).where(F.col("__r") <= most)
     got = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, excerpt(F.col("__c"), F.col("__at") - 1).alias("text")))).alias("__h"))
     out = pages.select(doc).distinct().join(got, doc, "left")
-    return out.select(doc, F.when(F.col("__h").isNull(), "NOT_FOUND").otherwise("FLAG_FOUND").alias("status"), F.coalesce(F.col(f"__h.{page}"), F.array().cast("array<bigint>")).alias("pages"), F.coalesce("__h.text", F.array().cast("array<string>")).alias("excerpts"))
+    readable_doc = F.lit(True)
+    if gate is not None:
+        out = out.join(gate.select(doc, "readable"), doc, "left").withColumn("__h", F.when(F.col("readable"), F.col("__h")))
+        readable_doc = F.coalesce("readable", F.lit(False))
+    return out.select(doc, F.when(~readable_doc, UNREADABLE).when(F.col("__h").isNull(), FLAG_STATUS[1]).otherwise(FLAG_STATUS[0]).alias("status"), F.coalesce(F.col(f"__h.{page}"), F.array().cast("array<bigint>")).alias("pages"), F.coalesce("__h.text", F.array().cast("array<string>")).alias("excerpts"))
 
 
 #: H4: a number with optional sign, brackets, thousands and percent.
@@ -232,27 +248,31 @@ def role_checks(results: DataFrame, evidence: DataFrame, roles: Sequence[str], *
     return out.withColumn("ok", F.col("roles_complete") & (F.col("unknown_references") + F.col("bare_facts") + F.col("bad_ranks") == 0))
 
 
-def table_hash(df: DataFrame, *, keys: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
-    """A hash of the rows in whatever order: rows hashed, sorted within buckets by hash, bucket hashes hashed in order."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    leaf = df.select(*keys, row.alias("__h")).withColumn("__b", F.pmod(F.xxhash64("__h"), F.lit(buckets)))
-    inner = leaf.groupBy(*keys, "__b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__h")), ""), 256).alias("__s"), F.count("*").alias("__n"))
-    top = inner.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__s"))), lambda x: x["__s"]), ""), 256).alias("input_hash"), F.sum("__n").alias("n_rows"))
-    return top
+def table_hash(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """A hash of the rows in whatever order: (keys, input_hash, n_rows).
+
+    Each row has a SHA-256 of its columns by name (as text, nulls apart); eight sums of its 32-bit words and the number of rows are
+    hashed once more. Sums are added where rows are, so a table of any size moves a row for each task, and repeated rows count.
+    """
+    cells = [F.concat_ws("=", F.lit(c), F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))) for c in sorted(df.columns)]
+    leaf = df.select(*keys, F.sha2(F.concat_ws("|", *cells), 256).alias("__h"))
+    words = [F.sum(F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"__{i}") for i in range(8)]
+    sums = leaf.groupBy(*keys).agg(*words, F.count("*").alias("n_rows"))
+    return sums.select(*keys, F.sha2(F.concat_ws(",", *[F.coalesce(F.col(f"__{i}"), F.lit(0)).cast("string") for i in range(8)], F.col("n_rows").cast("string")), 256).alias("input_hash"), "n_rows")
 
 
-def research_gate(orders: DataFrame, cards: DataFrame, scores: DataFrame, *, order_id: str, symbol: str, at: str, statuses: Sequence[str] = ("ACTIVE",)) -> DataFrame:
-    """For each order the symbol's latest card before it: exists, not expired, allowed status, quality passed, and all of them."""
-    o = orders.select(order_id, F.col(symbol).alias("__s"), F.col(at).alias("__at"))
+def research_gate(orders: DataFrame, cards: DataFrame, scores: DataFrame, *, order_id: str, symbol: str, at: str, version: str, statuses: Sequence[str] = ("ACTIVE",)) -> DataFrame:
+    """For each order the symbol's latest card before it: exists, the order is bound to it (its version is that card_id), not expired, allowed status, quality passed, and all of them."""
+    o = orders.select(order_id, F.col(symbol).alias("__s"), F.col(at).alias("__at"), F.col(version).alias("__v"))
     c = cards.join(scores.select("card_id", "passed"), "card_id", "left")
-    seen = o.join(c, (o["__s"] == c[symbol]) & (c["as_of"] <= o["__at"])).groupBy(order_id, "__at").agg(F.max_by(F.struct("expires_at", "status", "passed"), F.struct("as_of", "card_id")).alias("b"))
+    seen = o.join(c, (o["__s"] == c[symbol]) & (c["as_of"] <= o["__at"])).groupBy(order_id, "__at").agg(F.max_by(F.struct("card_id", "expires_at", "status", "passed"), F.struct("as_of", "card_id")).alias("b"))
     out = o.join(seen, [order_id, "__at"], "left")
 
     def flag(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
 
-    made = out.select(order_id, F.col("b").isNotNull().alias("exists"), flag(F.col("b.expires_at") > F.col("__at")).alias("unexpired"), flag(F.col("b.status").isin(*statuses)).alias("allowed"), flag(F.col("b.passed")).alias("quality"))
-    return made.withColumn("open", F.col("exists") & F.col("unexpired") & F.col("allowed") & F.col("quality"))
+    made = out.select(order_id, F.col("b").isNotNull().alias("exists"), flag(F.col("b.card_id") == F.col("__v")).alias("latest"), flag(F.col("b.expires_at") > F.col("__at")).alias("unexpired"), flag(F.col("b.status").isin(*statuses)).alias("allowed"), flag(F.col("b.passed")).alias("quality"))
+    return made.withColumn("open", F.col("exists") & F.col("latest") & F.col("unexpired") & F.col("allowed") & F.col("quality"))
 
 
 def directory_snapshots(captures: DataFrame, *, url: str, at: str, html: str, name: str = r"(?is)<td[^>]*>\s*\d+\s*</td>\s*<td[^>]*>(.*?)</td>") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,3 +102,14 @@ def with_fallback(first: DataFrame, second: DataFrame, *, on: Sequence[str], col
 
     lineage = F.array_compact(F.array(F.when(any_of(own), F.lit(names[0])), F.when(any_of(filled), F.lit(names[1]))))
     return joined.withColumn("sources", lineage).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def derived_key_join(left: DataFrame, right: DataFrame, on: Mapping[str, tuple[Column | str, Column | str]], how: str = "inner") -> DataFrame:
+    """An equi join on keys that are computed on either side: name: (left, right), columns or expressions such as a CASE.
+
+    A key's name stays as a column; other columns that both sides have are the left one's.
+    """
+    as_column = lambda x: F.col(x) if isinstance(x, str) else x
+    a = left.withColumns({k: as_column(x) for k, (x, _) in on.items()})
+    b = right.withColumns({k: as_column(y) for k, (_, y) in on.items()})
+    return a.join(b.select(*on, *[c for c in b.columns if c not in on and c not in a.columns]), list(on), how)

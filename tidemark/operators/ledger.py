@@ -1,16 +1,19 @@
 """Ledger analytics over event tables: positions, lots, costs, PnL, returns, reconciliation, hash chains.
 
-Running sums and merged breakpoints keep lot matching linear; only moving-average cost, XIRR
-and the building of a hash chain fold over one array for each key, as they are sequential by
-definition.
+Running sums and merged breakpoints keep lot matching linear; only moving-average cost and XIRR
+fold over one array for each key, and a hash chain is built from a sorted stream, as they are
+sequential by definition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Portfolio limits of the default policy, percent of net asset value unless named otherwise.
 LIMITS = {
@@ -173,7 +176,8 @@ def next_open_fill(orders: DataFrame, bars: DataFrame, *, key: str = "symbol", s
     o = orders.select(F.col(key).alias("__k"), F.col(signal_date).alias("__at"), F.lit(0).alias("__bar"), F.struct(*orders.columns).alias("__o"))
     w = Window.partitionBy("__k").orderBy("__at", F.desc("__bar"))
     both = b.unionByName(o, allowMissingColumns=True).withColumn("__n", F.sum("__bar").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__next", F.first(F.when(F.col("__open").isNotNull(), F.struct("__open", "__n")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy("__k").orderBy(F.desc("__at"), F.asc("__bar")).rowsBetween(Window.unboundedPreceding, -1)  # read backwards, the next open is the last one seen
+    both = both.withColumn("__next", F.last(F.when(F.col("__open").isNotNull(), F.struct("__open", "__n")), ignorenulls=True).over(back))
     slipped = F.col("__next.__open.p") * (1 + slippage_bps / 10000)
     out = both.where("__bar = 0").select("__o.*", F.col("__next.__open.d").alias("fill_date"), slipped.alias("fill_price"), (F.col("__next.__n") - F.col("__n") - 1).alias("queued_days"))
     return out.withColumn("status", F.when(F.col("fill_date").isNull(), "QUEUED").when(F.col("fill_price") <= F.col(limit), "FILLED").otherwise("REJECTED"))
@@ -224,36 +228,61 @@ def moving_average_cost(fills: DataFrame, *, keys: Sequence[str], order: Sequenc
     return rows.select(*keys, F.aggregate("__f", zero, step).alias("r")).select(*keys, F.col("r.q").alias("quantity"), F.col("r.c").alias("average_cost"))
 
 
-def apply_actions(lots: DataFrame, actions: DataFrame, *, keys: Sequence[str] = ("symbol",), acquired: str = "acquired", quantity: str = "remaining", truncate: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Lots with adjusted quantity and cash by the share multipliers and dividends after their day; and lots with a fraction of a share.
+def apply_actions(lots: DataFrame, actions: DataFrame, *, keys: Sequence[str] = ("symbol",), position: Sequence[str] = ("account", "symbol"), acquired: str = "acquired", quantity: str = "remaining", cost: str | None = None, truncate: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lots after the share multipliers and dividends that follow their day; lots of positions with a fraction of a share; cash.
 
-    An action counts once by action_id; a dividend is paid on the shares that earlier multipliers have made. With
-    truncate fractions are cut off, else such lots are errors.
+    An action counts once by action_id. A multiplier raises a lot's quantity (adjusted, rounded to whole shares) and divides its
+    cost. A dividend is paid on the shares that earlier multipliers have made, in one amount for each position and action, rounded to
+    cents: (position, action_id, quantity_before, cash). A position that an action leaves with a fraction of a share is an error with all its
+    lots; with truncate fractions are cut off lot by lot instead. Repeated lots are lots of their own.
     """
+    keys, position = list(keys), list(position)
     once = actions.dropDuplicates(["action_id"])
-    lots = lots.withColumn("__lot", F.monotonically_increasing_id())
     a = once.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("effective_date").alias("__e"), "action_id", F.coalesce("share_multiplier", F.lit(1.0)).alias("__m"), F.coalesce("cash_per_share", F.lit(0.0)).alias("__c"))
-    hit = lots.join(a, [lots[k] == a[f"__{k}"] for k in keys] + [F.col("__e") > F.col(acquired)])
-    run = Window.partitionBy("__lot").orderBy("__e", "action_id").rowsBetween(Window.unboundedPreceding, 0)
-    grown = hit.withColumn("__p", F.product("__m").over(run))
-    sums = grown.groupBy("__lot").agg(F.product("__m").alias("__p"), F.sum(F.round(F.col(quantity) * F.col("__p") / F.col("__m") * F.col("__c"), 2)).alias("__cash"))
-    out = lots.join(sums, "__lot", "left").withColumn("__raw", F.col(quantity) * F.coalesce("__p", F.lit(1.0))).withColumn("cash", F.coalesce("__cash", F.lit(0.0)))
-    whole = F.abs(F.col("__raw") - F.round("__raw")) <= 1e-8
-    names = [*[c for c in lots.columns if c != "__lot"], "adjusted", "cash"]
+    days = lots.select(*keys, acquired).distinct()
+    later = days.join(a, [days[k] == a[f"__{k}"] for k in keys] + [F.col("__e") > F.col(acquired)]).drop(*[f"__{k}" for k in keys])
+    run = Window.partitionBy(*keys, acquired).orderBy("__e", "action_id").rowsBetween(Window.unboundedPreceding, 0)
+    grown = later.withColumn("__p", F.product("__m").over(run))
+    held = lots.groupBy(*dict.fromkeys([*position, *keys, acquired])).agg(F.sum(quantity).alias("__q"))
+    paid = held.join(grown, [*keys, acquired]).groupBy(*position, "action_id").agg(F.sum(F.col("__q") * F.col("__p") / F.col("__m")).alias("quantity_before"), F.sum(F.col("__q") * F.col("__p")).alias("__after"), F.first("__c").alias("__c"))
+    split = F.abs(F.col("__after") - F.round("__after")) > 1e-8
+    broken = paid.groupBy(*position).agg(F.max(split).alias("__bad")).where("__bad").drop("__bad")
+    total = grown.groupBy(*keys, acquired).agg(F.product("__m").alias("__t"))
+    out = lots.join(total, [*keys, acquired], "left").withColumn("__t", F.coalesce("__t", F.lit(1.0)))
+    raw = F.col(quantity) * F.col("__t")
+    whole = F.round(raw) if not truncate else F.when(F.abs(raw - F.round(raw)) <= 1e-8, F.round(raw)).otherwise(F.floor(raw))
+    out = out.withColumn("adjusted", whole.cast("long"))
+    out = (out.withColumn(cost, F.col(cost) / F.col("__t")) if cost else out).select(*lots.columns, "adjusted")
+    cash = paid.where("__c <> 0").select(*position, "action_id", "quantity_before", F.round(F.col("quantity_before") * F.col("__c"), 2).alias("cash"))
     if truncate:
-        return out.withColumn("adjusted", F.when(whole, F.round("__raw")).otherwise(F.floor("__raw")).cast("long")).select(*names), out.where("false").withColumn("adjusted", F.lit(0).cast("long")).select(*names)
-    return out.where(whole).withColumn("adjusted", F.round("__raw").cast("long")).select(*names), out.where(~whole).withColumn("adjusted", F.lit(None).cast("long")).select(*names)
+        return out, out.where("false"), cash
+    errors = lots.join(broken, position, "left_semi").withColumn("adjusted", F.lit(None).cast("long"))
+    return out.join(broken, position, "left_anti").select(*lots.columns, "adjusted"), errors.select(*lots.columns, "adjusted"), cash.join(broken, position, "left_anti")
 
 
 def build_chain(events: DataFrame, *, run: str = "run_id", order: Sequence[str] = ("sequence",), core: Column) -> DataFrame:
-    """Events with prev_event_hash and event_hash = sha256(previous + core), one fold for each run."""
-    rest = [c for c in events.columns if c != run]
-    rows = events.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[c for c in rest if c not in order]).alias("__rest"), core.alias("__core")))).alias("__e"))
-    zero = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
-    folded = F.aggregate("__e", zero, lambda a, e: F.struct(F.sha2(F.concat(a["h"], e["__core"]), 256).alias("h"), F.concat(a["all"], F.array(F.sha2(F.concat(a["h"], e["__core"]), 256))).alias("all")), lambda a: a["all"])
-    flat = rows.withColumn("__h", folded).select(run, F.posexplode(F.arrays_zip("__e", "__h")).alias("__i", "x"), "__h")
-    prev = F.when(F.col("__i") > 0, F.get("__h", F.col("__i") - 1))
-    return flat.select(run, *[F.col(f"x.__e.{c}").alias(c) for c in order], "x.__e.__rest.*", prev.alias("prev_event_hash"), F.col("x.__h").alias("event_hash"))
+    """Events with prev_event_hash and event_hash = sha256(previous + core).
+
+    A chain is sequential by nature, so each run's rows stream through one task in order; a task keeps the last hash only, whatever the
+    length of the run. Columns of events with those names are replaced.
+    """
+    kept = [c for c in events.columns if c not in ("prev_event_hash", "event_hash")]
+    rows = events.select(*kept, F.coalesce(core, F.lit("")).alias("__core")).repartition(run).sortWithinPartitions(run, *order)
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("prev_event_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            before, made = [], []
+            for key, text in zip(batch.column(kept.index(run)).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
+                if (key,) != now:
+                    now, last = (key,), None
+                before.append(last)
+                last = hashlib.sha256(((last or "") + text).encode()).hexdigest()
+                made.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(before, pa.string()), pa.array(made, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(chain, schema)
 
 
 def verify_chain(events: DataFrame, *, run: str = "run_id", sequence: str = "sequence", core: Column, prev: str = "prev_event_hash", stored: str = "event_hash") -> DataFrame:

@@ -120,13 +120,10 @@ def adjust_bars(bars: DataFrame, actions: DataFrame, *, keys: Sequence[str], as_
     known = actions.where((F.col(announced) <= F.lit(as_of).cast("timestamp")) & (F.col(effective) <= F.lit(as_of).cast("date")))
     moves = known.groupBy(*keys, F.col(effective).alias("__at")).agg(F.product(factor).alias("__f"))
     both = bars.select(*keys, F.col(date).alias("__at"), F.struct(*bars.columns).alias("__bar")).unionByName(moves, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at")
-    if mode == "forward":
-        total = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-        same = F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        both = both.withColumn("__x", total / same)
-    else:
-        both = both.withColumn("__x", F.product(F.coalesce("__f", F.lit(1.0))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a frame that grows from the stream's start is carried along; one that shrinks to its end would be computed anew for each row
+    order = [F.desc("__at"), F.col("__f").isNotNull()] if mode == "forward" else [F.col("__at"), F.col("__f").isNull()]
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__x", F.product(F.coalesce("__f", F.lit(1.0))).over(run))
     out = both.where("__bar IS NOT NULL").select("__bar.*", "__x")
     return out.withColumns({p: F.round(F.col(p) * F.col("__x") if mode == "forward" else F.col(p) / F.col("__x"), 6) for p in prices}).drop("__x")
 
@@ -172,6 +169,28 @@ def calendar_gaps(intervals: DataFrame, *, keys: Sequence[str], start: str, end:
     return islands(marked, keys=keys, date="d", gap="gap")
 
 
+def rate_coverage(observations: DataFrame, *, first: str, last: str, bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", preferred: Column | None = None, fallback: int = 3, least_banks: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Counts of calendar days from first to last by what covers them (counter, days), and the uncovered ranges (start, end, days).
+
+    A bank counts for a tenor on a day when exactly one distinct rate of it is valid. The day takes the preferred tenor (default: 3
+    before 2018, then 5) if least_banks banks count, else the fallback. Rows without a start or an end don't count.
+    Counters: covered, uncovered, covered_tenor_N, covered_N_banks.
+    """
+    d = F.col("d")
+    wanted = F.when(d < F.lit("2018-01-01").cast("date"), 3).otherwise(5) if preferred is None else preferred
+    inside = observations.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("rate"), F.greatest(start, F.lit(first).cast("date")).alias("__a"), F.least(end, F.lit(last).cast("date")).alias("__b"), (F.col(start).isNotNull() & F.col(end).isNotNull()).alias("__ok"))
+    spans = inside.where("__ok AND __a <= __b").groupBy("bank", "tenor", "rate", "__a").agg(F.max("__b").alias("__b"))
+    each = spans.select("bank", "tenor", "rate", F.explode(F.sequence("__a", "__b")).alias("d"))
+    unique = each.groupBy("d", "tenor", "bank").agg((F.min("rate") == F.max("rate")).alias("one")).where("one")
+    banks = unique.groupBy("d", "tenor").agg(F.count("*").alias("banks")).where(F.col("banks") >= least_banks)
+    taken = banks.where((F.col("tenor") == wanted) | (F.col("tenor") == fallback)).groupBy("d").agg(F.max(F.struct((F.col("tenor") == wanted).alias("own"), "tenor", "banks")).alias("b"))
+    days = observations.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d")).join(taken, "d", "left")
+    open_day = F.col("b").isNull()
+    names = F.when(open_day, F.array(F.lit("uncovered"))).otherwise(F.array(F.lit("covered"), F.concat(F.lit("covered_tenor_"), F.col("b.tenor").cast("int")), F.concat(F.lit("covered_"), F.col("b.banks"), F.lit("_banks"))))
+    counts = days.select(F.explode(names).alias("counter")).groupBy("counter").agg(F.count("*").alias("days"))
+    return counts, islands(days.select("d", open_day.alias("gap"), F.lit(0).alias("__all")), keys=["__all"], date="d", gap="gap").drop("__all")
+
+
 def first_of_month(rows: DataFrame, *, keys: Sequence[str], date: str) -> DataFrame:
     """All rows of the first day of each month that has any."""
     w = Window.partitionBy(*keys, F.trunc(date, "month"))

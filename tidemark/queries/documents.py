@@ -18,6 +18,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text")).withColumn("page_no", (F.col("page_no") + 1).cast("long"))
 
 
+_OK = "ok AS (SELECT doc_id, coalesce(sum(length(text)), 0) >= greatest(300, 20 * count(*)) AS ok FROM pg GROUP BY 1)"
 _PAGES = "pg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents), c AS (SELECT doc_id, page_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM pg)"
 _EXCERPT = "left(trim(regexp_replace(substr(t, greatest(p - 101, 0) + 1, p - 1 + 520 - greatest(p - 101, 0)), '\\s+', ' ', 'g')), 800)"
 
@@ -34,24 +35,30 @@ _CLASSES = [("GPL", ["GNU General Public", "GPL"]), ("PERMISSIVE", ["MIT License
 
 @query(
     "h2_classify_pages",
-    f"""WITH {_PAGES}, h AS (SELECT doc_id, page_no, t, rank, name, instr(t, phrase) AS p FROM c, (VALUES (0, 'GPL', 'GNU General Public'), (0, 'GPL', 'GPL'), (1, 'PERMISSIVE', 'MIT License'), (1, 'PERMISSIVE', 'Apache License'), (2, 'COMMON', 'CC BY-NC')) v(rank, name, phrase)
+    f"""WITH {_PAGES}, {_OK}, h AS (SELECT doc_id, page_no, t, rank, name, instr(t, phrase) AS p FROM c, (VALUES (0, 'GPL', 'GNU General Public'), (0, 'GPL', 'GPL'), (1, 'PERMISSIVE', 'MIT License'), (1, 'PERMISSIVE', 'Apache License'), (2, 'COMMON', 'CC BY-NC')) v(rank, name, phrase)
    WHERE instr(t, phrase) > 0 AND NOT (name = 'PERMISSIVE' AND substr(t, instr(t, phrase) - 1, 1) = '-')
   UNION ALL SELECT doc_id, page_no, t, 3, 'PROSE', instr(t, 'the ') FROM c WHERE t LIKE '%the %' AND t LIKE '%tion%' AND t LIKE '%and %'),
  b AS (SELECT doc_id, min(struct_pack(r := rank, p := page_no, n := name, x := {_EXCERPT})) AS b FROM h GROUP BY 1)
- SELECT d.doc_id, coalesce(b.n, 'NOT_FOUND') AS classification, b.p AS page, b.x AS excerpt, sha256(b.x) AS sha256 FROM documents d LEFT JOIN b USING (doc_id)""",
+ SELECT d.doc_id, CASE WHEN NOT ok THEN 'UNREADABLE' ELSE coalesce(b.n, 'NOT_FOUND') END AS classification, CASE WHEN ok THEN b.p END AS page, CASE WHEN ok THEN b.x END AS excerpt, CASE WHEN ok THEN sha256(b.x) END AS sha256
+ FROM documents d LEFT JOIN b USING (doc_id) JOIN ok USING (doc_id)""",
 )
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.classify_pages(_pages(spark, sf_dir), _CLASSES, negations={"PERMISSIVE": "-"}, fallback=("PROSE", ["the ", "tion", "and "], "the "))
+    return dc.classify_pages(_pages(spark, sf_dir), _CLASSES, negations={"PERMISSIVE": "-"}, fallback=("PROSE", ["the ", "tion", "and "], "the "), gate=_gate(spark, sf_dir))
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.readable(_pages(spark, sf_dir), least=300, per_page=20)
 
 
 @query(
     "h3_flag_phrases",
-    f"""WITH {_PAGES}, h AS (SELECT doc_id, page_no, t, CASE WHEN instr(t, 'secret') > 0 THEN instr(t, 'secret') ELSE instr(t, 'quevi') END AS p FROM c WHERE instr(t, 'secret') > 0 OR instr(t, 'quevi') > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 5),
+    f"""WITH {_PAGES}, {_OK}, h AS (SELECT doc_id, page_no, t, CASE WHEN instr(t, 'secret') > 0 THEN instr(t, 'secret') ELSE instr(t, 'quevi') END AS p FROM c WHERE instr(t, 'secret') > 0 OR instr(t, 'quevi') > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 5),
  g AS (SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS pages, md5(string_agg({_EXCERPT}, '|' ORDER BY page_no)) AS excerpts FROM h GROUP BY 1)
- SELECT doc_id, CASE WHEN pages IS NULL THEN 'NOT_FOUND' ELSE 'FLAG_FOUND' END AS status, coalesce(pages, '') AS pages, coalesce(excerpts, md5('')) AS excerpts FROM documents LEFT JOIN g USING (doc_id)""",
+ SELECT doc_id, CASE WHEN NOT ok THEN 'UNREADABLE' WHEN pages IS NULL THEN 'NOT_FOUND_IN_EXTRACTED_TEXT' ELSE 'FLAG_FOUND' END AS status, CASE WHEN ok THEN coalesce(pages, '') ELSE '' END AS pages,
+ CASE WHEN ok THEN coalesce(excerpts, md5('')) ELSE md5('') END AS excerpts FROM documents LEFT JOIN g USING (doc_id) JOIN ok USING (doc_id)""",
 )
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dc.flag_phrases(_pages(spark, sf_dir), ["secret", "quevi"])
+    out = dc.flag_phrases(_pages(spark, sf_dir), ["secret", "quevi"], gate=_gate(spark, sf_dir))
     return out.select("doc_id", "status", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.md5(F.array_join("excerpts", "|")).alias("excerpts"))
 
 
@@ -107,26 +114,22 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of rate products for each bank, bank names only in the first row of each year."""
-    r = X.rates(spark, sf_dir).where("bank < 5").select("bank", "product", "rate", "start", F.row_number().over(_by_bank()).alias("i"))
-    first = F.lag(F.year("start")).over(_by_bank()).eqNullSafe(F.year("start"))
-    row = F.concat(F.lit("<tr><td> "), F.when(first, "").otherwise(F.concat(F.lit("B"), "bank", F.lit("-"), F.year("start"))), F.lit("</td><td><b>"), "product", F.lit("</b></td><td>"), F.col("rate").cast("decimal(8,6)").cast("string"), F.lit("</td></tr>"))
-    rows = r.select("bank", "i", row.alias("row"))
-    table = rows.groupBy("bank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]), "\n").alias("t"))
-    return table.select("bank", F.concat(F.lit("<table>"), "t", F.lit("</table>")).alias("html"))
-
-
-def _by_bank():
+    """A page of rate products for each bank and month, bank names only in the first row of each day."""
     from pyspark.sql import Window
 
-    return Window.partitionBy("bank").orderBy("start", "product")
+    page = F.concat("bank", F.lit("-"), F.date_format("start", "yyyyMM"))
+    w = Window.partitionBy("page").orderBy("start", "product")
+    r = X.rates(spark, sf_dir).select(page.alias("page"), "bank", "product", "rate", "start").withColumn("i", F.row_number().over(w)).withColumn("same", F.lag("start").over(w).eqNullSafe(F.col("start")))
+    row = F.concat(F.lit("<tr><td> "), F.when(F.col("same"), "").otherwise(F.concat(F.lit("B"), "bank", F.lit("-"), F.dayofmonth("start"))), F.lit("</td><td><b>"), "product", F.lit("</b></td><td>"), F.col("rate").cast("decimal(8,6)").cast("string"), F.lit("</td></tr>"))
+    table = r.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), "\n").alias("t"))
+    return table.select("page", F.concat(F.lit("<table>"), "t", F.lit("</table>")).alias("html"))
 
 
-@query("h7_html_rows", X.with_views("rates") + " SELECT bank, CAST(row_number() OVER (PARTITION BY bank ORDER BY start, product) - 1 AS INT) AS row_no, 'B' || bank || '-' || year(start) AS name, product, CAST(CAST(rate AS DECIMAL(8,6)) AS DOUBLE) AS rate FROM rates WHERE bank < 5")
+@query("h7_html_rows", X.with_views("rates") + " SELECT bank || '-' || strftime(start, '%Y%m') AS page, CAST(row_number() OVER (PARTITION BY bank, date_trunc('month', start) ORDER BY start, product) - 1 AS INT) AS row_no, 'B' || bank || '-' || day(start) AS name, product, CAST(CAST(rate AS DECIMAL(8,6)) AS DOUBLE) AS rate FROM rates")
 def h7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = dc.html_rows(_rate_pages(spark, sf_dir), page_id="bank", html="html")
-    flat = cells.select("bank", "row_no", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("product"), F.col("cells")[2].cast("double").alias("rate"))
-    return dc.fill_down(flat, keys=["bank"], order=["row_no"], columns=["name"])
+    cells = dc.html_rows(_rate_pages(spark, sf_dir), page_id="page", html="html")
+    flat = cells.select("page", "row_no", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("product"), F.col("cells")[2].cast("double").alias("rate"))
+    return dc.fill_down(flat, keys=["page"], order=["row_no"], columns=["name"])
 
 
 @query(
@@ -232,23 +235,33 @@ def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.role_checks(*_talks(spark, sf_dir), roles=["user", "assistant"])
 
 
-@query("h15_table_hash")
+@query(
+    "h15_table_hash",
+    """WITH r AS (SELECT l_returnflag, sha256('l_linenumber=+' || l_linenumber || '|l_orderkey=+' || l_orderkey || '|l_partkey=+' || l_partkey || '|l_quantity=' || CASE WHEN l_orderkey % 7 = 0 THEN '-' ELSE '+' || CAST(l_quantity AS BIGINT) END || '|l_returnflag=+' || l_returnflag) AS h FROM lineitem)
+ SELECT l_returnflag, sha256("""
+    + " || ',' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+    + """ || ',' || count(*)) AS input_hash, count(*) AS n_rows FROM r GROUP BY 1""",
+)
 def h15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.table_hash(X.table(spark, sf_dir, "lineitem"), keys=["l_returnflag"])
+    lines = X.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity").cast("bigint")).alias("l_quantity"))
+    return dc.table_hash(lines, keys=["l_returnflag"])
 
 
 @query(
     "h16_research_gate",
-    f"""WITH {_SCORE}, x AS (SELECT c.c_custkey AS order_id, max(struct_pack(tm := tm, k := k, nf := nf)) AS b FROM customer c LEFT JOIN sc ON symbol = c_custkey AND tm <= TIMESTAMP '1997-06-01' GROUP BY 1)
- SELECT order_id, b.k IS NOT NULL AS "exists", coalesce(b.tm + INTERVAL 365 DAY > TIMESTAMP '1997-06-01', false) AS unexpired, coalesce(b.k % 3 <> 0, false) AS allowed, coalesce(b.nf = 0, false) AS quality,
- coalesce(b.tm + INTERVAL 365 DAY > TIMESTAMP '1997-06-01' AND b.k % 3 <> 0 AND b.nf = 0, false) AS open FROM x""",
+    f"""WITH {_SCORE}, x AS (SELECT c.c_custkey AS order_id, max(struct_pack(tm := tm, k := k, nf := nf)) AS b FROM customer c LEFT JOIN sc ON symbol = c_custkey AND tm <= TIMESTAMP '1997-06-01' GROUP BY 1),
+ v AS (SELECT o_custkey AS order_id, CASE WHEN o_custkey % 4 = 0 THEN min(o_orderkey) ELSE max(struct_pack(d := o_orderdate, k := o_orderkey)).k END AS version FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-01' GROUP BY 1),
+ f AS (SELECT order_id, b.k IS NOT NULL AS "exists", coalesce(b.k = version, false) AS latest, coalesce(b.tm + INTERVAL 365 DAY > TIMESTAMP '1997-06-01', false) AS unexpired, coalesce(b.k % 3 <> 0, false) AS allowed, coalesce(b.nf = 0, false) AS quality FROM x LEFT JOIN v USING (order_id))
+ SELECT *, "exists" AND latest AND unexpired AND allowed AND quality AS open FROM f""",
 )
 def h16(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = _cards(spark, sf_dir)
     scores = dc.research_score(cards)
     meta = cards.select("card_id", "symbol", "as_of", (F.col("as_of") + F.expr("interval 365 days")).alias("expires_at"), F.when(F.col("card_id") % 3 != 0, "ACTIVE").otherwise("DRAFT").alias("status"))
-    orders = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("order_id"), F.col("c_custkey").alias("symbol"), F.lit("1997-06-01").cast("timestamp").alias("at"))
-    return dc.research_gate(orders, meta, scores, order_id="order_id", symbol="symbol", at="at")
+    bound = X.table(spark, sf_dir, "orders").where("o_orderdate <= TIMESTAMP '1997-06-01'").groupBy(F.col("o_custkey").alias("c_custkey"))
+    bound = bound.agg(F.when(F.col("c_custkey") % 4 == 0, F.min("o_orderkey")).otherwise(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey"))).alias("version"))
+    orders = X.table(spark, sf_dir, "customer").join(bound, "c_custkey", "left").select(F.col("c_custkey").alias("order_id"), F.col("c_custkey").alias("symbol"), F.lit("1997-06-01").cast("timestamp").alias("at"), "version")
+    return dc.research_gate(orders, meta, scores, order_id="order_id", symbol="symbol", at="at", version="version")
 
 
 @query(

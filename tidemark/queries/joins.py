@@ -106,9 +106,9 @@ def j11_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus"))
-    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", status.alias("l_linestatus"))
-    lines = X.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").withColumnRenamed("l_suppkey", "s_suppkey")
-    both = orders.join(lines, ["o_orderkey", "l_linestatus"]).join(X.table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+    lines, known = X.table(spark, sf_dir, "lineitem"), X.table(spark, sf_dir, "supplier").select("s_suppkey")
+    both = joins.derived_key_join(X.table(spark, sf_dir, "orders"), lines, {"o_orderkey": ("o_orderkey", "l_orderkey"), "__status": (status, "l_linestatus")})
+    both = joins.derived_key_join(both, known, {"s_suppkey": ("l_suppkey", "s_suppkey")})
     return both.groupBy("o_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
 
 

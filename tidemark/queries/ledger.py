@@ -227,8 +227,10 @@ def w24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W25 = """ac AS (SELECT DISTINCT s_suppkey AS symbol, DATE '1996-01-01' + CAST(k * 200 AS INT) AS effective_date, s_suppkey * 10 + k AS action_id, CASE WHEN k = 1 THEN 1.5 ELSE 2.0 END AS m, CASE WHEN k = 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS c FROM supplier, (VALUES (0), (1)) t(k)),
- lt AS (SELECT row_number() OVER () AS id, o_custkey AS account, symbol, eff AS acquired, CAST(l_quantity AS BIGINT) AS remaining FROM shipped WHERE l_returnflag = 'N'),
- x AS (SELECT lt.*, coalesce(product(m) FILTER (effective_date > acquired), 1) AS p, coalesce(sum(round(remaining * c, 2)) FILTER (effective_date > acquired), 0) AS cash FROM lt LEFT JOIN ac USING (symbol) GROUP BY ALL)"""
+ lt AS (SELECT row_number() OVER () AS id, o_custkey AS account, symbol, eff AS acquired, CAST(l_quantity AS BIGINT) AS remaining, floor(l_extendedprice / l_quantity) AS cost FROM shipped WHERE l_returnflag = 'N'),
+ hit AS (SELECT lt.*, action_id, m, c, product(m) OVER (PARTITION BY id ORDER BY effective_date, action_id) AS p FROM lt JOIN ac USING (symbol) WHERE effective_date > acquired),
+ pos AS (SELECT account, symbol, action_id, sum(remaining * p / m) AS quantity_before, sum(remaining * p) AS a, any_value(c) AS c FROM hit GROUP BY 1, 2, 3),
+ bad AS (SELECT DISTINCT account, symbol FROM pos WHERE abs(a - round(a)) > 1e-8), tot AS (SELECT id, product(m) AS t FROM hit GROUP BY 1)"""
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,14 +238,23 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("symbol", F.date_add(F.lit("1996-01-01").cast("date"), F.col("k") * 200).alias("effective_date"), (F.col("symbol") * 10 + F.col("k")).alias("action_id"), F.when(F.col("k") == 1, 1.5).otherwise(2.0).alias("share_multiplier"), F.when(F.col("k") == 0, 0.5).alias("cash_per_share"))
 
 
-@query("w25_apply_actions", X.with_views("shipped") + f", {_W25} SELECT account, symbol, CAST(acquired AS VARCHAR) AS acquired, remaining, CAST(remaining * p AS BIGINT) AS adjusted, cash FROM x WHERE remaining * p = round(remaining * p)")
+def _acted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return lg.apply_actions(_lots(spark, sf_dir).withColumn("cost", F.col("cost").cast("double")), _actions(spark, sf_dir), cost="cost")
+
+
+@query("w25_apply_actions", X.with_views("shipped") + f", {_W25} SELECT account, symbol, CAST(acquired AS VARCHAR) AS acquired, remaining, round(cost / coalesce(t, 1), 6) AS cost, CAST(round(remaining * coalesce(t, 1)) AS BIGINT) AS adjusted FROM lt LEFT JOIN tot USING (id) WHERE (account, symbol) NOT IN (SELECT (account, symbol) FROM bad)")
 def w25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_dates(lg.apply_actions(_lots(spark, sf_dir).drop("cost"), _actions(spark, sf_dir))[0])
+    return text_dates(_acted(spark, sf_dir)[0].withColumn("cost", F.round("cost", 6)))
 
 
-@query("w25_fractions", X.with_views("shipped") + f", {_W25} SELECT account, symbol, CAST(acquired AS VARCHAR) AS acquired, remaining, cash FROM x WHERE remaining * p <> round(remaining * p)")
+@query("w25_fractions", X.with_views("shipped") + f", {_W25} SELECT account, symbol, CAST(acquired AS VARCHAR) AS acquired, remaining, cost FROM lt WHERE (account, symbol) IN (SELECT (account, symbol) FROM bad)")
 def w25_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_dates(lg.apply_actions(_lots(spark, sf_dir).drop("cost"), _actions(spark, sf_dir))[1].drop("adjusted"))
+    return text_dates(_acted(spark, sf_dir)[1].drop("adjusted"))
+
+
+@query("w25_cash", X.with_views("shipped") + f", {_W25} SELECT account, symbol, action_id, quantity_before, round(quantity_before * c, 2) AS cash FROM pos WHERE c <> 0 AND (account, symbol) NOT IN (SELECT (account, symbol) FROM bad)")
+def w25_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _acted(spark, sf_dir)[2]
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,40 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_jsonl(spark, path, "p_partkey bigint, p_brand string, p_type string")
 
 
+@query("s5_documents", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each supplier, a file each; some are cut short, some lack a name."""
+    return _documents(spark, sf_dir)[0].select("id", "name")
+
+
+@query("s5_quarantined", "SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'INVALID_JSON' ELSE 'MISSING_name' END AS reason, count(*) AS n FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 GROUP BY 1")
+def s5_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path, k = scratch(spark), F.col("s_suppkey")
+    whole = F.to_json(F.struct(k.alias("id"), F.when(k % 5 != 0, F.col("s_name")).alias("name")))
+    text = F.when(k % 7 == 0, F.concat(F.lit('{"id": '), k)).otherwise(whole)
+    X.table(spark, sf_dir, "supplier").repartition(16).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.scan_documents(spark, path, "id long, name string", ["id", "name"])
+
+
+_FILES = X.with_views("bars") + """, f AS (SELECT lpad(CAST(symbol AS VARCHAR), 6, '0') || CASE symbol % 3 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' ELSE '.BJ' END AS symbol, symbol % 3 AS v, d, close, volume FROM bars)"""
+
+
+@query("s6_symbol_files", _FILES + " SELECT symbol, CASE v WHEN 0 THEN 'SSE' ELSE 'SZSE' END AS exchange, CAST(d AS VARCHAR) AS d, CASE WHEN volume % 9 <> 0 THEN close END AS close FROM f WHERE v < 2")
+def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars as one CSV file for each symbol, read back as one table."""
+    path = scratch(spark)
+    b = X.bars(spark, sf_dir)
+    name = F.concat(F.lpad(F.col("symbol").cast("string"), 6, "0"), F.when(F.col("symbol") % 3 == 0, ".SH").when(F.col("symbol") % 3 == 1, ".SZ").otherwise(".BJ"))
+    text = b.select(name.alias("file"), F.col("d").cast("string").alias("d"), F.when(F.col("volume") % 9 == 0, "x").otherwise(F.col("close").cast("string")).alias("close"))
+    text.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    pattern = r"file=([0-9]{6})\.(SH|SZ|BJ)/"
+    return text_dates(files.scan_symbol_files(spark, path, {"d": "date", "close": "double"}, pattern)[0])
+
+
 #: Columns of a matrix file: a symbol's place in its block of symbols.
 BLOCK = 50
 
@@ -126,6 +160,19 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.check_import(df, manifest, spark.createDataFrame([("m1",)], "manifest_id string"))
 
 
+@query("s10_import", X.with_views("bars") + " SELECT CAST(symbol AS VARCHAR) AS symbol, CAST(d AS VARCHAR) AS effective_date, CAST(close AS DOUBLE) AS close FROM bars WHERE volume >= 5")
+def s10_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The append half: clean rows are appended, the same rows under a manifest with another row count are not."""
+    path = scratch(spark)
+    df = _prices(spark, sf_dir).where("NOT is_synthetic")
+    n, first, last = X.bars(spark, sf_dir).where("volume >= 5").agg(F.count("*"), F.min("d").cast("string"), F.max("d").cast("string")).collect()[0]
+    manifest = {"manifest_id": "m2", "columns": df.columns, "row_count": n, "minimum": first, "maximum": last}
+    seen = spark.createDataFrame([("m1",)], "manifest_id string")
+    files.import_dataset(df, manifest, seen, path)
+    files.import_dataset(df, {**manifest, "manifest_id": "m3", "row_count": n + 1}, seen, path)
+    return text_dates(spark.read.schema(df.schema).parquet(path).select("symbol", "effective_date", F.col("close").cast("double").alias("close")))
+
+
 @query("s11_upsert", "SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS o_orderkey FROM orders GROUP BY 1")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")

@@ -102,13 +102,13 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price factors: every order of 50 or a multiple, by the supplier its key falls to."""
-    o = X.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    return o.select((F.col("o_orderkey") / 50).cast("long").alias("__k"), F.to_date("o_orderdate").alias("effective_date"), (F.col("o_orderdate") + F.expr("interval 1 day") * (F.col("o_orderkey") % 3).cast("int")).alias("announced_at"), (1 / (1.013 + F.col("o_orderkey") % 7 / 70)).alias("factor")).select((F.col("__k") % 97 + 1).alias("symbol"), "effective_date", "announced_at", "factor")
+    """Price factors out of all orders, by the supplier their key falls to."""
+    k = F.col("o_orderkey")
+    return X.table(spark, sf_dir, "orders").select((k % 97 + 1).alias("symbol"), F.to_date("o_orderdate").alias("effective_date"), (F.col("o_orderdate") + F.expr("interval 1 day") * (k % 3).cast("int")).alias("announced_at"), (1 / (1 + (k % 7 - 3) / F.lit(7000.0))).alias("factor"))
 
 
-_ACTIONS = """actions AS (SELECT (o_orderkey // 50) % 97 + 1 AS symbol, CAST(o_orderdate AS DATE) AS effective_date, o_orderdate + to_days(CAST(o_orderkey % 3 AS INT)) AS announced_at, 1 / (1.013 + o_orderkey % 7 / 70) AS factor
- FROM orders WHERE o_orderkey % 50 = 0), usable AS (SELECT * FROM actions WHERE announced_at <= TIMESTAMP '1997-06-30' AND effective_date <= DATE '1997-06-30')"""
+_ACTIONS = """actions AS (SELECT o_orderkey % 97 + 1 AS symbol, CAST(o_orderdate AS DATE) AS effective_date, o_orderdate + to_days(CAST(o_orderkey % 3 AS INT)) AS announced_at, 1 / (1 + (o_orderkey % 7 - 3) / CAST(7000 AS DOUBLE)) AS factor
+ FROM orders), usable AS (SELECT * FROM actions WHERE announced_at <= TIMESTAMP '1997-06-30' AND effective_date <= DATE '1997-06-30')"""
 
 
 @query(
@@ -171,6 +171,35 @@ def w18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dates(ts.calendar_gaps(spans, keys=["bank", "tenor"], start="start", end="end", first="1995-01-01", last="1996-12-31"))
 
 
+_COVERAGE = """, r AS (SELECT bank % 4 AS bank, tenor, floor(rate * 100) / 100 AS rate, start, least("end", start + 10) AS e FROM rates WHERE product IS NOT NULL),
+ days AS (SELECT CAST(d AS DATE) AS d FROM unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) t(d)),
+ u AS (SELECT d, tenor, bank FROM days JOIN r ON d BETWEEN start AND e GROUP BY 1, 2, 3 HAVING count(DISTINCT rate) = 1),
+ n AS (SELECT d, tenor, count(*) AS banks FROM u GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT d, max(banks) FILTER (tenor = 3) AS banks FROM days LEFT JOIN n USING (d) GROUP BY 1)"""
+
+
+@query(
+    "w18_coverage_counts",
+    X.with_views("rates") + _COVERAGE + """ SELECT counter, count(*) AS days FROM (SELECT CASE WHEN banks IS NULL THEN 'uncovered' ELSE 'covered' END AS counter FROM b
+ UNION ALL SELECT 'covered_tenor_3' FROM b WHERE banks IS NOT NULL UNION ALL SELECT 'covered_' || banks || '_banks' FROM b WHERE banks IS NOT NULL) GROUP BY 1""",
+)
+def w18_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.rate_coverage(_coarse(spark, sf_dir), first="1995-01-01", last="1996-12-31")[0]
+
+
+@query(
+    "w18_coverage_gaps",
+    X.with_views("rates") + _COVERAGE + """, g AS (SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INT) AS g FROM b WHERE banks IS NULL)
+ SELECT CAST(min(d) AS VARCHAR) AS start, CAST(max(d) AS VARCHAR) AS "end", count(*) AS days FROM g GROUP BY g""",
+)
+def w18_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_dates(ts.rate_coverage(_coarse(spark, sf_dir), first="1995-01-01", last="1996-12-31")[1])
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of four banks in whole hundredths, valid ten days at most, so that a bank often has one rate."""
+    return X.rates(spark, sf_dir).select((F.col("bank") % 4).alias("bank"), "tenor", (F.floor(F.col("rate") * 100) / 100).alias("rate"), "start", F.least("end", F.date_add("start", 10)).alias("end"))
+
+
 @query("w21_first_of_month", "SELECT o_orderkey, o_custkey FROM orders QUALIFY CAST(o_orderdate AS DATE) = min(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate))")
 def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
