@@ -126,13 +126,92 @@ def test_lm_base_score_and_held_out_gain(result, small):
     assert out.score.sum() > out.base_score.sum()
 
 
-def test_class_probabilities_sum_to_one_at_most():
-    v = lm.Vocabulary({lm.END: 0, b"a": 1, b"b.": 2}, np.array([2, 5, 3]), 10, 3, np.array([4, 3, 1]), np.zeros(len(lm.SHAPES), int))
-    classes = np.array([lm.CLASSES + len(lm.SHAPES), 0, 1, *range(lm.CLASSES, lm.CLASSES + len(lm.SHAPES))])
-    big = np.zeros((lm.CLASSES + len(lm.SHAPES) + 1,) * 2, int)
-    big[0, 1] = big[1, 0] = 3
-    moved = lm.exchange(classes[:3], big, np.zeros((3, 2 * len(big)), int))
-    assert (moved == classes[:3]).all() and v.clustered == 3
+def _class_bigrams(texts, of, n):
+    big = np.zeros((n, n), int)
+    for words in texts:
+        before = lm.END
+        for w in words:
+            big[of(before), of(w)] += 1
+            before = w
+    return big
+
+
+def test_exchange_gains_are_those_of_the_likelihood():
+    """Of every word and class of a small corpus the gain against counting the corpus anew; rounds by turns raise the likelihood."""
+    rng = np.random.default_rng(4)
+    texts = [[b"w%d" % x for x in rng.integers(1, 30, 40) // rng.integers(1, 4)] + [lm.END] for _ in range(60)]
+    names = [lm.END, *sorted({w for t in texts for w in t} - {lm.END})]
+    at, n = {w: i for i, w in enumerate(names)}, lm.CLASSES + len(lm.SHAPES) + 1
+    classes = np.array([n - 1, *np.arange(len(names) - 1) % 5])
+
+    def counted(c):
+        big = _class_bigrams(texts, lambda w: c[at[w]], n)
+        near = np.zeros((len(names), 2 * n + 1), int)
+        for words in texts:
+            for x, y in zip([lm.END, *words], words, strict=False):
+                near[at[y], c[at[x]]] += 1
+                near[at[y], -1] += x == y
+            for x, y in zip(words, words[1:], strict=False):
+                near[at[x], n + c[at[y]]] += 1
+        return big, near
+
+    big, near = counted(classes)
+    for w in (1, 3, len(names) - 1):
+        own, left, right = near[w, -1], near[w, :n].astype(float), near[w, n:-1].astype(float)
+        left[classes[w]] -= own
+        right[classes[w]] -= own
+        rest = big.astype(float)
+        rest[:, classes[w]] -= left
+        rest[classes[w]] -= right
+        rest[classes[w], classes[w]] -= own
+        found, true = lm.gains(rest, left, right, own), []
+        for b in range(lm.CLASSES):
+            moved = classes.copy()
+            moved[w] = b
+            true.append(lm.likelihood(counted(moved)[0]))
+        assert np.allclose(found - found[0], np.array(true) - true[0])
+    rise = [lm.likelihood(big)]
+    for turn in range(4):
+        moved = lm.exchange(classes, *counted(classes), turn % 2, 2)
+        rise.append(lm.likelihood(counted(moved)[0]))
+        classes = moved if rise[-1] > max(rise[:-1]) else classes
+    assert max(rise) > rise[0]
+
+
+def test_lm_score_by_brute_force(spark, small):
+    """Each text's score from class bigrams and word counts that plain Python gathers, with the model's classes; probabilities sum to one."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    out = lm.C.bucket_of(F.col("doc_id"), 10) == 0
+    vocab = lm.vocabulary(lm.count_words(docs.where(~out), "text"), head=400)
+    encoded = lm.encode(docs, vocab, id_col="doc_id", text_col="text", held_out=out)
+    counts, model = lm.count_words(docs.where(~out), "text"), lm.train(encoded, vocab)
+    got = {r["__id"]: r["score"] for r in lm.score(encoded, counts, model).collect()}
+    tokens = {i: [*lower(t).encode().split(), lm.END] for i, t in zip(small.doc_id, small.text, strict=True)}
+    learnt = {i: ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10}
+    c, n = Counter(w for ws in learnt.values() for w in ws), lm.CLASSES + len(lm.SHAPES) + 1
+    of = lambda w: model.classes[vocab.words[w]] if w in vocab.words else lm.CLASSES + lm.shape(w)
+    big = _class_bigrams(learnt.values(), of, n)
+    inside, kinds = big.sum(0), np.bincount([of(w) for w in c if w != lm.END], minlength=n)
+    share = (inside + lm.ADD) / (inside.sum() + lm.ADD * n)
+    step = (big + lm.PULL * share) / (big.sum(1, keepdims=True) + lm.PULL)
+    assert np.allclose(step.sum(1), 1) and 300 < vocab.clustered <= 400 < len(c)
+    mass = np.zeros(n)
+    for w, k in c.items():
+        mass[of(w)] += k + lm.ADD
+    assert np.allclose((mass + lm.ADD)[: lm.CLASSES], (inside + lm.ADD * (kinds + 1))[: lm.CLASSES])  # with one unseen word of each class
+    for i, ws in tokens.items():
+        want = sum(math.log10(step[of(x), of(y)]) + math.log10((c[y] + lm.ADD) / (inside[of(y)] + lm.ADD * (kinds[of(y)] + 1))) for x, y in zip([lm.END, *ws], ws, strict=False))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+    first = np.concatenate([[n - 1], np.arange(vocab.clustered - 1) % lm.CLASSES, model.classes[vocab.clustered :]])
+    start = _class_bigrams(learnt.values(), lambda w: first[vocab.words[w]] if w in vocab.words else lm.CLASSES + lm.shape(w), n)
+    assert lm.likelihood(big) > lm.likelihood(start)
+
+
+def test_most_frequent_breaks_ties(spark):
+    tied = spark.range(20_000).selectExpr("id AS w", "IF(id < 50, 9L, 3L) AS n")
+    got = lm.C.most_frequent(tied, 1000).toPandas()
+    assert 700 < len(got) <= 1000 and (got.n == 9).sum() == 50
+    assert lm.C.most_frequent(tied, 10**6).count() == 20_000 and lm.C.most_frequent(tied.where("false"), 10).count() == 0
 
 
 def test_decontamination_paths_agree(spark):

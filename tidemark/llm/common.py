@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and everything runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir: a folder that all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -80,15 +87,21 @@ def on_key(left: DataFrame, right: DataFrame) -> Column:
 
 
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of counts (with a column n) of the greatest n, limit at most: all from some n on, found from a histogram.
+    """The rows of counts (with a column n) of the greatest n, about limit and never more: all from some n on, found from a histogram.
 
-    No task sorts or returns more than its share of them, however many rows there are.
+    No task sorts or returns more than its share of them, however many rows there are. Where the limit falls among
+    counts that are about equal, a hash of the row decides, so that many ties are not dropped together.
     """
     step = F.floor(F.log2("n") * 16)
-    least, total = None, 0
+    least, total, share = None, 0, 0.0
     for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["b"]):  # some hundred rows
-        total += r["c"]
-        if total > limit:
-            break
         least = r["b"]
-    return counts.where("false") if least is None else counts.where(step >= least)
+        if total + r["c"] > limit:
+            room = limit - total
+            share = max(0.0, room - 4 * room**0.5) / r["c"]
+            break
+        total, share = total + r["c"], 1.0
+    if least is None:
+        return counts
+    drawn = F.pmod(F.xxhash64(*sorted(c for c in counts.columns if c != "n")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    return counts.where((step > least) | ((step == least) & drawn))
