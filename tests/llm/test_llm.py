@@ -442,6 +442,25 @@ def test_licenses(result, small):
     model = licenses.train(["plain words of no licence at all", "the software was good"] * 50)
     assert model.classify("Redistribution and use in source and binary forms, with or without modification, are permitted")[0] == "BSD"
     assert model.classify("we use the software in many forms and it is provided daily") is None
+    assert [(model.classify(x) or ("",))[0] for x in ("MIT License", "License: MIT", "GPLv3", "BSD License", "a license for fishing")] == ["MIT", "MIT", "GPL", "BSD", ""]
+
+
+def test_wrapped_licenses_and_probabilities_by_brute_force(spark, small):
+    model = licenses.train([x for t in small.text.fillna("") for x in t.split("\n") if x.strip()][:1500])
+    text = "Some words before it.\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:\n\nand after"
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), model).collect()
+    assert [(r["n_paragraphs"], r["n_licensed"], r["families"]) for r in got] == [(5, 1, "BSD"), (0, 0, ""), (0, 0, "")] and got[0]["findings"].startswith("2:BSD:")
+    names = [*licenses.TEMPLATES, "unknown"]
+    for t in [x for ts in licenses.TEMPLATES.values() for x in ts] + small.text.fillna("").str[:300].tolist()[:200]:
+        words = re.findall("[a-z0-9]+", t.lower())
+        z = model.weights[-1].copy()
+        for g in {*words, *map(" ".join, zip(words, words[1:], strict=False))}:
+            z += model.weights[model.index[g]] if g in model.index else 0
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p, best = p / p.sum(), int(p[:-1].argmax())
+        passed = p[best] >= model.threshold and p[best] >= p[-1] and model.confirmed(words, names[best])
+        found = model.classify(t)
+        assert (found is None) == (not passed) and (found is None or (found[0] == names[best] and math.isclose(found[1], p[best], rel_tol=1e-9)))
 
 
 def test_language_held_out(result, small):
