@@ -217,7 +217,9 @@ def test_most_frequent_breaks_ties(spark):
 def test_decontamination_paths_agree(spark):
     docs, items = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     short = spark.createDataFrame([(900, "Erth the"), (901, "the"), (902, None), (903, "?!")], "item_id long, text string")
-    few = docs.limit(60).cache()
+    mixed = [(990, "the the the the " * 9 + "x y z " * 12 + "the the the the " * 9), (991, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2), (992, "q r s t u v w x y z a b c d e f g h"), (993, "0 " * 40)]
+    short = short.unionByName(spark.createDataFrame([(904, "the " * 20), (905, "x y z " * 7), (906, "m n o p q r s t u v w x y z a b c d"), (907, "0 " * 13)], "item_id long, text string"))
+    few = docs.limit(60).unionByName(spark.createDataFrame(mixed, "doc_id long, text string"), allowMissingColumns=True).cache()
     both = items.unionByName(short)
     a, b = (decontaminate.contamination(few, both, broadcast_windows=n).toPandas().sort_values("__id").reset_index(drop=True) for n in (10**6, 0))
     assert len(a) and a.astype(str).equals(b.astype(str))

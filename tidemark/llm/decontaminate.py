@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowed fingerprints; DataFrame functions only.
 
-Words are hashed as 5-grams and the minimum of each 9 consecutive 5-grams is kept, so two
-texts that share 13 words share the fingerprint of that window. Document windows meet
-benchmark windows by fingerprint and are then extended to the whole window: equal words
-count, equal hashes alone do not. Items of fewer than 13 words are one window, found by their
+Words are hashed as 5-grams. Of each 9 consecutive 5-grams the least is a fingerprint, written down once with its place
+for all windows that share it, so two texts that share 13 words share a fingerprint at the same place of them. Fingerprints of
+documents meet those of benchmark items, which carry the words around them, and a meeting is extended word by word to both sides: 13
+equal words and more are a hit, equal hashes alone are not. Items of fewer than 13 words are one window, found by their
 first 5-gram (or first word, under five words).
 """
 
@@ -19,8 +19,10 @@ from tidemark.llm import common as C
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in a k-gram and in a window; a window has WINDOW - K + 1 k-grams.
 K, WINDOW = 5, 13
-#: Benchmark windows up to which they are sent to every executor (about 60 bytes each).
-BROADCAST_WINDOWS = 500_000
+#: Words that a fingerprint carries on each side of its 5-gram: as many as a window that contains it can reach.
+REACH = WINDOW - K
+#: Fingerprints and short windows of the benchmark up to which they are sent to every executor (about 300 bytes each).
+BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -41,58 +43,91 @@ def _kgrams(words: Column) -> Column:
     return _each(F.size(words) - (K - 1), lambda i: F.xxhash64(*[words[i + j] for j in range(K)]))
 
 
-def _winnow(kgrams: Column) -> Column:
-    """The minimum of each WINDOW - K + 1 consecutive k-grams, one for each window of words."""
-    span = WINDOW - K + 1
-    return _each(F.size(kgrams) - (span - 1), lambda i: F.least(*[kgrams[i + j] for j in range(span)]))
+def _sliding(values: Column, pick) -> Column:
+    """pick of each WINDOW - K + 1 = 9 consecutive values: of 2, of 4, of 8, then of the ninth too."""
+
+    def step(a: Column, b: Column, apart: int) -> Column:
+        n = F.greatest(F.size(b) - apart, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + apart, n), pick)
+
+    eight = C.let(step(values, values, 1), lambda two: C.let(step(two, two, 2), lambda four: step(four, four, 4)))
+    return C.let(eight, lambda e: step(e, values, 8))
+
+
+def _prints(kgrams: Column) -> Column:
+    """The places of all k-grams that are the least of a window, ties included; none in a text without a window."""
+    edge = F.array_repeat(F.lit(-(1 << 63)).cast("bigint"), REACH)
+    highest = C.let(_sliding(kgrams, lambda a, b: F.least(a, b)), lambda m: _sliding(F.concat(edge, m, edge), lambda a, b: F.greatest(a, b)))
+    places = C.let(highest, lambda h: F.filter(F.sequence(F.lit(0), F.size(kgrams) - 1), lambda i: F.get(kgrams, i) == F.get(h, i)))
+    return F.when(F.size(kgrams) > REACH, places).otherwise(F.array().cast("array<int>"))
 
 
 def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, kind (which anchor finds it), anchor, len and words of each distinct benchmark window."""
+    """item, kind (which anchor finds it), anchor, window and left of each distinct benchmark window or fingerprint.
+
+    A fingerprint's window is its 5-gram with up to REACH words on both sides, left of them before it. Where equal
+    5-grams are the least of one window the documents' prints hold all of them, so any of the item's will do.
+    """
     base = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1)))
-    windows = base.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), WINDOW).alias("window"))
-    size = F.size("window")
-    grams = [F.xxhash64(*[F.get("window", F.lit(i + j)) for j in range(K)]) for i in range(WINDOW - K + 1)]
-    kind = F.when(size == WINDOW, "winnow").when(size >= K, "kgram").otherwise("word")
-    anchor = F.when(size == WINDOW, F.least(*grams)).when(size >= K, grams[0]).otherwise(F.xxhash64(F.col("window")[0]))
-    return windows.select("item", kind.alias("kind"), anchor.alias("anchor"), size.alias("len"), "window").distinct()
+    long = base.where(F.size("w") >= WINDOW).withColumn("g", _kgrams(F.col("w")))
+    placed = long.select("item", "w", "g", F.explode(_prints(F.col("g"))).alias("at"))
+    left = F.least(F.col("at"), F.lit(REACH))
+    prints = placed.select("item", F.lit("winnow").alias("kind"), F.get("g", F.col("at")).alias("anchor"), F.slice("w", F.col("at") - left + 1, left + WINDOW).alias("window"), left.alias("left"))
+    size = F.size("w")
+    first = F.when(size >= K, F.xxhash64(*[F.get("w", F.lit(j)) for j in range(K)])).otherwise(F.xxhash64(F.col("w")[0]))
+    short = base.where(size < WINDOW).select("item", F.when(size >= K, "kgram").otherwise("word").alias("kind"), first.alias("anchor"), F.col("w").alias("window"), F.lit(0).alias("left"))
+    return prints.unionByName(short).distinct()
 
 
-def _anchor_values(words: Column, kind: str) -> Column:
+def _anchors(words: DataFrame, kind: str) -> DataFrame:
+    """The columns of words and pos, anchor: one row for each fingerprint, or each place where a short window may start."""
     if kind == "word":
-        return F.transform(words, lambda w: F.xxhash64(w))
-    return C.let(words, lambda w: _kgrams(w) if kind == "kgram" else C.let(_kgrams(w), _winnow))
+        return words.select("*", F.posexplode(F.transform("w", lambda w: F.xxhash64(w))).alias("pos", "anchor"))
+    if kind == "kgram":
+        return words.select("*", F.posexplode(_kgrams(F.col("w"))).alias("pos", "anchor"))
+    found = C.let(_kgrams(F.col("w")), lambda g: C.let(_prints(g), lambda at: F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(g, i).alias("anchor")))))
+    return words.select("*", F.inline(found))
 
 
-def _anchors(words: DataFrame, kind: str) -> DataFrame:
-    """The columns of words and pos, anchor: one row for each place where a window of this kind may start."""
-    return words.select("*", F.posexplode(_anchor_values(F.col("w"), kind)).alias("pos", "anchor"))
+def _extended(kind: str) -> tuple[Column, Column]:
+    """(start, len) of the equal words around a meeting at pos of w and window; of a short window len is 0 unless it is there whole."""
+    if kind != "winnow":
+        n = F.size("window")
+        return F.col("pos"), F.when(F.slice("w", F.col("pos") + 1, n) == F.col("window"), n).otherwise(0)
+    start, n = F.col("pos") - F.col("left"), F.size("window")
+    same = F.transform("window", lambda x, j: F.coalesce(F.get("w", start + j) == x, F.lit(False)))
+
+    def run(flags: Column) -> Column:
+        return F.when(F.array_position(flags, False) > 0, F.array_position(flags, False).cast("int") - 1).otherwise(F.size(flags))
 
+    def grown(e: Column) -> Column:
+        before, after = run(F.reverse(F.slice(e, 1, F.col("left")))), run(F.slice(e, F.col("left") + 1, n))
+        return F.struct((F.col("pos") - before).alias("start"), F.when(after >= K, before + after).otherwise(0).alias("len"))
 
-def _same(pos: str = "pos") -> Column:
-    return F.slice("w", F.col(pos) + 1, F.col("len")) == F.col("window")
+    both = C.let(same, grown)
+    return both["start"], both["len"]
 
 
 def _hits(words: DataFrame, windows: DataFrame, kinds: list[str], small: bool) -> DataFrame:
-    """__id, __th, n_words, pos, len, item for each occurrence of a window in a document.
+    """__id, __th, n_words, pos, len, item for each run of equal words of a document and an item that holds a window.
 
     Small benchmarks are broadcast and documents stream past them. Larger ones first leave the
     documents that share a fingerprint at all, and only their hits meet the words again.
     """
     found = []
     for kind in kinds:
-        own = windows.where(F.col("kind") == kind).select("anchor", "len", "window", "item")
+        own = windows.where(F.col("kind") == kind).select("anchor", "window", "left", "item")
         if small:
-            hits = _anchors(words, kind).join(F.broadcast(own), "anchor").where(_same())
+            meets = _anchors(words, kind).join(F.broadcast(own), "anchor")  # of checked size
         else:
             prints = own.select("anchor").distinct()
-            distinct = words.select("__id", "__th", F.explode(F.array_distinct(_anchor_values(F.col("w"), kind))).alias("anchor"))
+            distinct = _anchors(words, kind).select("__id", "__th", "anchor").distinct()
             sharing = C.cut(distinct.join(prints, "anchor", "left_semi").select("__id", "__th").distinct())
             near = C.cut(words.join(sharing, C.on_key(words, sharing), "left_semi"))
-            meets = _anchors(near, kind).drop("w").join(own, "anchor").withColumnsRenamed({"__id": "__i", "__th": "__t"})
-            hits = meets.join(near, meets["__i"].eqNullSafe(near["__id"]) & (meets["__t"] == near["__th"])).where(_same())
-        found.append(hits.select("__id", "__th", F.size("w").cast("long").alias("n_words"), "pos", "len", "item"))
+            met = _anchors(near, kind).drop("w").join(own, "anchor").withColumnsRenamed({"__id": "__i", "__th": "__t"})
+            meets = met.join(near, met["__i"].eqNullSafe(near["__id"]) & (met["__t"] == near["__th"]))
+        start, length = _extended(kind)
+        found.append(meets.select("__id", "__th", F.size("w").cast("long").alias("n_words"), start.alias("__start"), length.alias("len"), "item").where(F.col("len") >= (WINDOW if kind == "winnow" else 1)).withColumnRenamed("__start", "pos"))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -131,10 +166,14 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; options as of contamination()."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("__id", "__th")
-    keyed = docs.select("*", *C.row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(bad, C.on_key(keyed, bad), "left_anti").select(*docs.columns)
+    """The rows of docs, all columns whatever their names, that are not contaminated; options as of contamination().
+
+    Null and empty texts stay, and rows of the same id and text stay or go together; without items all rows stay.
+    """
+    i, h, bi, bh = C.unused(docs, 4)
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("__id").alias(bi), F.col("__th").alias(bh))
+    keyed = docs.select("*", *[c.alias(x) for c, x in zip(C.row_key(F.col(id_col), F.col(text_col)), (i, h), strict=True)])
+    return keyed.join(bad, F.col(i).eqNullSafe(F.col(bi)) & (F.col(h) == F.col(bh)), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
