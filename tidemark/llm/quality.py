@@ -187,7 +187,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that judge() keeps; whatever their names are. Rows of the same id and text stay or go together."""
     i, h, bi, bh = C.unused(docs, 4)
-    bad = judge(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("__id").alias(bi), F.col("__th").alias(bh)).distinct()
+    judged = C.cut(judge(docs, id_col=id_col, text_col=text_col, **options).select("__id", "__th", "kept"))  # else the filter below is written out over all that leads to a distance
+    bad = judged.where(~F.col("kept")).select(F.col("__id").alias(bi), F.col("__th").alias(bh)).distinct()
     keyed = docs.select("*", *[c.alias(x) for c, x in zip(C.row_key(F.col(id_col), F.col(text_col)), (i, h), strict=True)])
     return keyed.join(bad, F.col(i).eqNullSafe(F.col(bi)) & (F.col(h) == F.col(bh)), "left_anti").select(*docs.columns)
 
