@@ -91,69 +91,80 @@ def _p() -> range:
     return range(len(VECTOR))
 
 
-def _cholesky(df: DataFrame) -> DataFrame:
-    """df with l00.., the lower triangle whose square is the covariance v00... (columns of df)."""
-    for i in _p():
-        for j in range(i + 1):
-            rest = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"v{i}{j}"))
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df
+def _cell(i: int, j: int) -> int:
+    """Place of row i, column j of a lower triangle in its array."""
+    return i * (i + 1) // 2 + j
 
 
-def _names(*kinds: str) -> list[str]:
-    return [f"m{i}" for i in _p()] * ("m" in kinds) + [f"{k}{i}{j}" for k in kinds if k != "m" for i in _p() for j in range(i + 1)]
+def _cells() -> list[tuple[int, int]]:
+    return [(i, j) for i in _p() for j in range(i + 1)]
+
+
+def _cholesky(v: Column) -> Column:
+    """The lower triangle whose square is the covariance v, cell by cell in one fold: the plan has one expression, whatever the vector's length."""
+    pair = "array<struct<a:int,b:int>>"
+    steps = [F.struct(F.lit(_cell(i, j)).alias("at"), F.lit(_cell(j, j)).alias("under"), F.lit(i == j).alias("diagonal"), F.array(*[F.struct(F.lit(_cell(i, k)).alias("a"), F.lit(_cell(j, k)).alias("b")) for k in range(j)]).cast(pair).alias("pairs")) for i, j in _cells()]
+
+    def add(done: Column, c: Column) -> Column:
+        rest = F.aggregate(c["pairs"], F.get(v, c["at"]), lambda r, p: r - F.get(done, p["a"]) * F.get(done, p["b"]))
+        return F.concat(done, F.array(F.when(c["diagonal"], F.sqrt(F.greatest(rest, F.lit(1e-12)))).otherwise(rest / F.get(done, c["under"]))))
+
+    return F.aggregate(F.array(*steps), F.array().cast("array<double>"), add)
 
 
 def _distance(df: DataFrame) -> DataFrame:
-    """df with d2, the squared Mahalanobis distance, by forward substitution."""
+    """df with d2, the squared Mahalanobis distance from m by the triangle l, by forward substitution."""
     for i, (x, _) in enumerate(VECTOR):
-        rest = reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(x) - F.col(f"m{i}"))
-        df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
+        rest = reduce(lambda a, k, i=i: a - F.col("l")[_cell(i, k)] * F.col(f"z{k}"), range(i), F.col(x) - F.col("m")[i])
+        df = df.withColumn(f"z{i}", rest / F.col("l")[_cell(i, i)])
     return df.withColumn("d2", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), _p(), F.lit(0.0))).drop(*[f"z{i}" for i in _p()])
 
 
 def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row for each stratum of rows (stratum, and the columns of VECTOR): stratum, n, m*, v* (mean and covariance), det (its log).
+    """One row for each stratum of rows (stratum, and the columns of VECTOR): stratum, n, m, v (mean, and lower triangle of the covariance), det (its log).
 
     The covariance is that of the nearest share of rows, scaled so that the median distance is a chi-square's. Medians and the
     share's distance are approximate percentiles, exact up to 10,000 rows of a stratum.
     """
     names, key = [x for x, _ in VECTOR], ["stratum", "start"]
     ridge = [(RIDGE * s) ** 2 for _, s in VECTOR]
-    centre = C.cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]))
+    means = lambda of: F.array(*[of(i) for i in _p()]).alias("m")
+    triangle = lambda of: F.array(*[of(i, j) for i, j in _cells()])
+    centre = C.cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]).select("stratum", "n", means(lambda i: F.col(f"m{i}"))))
     small = centre.count() <= BROADCAST_STRATA
     held = lambda est: rows.join(F.broadcast(est) if small else est, "stratum")  # noqa: E731  of checked size
-    mads = held(centre).groupBy("stratum").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in _p()], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
-    spread = {f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0) for i in _p() for j in range(i + 1)}
-    first = C.cut(mads.withColumns(spread).select("stratum", F.lit(0).alias("start"), *_names("m", "l")))
-    signs = held(first).withColumns({f"u{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, x in enumerate(names)})
+    mads = held(centre).groupBy("stratum").agg(F.first("m").alias("m"), *[F.percentile_approx(F.abs(F.col(x) - F.col("m")[i]), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
+    spread = triangle(lambda i, j: F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0))
+    first = C.cut(mads.select("stratum", F.lit(0).alias("start"), "m", spread.alias("l")))
+    signs = held(first).withColumns({f"u{i}": (F.col(x) - F.col("m")[i]) / F.col("l")[_cell(i, i)] for i, x in enumerate(names)})
     length = F.greatest(reduce(lambda a, i: a + F.col(f"u{i}") * F.col(f"u{i}"), _p(), F.lit(0.0)), F.lit(1e-12))
-    shape = lambda i, j: len(names) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length) * F.first(f"l{i}{i}") * F.first(f"l{j}{j}") + (ridge[i] if i == j else 0)
-    second = signs.groupBy("stratum").agg(F.lit(1).alias("start"), *[F.first(f"m{i}").alias(f"m{i}") for i in _p()], *[shape(i, j).alias(f"v{i}{j}") for i in _p() for j in range(i + 1)])
-    now = C.cut(first.unionByName(_cholesky(second).select(*key, *_names("m", "l"))))
+    second = signs.groupBy("stratum").agg(F.first("m").alias("m"), F.first("l").alias("s"), *[F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length).alias(f"c{i}{j}") for i, j in _cells()])
+    shape = triangle(lambda i, j: len(names) * F.col(f"c{i}{j}") * F.col("s")[_cell(i, i)] * F.col("s")[_cell(j, j)] + (ridge[i] if i == j else 0))
+    now = C.cut(first.unionByName(second.select("stratum", F.lit(1).alias("start"), "m", shape.alias("v")).select(*key, "m", _cholesky(F.col("v")).alias("l"))))
     for _ in range(steps):
         reach = _distance(held(now)).groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
         inner = _distance(held(now.join(reach, key))).where(F.col("d2") <= F.col("reach"))
-        core = inner.groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in _p() for j in range(i + 1)])
-        core = core.withColumns({f"v{i}{j}": F.col(f"c{i}{j}") + (ridge[i] if i == j else 0) for i in _p() for j in range(i + 1)})
-        now = C.cut(_cholesky(core).select(*key, *_names("m", "v", "l")))
-    log_det = 2 * reduce(lambda a, i: a + F.log(F.col(f"l{i}{i}")), _p(), F.lit(0.0))
-    best = now.withColumn("det", log_det).groupBy("stratum").agg(F.min_by(F.struct(*now.columns[1:], "det"), F.struct("det", "start")).alias("best"))
-    best = C.cut(best.select("stratum", "best.*").drop("start"))
+        core = inner.groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in _cells()])
+        core = core.select(*key, means(lambda i: F.col(f"m{i}")), triangle(lambda i, j: F.col(f"c{i}{j}") + (ridge[i] if i == j else 0)).alias("v"))
+        now = C.cut(core.select("*", _cholesky(F.col("v")).alias("l")))
+    log_det = 2 * reduce(lambda a, i: a + F.log(F.col("l")[_cell(i, i)]), _p(), F.lit(0.0))
+    best = now.withColumn("det", log_det).groupBy("stratum").agg(F.min_by(F.struct("m", "v", "l", "det"), F.struct("det", "start")).alias("best"))
+    best = C.cut(best.select("stratum", "best.*"))
     half = _distance(held(best)).groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("half"))
     scale = F.when(F.col("half") > 1e-6, F.col("half") / CHI2_MEDIAN).otherwise(1.0)
-    scaled = best.join(half, "stratum").withColumns({v: F.col(v) * scale for v in _names("v")})
-    return scaled.join(centre.select("stratum", "n"), "stratum").select("stratum", "n", *_names("m", "v"), "det")
+    scaled = best.join(half, "stratum").select("stratum", "m", "det", F.transform("v", lambda x: x * scale).alias("v"))
+    return scaled.join(centre.select("stratum", "n"), "stratum").select("stratum", "n", "m", "v", "det")
+
+
+def _leaning(own: Column, upper: Column | None) -> Column:
+    """Struct own (n, m, v; null: no rows) moved towards struct upper as PRIOR rows; towards a wide spread about its own mean without one."""
+    n, wide = F.coalesce(own["n"], F.lit(0)), F.array(*[F.lit((WIDE * VECTOR[i][1]) ** 2 if i == j else 0.0) for i, j in _cells()])
 
+    def moved(name: str, size: int, target: Column) -> Column:
+        nothing = F.array_repeat(F.lit(0.0), size)
+        return F.zip_with(F.coalesce(own[name], nothing), target, lambda a, b: (n * a + PRIOR * b) / (n + PRIOR)).alias(name)
 
-def _leaning(df: DataFrame, own: str, upper: str | None) -> DataFrame:
-    """df with struct own (n, m*, v*; null: no rows) moved towards struct upper as PRIOR rows; towards a wide spread about its own mean without one."""
-    n, parts = F.coalesce(F.col(f"{own}.n"), F.lit(0)), []
-    for name in _names("m", "v"):
-        i, j = int(name[1]), int(name[-1])
-        wide = F.col(f"{own}.{name}") if name[0] == "m" else F.lit((WIDE * VECTOR[i][1]) ** 2 if i == j else 0.0)
-        parts.append(((n * F.coalesce(F.col(f"{own}.{name}"), F.lit(0.0)) + PRIOR * (F.col(f"{upper}.{name}") if upper else wide)) / (n + PRIOR)).alias(name))
-    return df.withColumn(own, F.struct(n.alias("n"), *parts))
+    return F.struct(n.alias("n"), moved("m", len(VECTOR), upper["m"] if upper is not None else own["m"]), moved("v", len(_cells()), upper["v"] if upper is not None else wide))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -169,19 +180,24 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     picked = docs.select(*C.row_key(F.col(id_col), text), text.alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), lines.alias("n_lines"))
     stats = C.cut(_vector(statistics(picked, "__text").drop("__text")).withColumn("base_failed", base_failed()))
     levels = F.array(F.to_json(F.array("__lang", "__source")), F.to_json(F.array("__lang")), F.lit("[]"))
+    out = ("__id", "__th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     fit = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *[x for x, _ in VECTOR])
+    if fit.isEmpty():
+        return stats.select(*out, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     est = C.cut(mcd_estimates(fit))
     small = est.count() <= BROADCAST_STRATA
     strata = stats.select("__lang", "__source").distinct()
     for k, name in enumerate(("own", "mid", "top")):
-        level = est.select(F.col("stratum").alias("__s"), F.struct("n", *_names("m", "v")).alias(name))
+        level = est.select(F.col("stratum").alias("__s"), F.struct("n", "m", "v").alias(name))
         strata = strata.join(level, levels[k] == F.col("__s"), "left").drop("__s")
-    strata = _leaning(_leaning(_leaning(strata, "top", None), "mid", "top"), "own", "mid")
-    floors = {f"v{i}{i}": F.col(f"v{i}{i}") + VECTOR[i][1] ** 2 for i in _p()}
-    final = C.cut(_cholesky(strata.select("__lang", "__source", "own.*").withColumns(floors)).select("__lang", "__source", *_names("m", "l")))
+    for name, upper in (("top", None), ("mid", "top"), ("own", "mid")):
+        strata = C.cut(strata.withColumn(name, _leaning(F.col(name), F.col(upper) if upper else None)))
+    floors = F.array(*[F.lit(VECTOR[i][1] ** 2 if i == j else 0.0) for i, j in _cells()])
+    floored = strata.select("__lang", "__source", "own.m", F.zip_with("own.v", floors, lambda a, b: a + b).alias("v"))
+    final = C.cut(floored.select("__lang", "__source", "m", _cholesky(F.col("v")).alias("l")))
     far = _distance(stats.join(F.broadcast(final) if small else final, ["__lang", "__source"]))
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
-    return far.select("__id", "__th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
+    return far.select(*out, "d2", kept.alias("kept"))
 
 
 def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
