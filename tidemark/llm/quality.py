@@ -11,8 +11,6 @@ than any other; only rows of estimates are ever joined back.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,24 +98,19 @@ def _cells() -> list[tuple[int, int]]:
     return [(i, j) for i in _p() for j in range(i + 1)]
 
 
-def _cholesky(v: Column) -> Column:
-    """The lower triangle whose square is the covariance v, cell by cell in one fold: the plan has one expression, whatever the vector's length."""
-    pair = "array<struct<a:int,b:int>>"
-    steps = [F.struct(F.lit(_cell(i, j)).alias("at"), F.lit(_cell(j, j)).alias("under"), F.lit(i == j).alias("diagonal"), F.array(*[F.struct(F.lit(_cell(i, k)).alias("a"), F.lit(_cell(j, k)).alias("b")) for k in range(j)]).cast(pair).alias("pairs")) for i, j in _cells()]
-
-    def add(done: Column, c: Column) -> Column:
-        rest = F.aggregate(c["pairs"], F.get(v, c["at"]), lambda r, p: r - F.get(done, p["a"]) * F.get(done, p["b"]))
-        return F.concat(done, F.array(F.when(c["diagonal"], F.sqrt(F.greatest(rest, F.lit(1e-12)))).otherwise(rest / F.get(done, c["under"]))))
-
-    return F.aggregate(F.array(*steps), F.array().cast("array<double>"), add)
+def _cholesky(v: str) -> Column:
+    """The lower triangle whose square is the covariance in column v, cell by cell in one fold: the plan has one expression, whatever the vector's length."""
+    pairs = lambda i, j: ", ".join(f"named_struct('a', {_cell(i, k)}, 'b', {_cell(j, k)})" for k in range(j))
+    cells = ", ".join(f"named_struct('at', {_cell(i, j)}, 'under', {_cell(j, j)}, 'diagonal', {i == j}, 'pairs', CAST(array({pairs(i, j)}) AS ARRAY<STRUCT<a: INT, b: INT>>))" for i, j in _cells())
+    rest = f"aggregate(c.pairs, get({v}, c.at), (r, p) -> r - get(done, p.a) * get(done, p.b))"
+    return F.expr(f"aggregate(array({cells}), CAST(array() AS ARRAY<DOUBLE>), (done, c) -> concat(done, array(IF(c.diagonal, sqrt(greatest({rest}, 1e-12D)), {rest} / get(done, c.under)))))")
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """df with d2, the squared Mahalanobis distance from m by the triangle l, by forward substitution."""
     for i, (x, _) in enumerate(VECTOR):
-        rest = reduce(lambda a, k, i=i: a - F.col("l")[_cell(i, k)] * F.col(f"z{k}"), range(i), F.col(x) - F.col("m")[i])
-        df = df.withColumn(f"z{i}", rest / F.col("l")[_cell(i, i)])
-    return df.withColumn("d2", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), _p(), F.lit(0.0))).drop(*[f"z{i}" for i in _p()])
+        df = df.withColumn(f"z{i}", F.expr(f"({x} - m[{i}]{''.join(f' - l[{_cell(i, k)}] * z{k}' for k in range(i))}) / l[{_cell(i, i)}]"))
+    return df.withColumn("d2", F.expr(" + ".join(["0.0D", *(f"z{i} * z{i}" for i in _p())]))).drop(*[f"z{i}" for i in _p()])
 
 
 def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS) -> DataFrame:
@@ -128,26 +121,27 @@ def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS)
     """
     names, key = [x for x, _ in VECTOR], ["stratum", "start"]
     ridge = [(RIDGE * s) ** 2 for _, s in VECTOR]
-    means = lambda of: F.array(*[of(i) for i in _p()]).alias("m")
-    triangle = lambda of: F.array(*[of(i, j) for i, j in _cells()])
-    centre = C.cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(names)]).select("stratum", "n", means(lambda i: F.col(f"m{i}"))))
+    means = lambda of: F.expr(f"array({', '.join(map(of, _p()))}) AS m")
+    triangle = lambda of, name: F.expr(f"array({', '.join(of(i, j) for i, j in _cells())}) AS {name}")
+    each = lambda of: [F.expr(of(i, x)) for i, x in enumerate(names)]
+    centre = C.cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *each(lambda i, x: f"percentile_approx({x}, 0.5D) AS m{i}")).select("stratum", "n", means(lambda i: f"m{i}")))
     small = centre.count() <= BROADCAST_STRATA
     held = lambda est: rows.join(F.broadcast(est) if small else est, "stratum")  # noqa: E731  of checked size
-    mads = held(centre).groupBy("stratum").agg(F.first("m").alias("m"), *[F.percentile_approx(F.abs(F.col(x) - F.col("m")[i]), 0.5).alias(f"a{i}") for i, x in enumerate(names)])
-    spread = triangle(lambda i, j: F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + VECTOR[i][1] ** 2) if i == j else F.lit(0.0))
-    first = C.cut(mads.select("stratum", F.lit(0).alias("start"), "m", spread.alias("l")))
-    signs = held(first).withColumns({f"u{i}": (F.col(x) - F.col("m")[i]) / F.col("l")[_cell(i, i)] for i, x in enumerate(names)})
-    length = F.greatest(reduce(lambda a, i: a + F.col(f"u{i}") * F.col(f"u{i}"), _p(), F.lit(0.0)), F.lit(1e-12))
-    second = signs.groupBy("stratum").agg(F.first("m").alias("m"), F.first("l").alias("s"), *[F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length).alias(f"c{i}{j}") for i, j in _cells()])
-    shape = triangle(lambda i, j: len(names) * F.col(f"c{i}{j}") * F.col("s")[_cell(i, i)] * F.col("s")[_cell(j, j)] + (ridge[i] if i == j else 0))
-    now = C.cut(first.unionByName(second.select("stratum", F.lit(1).alias("start"), "m", shape.alias("v")).select(*key, "m", _cholesky(F.col("v")).alias("l"))))
+    mads = held(centre).groupBy("stratum").agg(F.first("m").alias("m"), *each(lambda i, x: f"percentile_approx(abs({x} - m[{i}]), 0.5D) AS a{i}"))
+    spread = triangle(lambda i, j: f"sqrt(power(a{i} * 1.4826D, 2) + {VECTOR[i][1] ** 2!r}D)" if i == j else "0.0D", "l")
+    first = C.cut(mads.select("stratum", F.lit(0).alias("start"), "m", spread))
+    signs = held(first).withColumns({f"u{i}": F.expr(f"({x} - m[{i}]) / l[{_cell(i, i)}]") for i, x in enumerate(names)})
+    length = f"greatest({' + '.join(['0.0D', *(f'u{i} * u{i}' for i in _p())])}, 1e-12D)"
+    second = signs.groupBy("stratum").agg(F.first("m").alias("m"), F.first("l").alias("s"), *[F.expr(f"avg(u{i} * u{j} / {length}) AS c{i}{j}") for i, j in _cells()])
+    shape = triangle(lambda i, j: f"{len(names)} * c{i}{j} * s[{_cell(i, i)}] * s[{_cell(j, j)}]" + (f" + {ridge[i]!r}D" if i == j else ""), "v")
+    now = C.cut(first.unionByName(second.select("stratum", F.lit(1).alias("start"), "m", shape).select(*key, "m", _cholesky("v").alias("l"))))
     for _ in range(steps):
         reach = _distance(held(now)).groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
         inner = _distance(held(now.join(reach, key))).where(F.col("d2") <= F.col("reach"))
-        core = inner.groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in _cells()])
-        core = core.select(*key, means(lambda i: F.col(f"m{i}")), triangle(lambda i, j: F.col(f"c{i}{j}") + (ridge[i] if i == j else 0)).alias("v"))
-        now = C.cut(core.select("*", _cholesky(F.col("v")).alias("l")))
-    log_det = 2 * reduce(lambda a, i: a + F.log(F.col("l")[_cell(i, i)]), _p(), F.lit(0.0))
+        core = inner.groupBy(key).agg(*each(lambda i, x: f"avg({x}) AS m{i}"), *[F.expr(f"covar_pop({names[i]}, {names[j]}) AS c{i}{j}") for i, j in _cells()])
+        core = core.select(*key, means(lambda i: f"m{i}"), triangle(lambda i, j: f"c{i}{j}" + (f" + {ridge[i]!r}D" if i == j else ""), "v"))
+        now = C.cut(core.select("*", _cholesky("v").alias("l")))
+    log_det = F.expr(f"2 * ({' + '.join(['0.0D', *(f'ln(l[{_cell(i, i)}])' for i in _p())])})")
     best = now.withColumn("det", log_det).groupBy("stratum").agg(F.min_by(F.struct("m", "v", "l", "det"), F.struct("det", "start")).alias("best"))
     best = C.cut(best.select("stratum", "best.*"))
     half = _distance(held(best)).groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("half"))
@@ -158,7 +152,7 @@ def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS)
 
 def _leaning(own: Column, upper: Column | None) -> Column:
     """Struct own (n, m, v; null: no rows) moved towards struct upper as PRIOR rows; towards a wide spread about its own mean without one."""
-    n, wide = F.coalesce(own["n"], F.lit(0)), F.array(*[F.lit((WIDE * VECTOR[i][1]) ** 2 if i == j else 0.0) for i, j in _cells()])
+    n, wide = F.coalesce(own["n"], F.lit(0)), F.lit([(WIDE * VECTOR[i][1]) ** 2 if i == j else 0.0 for i, j in _cells()])
 
     def moved(name: str, size: int, target: Column) -> Column:
         nothing = F.array_repeat(F.lit(0.0), size)
@@ -192,9 +186,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         strata = strata.join(level, levels[k] == F.col("__s"), "left").drop("__s")
     for name, upper in (("top", None), ("mid", "top"), ("own", "mid")):
         strata = C.cut(strata.withColumn(name, _leaning(F.col(name), F.col(upper) if upper else None)))
-    floors = F.array(*[F.lit(VECTOR[i][1] ** 2 if i == j else 0.0) for i, j in _cells()])
+    floors = F.lit([VECTOR[i][1] ** 2 if i == j else 0.0 for i, j in _cells()])
     floored = strata.select("__lang", "__source", "own.m", F.zip_with("own.v", floors, lambda a, b: a + b).alias("v"))
-    final = C.cut(floored.select("__lang", "__source", "m", _cholesky(F.col("v")).alias("l")))
+    final = C.cut(floored.select("__lang", "__source", "m", _cholesky("v").alias("l")))
     far = _distance(stats.join(F.broadcast(final) if small else final, ["__lang", "__source"]))
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
     return far.select(*out, "d2", kept.alias("kept"))
