@@ -16,6 +16,8 @@ from tidemark.llm import common as C
 
 #: Common lines (two hashes and a place each) up to which they are sent to every executor; beyond that they are joined.
 BROADCAST_LINES = 500_000
+#: Columns that dedup_lines() adds.
+OWN = ("n_lines", "n_dropped", "keep_runs", "kept_text")
 
 
 def _lines(text: Column) -> Column:
@@ -71,8 +73,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Columns of docs with those names are replaced.
     """
-    own = ("n_lines", "n_dropped", "keep_runs", "kept_text")
-    names = [c for c in docs.columns if c not in own]
+    names = [c for c in docs.columns if c not in OWN]
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, keep=keep, min_chars=min_chars)
     i, h, bi, bh = C.unused(docs, 4)
     left = docs.select(*names, *[c.alias(x) for c, x in zip(C.row_key(F.col(id_col), F.col(text_col)), (i, h), strict=True)])
