@@ -29,8 +29,10 @@ BLOCK, OPEN, PART = 1 << 19, 1 << 22, 1 << 18
 #: A tile has 2**BITS ids on each side. It is counted densely from so many pairs of a block on (a fixed share of its cells).
 BITS = 9
 DENSE = (1 << 2 * BITS) // 16
+#: Blocks that a worker gets at once (a few MB each).
+ROWS = 4
 #: Distinct pairs that a task holds before it sends them on, and tokens of the corpus for each slice that they are dealt out to.
-HELD, SLICE = 1 << 21, 1 << 20
+HELD, SLICE = 1 << 20, 1 << 20
 #: Frequent phrases of one length up to which all their ids go to every worker (12 bytes each); beyond that each block fetches those it has by a join.
 SENT = 1_000_000
 
@@ -109,7 +111,7 @@ def ranked(counts: DataFrame, *key: str) -> DataFrame:
 
 
 def word_ids(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Written once: the blocks (lang, block, w, c) with the ids of words (lang, word, id), 0 for breaks and all other words; runs of 0 are one."""
+    """Written once: the blocks (lang, block, w, c) with w the ids (int32) of words (lang, word, id), 0 for breaks and all other words; runs of 0 are one. An empty c stands for w."""
     own = blocks.select("lang", "block", F.posexplode("words").alias("pos", "word")).withColumn("word", F.col("word").cast("string"))
     known = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("known"))
 
@@ -118,15 +120,15 @@ def word_ids(blocks: DataFrame, words: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, block, ids, size, known = (batch.column(k)[i] for k in range(5))
-                table = np.zeros(size.as_py() + 1, np.int64)
+                table = np.zeros(size.as_py() + 1, np.int32)
                 if known.is_valid:
                     pairs = known.values
                     table[pairs.field(0).to_numpy(zero_copy_only=False) + 1] = pairs.field(1).to_numpy(zero_copy_only=False)
                 w = table[np.frombuffer(ids.as_py(), np.int32)]
                 w = w[(w != 0) | np.concatenate([[True], w[:-1] != 0])]
-                yield _row(schema, lang.as_py(), block.as_py(), (raw := w.astype("<i8").tobytes()), raw)
+                yield _row(schema, lang.as_py(), block.as_py(), w.tobytes(), b"")
 
-    C.small_batches(blocks.sparkSession, 16)
+    C.small_batches(blocks.sparkSession, ROWS)
     slim = blocks.select("lang", "block", "ids", F.size("words").alias("size"))
     return C.cut(slim.join(known, "block", "left").select("lang", "block", "ids", "size", "known").mapInArrow(run, _LEVEL))
 
@@ -135,7 +137,11 @@ def _pairs(w: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     """Places at which phrases of k + 1 words start of which both parts of k words are frequent, and their keys: the first part's id, then the last word's."""
     at = np.flatnonzero((c[:-1] != 0) & (c[1:] != 0))
     at = at[at + k < len(w)]
-    return at, (c[at] << 32) | w[at + k]
+    return at, (c[at].astype(np.int64) << 32) | w[at + k]
+
+
+def _arrays(w: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(w, np.int32), np.frombuffer(c or w, np.int32)
 
 
 def tile_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +197,7 @@ def _phrase_counts(level: DataFrame, k: int, least: int, slices: int) -> DataFra
 
         for batch in batches:
             for lang, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, keys = _pairs(np.frombuffer(w, "<i8"), np.frombuffer(c, "<i8"), k)
+                _, keys = _pairs(*_arrays(w, c), k)
                 if len(keys):
                     held[lang].append(tile_counts(keys))
                     total += len(held[lang][-1][0])
@@ -207,7 +213,7 @@ def _phrase_counts(level: DataFrame, k: int, least: int, slices: int) -> DataFra
         keep = counts >= least
         return pa.table([pa.array([table.column("lang")[0].as_py()] * int(keep.sum()), pa.string()), pa.array(keys[keep]), pa.array(counts[keep])], schema=out)
 
-    C.small_batches(level.sparkSession, 16)
+    C.small_batches(level.sparkSession, ROWS)
     tasks = level.select("lang", "w", "c").mapInArrow(count_blocks, "lang string, slice long, keys binary, counts binary")
     return tasks.groupBy("lang", "slice").applyInArrow(sum_slice, "lang string, key long, n long")
 
@@ -222,10 +228,10 @@ def _next_level(level: DataFrame, found: DataFrame, k: int, sent: int) -> DataFr
                 for i in range(batch.num_rows):
                     lang, block, w, c = (batch.column(x)[i].as_py() for x in range(4))
                     names, ids = of(lang, batch.column(4)[i] if batch.num_columns > 4 else None)
-                    w, c = np.frombuffer(w, "<i8"), np.frombuffer(c, "<i8")
+                    w, c = _arrays(w, c)
                     at, keys = _pairs(w, c, k)
                     place = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
-                    new = np.zeros(len(w), np.int64)
+                    new = np.zeros(len(w), np.int32)
                     if len(names):
                         new[at] = np.where(names[place] == keys, ids[place], 0)
                     covered = np.zeros(len(w), bool)
@@ -236,7 +242,7 @@ def _next_level(level: DataFrame, found: DataFrame, k: int, sent: int) -> DataFr
 
         return run
 
-    C.small_batches(level.sparkSession, 16)
+    C.small_batches(level.sparkSession, ROWS)
     if found.count() <= sent:
         tables = {}
         for r in found.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("key", "id"))).alias("x")).toArrow().to_batches():  # sent rows at most
@@ -248,7 +254,7 @@ def _next_level(level: DataFrame, found: DataFrame, k: int, sent: int) -> DataFr
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, block, w, c in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
-                keys = np.unique(_pairs(np.frombuffer(w, "<i8"), np.frombuffer(c, "<i8"), k)[1])
+                keys = np.unique(_pairs(*_arrays(w, c), k)[1])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), block)), pa.array(keys, pa.int64())], names=["lang", "block", "key"])
 
     asked = level.mapInArrow(wanted, "lang string, block long, key long")
