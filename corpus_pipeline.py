@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import cut, read
+from tidemark.llm.common import cut, read, unused
 
 #: A line goes from all but its first document once so many documents hold it.
 LINE_DOCS = 10
@@ -31,11 +31,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null text becomes an empty one; a document may be left without a line. Rows of the same id and text count as one document
     and are treated alike.
     """
-    names = docs.columns
-    done = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep="first")
-    made = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    found = done.withColumns(made)
-    return found.select(*[found[c] for c in names])
+    own = [c for c in docs.columns if c.lower() in line_dedup.OWN]
+    aside = dict(zip(own, unused(docs, len(own)), strict=True))  # columns that only share a name with what the operator adds
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(aside), min_docs=LINE_DOCS, keep="first")
+    made = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.withColumns(made).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -519,25 +519,64 @@ def test_joined_and_sent_lines_agree(spark):
         assert a == b and a
 
 
-def test_odd_and_empty_tables(spark, odd, empty):
+OPERATORS = {
+    "lines": lambda d: line_dedup.dedup_lines(d), "lines_none": lambda d: line_dedup.dedup_lines(d, keep="none"), "secrets": lambda d: secrets.scan(d),
+    "lm": lambda d: lm.score_documents(d), "near": lambda d: near_dedup.near_duplicates(d), "languages": lambda d: langid.identify(d, langid.train(d)),
+    "licenses": lambda d: licenses.scan(d, licenses.train(licenses.sample_paragraphs(d))), "judge": lambda d: quality.judge(d),
+}
+CLASHES = ("n_words", "n_lines", "n_dropped", "kept", "kept_text", "keep_runs", "score", "node", "w", "key", "n", "item")
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(odd, empty, name):
+    for d in (odd, empty):
+        assert OPERATORS[name](d.withColumns({c: F.lit(0) for c in CLASHES})).count() == d.count()
+
+
+def test_decontamination_of_odd_tables(spark, odd):
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
-    ops = {
-        "lines": lambda d: line_dedup.dedup_lines(d), "lines_none": lambda d: line_dedup.dedup_lines(d, keep="none"), "secrets": lambda d: secrets.scan(d),
-        "lm": lambda d: lm.score_documents(d), "near": lambda d: near_dedup.near_duplicates(d), "languages": lambda d: langid.identify(d, langid.train(d)),
-        "licenses": lambda d: licenses.scan(d, licenses.train(licenses.sample_paragraphs(d))), "judge": lambda d: quality.judge(d),
-    }
-    for name, op in ops.items():
-        for d in (odd, empty):
-            clash = d.withColumns({c: F.lit(0) for c in ("n_words", "n_lines", "kept", "keep_runs", "score", "node", "w", "key", "n", "item")})
-            assert op(clash).count() == d.count(), name
     assert decontaminate.drop_contaminated(odd, bench).count() == odd.count() and decontaminate.drop_contaminated(odd, bench.where("false")).count() == odd.count()
-    assert packing.pack(packing.encode(empty)).count() == 0 and packing.pack(packing.encode(odd)).groupBy("doc_id").count().count() == odd.select("doc_id").distinct().count()
+
+
+def test_packing_of_odd_tables(odd, empty):
+    assert packing.pack(packing.encode(empty)).count() == 0 and packing.pack(packing.encode(odd.withColumns({c: F.lit(0) for c in CLASHES}))).groupBy("doc_id").count().count() == odd.select("doc_id").distinct().count()
+
+
+def test_results_of_odd_tables(odd):
     lines = {(r["doc_id"], r["kept_text"]) for r in line_dedup.dedup_lines(odd).collect()}
     assert {(1, ""), (5, "same text"), (6, ""), (5, "other text")} <= lines
     near = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (5, 5), (6, 5), (4, 4)} <= near
 
 
+def test_quality_of_tables_that_fail_whole(spark, odd):
+    """No row shapes an estimate: no distance, nothing kept, by the operator and by the stage; so does a table with a single good row, which is kept."""
+    import corpus_pipeline
+
+    short = odd.where("length(text) < 1000 OR text IS NULL")
+    assert {(r["base_failed"], r["d2"], r["kept"]) for r in quality.judge(short).collect()} == {(True, None, False)}
+    assert corpus_pipeline.quality_rules(spark, short, SF_DIR).count() == 0
+    one = short.unionAll(spark.createDataFrame([(9, " ".join(f"w{i}" for i in range(80)), None, None, 1)], SCHEMA))
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, one, SF_DIR).collect()] == [9]
+
+
+def test_line_stage_leaves_other_columns_alone(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "common line\nown %d" % i, "en", "a", 99, 77, "x") for i in range(12)], SCHEMA + ", n_lines long, kept_text string")
+    got = corpus_pipeline.line_dedup_stage(spark, docs, SF_DIR).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, "common line\nown 0" if i == 0 else f"own {i}", "en", "a", 17 if i == 0 else len(f"own {i}"), 77, "x") for i in range(12)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, k):
+    import corpus_pipeline
+
+    for d in (odd, empty):
+        out = corpus_pipeline.STAGES[k][1](spark, d, SF_DIR)
+        assert (out.columns == d.columns or k == 4) and out.count() <= max(d.count(), 30) and (out.count() > 0 or k == 0 or d is empty)
+
+
 def test_tokens_of_odd_tables(spark, odd, empty, tmp_path):
     for k, d in enumerate((odd, empty)):
         folder = str(tmp_path / str(k))
