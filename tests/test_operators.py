@@ -250,5 +250,5 @@ def test_coverage_takes_unique_rates_of_two_banks(spark):
     rows = [("A", 3, 0.03, day(0), day(9)), ("B", 3, 0.031, day(0), day(5)), ("B", 3, 0.032, day(2), day(2)), ("A", 5, 0.04, day(5), day(7)), ("C", 5, 0.04, day(5), day(7)), ("C", 5, 0.04, day(6), day(8)), ("D", 3, 0.03, None, day(9))]
     obs = spark.createDataFrame(rows, "bank string, tenor long, rate double, start date, end date")
     counts, gaps = ts.rate_coverage(obs, first="2017-12-28", last="2018-01-06")
-    assert {r["counter"]: r["days"] for r in counts.collect()} == {"covered": 7, "uncovered": 3, "covered_2_banks": 7, "covered_tenor_3": 4, "covered_tenor_5": 3}
+    assert {r["counter"]: r["n"] for r in counts.collect()} == {"covered_calendar_days": 7, "uncovered_calendar_days": 3, "covered_2_bank_days": 7, "covered_tenor_3y_days": 4, "covered_tenor_5y_days": 3, "uncovered_range_count": 2}
     assert sorted((r["start"], r["end"], r["days"]) for r in gaps.collect()) == [(day(2), day(2), 1), (day(8), day(9), 2)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,11 +64,22 @@ def interval_asof(probe: DataFrame, rules: DataFrame, *, date: str, signal: str,
     A rule is valid from start to end (null: open) for its venue or for ALL. The latest by (start,
     known) of each side and component counts, and a side's own rule beats one for BOTH. A component without a
     rule for a side gives no row; missing_components() lists those.
+
+    A probe asks for its venue and for ALL, so venues meet by equality. A rule's days are cut into binary blocks (two a level at most) and a date looks its
+    LEVELS blocks up; in a block, rules and probes are one stream by when they were known, where a running maximum answers.
+    No rule is paired with a date. Rules without start or known are never in force.
     """
-    p = probe.select(date, signal, venue).distinct()
-    r = rules.select(F.col(venue).alias("__venue"), F.col(side).alias("__side"), F.col(component).alias("component"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(known).alias("__k"), F.col(value).alias("__v"))
-    live = p.join(r, F.col("__venue").isin("ALL") | (F.col("__venue") == F.col(venue))).where((F.col("__s") <= F.col(date)) & (F.col("__e").isNull() | (F.col(date) <= F.col("__e"))) & (F.col("__k") <= F.col(signal)))
-    latest = live.groupBy(date, venue, "component", "__side").agg(F.max(F.struct("__s", "__k", "__v")).alias("b"))
+    asked = probe.select(date, signal, venue).where(F.col(date).isNotNull() & F.col(signal).isNotNull() & F.col(venue).isNotNull()).distinct()
+    asked = asked.withColumn("__in", F.explode(F.array_distinct(F.array(F.col(venue), F.lit("ALL")))))
+    whole = rules.where(F.col(start).isNotNull() & F.col(known).isNotNull())
+    r = whole.select(F.col(venue).alias("__in"), F.col(side).alias("__side"), F.col(component).alias("component"), F.col(start).alias("__s"), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")).alias("__e"), F.col(known).alias("__k"), F.col(value).alias("__v"))
+    kinds = r.select("__in", "__side", "component").distinct()
+    at, order = F.array(*[_block(k, F.shiftright(_day(date), k)) for k in range(LEVELS)]), ["__in", "__side", "component", "__b"]
+    asks = asked.join(kinds, "__in").select("__in", "__side", "component", F.explode(at).alias("__b"), F.col(signal).cast("timestamp").alias("__at"), F.lit(1).alias("__ask"), F.struct(date, venue).alias("__p"))
+    seen = r.select("__in", "__side", "component", F.explode(_blocks(_day("__s"), _day("__e"))).alias("__b"), F.col("__k").cast("timestamp").alias("__at"), F.lit(0).alias("__ask"), F.struct("__s", "__k", "__v").alias("__f"))
+    stream = Window.partitionBy(*order).orderBy("__at", "__ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    live = seen.unionByName(asks, allowMissingColumns=True).withColumn("__best", F.max("__f").over(stream)).where("__ask = 1 AND __best IS NOT NULL")
+    latest = live.groupBy(F.col(f"__p.{date}").alias(date), F.col(f"__p.{venue}").alias(venue), "component", "__side").agg(F.max("__best").alias("b"))
     made = latest.groupBy(date, venue, "component").agg(*[F.coalesce(F.max(F.when(F.col("__side") == s, F.col("b.__v"))), F.max(F.when(F.col("__side") == "BOTH", F.col("b.__v")))).alias(s) for s in sides])
     return made.unpivot([date, venue, "component"], list(sides), "side", value).where(F.col(value).isNotNull())
 
@@ -213,11 +225,21 @@ def resolved_when_later(years: DataFrame, *, keys: Sequence[str], year: str = "f
 
 
 def median_of_newest(probe: DataFrame, years: DataFrame, *, keys: Sequence[str], date: str = "d", year: str = "fiscal_year", known: str = "known", value: str = "total", n: int = 3, alias: str = "median") -> DataFrame:
-    """Probe with the median of its keys' n newest years known at its date; null unless there are n."""
+    """Probe with the median of its keys' n newest years known at its date; null unless there are n.
+
+    Years and probes merge into one stream by when a year was known, whose state is the n newest so far: the newest is a running maximum, the
+    next one that of what it leaves over, and so on, all in one order. Years should be unique by keys and year.
+    """
     keys = list(keys)
-    p = probe.select(*keys, date).distinct()
-    y = years.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(year).alias("__y"), F.col(known).alias("__k"), F.col(value).alias("__v"))
-    seen = p.join(y, [p[k] == y[f"__{k}"] for k in keys]).where(F.col("__k") <= F.col(date))
-    newest = seen.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, date).orderBy(F.desc("__y")))).where(F.col("__r") <= n)
-    found = newest.groupBy(*keys, date).agg(F.when(F.count("*") == n, F.percentile("__v", F.lit(0.5))).alias(alias))
-    return probe.join(found, [*keys, date], "left")
+    facts = years.where(F.col(known).isNotNull()).select(*keys, F.col(known).alias("__at"), F.lit(0).alias("__ask"), F.struct(F.col(year).alias("y"), F.col(value).cast("double").alias("v")).alias("__x"))
+    asks = probe.select(*keys, F.col(date).alias("__at"), F.lit(1).alias("__ask"), F.struct(*probe.columns).alias("__p"))
+    stream = Window.partitionBy(*keys).orderBy("__at", "__ask")
+    upto, before = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow), stream.rowsBetween(Window.unboundedPreceding, -1)
+    both = facts.unionByName(asks, allowMissingColumns=True)
+    for k in range(n):  # the k-th newest is the running maximum of what those before it leave over
+        held = F.max("__x").over(before)
+        both = both.withColumn("__left", F.when(F.col("__x").isNotNull() & held.isNotNull(), F.least("__x", held))).withColumn(f"__t{k}", F.max("__x").over(upto)).withColumn("__x", F.col("__left"))
+    values = F.array_sort(F.array_compact(F.array(*[F.col(f"__t{k}.v") for k in range(n)])))
+    middle = (F.get(values, F.floor((F.size(values) - 1) / 2).cast("int")) + F.get(values, F.ceil((F.size(values) - 1) / 2).cast("int"))) / 2
+    usable = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("__at").isNotNull())
+    return both.where("__ask = 1").select("__p.*", F.when(usable & F.col(f"__t{n - 1}").isNotNull(), middle).alias(alias))

@@ -1,4 +1,4 @@
-"""Cross-sectional screening: every window is partitioned by as_of, so many dates score at once."""
+"""Cross-sectional screening: many dates score at once, ranks come from counts by value range, and top rows are cut in each task before they meet by date."""
 
 from __future__ import annotations
 
@@ -44,17 +44,42 @@ def hard_failures(rows: DataFrame, policy: Mapping = POLICY, *, price: str = "la
 
 
 def top_n(rows: DataFrame, n: int, *, by: Sequence[Column], within: Sequence[str] = ("as_of",), alias: str = "rank") -> DataFrame:
-    """K2: the first n rows of each date by the given order, ranked from 1."""
+    """K2: the first n rows of each date by the given order, ranked from 1. Each task keeps its own first n rows of a date before they meet."""
     return rows.withColumn(alias, F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col(alias) <= n)
 
 
-def mid_rank(field: str, *, within: Sequence[str] = ("as_of",), inverted: bool = False) -> Column:
-    """K3: mid-rank percentile of field among its non-null values (0 to 100); null where it is null."""
-    value = F.col(field)
-    below = F.rank().over(Window.partitionBy(*within).orderBy(value.asc_nulls_last())) - 1
-    equal = F.count(value).over(Window.partitionBy(*within, field))
-    score = (below + 0.5 * equal) / F.count(value).over(Window.partitionBy(*within)) * 100
-    return F.when(value.isNotNull(), 100 - score if inverted else score)
+#: Value ranges of an octave (of the values between a number and its double): counts are summed up by range before values are ranked within.
+RANGES = 256
+
+
+def _range_of(value: str) -> Column:
+    """A number that grows with value, the same for values of one range; zero, both infinities and NaN are ranges of their own."""
+    size = f"floor((log2(least(abs({value}), 1.7976931348623157E308D)) + 1100) * {RANGES})"
+    return F.expr(f"CASE WHEN isnan({value}) THEN 10000000 WHEN {value} = 0 THEN 0 ELSE CAST(signum({value}) AS BIGINT) * ({size} + IF(abs({value}) > 1.7976931348623157E308D, 1, 0)) END")
+
+
+def mid_ranks(rows: DataFrame, fields: Mapping[str, bool], *, within: Sequence[str] = ("as_of",), prefix: str = "rank_") -> DataFrame:
+    """K3: rows with prefix + field for each of fields (name: inverted), the mid-rank percentile (0 to 100) among the field's non-null values; null where it is null.
+
+    Ranks come from counts: distinct values of all fields are counted at once (in part before any shuffle, so ties of any number are one row), counts are summed by value
+    range, a running sum over ranges tells what lies below each, and values are ranked within their range only. No date's
+    cross-section is ever in one task. Values are compared as double. Repeated rows all count and all come back.
+    """
+    within, names = list(within), list(fields)
+    row, where = F.struct(*rows.columns), ", ".join([*within, "k"])
+    entries = [F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("v"), row.alias("row"))] + [F.struct(F.lit(i).alias("k"), F.col(f).cast("double").alias("v"), F.when(F.lit(False), row).alias("row")) for i, f in enumerate(names)]
+    long = rows.select(*within, F.sha2(F.to_json(row), 256).alias("id"), F.explode(F.array(*entries)).alias("p")).select(*within, "id", "p.k", "p.v", "p.row")
+    counts = long.where("v IS NOT NULL").groupBy(*within, "k", "v").agg(F.count("*").alias("n")).withColumn("s", _range_of("v"))
+    ranges = counts.groupBy(*within, "k", "s").agg(F.sum("n").alias("n"))
+    ranges = ranges.selectExpr(*within, "k", "s", f"coalesce(sum(n) OVER (PARTITION BY {where} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below", f"sum(n) OVER (PARTITION BY {where}) AS total")
+    inner = counts.withColumn("inner", F.expr(f"coalesce(sum(n) OVER (PARTITION BY {where}, s ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    same = lambda a, b, *more: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in [*within, "k", *more]))
+    score = "(below + inner + 0.5D * n) / total * 100"
+    turned = ", ".join(str(i) for i, f in enumerate(names) if fields[f]) or "-1"
+    scored = inner.alias("a").join(ranges.alias("b"), same("a", "b", "s")).selectExpr(*[f"a.{c}" for c in within], "a.k", "a.v", f"CASE WHEN a.k IN ({turned}) THEN 100 - {score} ELSE {score} END AS score")
+    found = long.alias("a").join(scored.alias("b"), same("a", "b", "v"), "left").select("a.id", "a.k", "a.row", "b.score")
+    back = found.groupBy("id").agg(F.first("row", True).alias("row"), F.count_if(F.col("k") == -1).alias("copies"), *[F.expr(f"max(IF(k = {i}, score, NULL)) AS r{i}") for i in range(len(names))])
+    return back.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*", *[F.col(f"r{i}").alias(prefix + f) for i, f in enumerate(names)])
 
 
 def factor(parts: Sequence[Column], penalty: float = POLICY["missing_penalty"]) -> tuple[Column, Column]:
@@ -73,11 +98,8 @@ def score_factors(rows: DataFrame, *, weights: Mapping[str, float] = WEIGHTS, pe
     the population that others are ranked in.
     """
 
-    def rank(f: str, inverted: bool = False) -> Column:
-        return mid_rank(f, within=within, inverted=inverted)
-
     names = {"roe": False, "cash_ratio": False, "pe": True, "pb": True, "momentum20": False, "momentum60": False, "relative20": False, "amount": False, "turnover": False, "volatility": True}
-    ranked = rows.withColumns({f"__{f}": rank(f, inv) for f, inv in names.items()})
+    ranked = mid_ranks(rows, names, within=within, prefix="__")
 
     def part(f: str) -> Column:
         return F.col(f"__{f}")

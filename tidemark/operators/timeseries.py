@@ -7,6 +7,7 @@ MACD, Wilder RSI) leave the JVM: a pass over each key's sorted rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -152,43 +153,73 @@ def revision_lineage(filings: DataFrame, *, keys: Sequence[str], order: Sequence
     return marked.withColumn("revision_role", role).withColumn("supersedes", F.when(F.col("__is"), F.col("__before"))).drop("__is", "__before", "__next")
 
 
-def islands(days: DataFrame, *, keys: Sequence[str], date: str, gap: str) -> DataFrame:
-    """Start, end and days of each run of consecutive rows where gap is true."""
-    w = _ordered(keys, [date])
-    starts = days.withColumn("__s", (F.col(gap) & ~F.coalesce(F.lag(gap).over(w), F.lit(False))).cast("int")).withColumn("__g", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = starts.where(gap).groupBy(*keys, "__g").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("days"))
-    return runs.drop("__g")
+def calendar_gaps(intervals: DataFrame, *, keys: Sequence[str], start: str, end: str, first: str, last: str) -> DataFrame:
+    """The calendar days of each key from first to last that no interval covers, as ranges (start, end, days).
 
+    A running maximum of the ends so far shows where the next start leaves days open: intervals of one start are one row, each key adds one
+    row behind its last day, and nothing is taken apart into days. Intervals without a start or an end cover nothing.
+    """
+    lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
+    inside = intervals.select(*keys, F.greatest(F.when(F.col(start).isNotNull(), lo), start).alias("a"), F.when(F.col(end).isNotNull(), F.least(end, hi)).alias("b"))
+    spans = inside.where("a <= b").groupBy(*keys, "a").agg(F.max("b").alias("b"))
+    behind = intervals.select(*keys).distinct().select(*keys, F.date_add(hi, 1).alias("a"), F.lit(None).cast("date").alias("b"))
+    so_far = F.max("b").over(_ordered(keys, ["a"]).rowsBetween(Window.unboundedPreceding, -1))
+    open_days = spans.unionAll(behind).withColumn("start", F.coalesce(F.date_add(so_far, 1), lo)).where("a > start")
+    return open_days.select(*keys, "start", F.date_sub("a", 1).alias("end"), F.datediff("a", "start").cast("long").alias("days"))
+
+
+def _running(points: DataFrame, keys: Sequence[str], at: str, change: str) -> DataFrame:
+    """keys, start, end (the day before the next change) and n, the running sum of change, from points of change."""
+    w = _ordered(keys, [at])
+    sums = points.groupBy(*keys, at).agg(F.sum(change).alias("__c")).where("__c <> 0")
+    return sums.select(*keys, F.col(at).alias("start"), F.date_sub(F.lead(at).over(w), 1).alias("end"), F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+
+
+def _ends(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """keys, at, change: +1 where a span starts, -1 behind its end."""
+    both = F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("change")), F.struct(F.date_add(end, 1).alias("at"), F.lit(-1).alias("change")))
+    return spans.select(*keys, F.explode(both).alias("p")).select(*keys, "p.*")
+
+
+#: Fixed values: the tenor that counts first, by the day from which it does; names of the counters.
+PREFERRED = (("0001-01-01", 3), ("2018-01-01", 5))
+COVERED, UNCOVERED, RANGES = "covered_calendar_days", "uncovered_calendar_days", "uncovered_range_count"
+COVERED_TENOR, COVERED_BANKS = "covered_tenor_%dy_days", "covered_%d_bank_days"
 
-def calendar_gaps(intervals: DataFrame, *, keys: Sequence[str], start: str, end: str, first: str, last: str) -> DataFrame:
-    """The calendar days of each key from first to last that no interval covers, as ranges."""
-    days = intervals.select(*keys).distinct().withColumn("d", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
-    inside = intervals.select(*keys, F.greatest(start, F.lit(first).cast("date")).alias("__a"), F.least(end, F.lit(last).cast("date")).alias("__b")).where("__a <= __b").distinct()
-    covered = inside.withColumn("d", F.explode(F.sequence("__a", "__b"))).select(*keys, "d").distinct().withColumn("__c", F.lit(True))
-    marked = days.join(covered, [*keys, "d"], "left").withColumn("gap", F.col("__c").isNull())
-    return islands(marked, keys=keys, date="d", gap="gap")
 
+def rate_coverage(observations: DataFrame, *, first: str, last: str, bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", preferred: Sequence[tuple[str, int]] = PREFERRED, fallback: int = 3, least_banks: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Counts of calendar days from first to last by what covers them (counter, n) with the number of uncovered ranges, and these ranges (start, end, days).
 
-def rate_coverage(observations: DataFrame, *, first: str, last: str, bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", preferred: Column | None = None, fallback: int = 3, least_banks: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Counts of calendar days from first to last by what covers them (counter, days), and the uncovered ranges (start, end, days).
+    A bank counts for a tenor on a day when exactly one distinct rate of it is valid. The day takes the tenor preferred from
+    that day on if least_banks banks count, else the fallback. Rows without a start or an end don't count.
 
-    A bank counts for a tenor on a day when exactly one distinct rate of it is valid. The day takes the preferred tenor (default: 3
-    before 2018, then 5) if least_banks banks count, else the fallback. Rows without a start or an end don't count.
-    Counters: covered, uncovered, covered_tenor_N, covered_N_banks.
+    Spans become points of change: the spans of one rate are merged, a running sum over the starts and ends of a bank's rates tells where it has
+    exactly one, and one over those of a tenor's banks how many it has. No interval is taken apart into days. What is left for one order over all are the days on which a
+    number of banks changes, at most the days from first to last.
     """
-    d = F.col("d")
-    wanted = F.when(d < F.lit("2018-01-01").cast("date"), 3).otherwise(5) if preferred is None else preferred
-    inside = observations.select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("rate"), F.greatest(start, F.lit(first).cast("date")).alias("__a"), F.least(end, F.lit(last).cast("date")).alias("__b"), (F.col(start).isNotNull() & F.col(end).isNotNull()).alias("__ok"))
-    spans = inside.where("__ok AND __a <= __b").groupBy("bank", "tenor", "rate", "__a").agg(F.max("__b").alias("__b"))
-    each = spans.select("bank", "tenor", "rate", F.explode(F.sequence("__a", "__b")).alias("d"))
-    unique = each.groupBy("d", "tenor", "bank").agg((F.min("rate") == F.max("rate")).alias("one")).where("one")
-    banks = unique.groupBy("d", "tenor").agg(F.count("*").alias("banks")).where(F.col("banks") >= least_banks)
-    taken = banks.where((F.col("tenor") == wanted) | (F.col("tenor") == fallback)).groupBy("d").agg(F.max(F.struct((F.col("tenor") == wanted).alias("own"), "tenor", "banks")).alias("b"))
-    days = observations.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d")).join(taken, "d", "left")
-    open_day = F.col("b").isNull()
-    names = F.when(open_day, F.array(F.lit("uncovered"))).otherwise(F.array(F.lit("covered"), F.concat(F.lit("covered_tenor_"), F.col("b.tenor").cast("int")), F.concat(F.lit("covered_"), F.col("b.banks"), F.lit("_banks"))))
-    counts = days.select(F.explode(names).alias("counter")).groupBy("counter").agg(F.count("*").alias("days"))
-    return counts, islands(days.select("d", open_day.alias("gap"), F.lit(0).alias("__all")), keys=["__all"], date="d", gap="gap").drop("__all")
+    lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
+    kinds = sorted({t for _, t in preferred} | {fallback})
+    inside = observations.where(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(tenor).isin(*kinds)).select(F.col(bank).alias("bank"), F.col(tenor).alias("tenor"), F.col(rate).alias("rate"), F.greatest(start, lo).alias("start"), F.least(end, hi).alias("end")).where("start <= end AND bank IS NOT NULL AND rate IS NOT NULL")
+    own = ["tenor", "bank", "rate"]
+    merged = _running(_ends(inside, own), own, "at", "change").where("n > 0")
+    single = _running(_ends(merged, own[:2]), own[:2], "at", "change").where("n = 1")
+    banks = _running(_ends(single, own[:1]), own[:1], "at", "change")
+    # a row for each day of change, and for the first day and those on which the preference changes
+    steps = observations.sparkSession.createDataFrame([(d,) for d in sorted({first, *(d for d, _ in preferred if first < d <= last)})], "d string").select(F.col("d").cast("date").alias("start"), F.lit(None).cast("int").alias("tenor"), F.lit(None).cast("long").alias("n"))
+    changes = banks.where(F.col("start") <= hi).select("start", F.col("tenor").cast("int").alias("tenor"), "n").unionAll(steps)
+    each = changes.groupBy("start").agg(*[F.max(F.when(F.col("tenor") == t, F.col("n"))).alias(f"n{t}") for t in kinds])
+    w = Window.orderBy("start")
+    states = each.select("start", F.coalesce(F.date_sub(F.lead("start").over(w), 1), hi).alias("end"), *[F.coalesce(F.last(f"n{t}", True).over(w), F.lit(0)).alias(f"n{t}") for t in kinds])
+    wanted = reduce(lambda a, p: F.when(F.col("start") >= F.lit(p[0]).cast("date"), p[1]).otherwise(a), sorted(preferred), F.lit(None).cast("int"))
+    has = lambda t: F.col(f"n{t}") >= least_banks
+    pick = F.coalesce(*[F.when((wanted == t) & has(t), F.struct(F.lit(t).alias("tenor"), F.col(f"n{t}").alias("banks"))) for t in kinds], F.when(has(fallback), F.struct(F.lit(fallback).alias("tenor"), F.col(f"n{fallback}").alias("banks"))))
+    spans = states.select("start", "end", (F.datediff("end", "start") + 1).cast("long").alias("days"), pick.alias("b"))
+    open_span = F.col("b").isNull()
+    begins = open_span & ~F.coalesce(F.lag(open_span).over(w), F.lit(False))
+    gaps = spans.withColumn("__g", F.sum(begins.cast("int")).over(w)).where(open_span).groupBy("__g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("days").alias("days")).drop("__g")
+    names = F.when(open_span, F.array(F.lit(UNCOVERED))).otherwise(F.array(F.lit(COVERED), F.format_string(COVERED_TENOR, F.col("b.tenor")), F.format_string(COVERED_BANKS, F.col("b.banks"))))
+    counts = spans.select(F.explode(names).alias("counter"), "days").groupBy("counter").agg(F.sum("days").alias("n"))
+    return counts.unionAll(gaps.agg(F.lit(RANGES).alias("counter"), F.count("*").alias("n"))), gaps
 
 
 def first_of_month(rows: DataFrame, *, keys: Sequence[str], date: str) -> DataFrame:

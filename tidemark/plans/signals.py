@@ -77,15 +77,20 @@ def prescreen(close: Column, d_ttm: Column, rate: Column, spread: float = SPREAD
 
 
 def first_exit(holdings: DataFrame, signals: DataFrame, *, key: str, entry: str, date: str = "d") -> DataFrame:
-    """For each holding the first date after its entry with decision EXIT (null: still held) and the gap days until then."""
-    h = holdings.select(F.col(key).alias("__k"), F.col(entry).alias("__e")).distinct()
-    after = h.join(signals, (h["__k"] == signals[key]) & (signals[date] > h["__e"]))
-    exits = after.groupBy("__k", "__e").agg(F.min(F.when(F.col("decision") == "EXIT", F.col(date))).alias("exit_date"))
-    gaps = after.where("decision = 'DATA_GAP'").join(exits, ["__k", "__e"]).where(F.col("exit_date").isNull() | (F.col(date) < F.col("exit_date")))
-    counted = gaps.groupBy("__k", "__e").agg(F.count("*").alias("gap_days"))
-    found = exits.join(counted, ["__k", "__e"], "left")
-    out = holdings.join(found, (holdings[key] == found["__k"]) & (holdings[entry] == found["__e"]), "left").drop("__k", "__e")
-    return out.withColumn("gap_days", F.coalesce("gap_days", F.lit(0)))
+    """For each holding the first date after its entry with decision EXIT (null: still held) and the gap days until then.
+
+    Holdings and signals of a key are one stream by date: looking back from the end, each row knows the next exit, and the gap days between are the
+    difference of two running counts. On one day exits come before gaps and both before the holding, so only later signals count.
+    """
+    said = signals.where(F.col(date).isNotNull()).select(F.col(key).alias("__k"), F.col(date).alias("__at"), F.when(F.col("decision") == "EXIT", 0).otherwise(1).alias("__order"), (F.col("decision") == "DATA_GAP").alias("__gap"))
+    held = holdings.select(F.col(key).alias("__k"), F.col(entry).alias("__at"), F.lit(2).alias("__order"), F.struct(*holdings.columns).alias("__h"))
+    stream = Window.partitionBy("__k").orderBy("__at", "__order")
+    gaps = F.count_if("__gap")
+    both = said.unionByName(held, allowMissingColumns=True).withColumn("__gaps", gaps.over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ahead = F.min(F.when(F.col("__order") == 0, F.struct("__at", "__gaps"))).over(stream.rowsBetween(1, Window.unboundedFollowing))
+    both = both.withColumns({"__next": ahead, "__all": gaps.over(Window.partitionBy("__k"))}).where("__order = 2")
+    usable = F.col("__k").isNotNull() & F.col("__at").isNotNull()
+    return both.select("__h.*", F.when(usable, F.col("__next.__at")).alias("exit_date"), F.when(usable, F.coalesce("__next.__gaps", "__all") - F.col("__gaps")).otherwise(0).alias("gap_days"))
 
 
 def quality_gate(opinion: Column, going_concern: Column, profit: Column, *, bank: Column | None = None, npl: Column | None = None, cover: Column | None = None, capital: Column | None = None) -> Column:

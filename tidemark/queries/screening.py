@@ -64,7 +64,8 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k3_mid_rank", X.with_views("cross_section") + f" SELECT symbol, as_of, round({_mid('roe')}, 6) AS roe_rank, round({_mid('pb', True)}, 6) AS pb_rank FROM cross_section")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.cross_section(spark, sf_dir).select("symbol", "as_of", F.round(sc.mid_rank("roe"), 6).alias("roe_rank"), F.round(sc.mid_rank("pb", inverted=True), 6).alias("pb_rank"))
+    ranked = sc.mid_ranks(X.cross_section(spark, sf_dir).select("symbol", "as_of", "roe", "pb"), {"roe": False, "pb": True})
+    return ranked.select("symbol", "as_of", F.round("rank_roe", 6).alias("roe_rank"), F.round("rank_pb", 6).alias("pb_rank"))
 
 
 @query("k4_factor", X.with_views("cross_section") + f" SELECT symbol, as_of, {_factor(['catalyst', 'risk', 'roe'])} AS f, catalyst IS NULL OR risk IS NULL OR roe IS NULL AS missing FROM cross_section")

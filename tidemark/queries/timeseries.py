@@ -179,8 +179,9 @@ _COVERAGE = """, r AS (SELECT bank % 4 AS bank, tenor, floor(rate * 100) / 100 A
 
 @query(
     "w18_coverage_counts",
-    X.with_views("rates") + _COVERAGE + """ SELECT counter, count(*) AS days FROM (SELECT CASE WHEN banks IS NULL THEN 'uncovered' ELSE 'covered' END AS counter FROM b
- UNION ALL SELECT 'covered_tenor_3' FROM b WHERE banks IS NOT NULL UNION ALL SELECT 'covered_' || banks || '_banks' FROM b WHERE banks IS NOT NULL) GROUP BY 1""",
+    X.with_views("rates") + _COVERAGE + """ SELECT counter, count(*) AS n FROM (SELECT CASE WHEN banks IS NULL THEN 'uncovered_calendar_days' ELSE 'covered_calendar_days' END AS counter FROM b
+ UNION ALL SELECT 'covered_tenor_3y_days' FROM b WHERE banks IS NOT NULL UNION ALL SELECT 'covered_' || banks || '_bank_days' FROM b WHERE banks IS NOT NULL
+ UNION ALL SELECT 'uncovered_range_count' FROM (SELECT banks, lag(banks) OVER (ORDER BY d) AS before, d FROM b) WHERE banks IS NULL AND (before IS NOT NULL OR d = (SELECT min(d) FROM b))) GROUP BY 1""",
 )
 def w18_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.rate_coverage(_coarse(spark, sf_dir), first="1995-01-01", last="1996-12-31")[0]
