@@ -57,6 +57,30 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.date_format("bar_start", _FMT).alias("bar_start"), "open", "high", "low", "close", "ticks")
 
 
+def _late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three batches: every fiftieth comes in the last. What the first batch closes comes out with the second, so rows for it are late in the last."""
+    e, path = X.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark)
+    for part in ("event_id % 2 = 0 AND event_id % 50 <> 0", "event_id % 2 <> 0", "event_id % 50 = 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, e.schema, files_per_batch=1)
+
+
+_IN_TIME = """m AS (SELECT max(ts) FILTER (WHERE event_id % 2 = 0 AND event_id % 50 <> 0) - INTERVAL {delay} MINUTE AS closed, max(ts) - INTERVAL {delay} MINUTE AS last FROM {events}),
+ kept AS (SELECT e.* FROM {events} e, m WHERE event_id % 50 <> 0 OR {end} > closed)"""
+_BUCKET = "time_bucket(INTERVAL 60 MINUTE, ts)"
+
+
+@query(
+    "t2_tick_bars_append",
+    "WITH " + _IN_TIME.format(delay=10, events="events", end=f"{_BUCKET} + INTERVAL 60 MINUTE") + f""" SELECT user_id, strftime({_BUCKET}, {_TF}) AS bar_start, min(struct_pack(t := ts, i := event_id, v := value)).v AS open, max(value) AS high, min(value) AS low, max(struct_pack(t := ts, i := event_id, v := value)).v AS close, count(*) AS ticks
+ FROM kept, m WHERE {_BUCKET} + INTERVAL 60 MINUTE <= last GROUP BY 1, 2""",
+)
+def t2_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = jobs.tick_bars(_late_events(spark, sf_dir), key="user_id", ts="ts", price="value", size="value", tie="event_id", minutes=60)
+    out, _ = jobs.run_counted(bars, scratch(spark))
+    return out.select("user_id", F.date_format("bar_start", _FMT).alias("bar_start"), "open", "high", "low", "close", "ticks")
+
+
 @query("t3_dedup_payloads", "SELECT DISTINCT user_id, event_type || ':' || CAST(floor(value / 10) AS BIGINT) AS body FROM events")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws(":", "event_type", F.floor(F.col("value") / 10))
@@ -107,6 +131,27 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("window_start", F.date_format("window_start", _FMT))
 
 
+@query(
+    "t7_windowed_breadth_append",
+    "WITH " + _IN_TIME.format(delay=60, events="events", end=f"{_BUCKET} + INTERVAL 60 MINUTE") + f""" SELECT strftime({_BUCKET}, {_TF}) AS window_start, count(*) FILTER (WHERE floor(value) > 50) AS advancing, count(*) FILTER (WHERE floor(value) < 50) AS declining, count(*) FILTER (WHERE floor(value) = 50) AS unchanged, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS amount
+ FROM kept, m WHERE {_BUCKET} + INTERVAL 60 MINUTE <= last GROUP BY 1""",
+)
+def t7_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _late_events(spark, sf_dir).select("ts", (F.floor("value") - 50).alias("change"), F.floor("value").alias("amount"))
+    out, _ = jobs.run_counted(jobs.windowed_breadth(e, ts="ts", change="change", amount="amount"), scratch(spark))
+    return out.withColumn("window_start", F.date_format("window_start", _FMT))
+
+
+@query(
+    "t8_failure_sessions_append",
+    "WITH bad AS (SELECT * FROM events WHERE value > 60), " + _IN_TIME.format(delay=30, events="bad", end="ts + INTERVAL 600 MINUTE") + f""", f AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 600 MINUTE AS brk FROM kept), g AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
+ SELECT user_id, strftime(min(ts), {_TF}) AS session_start, strftime(max(ts) + INTERVAL 600 MINUTE, {_TF}) AS session_end, count(*) AS failures FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 600 MINUTE <= (SELECT last FROM m)""",
+)
+def t8_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = jobs.run_counted(jobs.failure_sessions(_late_events(spark, sf_dir), F.col("value") > 60, endpoint="user_id", ts="ts", gap="600 minutes"), scratch(spark))
+    return out.select("user_id", F.date_format("session_start", _FMT).alias("session_start"), F.date_format("session_end", _FMT).alias("session_end"), "failures")
+
+
 @query(
     "t8_failure_sessions",
     f"""WITH f AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 600 MINUTE AS brk FROM events WHERE value > 60), g AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
@@ -123,6 +168,7 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT user_id, event_id AS seq, peak, round((peak - v) / peak * 100, 6) AS drawdown, (peak - v) / peak * 100 >= 12 AS alert FROM p""",
 )
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = X.table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") + 10).cast("double").alias("v"))
     out = jobs.run(jobs.drawdown_alerts(_in_batches(spark, e, "event_id"), key="user_id", order="event_id", value="v"), scratch(spark))
     return out.withColumn("drawdown", F.round("drawdown", 6))

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.normalize import freshness
 from tidemark.sources.files import upsert
@@ -22,7 +21,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def quote_stream(lines: DataFrame, *, received: str = "received_at", watermark: str = "1 day") -> DataFrame:
-    """Raw quote lines as typed quotes with a freshness label, late ones beyond the watermark left to T5."""
+    """Raw quote lines as typed quotes with a freshness label. The watermark drops nothing here; it serves operators with state further on, and T5 routes late rows."""
     return parse_quotes(lines).withWatermark(received, watermark).withColumn("freshness", freshness(F.col("quoted_at"), F.col(received)))
 
 
@@ -39,32 +38,88 @@ def dedup_payloads(events: DataFrame, payload: Column, *, keys: Sequence[str], t
     return events.withColumn("payload_hash", F.sha2(payload, 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark([*keys, "payload_hash"])
 
 
-def latest_table(spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """What upsert_latest() keeps in folder, with the column __bucket: of each bucket its newest version (before a batch, if given)."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__v", T.LongType())])).parquet(folder)
-    rows = rows if before is None else rows.where(F.col("__v") < before)
-    newest = rows.groupBy("__bucket").agg(F.max("__v").alias("__v"))
-    return rows.join(F.broadcast(newest), ["__bucket", "__v"]).drop("__v")  # one row for each bucket
+def _files(spark: SparkSession, path: str):
+    """The file system of path and path itself, whatever kind of store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def upsert_latest(stream: DataFrame, folder: str, *, keys: Sequence[str], newest: Sequence[str], checkpoint: str, buckets: int = 64) -> DataFrame:
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = _files(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
+def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> tuple[int | None, int, dict[int, tuple[int, int]]]:
+    """Of the newest complete manifest (before a batch, if given): its batch, the number of buckets, and the live version and rows of each bucket that has any."""
+    done = [int(x) for x in _names(spark, f"{folder}/_manifest") if _files(spark, f"{folder}/_manifest/{x}/_SUCCESS")[0].exists(_files(spark, f"{folder}/_manifest/{x}/_SUCCESS")[1])]
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return None, 0, {}
+    rows = spark.read.schema("buckets int, bucket int, version long, rows long").parquet(f"{folder}/_manifest/{max(done)}").collect()  # a row for each bucket
+    return max(done), max(r["buckets"] for r in rows), {r["bucket"]: (r["version"], r["rows"]) for r in rows if r["bucket"] is not None}
+
+
+def _read(spark: SparkSession, folder: str, schema: T.StructType, live: dict[int, tuple[int, int]], only: Sequence[int] | None = None) -> DataFrame:
+    paths = [f"{folder}/__v={v}/__bucket={b}" for b, (v, _) in sorted(live.items()) if only is None or b in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def latest_table(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What upsert_latest() keeps in folder: the live version of each bucket, as the newest manifest names it."""
+    return _read(spark, folder, schema, _manifest(spark, folder)[2])
+
+
+def upsert_latest(stream: DataFrame, folder: str, *, keys: Sequence[str], newest: Sequence[str], checkpoint: str, buckets: int = 64, bucket_rows: int = 1_000_000) -> DataFrame:
     """T4: keeps the newest row of each key, and returns the table as it is in the end.
 
-    Keys are dealt to buckets by hash. A batch rewrites the buckets that its keys are in as folder/__v=batch/__bucket=k; all others stay
-    as they are. What came before is found in the folder alone, by batch numbers below its own, so a run that starts
-    again with the same checkpoint goes on where the last one ended, and a batch that is done twice gives the same table.
+    Keys are dealt to buckets by hash. A batch reads and rewrites the buckets that its keys are in, as folder/__v=batch/__bucket=k, and then writes a
+    manifest of the live version of every bucket. Versions that neither this manifest nor the one before names are removed, so the folder holds twice the table
+    at most. Once buckets have more than bucket_rows rows on average their number doubles and that batch deals all rows anew, so a batch of few keys stays small
+    however large the table. A batch starts from the newest manifest before its own number, whose files are still there: a run that starts again with the same
+    checkpoint goes on where the last one ended, and a batch that is done twice gives the same table.
     """
-    schema = stream.schema
+    schema, spark = stream.schema, stream.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = F.broadcast(new.select("__bucket").distinct())  # buckets rows at most
-        old = latest_table(batch.sparkSession, folder, schema, n).join(touched, "__bucket", "left_semi") if n else new.where("false")
-        upsert(old.select(new.columns), new, keys=keys, newest=newest).write.mode("overwrite").partitionBy("__bucket").parquet(f"{folder}/__v={n}")
-        new.unpersist()
+        own = batch.sparkSession
+        last, count, live = _manifest(own, folder, n)
+        wanted = max(count, buckets) if count else buckets
+        batch = batch.persist()
+        total = sum(rows for _, rows in live.values()) + batch.count()
+        while total > wanted * bucket_rows:
+            wanted *= 2
+        deal = F.pmod(F.xxhash64(*keys), F.lit(wanted)).cast("int")
+        touched = {r["b"] for r in batch.select(deal.alias("b")).distinct().collect()} if wanted == count else None  # buckets rows at most
+        old = _read(own, folder, schema, live, touched)
+        version = f"{folder}/__v={n}"
+        upsert(old, batch, keys=keys, newest=newest).withColumn("__bucket", deal).write.mode("overwrite").partitionBy("__bucket").parquet(version)
+        batch.unpersist()
+        written = {int(x.split("=")[1]) for x in _names(own, version) if x.startswith("__bucket=")}
+        sizes = {r["b"]: r["n"] for r in own.read.schema("__bucket int").parquet(version).groupBy(F.col("__bucket").alias("b")).agg(F.count("*").alias("n")).collect()} if written else {}
+        now = ({} if touched is None else live) | {b: (n, sizes[b]) for b in written}
+        rows = [(wanted, b, v, size) for b, (v, size) in now.items()] or [(wanted, None, None, None)]
+        own.createDataFrame(rows, "buckets int, bucket int, version long, rows long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_manifest/{n}")
+        needed = {(v, b) for m in (now, live) for b, (v, _) in m.items()}
+        for name in _names(own, folder):
+            if name.startswith("__v="):
+                v = int(name[4:])
+                there = [int(x.split("=")[1]) for x in _names(own, f"{folder}/{name}") if x.startswith("__bucket=")]
+                for b in there:
+                    if (v, b) not in needed:
+                        _remove(own, f"{folder}/{name}/__bucket={b}")
+                if v < n and not any((v, b) in needed for b in there):
+                    _remove(own, f"{folder}/{name}")
+        for name in _names(own, f"{folder}/_manifest"):
+            if int(name) < (n if last is None else last):
+                _remove(own, f"{folder}/_manifest/{name}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return latest_table(stream.sparkSession, folder, schema).drop("__bucket")
+    return latest_table(spark, folder, schema)
 
 
 def route_late(stream: DataFrame, late: Column, good: str, rejected: str, *, checkpoint: str) -> None:
@@ -82,38 +137,66 @@ def route_late(stream: DataFrame, late: Column, good: str, rejected: str, *, che
 INDICATORS = "{key} {kind}, seq long, ema12 double, ema26 double, dea double, rsi14 double"
 
 
-def stateful_indicators(stream: DataFrame, *, key: str, order: str, value: str) -> DataFrame:
-    """EMA12, EMA26, the MACD signal and Wilder's RSI14 of each key, carried from batch to batch.
+def _keyed(stream: DataFrame, key: str, schema: str, state: str, step, ts: str | None, idle: str, watermark: str) -> DataFrame:
+    """A job that carries one row of state for each key: step(state or None, rows of the key) gives the new state and the key's output columns.
 
-    State is eight numbers for each key; values arrive in order between batches and are sorted within one.
+    With ts, the state of a key goes once the watermark is idle beyond its last row (an event-time timer, moved on by each batch of the key), and rows behind the
+    watermark are dropped; without it, states stay.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    class Indicators(StatefulProcessor):
+    name, wait = key, int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    class Carried(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("s", "n long, last double, e12 double, e26 double, dea double, gain double, loss double")
+            self.handle, self.state = handle, handle.getValueState("s", state)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            n, last, e12, e26, dea, gain, loss = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-            out = []
-            for seq, x in pd.concat(list(rows)).sort_values(order, kind="stable")[[order, value]].itertuples(index=False):
-                move = x - last if n else 0.0
-                e12, e26 = (e12 + 2 / 13 * (x - e12), e26 + 2 / 27 * (x - e26)) if n else (x, x)
-                dea = dea + 0.2 * (e12 - e26 - dea) if n else 0.0
-                share = 14 if n > 14 else 1
-                gain, loss = [(a * 13 + m) / 14 if share == 14 else a + m / 14 for a, m in ((gain, max(move, 0.0)), (loss, max(-move, 0.0)))]
-                n, last = n + 1, x
-                rsi = None if n <= 14 else (100.0 if gain > 0 else 50.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
-                out.append((key[0], int(seq), e12, e26, dea, rsi))
-            self.state.update((n, last, e12, e26, dea, gain, loss))
-            yield pd.DataFrame(out, columns=[name, "seq", "ema12", "ema26", "dea", "rsi14"])
+            df = pd.concat(list(rows))
+            new, out = step(self.state.get() if self.state.exists() else None, df)
+            if ts is not None:
+                last = max(int(df[ts].max().timestamp() * 1000), new[-1])
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(last + wait)
+                new = (*new[:-1], last)
+            self.state.update(new)
+            out.insert(0, name, key[0])
+            yield out
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            return iter(())
 
         def close(self) -> None:
             pass
 
-    name = key
+    timed = stream if ts is None else stream.withWatermark(ts, watermark)
+    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=Carried(), outputStructType=schema, outputMode="Append", timeMode="None" if ts is None else "EventTime")
+
+
+def stateful_indicators(stream: DataFrame, *, key: str, order: str, value: str, ts: str | None = None, idle: str = "30 days", watermark: str = "1 day") -> DataFrame:
+    """EMA12, EMA26, the MACD signal and Wilder's RSI14 of each key, carried from batch to batch.
+
+    State is eight numbers for each key; values arrive in order between batches and are sorted within one. With ts, a key without rows for idle starts anew.
+    """
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        n, last, e12, e26, dea, gain, loss, seen = state or (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
+        out = []
+        for seq, x in rows.sort_values(order, kind="stable")[[order, value]].itertuples(index=False):
+            move = x - last if n else 0.0
+            e12, e26 = (e12 + 2 / 13 * (x - e12), e26 + 2 / 27 * (x - e26)) if n else (x, x)
+            dea = dea + 0.2 * (e12 - e26 - dea) if n else 0.0
+            share = 14 if n > 14 else 1
+            gain, loss = [(a * 13 + m) / 14 if share == 14 else a + m / 14 for a, m in ((gain, max(move, 0.0)), (loss, max(-move, 0.0)))]
+            n, last = n + 1, x
+            rsi = None if n <= 14 else (100.0 if gain > 0 else 50.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+            out.append((int(seq), e12, e26, dea, rsi))
+        return (n, last, e12, e26, dea, gain, loss, seen), pd.DataFrame(out, columns=["seq", "ema12", "ema26", "dea", "rsi14"])
+
     schema = INDICATORS.format(key=key, kind=stream.schema[key].dataType.simpleString())
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=Indicators(), outputStructType=schema, outputMode="Append", timeMode="None")
+    return _keyed(stream, key, schema, "n long, last double, e12 double, e26 double, dea double, gain double, loss double, seen long", step, ts, idle, watermark)
 
 
 def windowed_breadth(quotes: DataFrame, *, ts: str, change: str, amount: str, minutes: int = 60, watermark: str = "1 hour") -> DataFrame:
@@ -129,19 +212,31 @@ def failure_sessions(probes: DataFrame, failed: Column, *, endpoint: str, ts: st
     return bad.select(endpoint, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "failures")
 
 
-def drawdown_alerts(nav: DataFrame, *, key: str, order: str, value: str, limit: float = 12.0) -> DataFrame:
-    """Running peak and drawdown (percent) of each account, and whether it has reached the limit."""
-    kind = nav.schema[key].dataType.simpleString()
+def drawdown_alerts(nav: DataFrame, *, key: str, order: str, value: str, limit: float = 12.0, ts: str | None = None, idle: str = "30 days", watermark: str = "1 day") -> DataFrame:
+    """Running peak and drawdown (percent) of each account, and whether it has reached the limit. With ts, an account without rows for idle starts anew."""
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peak = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        peaks = rows[value].cummax().clip(lower=peak)
-        state.update((float(peaks.iloc[-1]),))
+    def step(state: tuple | None, df: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        before, seen = state or (float("-inf"), 0)
+        rows = df.sort_values(order, kind="stable")
+        peaks = rows[value].cummax().clip(lower=before)
         down = ((peaks - rows[value]) / peaks * 100).where(peaks > 0, 0.0)
-        yield pd.DataFrame({key: k[0], "seq": rows[order], "peak": peaks, "drawdown": down, "alert": down >= limit})
+        return (float(peaks.iloc[-1]), seen), pd.DataFrame({"seq": rows[order], "peak": peaks, "drawdown": down, "alert": down >= limit})
+
+    schema = f"{key} {nav.schema[key].dataType.simpleString()}, seq long, peak double, drawdown double, alert boolean"
+    return _keyed(nav, key, schema, "peak double, seen long", step, ts, idle, watermark)
+
 
-    return nav.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, peak double, drawdown double, alert boolean", "peak double", "append", GroupStateTimeout.NoTimeout)
+def run_counted(stream: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """Drives a job in append mode over all that its source has now: what it wrote, and how many rows its operators with state dropped behind the watermark.
+
+    Windows and sessions come out once, when the watermark has passed their end; those still open at the end do not. An aggregation counts
+    what it drops after its partial sums: once for each task, key and window.
+    """
+    out = f"{folder}/{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), dropped
 
 
 def run(stream: DataFrame, folder: str, *, mode: str = "append") -> DataFrame:
