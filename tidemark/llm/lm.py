@@ -1,16 +1,16 @@
 """Language-model scoring with Brown classes.
 
-Words are assigned to classes by exchange: each frequent word moves to the class that raises the
-likelihood of the class bigrams most, from counts that a pass over the whole training corpus gathers. Half of the words
-move between two passes, the next pass counts anew, and moves that have not raised the likelihood are taken back; all
-other words have a class by shape. A token's probability is that of its class after the class
-before, times that of the word in its class. Counts of frequent words (a table of bounded size)
-are broadcast; those of all other words are joined by word.
+Words are assigned to classes by exchange. The most frequent words move among the classes on the driver, each to where the likelihood of the class bigrams
+rises most, from counts that a pass over the whole training corpus gathers; half of them move between two passes, the next pass counts
+anew, and moves that have not raised the likelihood are taken back. Meanwhile all other words of the training corpus are one class, REST. Then
+each of these words, however many there are, leaves it by the same rule: Spark sums up its counts beside each class and tasks take the class of the greatest gain.
+What is never learnt stays in REST, whose share is that of words seen once. A token's probability is that of its class after the class before, times
+that of the word in its class. Counts of frequent words (a table of bounded size) are broadcast; classes and counts of all other words are joined by word.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,28 +23,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: Frequent words that are broadcast, those of them that exchange moves, classes it moves them among, and passes over the corpus.
+#: Frequent words that are broadcast, those of them that move on the driver, classes, and passes of these moves over the corpus.
 HEAD, CLUSTERED, CLASSES, PASSES = 100_000, 20_000, 32, 2
-#: Shape classes of all other words, tried in this order; the last takes what is left.
-SHAPES = (r"[0-9]", r"[.!?]$", r"[,;:]$", r"^[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+$", r"")
+#: The classes behind these: of words that aren't assigned, and of the end.
+REST, FINAL = CLASSES, CLASSES + 1
+N = CLASSES + 2
+#: Counts of a word beside classes: after each, before each, and after itself.
+WIDTH, BLOCK, HELD = 2 * N + 1, 256, 1 << 21
 ADD, PULL = 0.1, 5.0
 END = b"\n"
 
 
-def _shape_column(word: Column) -> Column:
-    out = F.lit(len(SHAPES) - 1)
-    for k in reversed(range(len(SHAPES) - 1)):
-        out = F.when(word.rlike(SHAPES[k]), k).otherwise(out)
-    return out
-
-
-_SHAPES = [re.compile(p.encode()) for p in SHAPES]
-
-
-def shape(word: bytes) -> int:
-    return next(k for k, p in enumerate(_SHAPES) if p.search(word))
-
-
 def _tokens(text: Column) -> Column:
     return F.concat(C.split_words(C.ascii_lower(F.coalesce(text, F.lit("")))), F.array(F.lit("\n")))
 
@@ -55,8 +44,7 @@ class Vocabulary:
     counts: np.ndarray  # of each id
     total: int
     distinct: int
-    shapes: np.ndarray  # shape of each id
-    shape_words: np.ndarray  # words of each shape that exchange doesn't move
+    once: int  # words that occur once
 
     @property
     def clustered(self) -> int:
@@ -74,37 +62,26 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     end = counts.where("word = '\n'").select("n").collect()
     names = [END, *(w.encode() for w in top["word"])]
     n = np.array([end[0]["n"] if end else 0, *top["n"]], np.int64)
-    every = {r["s"]: r["n"] for r in counts.where("word <> '\n'").groupBy(_shape_column(F.col("word")).alias("s")).agg(F.count("*").alias("n")).collect()}
-    shapes = np.array([shape(w) for w in names])
-    moved = np.bincount(shapes[1 : min(CLUSTERED, len(names))], minlength=len(SHAPES))
-    return Vocabulary({w: i for i, w in enumerate(names)}, n, sums["n"], sums["v"], shapes, np.array([every.get(k, 0) for k in range(len(SHAPES))]) - moved)
+    once = counts.where("n = 1 AND word <> '\n'").count()
+    return Vocabulary({w: i for i, w in enumerate(names)}, n, sums["n"], sums["v"], once)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, *, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """Written once: __row, __id, held_out, ids (int32 of each token; len(head) + shape for other words), rare (those words)."""
+    """Written once: __row, __id, held_out, ids (int32 of each token; len(head) for other words), rare (those words)."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((vocab.words, len(vocab.counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, size = shared.value
-        row, get, shapes = TaskContext.get().partitionId() << 40, words.get, {}
+        row, get = TaskContext.get().partitionId() << 40, words.get
         for batch in batches:
             ids, rare, rows = [], [], []
             for text in batch.column(2).to_pylist():
                 parts = text.split()
                 found = list(map(get, parts))
-                other = []
-                if None in found:
-                    for i, x in enumerate(found):
-                        if x is None:
-                            w = parts[i]
-                            other.append(w)
-                            s = shapes.get(w)
-                            if s is None:
-                                if len(shapes) > 200_000:
-                                    shapes.clear()
-                                s = shapes[w] = shape(w)
-                            found[i] = size + s
+                other = [w for w, x in zip(parts, found, strict=True) if x is None] if None in found else []
+                if other:
+                    found = [size if x is None else x for x in found]
                 found.append(0)
                 ids.append(np.array(found, "<i4").tobytes())
                 rare.append(other)
@@ -121,34 +98,42 @@ def _flat(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i4")
 
 
-def class_counts(encoded: DataFrame, classes: np.ndarray, clustered: int, n_classes: int, words: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """The class bigrams of the training rows, and with words for each word that exchange moves its counts after and before each class, and after itself.
+def class_counts(encoded: DataFrame, classes: np.ndarray, first: int = 0, last: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """The class bigrams of the training rows, and (key, data): for blocks of the words from first to last their counts beside classes, WIDTH numbers a word.
 
-    Tasks count into arrays of fixed size; these are summed by Spark in blocks of words.
+    Tasks count into arrays of fixed size; these are summed by Spark in blocks of words, written once.
     """
     spark = encoded.sparkSession
-    shared, block = spark.sparkContext.broadcast(classes), 256
-    width = 2 * n_classes + 1
+    shared = spark.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, big = shared.value, np.zeros((n_classes, n_classes), np.int64)
-        near = np.zeros((clustered, width), np.int32) if words else None
+        of, big, near, held, size = shared.value, np.zeros((N, N), np.int64), np.zeros((last - first) * WIDTH, np.int32), [], 0
+
+        def settle() -> None:
+            nonlocal size
+            if held:
+                near[:] += np.bincount(np.concatenate(held), minlength=len(near)).astype(np.int32)
+                held.clear()
+                size = 0
+
         for batch in batches:
             ids = _flat(batch.column(0))
             c = of[ids]
             before = np.concatenate([[of[0]], c[:-1]])
-            big += np.bincount(before * n_classes + c, minlength=n_classes**2).reshape(n_classes, n_classes)
-            if near is not None:
-                a = ids < clustered
-                near += np.bincount(ids[a] * width + before[a], minlength=clustered * width).reshape(clustered, width).astype(np.int32)
-                b = a[:-1]
-                near += np.bincount(ids[:-1][b] * width + n_classes + c[1:][b], minlength=clustered * width).reshape(clustered, width).astype(np.int32)
-                near[:, -1] += np.bincount(ids[1:][(ids[1:] == ids[:-1]) & a[1:]], minlength=clustered).astype(np.int32)
-        keys, data = [-1], [big.astype("<i8").tobytes()]
-        for k in range(0, clustered if near is not None else 0, block):
-            if near[k : k + block].any():
-                keys.append(k)
-                data.append(near[k : k + block].astype("<i8").tobytes())
+            big += np.bincount(before * N + c, minlength=N * N).reshape(N, N)
+            if last > first:
+                mine = (ids >= first) & (ids < last)
+                at = (ids.astype(np.int64) - first) * WIDTH
+                held += [(at + before)[mine], (at[:-1] + N + c[1:])[mine[:-1]], (at[1:] + WIDTH - 1)[mine[1:] & (ids[1:] == ids[:-1])]]
+                size += 2 * int(mine.sum())
+                if size >= HELD:
+                    settle()
+        settle()
+        keys, data, table = [-1], [big.astype("<i8").tobytes()], near.reshape(-1, WIDTH)
+        for k in range(0, last - first, BLOCK):
+            if table[k : k + BLOCK].any():
+                keys.append(first + k)
+                data.append(table[k : k + BLOCK].astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["key", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,14 +143,17 @@ def class_counts(encoded: DataFrame, classes: np.ndarray, clustered: int, n_clas
     C.small_batches(spark, 256)
     parts = encoded.where("NOT held_out").select("ids").mapInArrow(run, "key int, data binary")
     pieces = parts.groupBy("key", F.pmod(F.xxhash64("data"), F.lit(8)).alias("salt")).applyInPandas(add, "key int, data binary")  # sums of sums: tasks' arrays never meet at once
-    big, near = np.zeros((n_classes, n_classes), np.int64), np.zeros((clustered, width), np.int64) if words else None
-    for r in pieces.groupBy("key").applyInPandas(add, "key int, data binary").collect():  # clustered * width numbers at most
-        got = np.frombuffer(r["data"], "<i8")
-        if r["key"] < 0:
-            big = got.reshape(n_classes, n_classes)
-        else:
-            near[r["key"] : r["key"] + block] = got.reshape(-1, width)
-    return big, near
+    sums = C.cut(pieces.groupBy("key").applyInPandas(add, "key int, data binary"))
+    big = [np.frombuffer(r["data"], "<i8").reshape(N, N) for r in sums.where("key < 0").collect()]
+    return big[0] if big else np.zeros((N, N), np.int64), sums.where("key >= 0")
+
+
+def _collected(blocks: DataFrame, size: int) -> np.ndarray:
+    near = np.zeros((size, WIDTH), np.int64)
+    for r in blocks.collect():  # CLUSTERED * WIDTH numbers at most
+        got = np.frombuffer(r["data"], "<i8").reshape(-1, WIDTH)
+        near[r["key"] : r["key"] + BLOCK] = got
+    return near
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -178,105 +166,206 @@ def likelihood(big: np.ndarray) -> float:
     return float(_f(big).sum() - _f(big.sum(0)).sum() - _f(big.sum(1)).sum())
 
 
-def gains(big: np.ndarray, left: np.ndarray, right: np.ndarray, own: float) -> np.ndarray:
-    """By how much likelihood() rises when a word joins each of the first CLASSES classes.
+def gains(big: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, home: np.ndarray | int) -> np.ndarray:
+    """By how much likelihood() rises, but for a constant, when each word joins each of the first CLASSES classes: a row for each word.
 
-    big is without the word; left and right are its bigrams after and before words of each class, own those with itself.
+    big counts the words in their classes home; left and right are their bigrams after and before words of each class without those with themselves, own are these.
     """
-    k = np.arange(CLASSES)
-    ins, outs = big[:, :CLASSES], big[:CLASSES]
-    into, out_of = _f(ins + left[:, None]) - _f(ins), _f(outs + right) - _f(outs)
-    both = _f(big[k, k] + left[:CLASSES] + right[:CLASSES] + own) - _f(big[k, k])
-    gain = into.sum(0) - into[k, k] + out_of.sum(1) - out_of[k, k] + both
+    w, k = np.arange(len(left)), np.arange(CLASSES)
+    home = np.broadcast_to(home, len(left))
+    ins, outs = np.repeat(big[None, :, :CLASSES].astype(float), len(left), 0), np.repeat(big[None, :CLASSES].astype(float), len(left), 0)
+    moved = home < CLASSES  # take each word away from where it is
+    ins[w, home] -= right[:, :CLASSES]
+    outs[w, :, home] -= left[:, :CLASSES]
+    ins[w[moved], :, home[moved]] -= left[moved]
+    outs[w[moved], home[moved]] -= right[moved]
+    ins[w[moved], home[moved], home[moved]] -= own[moved]
+    outs[w[moved], home[moved], home[moved]] -= own[moved]
+    into, out_of = _f(ins + left[:, :, None]) - _f(ins), _f(outs + right[:, None, :]) - _f(outs)
+    same = ins[:, k, k]
+    both = _f(same + left[:, :CLASSES] + right[:, :CLASSES] + own[:, None]) - _f(same)
+    gain = into.sum(1) - into[:, k, k] + out_of.sum(2) - out_of[:, k, k] + both
     # what stands beside the word counts in its own class's totals whichever class the word joins
-    for totals, size in ((big.sum(0)[:CLASSES] + right[:CLASSES], left.sum() + own), (big.sum(1)[:CLASSES] + left[:CLASSES], right.sum() + own)):
-        gain -= _f(totals + size) - _f(totals)
+    for sums, size in ((ins.sum(1) + right[:, :CLASSES], left.sum(1) + own), (outs.sum(2) + left[:, :CLASSES], right.sum(1) + own)):
+        gain -= _f(sums + size[:, None]) - _f(sums)
     return gain
 
 
+def _best(big: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The class of the greatest gain for words of REST, from their counts beside classes."""
+    own, left, right = near[:, -1].astype(float), near[:, :N].astype(float), near[:, N:-1].astype(float)
+    left[:, REST] -= own
+    right[:, REST] -= own
+    return gains(big, left, right, own, REST).argmax(1)
+
+
+def rare_counts(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(word, near): counts beside classes, as pairs (place, n), of each word of the training rows that isn't among the frequent ones."""
+    shared, size = encoded.sparkSession.sparkContext.broadcast(classes), len(classes) - 1 - CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in batches:
+            ids, words = _flat(batch.column(0)), [w for ws in batch.column(1).to_pylist() for w in ws]
+            c = of[ids]
+            at = np.flatnonzero(ids == size)
+            seen = Counter(zip(words, np.where(at > 0, c[at - 1], of[0]).tolist(), strict=True))
+            seen.update(zip(words, (N + c[at + 1]).tolist(), strict=True))  # a row ends with END
+            seen.update((words[i], WIDTH - 1) for i in np.flatnonzero(at[1:] == at[:-1] + 1) if words[i] == words[i + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([x for _, x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "place", "n"])
+
+    C.small_batches(encoded.sparkSession, 256)
+    rows = encoded.where("NOT held_out").select("ids", "rare").mapInArrow(run, "word binary, place int, n long")
+    return rows.groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("near"))  # WIDTH pairs at most
+
+
+def assigned(near: DataFrame, big: np.ndarray) -> DataFrame:
+    """(word, class) of what rare_counts() gives."""
+    shared = near.sparkSession.sparkContext.broadcast(big)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            table = np.zeros((len(lists), WIDTH))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            table[row, lists.flatten().field(0).to_numpy()] = lists.flatten().field(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_best(shared.value, table), pa.int32())], names=["word", "class"])
+
+    C.small_batches(near.sparkSession, 256)
+    return C.cut(near.mapInArrow(run, "word binary, class int"))
+
+
 def exchange(classes: np.ndarray, big: np.ndarray, near: np.ndarray, turn: int = 0, turns: int = 1) -> np.ndarray:
     """One round: each word whose turn it is leaves its class for the one where the likelihood of the class bigrams is greatest.
 
     Counts beside classes are those of the pass; class bigrams follow every move, and what a move takes away it adds again.
     """
-    classes, big, n = classes.copy(), big.astype(float), len(big)
+    classes, big = classes.copy(), big.astype(float)
     for w in range(1, len(near)):
         a, own = classes[w], float(near[w, -1])
-        if w % turns != turn or not near[w, :n].any():
+        if w % turns != turn or not near[w, :N].any():
             continue
-        left, right = near[w, :n].astype(float), near[w, n:-1].astype(float)
+        left, right = near[w, :N].astype(float), near[w, N:-1].astype(float)
         left[a] -= own
         right[a] -= own
-        big[:, a] -= left
-        big[a] -= right
-        big[a, a] -= own
-        b = int(gains(big, left, right, own).argmax())
+        b = int(gains(big, left[None], right[None], np.array([own]), a)[0].argmax())
+        for x, sign in ((a, -1), (b, 1)):
+            big[:, x] += sign * left
+            big[x] += sign * right
+            big[x, x] += sign * own
         classes[w] = b
-        big[:, b] += left
-        big[b] += right
-        big[b, b] += own
     return classes
 
 
 @dataclass
 class Model:
     vocab: Vocabulary
-    classes: np.ndarray  # of each id, then of each shape
+    classes: np.ndarray  # of each id; then of words that aren't learnt, and of ids that stand for a class
     transition: np.ndarray  # log10 of a class after a class
     divisor: np.ndarray  # log10 of what a class divides a word's count + ADD by
+    rises: list[float]  # likelihood() of the classes at first, after each pass, and with all words
 
 
-def train(encoded: DataFrame, vocab: Vocabulary, passes: int = PASSES) -> Model:
-    """Classes and their probabilities from the rows of encoded that are not held out. END has a class of its own."""
-    end, n, k = CLASSES + len(SHAPES), CLASSES + len(SHAPES) + 1, vocab.clustered
-    classes = np.concatenate([CLASSES + vocab.shapes, CLASSES + np.arange(len(SHAPES))])
-    classes[1:k] = np.arange(k - 1) % CLASSES
-    classes[0] = end
-    best = None
+def seeds(encoded: DataFrame, vocab: Vocabulary, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
+    """Classes of the frequent words that move on the driver, all others in REST; their class bigrams, the counts of the other frequent words, and the likelihoods on the way."""
+    k, size = vocab.clustered, len(vocab.counts)
+    classes = np.concatenate([[FINAL], np.arange(k - 1) % CLASSES, np.full(size - k + 1, REST), np.arange(CLASSES)])
+    best, rises = None, []
     for turn in range(passes + 1):
-        big, near = class_counts(encoded, classes, k, n, turn < passes)
-        if best is None or likelihood(big) > best[0]:
-            best = likelihood(big), classes, big, near
+        first, last = (0, k) if turn < passes else (k, size)
+        big, blocks = class_counts(encoded, classes, first, last)
+        rises.append(likelihood(big))
+        if best is not None and rises[-1] <= best[0]:
+            big, blocks = class_counts(encoded, best[1], first, last)
+            best = (best[0], best[1], big, blocks)
+        else:
+            best = (rises[-1], classes, big, blocks)
         if turn < passes:
             classes = best[1].copy()
-            classes[:k] = exchange(best[1][:k], best[2], best[3], turn % 2, 2)
-    _, classes, big, _ = best
+            classes[:k] = exchange(best[1][:k], best[2], _collected(best[3], k), turn % 2, 2)
+    return best[1], best[2], best[3], rises
+
+
+def train(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, passes: int = PASSES) -> tuple[Model, DataFrame]:
+    """Classes and their probabilities from the rows of encoded that are not held out; and encoded with the classes (as ids behind the frequent words') and counts of rare words."""
+    size = len(vocab.counts)
+    classes, big, blocks, rises = seeds(encoded, vocab, passes)
+
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield pd.DataFrame({"key": df["key"], "classes": [_best(big, np.frombuffer(x, "<i8").reshape(-1, WIDTH)).astype(int).tolist() for x in df["data"]]})
+
+    final = classes.copy()
+    for r in blocks.mapInPandas(settled, "key int, classes array<int>").collect():  # HEAD numbers at most
+        final[r["key"] : r["key"] + len(r["classes"])] = r["classes"]
+    rare = assigned(rare_counts(encoded, classes), big)
+    learnt = _with_rare(encoded, rare, counts, size)
+    big, _ = class_counts(learnt, final)
+    rises.append(likelihood(big))
     tokens = big.sum(0).astype(float)
-    share = (tokens + ADD) / (tokens.sum() + ADD * n)
-    transition = np.log10((big + PULL * share) / (big.sum(1, keepdims=True) + PULL))
-    words = np.bincount(classes[1:k], minlength=n).astype(float)
-    words[CLASSES : CLASSES + len(SHAPES)] += vocab.shape_words
-    words[end] = 0
-    return Model(vocab, classes, transition, np.log10(tokens + ADD * (words + 1)))
-
+    share = (tokens + ADD) / (tokens.sum() + ADD * N)
+    once = (vocab.once + ADD) / (vocab.total + 2 * ADD)  # what words seen once say of those never seen
+    step = (big + PULL * share) / (big.sum(1, keepdims=True) + PULL)
+    step[:, REST] = 0
+    step = step / step.sum(1, keepdims=True) * (1 - once)
+    step[:, REST] = once
+    words = np.bincount(final[1:size], minlength=N).astype(float)
+    for r in rare.groupBy("class").agg(F.count("*").alias("n")).collect():  # a row for each class
+        words[r["class"]] += r["n"]
+    words[FINAL] = words[REST] = 1
+    tokens[REST] = 0
+    return Model(vocab, final, np.log10(step), np.log10(np.maximum(tokens + ADD * words, ADD)), rises), learnt
+
+
+def _with_rare(encoded: DataFrame, rare: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """Written once: __row, __id, held_out, ids, n (counts of the rows' rare words in order): a rare word's id is size + 1 + its class; what was never learnt keeps size and has n 0."""
+    known = rare.join(counts.select(F.col("word").cast("binary").alias("word"), "n"), "word")
+    kind = encoded.schema["__id"].dataType.simpleString()
+    met = encoded.select("__row", F.posexplode("rare").alias("at", "word")).join(known, "word").groupBy("__row").agg(F.collect_list(F.struct("at", "class", "n")).alias("found"))
 
-def score(encoded: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """One row for each row of encoded: __id, held_out, n_tokens, n_known, base_score, score."""
-    spark, kind = encoded.sparkSession, encoded.schema["__id"].dataType.simpleString()
-    logs = np.concatenate([np.log10(model.vocab.counts + ADD), np.zeros(len(SHAPES))])
-    seen = np.concatenate([model.vocab.counts > 0, np.zeros(len(SHAPES), bool)])
-    shared = spark.sparkContext.broadcast((model.classes, model.transition, model.divisor, logs, seen))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counted = [], []
+            for raw, found in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                x = np.frombuffer(raw, "<i4")
+                places = np.flatnonzero(x == size)
+                n = np.zeros(len(places), np.int64)
+                if found.is_valid:
+                    x = x.copy()
+                    at, c, many = (found.values.field(j).to_numpy() for j in range(3))
+                    x[places[at]] = size + 1 + c
+                    n[at] = many
+                ids.append(x.tobytes())
+                counted.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(counted, pa.list_(pa.int64()))], names=["__row", "__id", "held_out", "ids", "n"])
+
+    C.small_batches(encoded.sparkSession, 256)
+    both = encoded.drop("rare").join(met, "__row", "left").select("__row", "__id", "held_out", "ids", "found")
+    return C.cut(both.mapInArrow(run, f"__row long, __id {kind}, held_out boolean, ids binary, n array<bigint>"))
+
+
+def score(learnt: DataFrame, model: Model) -> DataFrame:
+    """One row for each row of learnt: __id, held_out, n_tokens, n_known, base_score, score."""
+    spark, kind, size = learnt.sparkSession, learnt.schema["__id"].dataType.simpleString(), len(model.vocab.counts)
+    counts = np.concatenate([model.vocab.counts, np.zeros(1 + CLASSES, np.int64)])
+    divisor = float(np.log10(model.vocab.total + ADD * (model.vocab.distinct + 1)))
+    shared = spark.sparkContext.broadcast((model.classes, model.transition, model.divisor, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, transition, divisor, logs, seen = shared.value
+        classes, transition, below, counts = shared.value
         for batch in batches:
-            ids = _flat(batch.column(3))
-            sizes = np.array([len(x) // 4 for x in batch.column(3).to_pylist()])
+            ids = _flat(batch.column(2))
+            sizes = np.array([len(x) // 4 for x in batch.column(2).to_pylist()])
             starts = np.cumsum(sizes) - sizes
-            c = classes[ids]
+            c, n = classes[ids], counts[ids]
+            n[ids >= size] = batch.column(3).flatten().to_numpy()
             before = np.concatenate([[classes[0]], c[:-1]])  # each row ends with END
-            word = logs[ids]
-            sums = [np.add.reduceat(x, starts) if len(sizes) else x for x in (seen[ids].astype(np.int64), word, word + transition[before, c] - divisor[c])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=["__row", "__id", "held_out", "n_tokens", "n_known", "words", "model"])
+            word = np.log10(n + ADD)
+            sums = [np.add.reduceat(x, starts) if len(sizes) else x for x in ((n > 0).astype(np.int64), word - divisor, word + transition[before, c] - below[c])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=["__id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     C.small_batches(spark, 256)
-    own = encoded.select("__row", "__id", "held_out", "ids").mapInArrow(run, f"__row long, __id {kind}, held_out boolean, n_tokens long, n_known long, words double, model double")
-    rare = encoded.select("__row", F.explode("rare").alias("w")).join(counts.select(F.col("word").cast("binary").alias("w"), "n"), "w", "left")
-    rare = rare.groupBy("__row").agg(F.count("n").alias("n_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("words"))
-    both = own.unionByName(rare.withColumn("model", F.col("words")), allowMissingColumns=True).groupBy("__row")
-    sums = both.agg(F.max("__id").alias("__id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("words").alias("words"), F.sum("model").alias("score"))
-    divisor = float(np.log10(model.vocab.total + ADD * (model.vocab.distinct + 1)))
-    return sums.select("__id", "held_out", "n_tokens", "n_known", (F.col("words") - F.col("n_tokens") * divisor).alias("base_score"), "score")
+    return learnt.select("__id", "held_out", "ids", "n").mapInArrow(run, f"__id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, passes: int = PASSES) -> DataFrame:
@@ -286,13 +375,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     learnt from. Tokens are words at white space with A-Z lower-cased, then one end; a null or
     empty text is the end alone. base_score is of smoothed word frequencies, score of the class model,
     both log10 probabilities of the text; perplexity is 10^(-score / n_tokens). Repeated rows and null ids
-    count and are scored as they come; without training rows all words are unseen.
+    count and are scored as they come; without training rows all words are unseen. A word that is never learnt is one of
+    a class of its own, as likely anywhere as words that occur once are in all.
     """
     out = C.bucket_of(F.col(id_col), 10) == 0 if held_out is None else held_out
     counts = count_words(docs.where(~out), text_col)
     vocab = vocabulary(counts)
     encoded = encode(docs, vocab, id_col=id_col, text_col=text_col, held_out=out)
-    found = score(encoded, counts, train(encoded, vocab, passes))
+    model, learnt = train(encoded, counts, vocab, passes)
+    found = score(learnt, model)
     return found.select(F.col("__id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
