@@ -262,11 +262,17 @@ def table_hash(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def research_gate(orders: DataFrame, cards: DataFrame, scores: DataFrame, *, order_id: str, symbol: str, at: str, version: str, statuses: Sequence[str] = ("ACTIVE",)) -> DataFrame:
-    """For each order the symbol's latest card before it: exists, the order is bound to it (its version is that card_id), not expired, allowed status, quality passed, and all of them."""
-    o = orders.select(order_id, F.col(symbol).alias("__s"), F.col(at).alias("__at"), F.col(version).alias("__v"))
-    c = cards.join(scores.select("card_id", "passed"), "card_id", "left")
-    seen = o.join(c, (o["__s"] == c[symbol]) & (c["as_of"] <= o["__at"])).groupBy(order_id, "__at").agg(F.max_by(F.struct("card_id", "expires_at", "status", "passed"), F.struct("as_of", "card_id")).alias("b"))
-    out = o.join(seen, [order_id, "__at"], "left")
+    """For each order the symbol's latest card before it: exists, the order is bound to it (its version is that card_id), not expired, allowed status, quality passed, and all of them.
+
+    Cards and orders of a symbol are one stream by time, in which a running maximum is the latest card. Card times and order times are of one type.
+    """
+    passed = scores.select("card_id", "passed")
+    told = cards.where(F.col("as_of").isNotNull()).join(passed, "card_id", "left").select(F.col(symbol).alias("__s"), F.col("as_of").alias("__at"), F.lit(0).alias("__ask"), F.struct("as_of", "card_id", "expires_at", "status", "passed").alias("__c"))
+    asks = orders.select(F.col(symbol).alias("__s"), F.col(at).alias("__at"), F.lit(1).alias("__ask"), F.struct(F.col(order_id).alias("id"), F.col(version).alias("v")).alias("__o"))
+    stream = Window.partitionBy("__s").orderBy("__at", "__ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = told.unionByName(asks, allowMissingColumns=True).withColumn("b", F.max("__c").over(stream)).where("__ask = 1")
+    usable = F.col("__s").isNotNull() & F.col("__at").isNotNull()
+    out = latest.select(F.col("__o.id").alias(order_id), "__at", F.col("__o.v").alias("__v"), F.when(usable, F.col("b")).alias("b"))
 
     def flag(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))

@@ -148,6 +148,33 @@ def linked_return(nav: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     return nav.groupBy(*keys).agg((F.product(1 + F.col("period_return")) - 1).alias("twr"), F.min("drawdown").alias("max_drawdown"))
 
 
+def risk_metrics(returns: DataFrame, *, keys: Sequence[str], date: str, order: Sequence[str], periods: float = 252.0) -> DataFrame:
+    """Risk of each key's period returns (W13's frame): periods, volatility and downside deviation (of losses, about zero) a year, win rate, annual return, Calmar ratio, and the longest drawdown in days.
+
+    The annual return links all periods over the calendar days between the first and the last; the Calmar ratio is that by the greatest drawdown, null without one.
+    A drawdown lasts from the last day at the peak (or the first day, for an index that starts below 1) to each later row below it. Null returns count for nothing; a key
+    with one day has no annual return.
+    """
+    upto = _upto(keys, order)
+    since = F.coalesce(F.last(F.when(F.col("drawdown") >= 0, F.col(date)), True).over(upto), F.first(date).over(upto))
+    rows = returns.withColumn("__days", F.when(F.col("drawdown") < 0, F.datediff(date, since)).otherwise(0))
+    r, loss = F.col("period_return"), F.least(F.col("period_return"), F.lit(0.0))
+    sums = rows.groupBy(*keys).agg(
+        F.count("period_return").alias("periods"), (F.stddev_samp("period_return") * F.sqrt(F.lit(periods))).alias("volatility"), F.sqrt(F.avg(loss * loss) * periods).alias("downside_deviation"),
+        (F.count_if(r > 0) / F.count("period_return")).alias("win_rate"), (F.product(1 + r) - 1).alias("__twr"), F.min("drawdown").alias("__worst"), F.datediff(F.max(date), F.min(date)).alias("__span"), F.max("__days").cast("long").alias("longest_drawdown"),
+    )
+    annual = F.when((F.col("__span") > 0) & (F.col("__twr") > -1), F.pow(1 + F.col("__twr"), F.lit(365.0) / F.col("__span")) - 1)
+    return sums.withColumn("annual_return", annual).withColumn("calmar", F.when(F.col("__worst") < 0, F.col("annual_return") / -F.col("__worst"))).drop("__twr", "__worst", "__span")
+
+
+def turnover(fills: DataFrame, nav: DataFrame, *, keys: Sequence[str], date: str, quantity: str = "quantity", price: str = "price", equity: str = "equity") -> DataFrame:
+    """Turnover of each key and year: half of what was traded by the mean equity; null where the year has no positive equity."""
+    year = F.year(date).cast("long").alias("year")
+    traded = fills.groupBy(*keys, year).agg((F.sum(F.abs(F.col(quantity) * F.col(price))) / 2).alias("__t"))
+    mean = nav.groupBy(*keys, year).agg(F.avg(equity).alias("__e"))
+    return traded.join(mean, [*keys, "year"], "left").select(*keys, "year", F.when(F.col("__e") > 0, F.col("__t") / F.col("__e")).alias("turnover"))
+
+
 def daily_pnl(nav: DataFrame, *, keys: Sequence[str], date: str, tie: str, equity: str = "equity") -> DataFrame:
     """The last value of each day less the last of an earlier day; on the first day less the day's first value."""
     days = nav.groupBy(*keys, date).agg(F.max_by(equity, tie).alias("last"), F.min_by(equity, tie).alias("first"))
@@ -214,18 +241,35 @@ def fifo_match(fills: DataFrame, *, keys: Sequence[str], date: str = "d", seq: s
 def moving_average_cost(fills: DataFrame, *, keys: Sequence[str], order: Sequence[str], side: str = "side", quantity: str = "quantity", price: str = "price", fees: Column | None = None) -> DataFrame:
     """Quantity and average cost (fees included) of each key after its fills; a sale leaves the cost as it is.
 
-    A sale of more than is held is refused. One array of fills for each key is folded in order.
+    A sale of more than is held is refused; fills without a quantity or a cost change nothing. Each fill depends on all before it, so a key's fills stream
+    through one task in order; what a task holds is the quantity and cost of the key it is at, whatever the number of fills.
     """
+    keys = list(keys)
     cost = F.col(quantity) * F.col(price) + (F.lit(0.0) if fees is None else fees)
-    rows = fills.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, (F.col(side) == "BUY").alias("buy"), F.col(quantity).cast("double").alias("q"), cost.cast("double").alias("c")))).alias("__f"))
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("c"))
-
-    def step(a: Column, x: Column) -> Column:
-        bought = F.struct((a["q"] + x["q"]).alias("q"), ((a["q"] * a["c"] + x["c"]) / (a["q"] + x["q"])).alias("c"))
-        sold = F.struct((a["q"] - x["q"]).alias("q"), F.when(a["q"] == x["q"], 0.0).otherwise(a["c"]).alias("c"))
-        return F.when(x["buy"], bought).when(x["q"] <= a["q"], sold).otherwise(a)
+    rows = fills.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], (F.col(side) == "BUY").alias("__buy"), F.col(quantity).cast("double").alias("__q"), cost.cast("double").alias("__c"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))], "__buy", "__q", "__c")
+    slim = rows.select(*keys, "__buy", "__q", "__c")
+    schema = T.StructType([*[slim.schema[k] for k in keys], T.StructField("quantity", T.DoubleType()), T.StructField("average_cost", T.DoubleType())])
 
-    return rows.select(*keys, F.aggregate("__f", zero, step).alias("r")).select(*keys, F.col("r.q").alias("quantity"), F.col("r.c").alias("average_cost"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, mean = None, 0.0, 0.0
+        for batch in batches:
+            types, done = [f.type for f in batch.schema][: len(keys)], []
+            for *key, buy, q, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if key != now:
+                    done += [(*now, held, mean)] if now is not None else []
+                    now, held, mean = key, 0.0, 0.0
+                if q is None or c is None:
+                    continue
+                if buy and held + q != 0:
+                    held, mean = held + q, (held * mean + c) / (held + q)
+                elif not buy and q <= held:
+                    held, mean = held - q, 0.0 if q == held else mean
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*done, strict=True) if done else [[]] * len(schema), [*types, pa.float64(), pa.float64()], strict=True)], names=schema.names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, held, mean), [*types, pa.float64(), pa.float64()], strict=True)], names=schema.names)
+
+    return slim.mapInArrow(fold, schema)
 
 
 def apply_actions(lots: DataFrame, actions: DataFrame, *, keys: Sequence[str] = ("symbol",), position: Sequence[str] = ("account", "symbol"), acquired: str = "acquired", quantity: str = "remaining", cost: str | None = None, truncate: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -295,8 +339,13 @@ def verify_chain(events: DataFrame, *, run: str = "run_id", sequence: str = "seq
 
 
 def xirr(flows: DataFrame, *, keys: Sequence[str], date: str, amount: str, steps: int = 200) -> DataFrame:
-    """Annual internal rate of return of each key's flows by bisection; null without both signs or a bracket."""
-    one = flows.groupBy(*keys).agg(F.collect_list(F.struct(F.datediff(date, F.lit("1970-01-01")).cast("double").alias("t"), F.col(amount).cast("double").alias("a"))).alias("__f"), F.min(F.datediff(date, F.lit("1970-01-01"))).cast("double").alias("__0"), F.max(amount).alias("__hi"), F.min(amount).alias("__lo"))
+    """Annual internal rate of return of each key's flows by bisection; null without both signs or a bracket.
+
+    Flows of one day are discounted alike, so they are summed up before they meet: bisection goes over a key's days, however many flows they have.
+    """
+    t = F.datediff(date, F.lit("1970-01-01")).cast("double")
+    days = flows.groupBy(*keys, t.alias("__t")).agg(F.sum(F.col(amount).cast("double")).alias("__a"), F.max(amount).alias("__hi"), F.min(amount).alias("__lo"))
+    one = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col("__a").alias("a")))).alias("__f"), F.min("__t").alias("__0"), F.max("__hi").alias("__hi"), F.min("__lo").alias("__lo"))
 
     def npv(rate: Column) -> Column:
         return F.aggregate("__f", F.lit(0.0), lambda s, x: s + x["a"] / F.pow(1 + rate, (x["t"] - F.col("__0")) / 365.0))

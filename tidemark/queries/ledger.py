@@ -159,6 +159,29 @@ def w13_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.linked_return(_returns(spark, sf_dir), keys=["account"]).select("account", F.round("twr", 6).alias("twr"), F.round("max_drawdown", 6).alias("max_drawdown"))
 
 
+@query(
+    "w13_risk_metrics",
+    X.with_views("nav") + f""", {_RET}, s AS (SELECT *, coalesce(last_value(CASE WHEN drawdown >= 0 THEN d END IGNORE NULLS) OVER w, first_value(d) OVER w) AS since FROM dd WINDOW w AS (PARTITION BY account ORDER BY d, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ m AS (SELECT account, count(period_return) AS periods, stddev_samp(period_return) * sqrt(252) AS volatility, sqrt(avg(least(period_return, 0) * least(period_return, 0)) FILTER (WHERE period_return IS NOT NULL) * 252) AS downside_deviation, count(*) FILTER (WHERE period_return > 0) / count(period_return) AS win_rate,
+  product(1 + period_return) - 1 AS twr, min(drawdown) AS worst, date_diff('day', min(d), max(d)) AS span, max(CASE WHEN drawdown < 0 THEN date_diff('day', since, d) ELSE 0 END) AS longest_drawdown FROM s GROUP BY 1),
+ a AS (SELECT *, CASE WHEN span > 0 AND twr > -1 THEN pow(1 + twr, 365.0 / span) - 1 END AS ar FROM m)
+ SELECT account, periods, round(volatility, 6) AS volatility, round(downside_deviation, 6) AS downside_deviation, round(win_rate, 6) AS win_rate, round(ar, 6) + 0 AS annual_return, round(CASE WHEN worst < 0 THEN ar / -worst END, 6) + 0 AS calmar, longest_drawdown FROM a""",
+)
+def w13_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lg.risk_metrics(_returns(spark, sf_dir), keys=["account"], date="d", order=["d", "seq"])
+    return out.select("account", "periods", *[F.round(c, 6).alias(c) for c in ("volatility", "downside_deviation", "win_rate", "annual_return", "calmar")], "longest_drawdown")
+
+
+@query(
+    "w13_turnover",
+    X.with_views("nav", "fills") + """, t AS (SELECT account, CAST(year(d) AS BIGINT) AS year, sum(abs(quantity * price)) / 2 AS t FROM fills GROUP BY 1, 2), e AS (SELECT account, CAST(year(d) AS BIGINT) AS year, avg(equity) AS e FROM nav GROUP BY 1, 2)
+ SELECT account, year, round(CASE WHEN e > 0 THEN t / e END, 6) AS turnover FROM t LEFT JOIN e USING (account, year)""",
+)
+def w13_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lg.turnover(X.fills(spark, sf_dir), X.nav(spark, sf_dir), keys=["account"], date="d")
+    return out.withColumn("turnover", F.round("turnover", 6))
+
+
 @query(
     "w14_daily_pnl",
     X.with_views("nav") + """, e AS (SELECT account, d, max(struct_pack(s := seq, e := equity)).e AS last, min(struct_pack(s := seq, e := equity)).e AS first FROM nav GROUP BY 1, 2)
