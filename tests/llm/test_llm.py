@@ -275,7 +275,23 @@ def test_token_store_round_trip(spark, result, small, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     token_store.write_blocks(docs, str(tmp_path / "t"), block_ids=500)
     t = small.set_index("doc_id").text[7]
-    assert token_store.read_ids(spark, str(tmp_path / "t"), 7).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
+    assert [x.tolist() for x in token_store.read_ids(spark, str(tmp_path / "t"), 7)] == [[*tok.encode(t, add_special_tokens=False).ids, 2]]
+
+
+def test_random_access_to_nulls_repeats_and_missing_ids(spark, tmp_path):
+    tok = vocab.Encoder("byte_bpe_50k.json").tok
+    whole = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+    rows = [(i // 3, f"text {i} " * (i % 7)) for i in range(120)] + [(None, "none"), (None, None), (None, "z"), (500, None)]
+    for kind, key in (("long", lambda i: i), ("string", lambda i: None if i is None else f"k{i:04}"), ("double", lambda i: None if i is None else float(i))):
+        folder = str(tmp_path / kind)
+        docs = spark.createDataFrame([(key(i), t) for i, t in rows], f"doc_id {kind}, text string").withColumns({c: F.lit(0) for c in ("block", "shard", "first_id", "payload", "nulls")})
+        token_store.write_blocks(docs.repartition(5), folder, block_ids=40)
+        stored = key if kind != "double" else lambda i: None if i is None else str(float(i))
+        for i in (0, 17, 39, 500, None, 499, 40):
+            got = [x.tolist() for x in token_store.read_ids(spark, folder, stored(i))]
+            assert sorted(got) == sorted(whole(t) for j, t in rows if j == i), (kind, i)
+    blocks = spark.read.parquet(str(tmp_path / "long"))
+    assert blocks.count() > 10 and blocks.where("first_id <= 17 AND last_id >= 17").count() <= 2
 
 
 @pytest.mark.parametrize("width", [1, 5, 13, 16, 17])

@@ -50,22 +50,24 @@ def unpack(data: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
 
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
-    kinds = {"shard": pa.int32(), "block": pa.int32(), "base": pa.int64(), "n_ids": pa.int64(), "width": pa.int32(), "doc_ids": pa.list_(id_type), "offsets": pa.list_(pa.int64()), "payload": pa.binary()}
+    kinds = {"shard": pa.int32(), "block": pa.int32(), "base": pa.int64(), "n_ids": pa.int64(), "width": pa.int32(), "first_id": id_type, "last_id": id_type, "nulls": pa.int64(), "doc_ids": pa.list_(id_type), "offsets": pa.list_(pa.int64()), "payload": pa.binary()}
     return pa.schema(list(kinds.items()))
 
 
-BLOCKS = "shard int, block int, base long, n_ids long, width int, doc_ids array<{}>, offsets array<bigint>, payload binary"
+BLOCKS = "shard int, block int, base long, n_ids long, width int, first_id {0}, last_id {0}, nulls long, doc_ids array<{0}>, offsets array<bigint>, payload binary"
 
 
 def write_blocks(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encodes docs into blocks under folder, in ascending id order (null ids first, ties by text hash).
 
-    Each document's ids are followed by end_id. shard and block number the blocks in order; base
-    is the count of a shard's ids before the block; offsets has one entry more than doc_ids. A null text
+    Ids other than int and bigint are stored as text. Each document's ids are followed by end_id. shard and block number the blocks in order; base
+    is the count of a shard's ids before the block; offsets has one entry more than doc_ids. first_id and last_id are the least and greatest
+    id of a block, nulls how many of its documents have none, so that a reader skips blocks by the statistics of these columns. A null text
     is empty; repeated rows are stored as often as they come; an empty table writes no block.
     """
-    kind = docs.schema[id_col].dataType
-    fields = _schema(pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string())
+    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind if kind in ("bigint", "int") else "string"
+    fields = _schema({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = vocab.encoder(vocabulary), TaskContext.get().partitionId()
@@ -75,7 +77,8 @@ def write_blocks(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
         def close() -> pa.RecordBatch:
             ids = np.concatenate(parts)
             offsets = np.cumsum([0, *[len(p) for p in parts]]).tolist()
-            row = [shard, block, base, len(ids), width, names, offsets, pack(ids, width)]
+            known = [x for x in names if x is not None]  # names ascend
+            row = [shard, block, base, len(ids), width, known[0] if known else None, known[-1] if known else None, len(names) - len(known), names, offsets, pack(ids, width)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
@@ -91,8 +94,8 @@ def write_blocks(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             yield close()
 
     C.small_batches(docs.sparkSession, 256)
-    ranged = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__th")).repartitionByRange(id_col, "__th").sortWithinPartitions(id_col, "__th")
-    ranged.select(id_col, "__text").mapInArrow(run, BLOCKS.format(kind.simpleString())).write.option("compression", "none").parquet(folder)
+    ranged = docs.select(F.col(id_col).cast(kind).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__th")).repartitionByRange("__id", "__th").sortWithinPartitions("__id", "__th")
+    ranged.select("__id", "__text").mapInArrow(run, BLOCKS.format(kind)).write.option("compression", "none").parquet(folder)
 
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,12 +125,20 @@ def documents_in(blocks: DataFrame) -> DataFrame:
     return blocks.select("first", "n_ids", "width", "doc_ids", "offsets", "payload").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def read_ids(spark: SparkSession, folder: str, doc_id) -> np.ndarray:
-    """The ids of one document, from its block alone (random access)."""
-    row = spark.read.parquet(folder).where(F.array_contains("doc_ids", doc_id)).limit(1).collect()[0]
-    at = row["doc_ids"].index(doc_id)
-    a, b = row["offsets"][at], row["offsets"][at + 1]
-    return unpack(row["payload"], row["width"], b - a, a)
+def read_ids(spark: SparkSession, folder: str, doc_id) -> list[np.ndarray]:
+    """The ids of each document of that id (None: of those without one), in stored order: none for an id that isn't there, several where it is repeated.
+
+    Blocks are found by the least and greatest id they hold, which Parquet keeps statistics of; of those few the list of documents is read, and of the payload
+    only the bytes that hold a document's ids are unpacked.
+    """
+    blocks = spark.read.parquet(folder)
+    mine = F.col("nulls") > 0 if doc_id is None else (F.col("first_id") <= F.lit(doc_id)) & (F.col("last_id") >= F.lit(doc_id))
+    out = []
+    for row in blocks.where(mine).select("shard", "block", "width", "doc_ids", "offsets", "payload").orderBy("shard", "block").toLocalIterator():  # a block at a time
+        for name, a, b in zip(row["doc_ids"], row["offsets"], row["offsets"][1:], strict=False):
+            if name == doc_id:
+                out.append(unpack(row["payload"], row["width"], b - a, a))
+    return out
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
