@@ -85,3 +85,36 @@ def test_research_gate_by_hand(spark):
     made = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
     out = dc.research_gate(made(orders, "id long, symbol string, at timestamp, v long"), made(cards, "card_id long, symbol string, as_of timestamp, expires_at timestamp, status string"), made(scores, "card_id long, passed boolean"), order_id="id", symbol="symbol", at="at", version="v")
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_indicators_go_on_from_batch_to_batch(spark):
+    """Histories shorter and longer than a batch, by the recursions row by row; keys with null, and one value."""
+    from tidemark.operators import timeseries as ts
+
+    rng = random.Random(4)
+    lengths = {"a": 100, "b": 14, "c": 15, "d": 1, None: 40, "flat": 20, "e": 2}
+    rows = [(k, i, 10.0 if k == "flat" else 10 + rng.random()) for k, n in lengths.items() for i in range(n)]
+    want = {}
+    for k in lengths:
+        x = [v for key, _, v in rows if key == k]
+        fast = slow = x[0]
+        dea = gain = loss = 0.0
+        for i, v in enumerate(x):
+            if i:
+                fast, slow = fast + 2 / 13 * (v - fast), slow + 2 / 27 * (v - slow)
+                dea += 0.2 * (fast - slow - dea)
+                up, down = max(v - x[i - 1], 0), max(x[i - 1] - v, 0)
+                gain, loss = (gain + up / 14, loss + down / 14) if i <= 14 else ((gain * 13 + up) / 14, (loss * 13 + down) / 14)
+            rsi = None if i < 14 else (100.0 if gain > 0 else 50.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+            want[k, i] = (fast, slow, fast - slow, dea, 2 * (fast - slow - dea), rsi)
+    df = spark.createDataFrame(rows, "k string, seq long, close double").repartition(6)
+    for size in (3, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r["k"], r["seq"]): tuple(r)[3:] for r in ts.recursive_indicators(df, keys=["k"], order=["seq"], decimals=None).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got.keys() == want.keys()
+        for at, w in want.items():
+            assert got[at][:5] == pytest.approx(w[:5], abs=1e-9) and (got[at][5] is None) == (w[5] is None) and (w[5] is None or got[at][5] == pytest.approx(w[5]))
+    assert ts.recursive_indicators(df.where("false"), keys=["k"], order=["seq"]).count() == 0

@@ -6,7 +6,7 @@ MACD, Wilder RSI) leave the JVM: a pass over each key's sorted rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -67,45 +67,70 @@ def average_amount(df: DataFrame, *, keys: Sequence[str], order: Sequence[str],
     return df.withColumn(alias, F.when(F.count(value).over(w) == n, F.round(F.avg(value).over(w), 2)))
 
 
-def _ema(x: np.ndarray, span: int) -> np.ndarray:
-    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
-
-
-def wilder_rsi(x: np.ndarray, n: int = 14) -> np.ndarray:
-    """RSI: null for the first n values; without losses 100, or 50 if there is no gain either."""
-    out = np.full(len(x), np.nan)
-    if len(x) <= n:
+class _Indicators:
+    """What W3 to W5 remember of a key: three moving averages, the last value, and Wilder's averages, or the moves they start from while these are fewer than SPAN."""
+
+    SPAN = 14
+
+    def __init__(self) -> None:
+        self.fast = self.slow = self.signal = self.last = self.gain = self.loss = None
+        self.moves = np.zeros(0)
+
+    @staticmethod
+    def _smooth(x: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
+        """Exponential averages that go on from the one before, or start at the first value."""
+        seeded = x if before is None else np.concatenate([[before], x])
+        return pd.Series(seeded).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(seeded) - len(x) :]
+
+    def _rsi(self, x: np.ndarray) -> np.ndarray:
+        """Null for the first SPAN values of a key; without losses 100, or 50 if there is no gain either."""
+        n, out = self.SPAN, np.full(len(x), np.nan)
+        new = np.diff(x) if self.last is None else np.diff(x, prepend=self.last)
+        moves = np.concatenate([self.moves, new]) if self.gain is None else new
+        if self.gain is None and len(moves) < n:
+            self.moves = moves
+            return out
+        up, down = np.maximum(moves, 0), np.maximum(-moves, 0)
+        if self.gain is None:
+            up, down = (np.concatenate([[v[:n].mean()], v[n:]]) for v in (up, down))
+        gain, loss = self._smooth(up, self.gain, 1 / n), self._smooth(down, self.loss, 1 / n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[len(x) - len(gain) :] = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / loss))
+        self.gain, self.loss, self.moves = gain[-1], loss[-1], moves[:0]
         return out
-    moves = np.diff(x)
 
-    def smoothed(v: np.ndarray) -> np.ndarray:
-        seeded = np.concatenate([[v[:n].mean()], v[n:]])
-        return pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
-
-    gain, loss = smoothed(np.maximum(moves, 0)), smoothed(np.maximum(-moves, 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out[n:] = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / loss))
-    return out
+    def go_on(self, x: np.ndarray) -> list[np.ndarray]:
+        """The indicators at the next values of the key."""
+        fast, slow, rsi = self._smooth(x, self.fast, 2 / 13), self._smooth(x, self.slow, 2 / 27), self._rsi(x)
+        signal = self._smooth(fast - slow, self.signal, 2 / 10)
+        self.fast, self.slow, self.signal, self.last = fast[-1], slow[-1], signal[-1], x[-1]
+        return [fast, slow, fast - slow, signal, 2 * (fast - slow - signal), rsi]
 
 
 def recursive_indicators(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str = "close", decimals: int | None = 6) -> DataFrame:
     """Df with ema12, ema26, dif, dea, macd (histogram twice the gap) and rsi14, rounded to decimals.
 
-    EMAs start from the first value, alpha 2 / (span + 1); MACD is EMA12 - EMA26, its signal
-    the EMA9 of that. One group is one key's history; values must not be null.
+    EMAs start from the first value, alpha 2 / (span + 1); MACD is EMA12 - EMA26, its signal the EMA9 of that. A key's rows stream through one
+    task in order; from batch to batch it carries seven numbers of the key it is at, whatever the length of the history. Values must not be null.
     """
-    names = ["ema12", "ema26", "dif", "dea", "macd", "rsi14"]
+    keys, names = list(keys), ["ema12", "ema26", "dif", "dea", "macd", "rsi14"]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        x = pdf[value].to_numpy(float)
-        fast, slow = _ema(x, 12), _ema(x, 26)
-        dea = _ema(fast - slow, 9)
-        made = [fast, slow, fast - slow, dea, 2 * (fast - slow - dea), wilder_rsi(x)]
-        return pdf.assign(**{n: v if decimals is None else np.round(v, decimals) for n, v in zip(names, made, strict=True)})
-
-    out = df.groupBy(*keys).applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, carried = None, _Indicators()
+        for pdf in frames:
+            group = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()  # rows of a key lie together
+            starts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(pdf)]
+            made, x = [np.empty(len(pdf)) for _ in names], pdf[value].to_numpy(float)
+            for a, b in zip(starts, starts[1:], strict=False):
+                key = tuple(None if pd.isna(k) else k for k in pdf[keys].iloc[a]) if b > a else now
+                if key != now:
+                    now, carried = key, _Indicators()
+                for column, v in zip(made, carried.go_on(x[a:b]) if b > a else [], strict=False):
+                    column[a:b] = v
+            yield pdf.assign(**{n: v if decimals is None else np.round(v, decimals) for n, v in zip(names, made, strict=True)})
+
+    out = df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
     return out.withColumn("rsi14", F.when(~F.isnan("rsi14"), F.col("rsi14")))
 
 
