@@ -216,7 +216,7 @@ def rare_counts(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
 
     C.small_batches(encoded.sparkSession, 256)
     rows = encoded.where("NOT held_out").select("ids", "rare").mapInArrow(run, "word binary, place int, n long")
-    return rows.groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("near"))  # WIDTH pairs at most
+    return rows.groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("near"))  # WIDTH pairs at most
 
 
 def assigned(near: DataFrame, big: np.ndarray) -> DataFrame:
@@ -224,14 +224,26 @@ def assigned(near: DataFrame, big: np.ndarray) -> DataFrame:
     shared = near.sparkSession.sparkContext.broadcast(big)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}  # class by counts beside classes: most rare words have the same few
         for batch in batches:
             lists = batch.column(1)
-            table = np.zeros((len(lists), WIDTH))
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            table[row, lists.flatten().field(0).to_numpy()] = lists.flatten().field(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_best(shared.value, table), pa.int32())], names=["word", "class"])
-
-    C.small_batches(near.sparkSession, 256)
+            cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            place, n = (np.ascontiguousarray(lists.flatten().field(j).to_numpy()) for j in (0, 1))
+            p, m, wp, wn = place.tobytes(), n.tobytes(), place.itemsize, n.itemsize
+            keys = [p[x * wp : y * wp] + m[x * wn : y * wn] for x, y in zip(cuts, cuts[1:], strict=False)]
+            if len(known) > 500_000:
+                known.clear()
+            new = {k: i for i, k in enumerate(keys) if k not in known}
+            at = list(new.values())
+            for some in (at[i : i + 256] for i in range(0, len(at), 256)):
+                table = np.zeros((len(some), WIDTH))
+                for row, i in enumerate(some):
+                    table[row, place[cuts[i] : cuts[i + 1]]] = n[cuts[i] : cuts[i + 1]]
+                for i, best in zip(some, _best(shared.value, table).tolist(), strict=True):
+                    known[keys[i]] = best
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[k] for k in keys], pa.int32())], names=["word", "class"])
+
+    C.small_batches(near.sparkSession, 4096)
     return C.cut(near.mapInArrow(run, "word binary, class int"))
 
 
