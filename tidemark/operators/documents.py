@@ -19,10 +19,14 @@ def compact_for_search(text: Column) -> Column:
     return F.regexp_replace(compact(text), r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
 
 
-def excerpt(text: Column, at: Column, width: int = 520) -> Column:
-    """H2: the text from 100 characters before at (from 0) to width after it, compact, 800 characters at most."""
-    start = F.greatest(at - 100, F.lit(0))
-    return F.left(compact(F.substring(text, start + 1, at + width - start)), F.lit(800))
+#: H2: fixed values: characters of an excerpt before and behind the place it is of, and at most.
+BEFORE, BEHIND, MOST = 100, 520, 800
+
+
+def excerpt(text: Column, at: Column, width: int = BEHIND) -> Column:
+    """H2: the text from BEFORE characters before at (from 0) to width after it, compact, MOST characters at most."""
+    start = F.greatest(at - BEFORE, F.lit(0))
+    return F.left(compact(F.substring(text, start + 1, at + width - start)), F.lit(MOST))
 
 
 #: H2, H3: fixed values: what a document is called that can't be read, and whether a flag was found.
@@ -78,11 +82,12 @@ def flag_phrases(pages: DataFrame, phrases: Sequence[str], *, doc: str = "doc_id
     return out.select(doc, F.when(~readable_doc, UNREADABLE).when(F.col("__h").isNull(), FLAG_STATUS[1]).otherwise(FLAG_STATUS[0]).alias("status"), F.coalesce(F.col(f"__h.{page}"), F.array().cast("array<bigint>")).alias("pages"), F.coalesce("__h.text", F.array().cast("array<string>")).alias("excerpts"))
 
 
-#: H4: a number with optional sign, brackets, thousands and percent.
+#: H4, H5: fixed values: a number with optional sign, brackets, thousands and percent; a note of units.
+UNIT_NOTE = r"(?:金额|货币)?单位[：:]\s*([^，。；;]{1,40})"
 VALUE = r"(?<![0-9])([(（]?[-+]?[0-9][0-9,]*(?:\.[0-9]+)?[%％]?[)）]?)(?![0-9])"
 
 
-def unit_before(text: Column, at: Column, pattern: str = r"(?:金额|货币)?单位[：:]\s*([^，。；;]{1,40})", reach: int = 1200) -> Column:
+def unit_before(text: Column, at: Column, pattern: str = UNIT_NOTE, reach: int = 1200) -> Column:
     """H5: the last unit note in the reach characters before at (from 0), null without one."""
     start = F.greatest(at - reach, F.lit(0))
     found = F.regexp_extract_all(compact(F.substring(text, start + 1, at - start)), F.lit(pattern), F.lit(1))
@@ -186,18 +191,21 @@ def research_score(cards: DataFrame, *, card_id: str = "card_id") -> DataFrame:
     cards: as_of, core, bull, bear, facts, inferences: array<struct<text, evidence_ids, counter_ids>>; evidence:
     array<struct<evidence_id, source_id, quality, as_of>>; invalidation, risks: array<string>.
     """
-    ids = F.col("evidence.evidence_id")
-    claims = F.concat("core", "bull", "bear")
-    refs = F.flatten(F.transform(claims, lambda c: c["evidence_ids"]))
-    domains = F.array_remove(F.array_distinct(F.transform(F.filter("evidence", lambda e: e["quality"].isin("A", "B", "C")), lambda e: F.substring_index(e["source_id"], ":", 1))), "")
-    supported = F.size(F.filter(claims, lambda c: (F.size(c["evidence_ids"]) > 0) & (F.size(F.array_except(c["evidence_ids"], F.col("evidence.evidence_id"))) == 0)))
-    cover = F.when(F.size(claims) > 0, F.least(F.lit(100.0), supported / F.size(claims) * 100)).otherwise(0.0)
+    known = F.array_distinct(F.transform(F.filter("evidence", lambda e: e["quality"].isin("A", "B", "C")), lambda e: F.substring_index(e["source_id"], ":", 1)))
+    # what several codes rest on is a column of its own, computed once; claims are looked at one by one only where some reference is unknown
+    cards = cards.withColumns({"__ids": F.col("evidence.evidence_id"), "__claims": F.concat("core", "bull", "bear"), "__domains": F.array_remove(known, "")})
+    cards = cards.withColumn("__unknown", F.array_except(F.flatten(F.transform("__claims", lambda c: c["evidence_ids"])), F.col("__ids")))
+    named = F.filter("__claims", lambda c: F.size(c["evidence_ids"]) > 0)
+    proven = F.filter(named, lambda c: F.size(F.array_except(c["evidence_ids"], F.col("__ids"))) == 0)
+    supported = F.when(F.size("__unknown") == 0, F.size(named)).otherwise(F.size(proven))
+    cards = cards.withColumn("__cover", F.when(F.size("__claims") > 0, F.least(F.lit(100.0), supported / F.size("__claims") * 100)).otherwise(0.0))
+    cover, domains = F.col("__cover"), F.col("__domains")
     fact_refs = F.size(F.flatten(F.transform("facts", lambda c: c["evidence_ids"])))
     late = F.size(F.filter("evidence", lambda e: e["as_of"] > F.col("as_of")))
     codes = [
         (F.size("bear") < 2, "BEAR_CASE_LT_2"), (F.size("bull") < 2, "BULL_CASE_LT_2"), (F.size(domains) < 2, "EVIDENCE_DOMAINS_LT_2"), (late > 0, "FUTURE_EVIDENCE"),
         (F.size("invalidation") == 0, "MISSING_INVALIDATION"), (F.size("risks") == 0, "MISSING_RISK"), (cover < 95, "STRONG_CLAIM_COVERAGE_LT_95"),
-        (F.size(F.array_except(refs, ids)) > 0, "UNKNOWN_EVIDENCE_REFERENCE"), ((F.size("facts") > 0) & (fact_refs < F.size("facts")), "UNSUPPORTED_CONFIRMED_FACT"),
+        (F.size("__unknown") > 0, "UNKNOWN_EVIDENCE_REFERENCE"), ((F.size("facts") > 0) & (fact_refs < F.size("facts")), "UNSUPPORTED_CONFIRMED_FACT"),
     ]
     failures = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in codes]))
     countered = F.size(F.filter("inferences", lambda c: F.size(c["counter_ids"]) > 0))

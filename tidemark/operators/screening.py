@@ -84,9 +84,8 @@ def mid_ranks(rows: DataFrame, fields: Mapping[str, bool], *, within: Sequence[s
 
 def factor(parts: Sequence[Column], penalty: float = POLICY["missing_penalty"]) -> tuple[Column, Column]:
     """K4: mean of the parts there are, less penalty times the share missing, within 0 to 100, 4 decimals; and whether any is missing."""
-    n = len(parts)
-    have = reduce(lambda a, b: a + b, [F.when(p.isNotNull(), 1).otherwise(0) for p in parts])
-    total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    n, present = len(parts), F.array_compact(F.array(*[p.cast("double") for p in parts]))
+    have, total = F.size(present), F.aggregate(present, F.lit(0.0), lambda a, x: a + x)
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total / have - penalty * (n - have) / n)), 4)
     return F.when(have == 0, 0.0).otherwise(score), have < n
 
