@@ -114,7 +114,13 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row for each stratum of rows (stratum, and the columns of VECTOR): stratum, n, m, v (mean, and lower triangle of the covariance), det (its log).
+    """One row for each stratum of rows (stratum, and the columns of VECTOR): stratum, n, m* (mean), v* (covariance, lower triangle), det (its log)."""
+    est = _estimates(rows, share, steps)
+    return est.select("stratum", "n", *[F.col("m")[i].alias(f"m{i}") for i in _p()], *[F.col("v")[_cell(i, j)].alias(f"v{i}{j}") for i, j in _cells()], "det")
+
+
+def _estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """What mcd_estimates() gives, with arrays m and v.
 
     The covariance is that of the nearest share of rows, scaled so that the median distance is a chi-square's. Medians and the
     share's distance are approximate percentiles, exact up to 10,000 rows of a stratum.
@@ -178,7 +184,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     fit = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *[x for x, _ in VECTOR])
     if fit.isEmpty():
         return stats.select(*out, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
-    est = C.cut(mcd_estimates(fit))
+    est = C.cut(_estimates(fit))
     small = est.count() <= BROADCAST_STRATA
     strata = stats.select("__lang", "__source").distinct()
     for k, name in enumerate(("own", "mid", "top")):
