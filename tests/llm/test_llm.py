@@ -420,6 +420,92 @@ def test_near_duplicates_by_brute_force(result, small):
     assert got.kept.sum() == got.class_id.nunique()
 
 
+def _plain_shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(text)) if w]
+    seen, out = Counter(), []
+    for i in range(max(1, len(words) - 4) if words else 0):
+        five = tuple(words[i : i + 5])
+        out.append((five, seen[five]))
+        seen[five] += 1
+    return out
+
+
+def _plain_similarity(a, b):
+    """Longest common subsequence within the band, of shingles that are distinct, by the table of all its lengths."""
+    band = len(a) + len(b) - 2 * 0.8 / 1.8 * (len(a) + len(b)) + 1e-9
+    above = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y and abs(i - j) <= band else max(row[-1], above[j + 1]))
+        above = row
+    return above[-1] / (len(a) + len(b) - above[-1])
+
+
+def _plain_classes(ids, texts):
+    """The least id of each id's class, from all links between texts that have any shingle in common."""
+    made, parent, holders = [_plain_shingles(t) for t in texts], list(range(len(ids))), {}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, s in enumerate(made):
+        common = Counter(j for x in s or [None] for j in holders.get(x, ()))
+        for x in s or [None]:
+            holders.setdefault(x, []).append(k)
+        for j, n in common.items():
+            # in order there are at most as many in common as in any order
+            if made[j] == s or (n / (len(s) + len(made[j]) - n) >= 0.8 - 1e-9 and _plain_similarity(made[j], s) >= 0.8):
+                parent[find(k)] = find(j)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i: least[find(k)] for k, i in enumerate(ids)}
+
+
+def test_near_duplicates_by_plain_shingles_and_alignment(spark):
+    """Nothing of the operator's own is used here: shingles as tuples of words, all links from lists of who holds a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == _plain_classes([r["doc_id"] for r in rows], [r["text"] for r in rows])
+
+
+def test_near_duplicates_under_a_frequent_passage(spark, monkeypatch):
+    """Texts of which seven tenths are one passage share buckets and aren't similar; those that are meet by their rare shingles."""
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 16)
+    rng = np.random.default_rng(8)
+    passage, texts = [f"p{i}" for i in range(140)], []
+    for k in range(150):
+        own = [f"d{k}w{i}" for i in range(60)]
+        texts.append(" ".join(passage + own))
+        if k % 3 == 0:
+            near = list(own)
+            near[int(rng.integers(60))] = "edit"
+            texts.append(" ".join(passage + near))
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    nodes = near_dedup._nodes(docs, "doc_id", "text")
+    assert nodes.select(F.explode("keys").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] > 40
+    wanted = _plain_classes(ids, texts)
+    assert len(set(wanted.values())) == 150
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == wanted
+
+
+def test_similar_texts_share_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    frequency = rng.integers(0, 50, 1 << 10)
+    for n in [1, 2, 3, 4, 5, 9, 10, 11, 99, 100, 250]:
+        for gone in range(n // 5 + 1):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            b = np.concatenate([rng.permutation(a)[gone:], rng.integers(1, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if both / (len(a) + len(b) - both) >= 0.8:
+                assert len(np.intersect1d(near_dedup.prefix(a, 0.8, frequency), near_dedup.prefix(b, 0.8, frequency)))
+
+
 def test_copies_of_one_text_meet_it(spark):
     """Copies that are each similar to their source but not to each other are one class."""
     rng = np.random.default_rng(3)

@@ -4,8 +4,9 @@ A sketch takes the few least-hashed 5-word shingles of a text (each labelled wit
 occurrence) in the order in which they stand, so it follows edit similarity rather than mere overlap.
 Texts that agree in a sketch share a bucket. First each member of a bucket is held against one member
 drawn at random, which connects most of what is similar. Similarity isn't transitive, so buckets that still hold
-several components are gone through once more: there all members meet, and a pair goes on only if signatures
-of one bit for each of 2,048 MinHash functions, carried in the rows, differ in few enough places for its similarity.
+several components are gone through once more, by prefixes: of two texts of similarity 0.8 each has one of the other's
+rarest fifth of shingles among its own rarest fifth, so members that share but frequent passages don't meet. Those that do
+go on only if signatures of one bit for each of 2,048 MinHash functions differ in few enough places for their similarity.
 A match is always verified by alignment: the longest chain of common shingles in order, within the band that the
 similarity allows. Components are found twice, however many texts there are: of the first links, then of what the
 others connect among these.
@@ -13,6 +14,7 @@ others connect among these.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,10 +30,12 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of each text and shingles in each; texts of under SHORT shingles have SHORT_SKETCHES more of SHORT_SIZE.
 SKETCHES, SIZE = 36, 8
 SHORT, SHORT_SKETCHES, SHORT_SIZE = 24, 24, 4
-#: Bits of a signature, and standard deviations by which a pair at the least similarity may differ more than expected (lost: one in a thousand).
-BITS, SLACK = 2048, 3.1
-#: Rows of a bucket that meet in one task; larger buckets are dealt over several.
+#: Bits of a signature, and standard deviations by which a pair at the least similarity may differ more than expected (lost: one in thirty thousand).
+BITS, SLACK = 2048, 4.0
+#: Rows of a group that meet in one task; larger groups are dealt over several.
 BUCKET_ROWS = 4096
+#: Slots in which shingles are counted to tell rare from frequent ones; any order of them gives the same links.
+SLOTS = 1 << 18
 #: Pairs up to which the texts they need are picked out by a broadcast list of nodes.
 BROADCAST_PAIRS = 50_000
 #: Shingled texts that a verifying task remembers, of so many shingles at most.
@@ -207,7 +211,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id",
     texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["__id"].eqNullSafe(wanted["rep"])).select(texts["node"], "text")
     texts = C.cut(texts.dropDuplicates(["node"]))
     roots = C.cut(graph.components(_verify(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)))
-    more = _verify(_close(_unsettled(members, roots), texts, nodes, similarity), texts, similarity)
+    more = _verify(_close(_unsettled(members, roots), texts, similarity), texts, similarity)
     ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
     among = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     above = graph.components(among).toDF("root", "top")
@@ -216,17 +220,65 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id",
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All members (key, n, node, root) of the buckets that have two components or more, connected ones too."""
-    own = members.select("key", "n", "node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(node, root) of all members of the buckets that have two components or more, connected ones too."""
+    own = members.select("key", "node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return C.cut(own.join(mixed, "key"))
+    return C.cut(own.join(mixed, "key").select("node", "root").distinct())
 
 
-def _close(mixed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of different components in one bucket whose sizes and signatures allow the similarity; each pair once.
+def _by_words(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and w, its hashed words, of those nodes."""
+    return texts.join(nodes, "node", "left_semi").select("node", _word_hashes(F.col("text")).alias("w"))
 
-    No pairs are made of what the signatures rule out: they are a condition of the join. A large bucket is
-    dealt over tasks: each row goes to one place in a row and a column of blocks.
+
+def _frequencies(words: DataFrame) -> np.ndarray:
+    """How many shingles of all words fall into each of SLOTS slots, frequent and rare ones apart however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for w in _lists(batch.column(1)):
+                total += np.bincount((shingles(w) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
+
+    found = words.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix(s: np.ndarray, similarity: float, frequency: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a text, of which any text of that similarity has at least one among its own rarest."""
+    n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+    return s[np.lexsort((s, frequency[(s % np.uint64(len(frequency))).astype(np.int64)]))[:n]]
+
+
+def _rare_groups(mixed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, root, n): nodes that share one of their rarest shingles, n of them, in two components or more.
+
+    Shingles that the same nodes share stand for each other, so one of them is kept.
+    """
+    frequency = mixed.sparkSession.sparkContext.broadcast(_frequencies(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [prefix(shingles(w), similarity, frequency.value).view(np.int64) for w in _lists(batch.column(1))]
+            rows = np.repeat(np.arange(len(made)), [len(m) for m in made])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], names=["node", "shingle"])
+
+    rare = C.cut(words.mapInArrow(run, "node binary, shingle bigint").join(mixed, "node"))
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"who{k}") for k in (0, 1)]
+    groups = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low <> high")
+    one = groups.groupBy("n", "who0", "who1").agg(F.min("shingle").alias("shingle")).select("shingle", "n")
+    return C.cut(rare.join(one, "shingle"))
+
+
+def _close(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components among mixed whose rarest shingles, sizes and signatures allow the similarity; each pair once.
+
+    Members of a bucket that have but frequent passages in common never meet here. No pairs are made of what the signatures rule
+    out: they are a condition of the join. A large group is dealt over tasks: each row goes to one place in a row and a column of blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +289,15 @@ def _close(mixed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int32()), *columns], names=["node", "size", *names])
 
     names = [f"s{k}" for k in range(BITS // 64)]
-    own = mixed.select("node").distinct()
-    words = texts.join(own, "node", "left_semi").select("node", _word_hashes(F.col("text")).alias("w"))
-    signed = words.mapInArrow(run, "node binary, size int, " + ", ".join(f"{s} bigint" for s in names)).join(nodes.select("node", F.array_sort("keys").alias("keys")), "node")
-    rows = mixed.join(C.cut(signed), "node").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    groups = _rare_groups(mixed, C.cut(_by_words(mixed.select("node"), texts)), similarity)
+    signed = C.cut(_by_words(groups.select("node").distinct(), texts).mapInArrow(run, "node binary, size int, " + ", ".join(f"{s} bigint" for s in names)))
+    rows = groups.join(signed, "node").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x, y = rows.withColumns({"r": F.col("block"), "c": every}).alias("x"), rows.withColumns({"r": every, "c": F.col("block")}).alias("y")
     differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names[1:]), F.bit_count(F.col(f"x.{names[0]}").bitwiseXOR(F.col(f"y.{names[0]}"))))
     near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & (differ <= most_bits(similarity))
-    first = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
-    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "r", "c")] + [(F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")), near, first])
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "r", "c")] + [(F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")), near])
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
