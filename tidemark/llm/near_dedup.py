@@ -5,10 +5,11 @@ occurrence) in the order in which they stand, so it follows edit similarity rath
 Texts that agree in a sketch share a bucket. First each member of a bucket is held against one member
 drawn at random, which connects most of what is similar. Similarity isn't transitive, so buckets that still hold
 several components are gone through once more, by prefixes: of two texts of similarity 0.8 each has one of the other's
-rarest fifth of shingles among its own rarest fifth, so members that share but frequent passages don't meet. Those that do
+rarest fifth of shingles among its own rarest fifth, so members that share but frequent passages don't meet. Who shares a rare
+shingle meets a drawn one again, and where that leaves several components all who share it: pairs
 go on only if signatures of one bit for each of 2,048 MinHash functions differ in few enough places for their similarity.
 A match is always verified by alignment: the longest chain of common shingles in order, within the band that the
-similarity allows. Components are found twice, however many texts there are: of the first links, then of what the
+similarity allows. Components are found three times, however many texts there are: of the first links, then of what the
 others connect among these.
 """
 
@@ -36,6 +37,8 @@ BITS, SLACK = 2048, 4.0
 BUCKET_ROWS = 4096
 #: Slots in which shingles are counted to tell rare from frequent ones; any order of them gives the same links.
 SLOTS = 1 << 18
+#: First groups that a row carries, by which pairs that share several are made once; others are made more often and put together after.
+FIRST = 64
 #: Pairs up to which the texts they need are picked out by a broadcast list of nodes.
 BROADCAST_PAIRS = 50_000
 #: Shingled texts that a verifying task remembers, of so many shingles at most.
@@ -211,12 +214,20 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id",
     texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["__id"].eqNullSafe(wanted["rep"])).select(texts["node"], "text")
     texts = C.cut(texts.dropDuplicates(["node"]))
     roots = C.cut(graph.components(_verify(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, similarity)))
-    more = _verify(_close(_unsettled(members, roots), texts, similarity), texts, similarity)
+    mixed = _unsettled(members, roots)
+    groups = _rare_groups(mixed, C.cut(_by_words(mixed.select("node"), texts)), similarity)
+    signed = _signed(groups.select("node").distinct(), texts)
+    roots = _joined(roots, _verify(_led(groups, signed, similarity), texts, similarity))
+    return _joined(roots, _verify(_close(_still_apart(groups, roots), signed, similarity), texts, similarity))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b): components are found among the roots that these connect."""
     ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
-    among = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    among = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     above = graph.components(among).toDF("root", "top")
     known = roots.unionAll(among.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))).distinct()
-    return known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return C.cut(known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -274,29 +285,57 @@ def _rare_groups(mixed: DataFrame, words: DataFrame, similarity: float) -> DataF
     return C.cut(rare.join(one, "shingle"))
 
 
-def _close(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of different components among mixed whose rarest shingles, sizes and signatures allow the similarity; each pair once.
+_BITS = [f"s{k}" for k in range(BITS // 64)]
 
-    Members of a bucket that have but frequent passages in common never meet here. No pairs are made of what the signatures rule
-    out: they are a condition of the join. A large group is dealt over tasks: each row goes to one place in a row and a column of blocks.
-    """
+
+def _signed(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, size (its shingles) and signature of those nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(w) for w in _lists(batch.column(1))]
             bits = np.array([signature(s) for s in made], np.int64).reshape(len(made), -1)
             columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int32()), *columns], names=["node", "size", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int32()), *columns], names=["node", "size", *_BITS])
 
-    names = [f"s{k}" for k in range(BITS // 64)]
-    groups = _rare_groups(mixed, C.cut(_by_words(mixed.select("node"), texts)), similarity)
-    signed = C.cut(_by_words(groups.select("node").distinct(), texts).mapInArrow(run, "node binary, size int, " + ", ".join(f"{s} bigint" for s in names)))
-    rows = groups.join(signed, "node").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return C.cut(_by_words(nodes, texts).mapInArrow(run, "node binary, size int, " + ", ".join(f"{s} bigint" for s in _BITS)))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Sizes and signatures of x and y allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _BITS[1:]), F.bit_count(F.col(f"x.{_BITS[0]}").bitwiseXOR(F.col(f"y.{_BITS[0]}"))))
+    return (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & (differ <= most_bits(similarity))
+
+
+def _led(groups: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a drawn member of each group and one of another component: no more than groups has rows."""
+    drawn = groups.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "node").alias("h"), "node", "root")).alias("d"))
+    pairs = groups.join(drawn, "shingle").where("root <> d.root").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+    x, y = signed.alias("x"), signed.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_be_similar(similarity)).select("a", "b")
+
+
+def _still_apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of groups that still hold two components, by their roots now."""
+    now = groups.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = now.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    return C.cut(now.join(apart, "shingle"))
+
+
+def _close(groups: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components in one group whose sizes and signatures allow the similarity; each pair once.
+
+    No pairs are made of what the signatures rule out: they are a condition of the join. A pair that shares several groups is made
+    in the first of these, as far as the FIRST first groups that each row carries show. A large group is dealt
+    over tasks: each row goes to one place in a row and a column of blocks.
+    """
+    own = groups.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("shingle")), 1, FIRST).alias("first"))
+    rows = groups.join(own, "node").join(signed, "node").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x, y = rows.withColumns({"r": F.col("block"), "c": every}).alias("x"), rows.withColumns({"r": every, "c": F.col("block")}).alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in names[1:]), F.bit_count(F.col(f"x.{names[0]}").bitwiseXOR(F.col(f"y.{names[0]}"))))
-    near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & (differ <= most_bits(similarity))
-    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "r", "c")] + [(F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")), near])
+    again = F.array_min(F.array_intersect("x.first", "y.first")) < F.col("x.shingle")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "r", "c")] + [apart & _may_be_similar(similarity) & ~F.coalesce(again, F.lit(False))])
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
