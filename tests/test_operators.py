@@ -271,3 +271,14 @@ def test_coverage_takes_unique_rates_of_two_banks(spark):
     counts, gaps = ts.rate_coverage(obs, first="2017-12-28", last="2018-01-06")
     assert {r["counter"]: r["n"] for r in counts.collect()} == {"covered_calendar_days": 7, "uncovered_calendar_days": 3, "covered_2_bank_days": 7, "covered_tenor_3y_days": 4, "covered_tenor_5y_days": 3, "uncovered_range_count": 2}
     assert sorted((r["start"], r["end"], r["days"]) for r in gaps.collect()) == [(day(2), day(2), 1), (day(8), day(9), 2)]
+
+
+def test_asof_with_a_signal_repeats_no_fact(spark):
+    """A fact is one row of the stream, whatever the length of history; the latest of a day's restatements that is known counts, and nulls are never visible."""
+    day = date(2020, 1, 1)
+    facts = [("a", day + timedelta(i), day + timedelta(i + k), i * 10 + k) for i in range(20) for k in range(3)] + [("a", None, day, -1), ("a", day, None, -2), (None, day, day, -3)]
+    asks = [("a", day + timedelta(9), day + timedelta(10)), ("a", day + timedelta(9), day + timedelta(3)), ("a", day, day - timedelta(1)), ("a", None, day), ("a", day, None), ("b", day, day), (None, day, day)]
+    f, p = spark.createDataFrame(facts, "k string, eff date, known date, v long"), spark.createDataFrame(asks, "k string, d date, s date")
+    out = pit.bitemporal_asof(p, f, keys=["k"], signal="s", values=["v"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[:3]: r["v"] for r in out.collect()} == dict(zip(asks, [91, 30, None, None, None, None, None], strict=True))

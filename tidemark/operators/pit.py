@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bitemporal_asof(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str = "d", signal: str | None = None, eff: str = "eff", known: str = "known", values: Sequence[str]) -> DataFrame:
@@ -15,8 +18,8 @@ def bitemporal_asof(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str],
     Of the facts of its keys with eff <= date and known <= signal, the one with the greatest (eff,
     known); nulls where there is none. A fact counts from greatest(eff, known) on, so where date and
     signal are one instant both tables merge into one ordered stream and a running maximum
-    answers every probe: one shuffle by key, linear after the sort. With a signal apart from the date, facts are cut
-    into blocks of days and probes meet the blocks' running maxima; see _asof_signal(). Facts should be unique by keys, eff and known; facts with a null date are
+    answers every probe: one shuffle by key, linear after the sort. With a signal apart from the date, the stream goes by known and
+    signal and remembers the newest fact of each day; see _asof_signal(). Facts should be unique by keys, eff and known; facts with a null date are
     never visible.
     """
     keys = list(keys)
@@ -32,22 +35,42 @@ def bitemporal_asof(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str],
 
 
 def _asof_signal(probe: DataFrame, facts: DataFrame, keys: list[str], date: str, signal: str, values: Sequence[str]) -> DataFrame:
-    """J1 with a signal of its own: of each key the greatest __f with __eff <= date and __known <= signal.
+    """J1 with a signal of its own: of each key the fact with the greatest (__eff, __known, values) that has __eff <= date and __known <= signal.
 
-    Dates up to a probe's are LEVELS binary blocks of days, one for each bit of the day. A fact is in one block of each level; in
-    a block, facts and probes merge into one stream by known and signal, where a running maximum answers. So facts and probes are
-    repeated LEVELS times at most and never paired, and distinct probes of a key are asked once.
+    Facts and probes of a key are one stream by known and signal, so each row is shuffled once and no fact is repeated. What a task holds is the newest
+    fact so far of each __eff of the key it is at (as many rows as the key has days, however often each was restated), which a probe bisects.
     """
-    asks = probe.select(*keys, F.col(date).alias("__d"), F.col(signal).alias("__s")).where(F.col(date).isNotNull() & F.col(signal).isNotNull()).distinct()
-    last = _day("__d") + 1  # days before it: one block of each set bit
-    taken = F.array_compact(F.array(*[F.when(F.shiftright(last, k) % 2 == 1, _block(k, F.shiftright(last, k) - 1)) for k in range(LEVELS)]))
-    own = F.array(*[_block(k, F.shiftright(_day("__eff"), k)) for k in range(LEVELS)])
-    asked = asks.select(*keys, F.explode(taken).alias("__b"), F.col("__s").cast("timestamp").alias("__at"), F.lit(1).alias("__side"), F.struct("__d", "__s").alias("__p"))
-    seen = facts.select(*keys, F.explode(own).alias("__b"), F.col("__known").cast("timestamp").alias("__at"), F.lit(0).alias("__side"), "__f")
-    order = Window.partitionBy(*keys, "__b").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = seen.unionByName(asked, allowMissingColumns=True).withColumn("__best", F.max("__f").over(order)).where("__side = 1 AND __best IS NOT NULL")
-    best = found.groupBy(*keys, F.col("__p.__d").alias(date), F.col("__p.__s").alias(signal)).agg(F.max("__best").alias("__best"))
-    return probe.join(best, list(dict.fromkeys([*keys, date, signal])), "left").select(*probe.columns, *[F.col(f"__best.{v}").alias(v) for v in values])
+    instant = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(1 << 63)))  # noqa: E731 - a null is before every fact
+    found = F.when(F.col(date).isNotNull() & F.col(signal).isNotNull(), instant(date)).otherwise(F.lit(-(1 << 63)))
+    asked = probe.select(*keys, instant(signal).alias("__at"), F.lit(1).alias("__side"), found.alias("__e"), F.struct(*probe.columns).alias("__p"))
+    named = facts.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    made = [f"__v{i}" for i in range(len(values))]
+    seen = named.select(*keys, instant("__known").alias("__at"), F.lit(0).alias("__side"), instant("__eff").alias("__e"), *[F.col(f"__f.{v}").alias(m) for m, v in zip(made, values, strict=True)])
+    rows = seen.unionByName(asked, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "__at", "__side", *made).select(*keys, "__side", "__e", "__p", *made)
+    schema, n = T.StructType([rows.schema["__p"], *[rows.schema[c] for c in made]]), len(keys)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, days, newest, none = None, [], {}, (None,) * len(made)
+        for batch in batches:
+            answers, asks = [], []
+            key = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
+            side, eff = (batch.column(n + i).to_numpy().tolist() for i in range(2))
+            fact = zip(*(batch.column(n + 3 + i).to_pylist() for i in range(len(made))), strict=True)
+            for i, (k, ask, e, f) in enumerate(zip(key, side, eff, fact, strict=True)):
+                if k != now:
+                    now, days, newest = k, [], {}
+                if ask:
+                    place = bisect_right(days, e)
+                    asks.append(i)
+                    answers.append(newest[days[place - 1]] if place else none)
+                else:
+                    if e not in newest:
+                        insort(days, e)
+                    newest[e] = f
+            columns = zip(*answers, strict=True) if answers else [[]] * len(made)
+            yield pa.RecordBatch.from_arrays([batch.column(n + 2).take(pa.array(asks, pa.int64())), *[pa.array(list(c), batch.column(n + 3 + i).type) for i, c in enumerate(columns)]], names=["__p", *made])
+
+    return rows.mapInArrow(stream, schema).select("__p.*", *[F.col(m).alias(v) for m, v in zip(made, values, strict=True)])
 
 
 def bitemporal_asof_by_range(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, signal: str, eff: str, known: str, values: Sequence[str]) -> DataFrame:
