@@ -282,3 +282,22 @@ def test_asof_with_a_signal_repeats_no_fact(spark):
     out = pit.bitemporal_asof(p, f, keys=["k"], signal="s", values=["v"])
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r)[:3]: r["v"] for r in out.collect()} == dict(zip(asks, [91, 30, None, None, None, None, None], strict=True))
+
+
+def test_risk_checks_keep_six_positions_of_an_account(spark):
+    """Top five after the order, by brute force: equal values, a held position within and beyond the six largest, and no holdings at all."""
+    values = [100.0, 100.0, 90.0, 80.0, 70.0, 60.0, 50.0, 50.0, 10.0]
+    held = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("a", 50, None)], "account string, symbol int, market_value double")
+    accounts = spark.createDataFrame([(x, 1000.0, 0.0, 1e9, 0.0, 0.0, 0) for x in "ab"], "account string, total_assets double, market_value double, cash double, daily_pnl double, max_drawdown double, opened_today int")
+    asks = [(n, x, i, q) for n, (x, i, q) in enumerate((x, i, q) for x in "ab" for i in (0, 1, 4, 5, 6, 8, 50, 99) for q in (0, 1, 25, 45, 75, 105, 125))]
+    orders = spark.createDataFrame([(n, x, i, q, 1.0, None, 0.0) for n, x, i, q in asks], "order_id int, account string, symbol int, quantity int, price double, invalidation double, fees double")
+    out = lg.risk_checks(orders, accounts, held, limits={**lg.LIMITS, "top5": 45.0})
+    tops = out.where("check = 'top5_concentration_limit'")
+
+    def status(x, i, q):
+        before = dict(enumerate(values)) if x == "a" else {}
+        before[i] = before.get(i, 0.0) + q
+        return "PASS" if sum(sorted(before.values(), reverse=True)[:5]) <= 450 else "FAIL"
+
+    assert {r["order_id"]: r["status"] for r in tops.collect()} == {n: status(x, i, q) for n, x, i, q in asks}
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.screening import top_n
+
 # Portfolio limits of the default policy, percent of net asset value unless named otherwise.
 LIMITS = {
     "risk_per_trade": 0.50, "initial_position": 8.0, "single_stock": 12.0, "top5": 50.0, "gross": 70.0, "risk_off_gross": 30.0,
@@ -98,7 +100,9 @@ def risk_checks(orders: DataFrame, accounts: DataFrame, holdings: DataFrame, *,
     orders: order_id, account, symbol, quantity, price, invalidation, fees; accounts: account, total_assets,
     market_value, cash, daily_pnl, max_drawdown, opened_today; holdings: account, symbol, market_value.
     """
-    per = holdings.groupBy("account").agg(F.sort_array(F.collect_list("market_value"), asc=False).alias("__all"))  # one account's positions
+    # the five largest after the order are among the account's six largest before it, its own position left out: cut in each task before they meet
+    six = top_n(holdings.where("market_value IS NOT NULL").select("account", "market_value"), 6, by=[F.desc("market_value")], within=["account"])
+    per = six.groupBy("account").agg(F.sort_array(F.collect_list("market_value"), asc=False).alias("__all"))
     own = holdings.select("account", "symbol", F.col("market_value").alias("__own"))
     x = orders.join(accounts, "account").join(own, ["account", "symbol"], "left").join(per, "account", "left")
     value, held, assets = F.col("quantity") * F.col("price"), F.col("__own").isNotNull(), F.col("total_assets")
