@@ -301,3 +301,24 @@ def test_risk_checks_keep_six_positions_of_an_account(spark):
 
     assert {r["order_id"]: r["status"] for r in tops.collect()} == {n: status(x, i, q) for n, x, i, q in asks}
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_of_a_cross_section_are_the_same_in_any_order(spark, tmp_path):
+    """Means of half a unit of the last digit: they round up in whatever order values are added, here and in the SQL."""
+    import duckdb
+
+    from tidemark import fixtures
+
+    taxes = [[0.08, 0.03, 0.01, 0.0, 0.01, 0.02, 0.02, 0.02], [0.05, 0.0, 0.06, 0.01, 0.06, 0.02, 0.02, 0.05], [0.08, 0.08, 0.02, 0.06, 0.04, 0.04, 0.07, 0.04]]
+    rows = [(i, p, t) for p, kind in enumerate(taxes) for i, order in enumerate((kind, sorted(kind), sorted(kind, reverse=True))) for t in order]
+    lines = pd.DataFrame([{"l_orderkey": 1, "l_partkey": 10 * p + i, "l_suppkey": 1, "l_linenumber": 1, "l_quantity": 100 * t, "l_extendedprice": 1.0, "l_discount": t, "l_tax": t, "l_returnflag": "N", "l_linestatus": "O", "l_shipdate": datetime(1996, 1, 1)} for i, p, t in rows])
+    parts = pd.DataFrame([{"p_partkey": k, "p_brand": "b", "p_size": 1, "p_retailprice": 900.0} for k in lines["l_partkey"].unique()])
+    for name, df in (("lineitem", lines), ("part", parts)):
+        df.to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    want = {10 * p + i: round(float(m), 4) for p, m in enumerate(("0.0238", "0.0338", "0.0538")) for i in range(3)}
+    got = fixtures.cross_section(spark, str(tmp_path))
+    assert {r["symbol"]: r["momentum60"] for r in got.collect()} == want
+    c = duckdb.connect()
+    for name in ("lineitem", "part"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert dict(c.sql(fixtures.with_views("cross_section") + " SELECT symbol, momentum60 FROM cross_section").fetchall()) == want

@@ -25,6 +25,11 @@ def _exact_sum(column: str):
     return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
 
 
+def _exact_mean(column: str):
+    """The mean of values of two decimals, the same in whatever order they are added: one that is half a unit of the last digit kept rounds up."""
+    return _exact_sum(column) / F.count(column)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, d, open, high, low, close, volume, amount: one bar for each supplier and ship date."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("d"), "l_quantity", "l_extendedprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
@@ -105,10 +110,10 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each part and year with the fields of a universe row; as_of is the year."""
     lines = table(spark, sf_dir, "lineitem").withColumn("as_of", F.year("l_shipdate").cast("long"))
     sums = lines.groupBy("l_partkey", "as_of").agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("amount"),
-        F.round(F.avg("l_quantity"), 4).alias("turnover"),
-        F.round(F.avg("l_discount"), 4).alias("momentum20"),
-        F.round(F.avg("l_tax"), 4).alias("momentum60"),
+        _exact_sum("l_extendedprice").alias("amount"),
+        F.round(_exact_mean("l_quantity"), 4).alias("turnover"),
+        F.round(_exact_mean("l_discount"), 4).alias("momentum20"),
+        F.round(_exact_mean("l_tax"), 4).alias("momentum60"),
         F.round(F.max("l_extendedprice") - F.min("l_extendedprice"), 2).alias("volatility"),
         F.count("*").alias("history_days"),
     )
@@ -147,6 +152,11 @@ def rnd(sql: str, n: int) -> str:
 
 _EXACT = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)"
 
+
+def _mean(column: str) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(18,2))) AS DOUBLE) / count({column})"
+
+
 #: The same views in SQL.
 SQL_VIEWS = {
     "shipped": """SELECT l.*, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS eff, CAST(o_orderdate AS DATE) AS known, o_custkey, o_orderstatus
@@ -170,14 +180,14 @@ SQL_VIEWS = {
         FROM (SELECT o_custkey AS account, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS d,
         CASE o_orderstatus WHEN 'F' THEN -floor(o_totalprice / 2) WHEN 'O' THEN o_totalprice ELSE 0.0 END AS gain, CASE o_orderstatus WHEN 'P' THEN o_totalprice ELSE 0.0 END AS flow FROM orders)
         WINDOW w AS (PARTITION BY account ORDER BY d, seq)""",
-    "cross_section": """SELECT p_partkey AS symbol, as_of, p_brand AS industry, CASE WHEN p_size % 17 = 0 THEN 'FUND' ELSE 'STOCK' END AS asset_type,
+    "cross_section": f"""SELECT p_partkey AS symbol, as_of, p_brand AS industry, CASE WHEN p_size % 17 = 0 THEN 'FUND' ELSE 'STOCK' END AS asset_type,
         CASE WHEN p_size % 13 = 0 THEN 'D' WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS data_quality, CASE WHEN p_size % 19 = 0 THEN 'SUSPENDED' ELSE 'TRADING' END AS trading_status,
         CASE WHEN p_size % 23 = 0 THEN 'ST' ELSE 'NORMAL' END AS risk_status, history_days, CASE WHEN p_size % 29 <> 0 THEN p_retailprice END AS last_price, amount, turnover,
         CASE WHEN p_size % 5 <> 0 THEN p_retailprice / 100 END AS roe, CASE WHEN p_size % 7 <> 0 THEN turnover / 10 END AS cash_ratio, p_retailprice / 50 - 22 AS pe,
         CASE WHEN p_size % 11 <> 0 THEN p_retailprice / 900 END AS pb, momentum20, momentum60, round(momentum20 - 0.05, 4) AS relative20, volatility,
         CASE WHEN p_size % 3 <> 0 THEN CAST(p_size * 2.0 AS DOUBLE) END AS catalyst, CASE WHEN p_size % 4 <> 0 THEN CAST(100.0 - p_size AS DOUBLE) END AS risk
-        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS BIGINT) AS as_of, round(sum(l_extendedprice), 2) AS amount, round(avg(l_quantity), 4) AS turnover, round(avg(l_discount), 4) AS momentum20,
-        round(avg(l_tax), 4) AS momentum60, round(max(l_extendedprice) - min(l_extendedprice), 2) AS volatility, count(*) AS history_days FROM lineitem GROUP BY 1, 2)
+        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS BIGINT) AS as_of, {_EXACT} AS amount, {rnd(_mean('l_quantity'), 4)} AS turnover, {rnd(_mean('l_discount'), 4)} AS momentum20,
+        {rnd(_mean('l_tax'), 4)} AS momentum60, round(max(l_extendedprice) - min(l_extendedprice), 2) AS volatility, count(*) AS history_days FROM lineitem GROUP BY 1, 2)
         JOIN part ON l_partkey = p_partkey""",
 }
 
