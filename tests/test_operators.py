@@ -1,5 +1,6 @@
 """Known answers and properties of the market operators."""
 
+import math
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -322,3 +323,16 @@ def test_means_of_a_cross_section_are_the_same_in_any_order(spark, tmp_path):
     for name in ("lineitem", "part"):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     assert dict(c.sql(fixtures.with_views("cross_section") + " SELECT symbol, momentum60 FROM cross_section").fetchall()) == want
+
+
+def test_risk_metrics_without_losses(spark):
+    """A null return is no period without a loss, and what binary fractions lose is no drawdown."""
+    days = [date(2020, 1, 1) + timedelta(i) for i in range(4)]
+    lost = spark.createDataFrame([(1, d, e, f) for d, e, f in zip(days, [100.0, 0.0, 0.0, 50.0], [100.0, 0.0, 0.0, 100.0], strict=True)], "k int, d date, equity double, flow_in double")
+    r = one(lg.risk_metrics(lg.flow_adjusted_returns(lost, keys=["k"], order=["d"]), keys=["k"], date="d", order=["d"]))
+    assert r["periods"] == 3 and r["downside_deviation"] == pytest.approx(math.sqrt((1 + 0.25) / 3 * 252))
+    steps = [(days[0], 0.3, 0.3), (days[1], 0.3 + 0.1 + 0.2, 0.0), (days[2], 0.9, 0.3)]
+    assert 0.9 / (0.3 + 0.1 + 0.2 + 0.3) < 1  # nothing was lost
+    flat = spark.createDataFrame([(1, d, e, f) for d, e, f in steps], "k int, d date, equity double, flow_in double")
+    r = one(lg.risk_metrics(lg.flow_adjusted_returns(flat, keys=["k"], order=["d"]), keys=["k"], date="d", order=["d"]))
+    assert (r["calmar"], r["longest_drawdown"]) == (None, 0)

@@ -136,14 +136,15 @@ def risk_checks(orders: DataFrame, accounts: DataFrame, holdings: DataFrame, *,
 def flow_adjusted_returns(nav: DataFrame, *, keys: Sequence[str], order: Sequence[str], equity: str = "equity", flow_in: str = "flow_in", flow_out: str | None = None) -> DataFrame:
     """Sub-period return net of flows, unit index, drawdown (a negative fraction) and its minimum so far.
 
-    A period whose starting capital and flows are not positive has a null return and leaves the index as it is.
+    A period whose starting capital and flows are not positive has a null return and leaves the index as it is. Drawdowns have 12 decimals: what binary
+    fractions lose where nothing was gained or lost is none, and neither lasts nor divides a Calmar ratio.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     base = F.coalesce(F.lag(equity).over(w), F.lit(0.0)) + F.col(flow_in) - (F.col(flow_out) if flow_out else 0)
     out = nav.withColumn("period_return", F.when(base > 0, F.col(equity) / base - 1))
     run = _upto(keys, order)
     out = out.withColumn("unit_index", F.product(1 + F.coalesce("period_return", F.lit(0.0))).over(run))
-    out = out.withColumn("drawdown", F.col("unit_index") / F.greatest(F.lit(1.0), F.max("unit_index").over(run)) - 1)
+    out = out.withColumn("drawdown", F.round(F.col("unit_index") / F.greatest(F.lit(1.0), F.max("unit_index").over(run)) - 1, 12))
     return out.withColumn("max_drawdown", F.min("drawdown").over(run))
 
 
@@ -155,17 +156,18 @@ def linked_return(nav: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 def risk_metrics(returns: DataFrame, *, keys: Sequence[str], date: str, order: Sequence[str], periods: float = 252.0) -> DataFrame:
     """Risk of each key's period returns (W13's frame): periods, volatility and downside deviation (of losses, about zero) a year, win rate, annual return, Calmar ratio, and the longest drawdown in days.
 
-    The annual return links all periods over the calendar days between the first and the last; the Calmar ratio is that by the greatest drawdown, null without one.
+    The annual return links all periods, in their order (so it is the same to the last bit however rows are dealt out), over the calendar days between the first and the last; the Calmar ratio is that by the greatest drawdown, null without one.
     A drawdown lasts from the last day at the peak (or the first day, for an index that starts below 1) to each later row below it. Null returns count for nothing; a key
     with one day has no annual return.
     """
     upto = _upto(keys, order)
     since = F.coalesce(F.last(F.when(F.col("drawdown") >= 0, F.col(date)), True).over(upto), F.first(date).over(upto))
     rows = returns.withColumn("__days", F.when(F.col("drawdown") < 0, F.datediff(date, since)).otherwise(0))
-    r, loss = F.col("period_return"), F.least(F.col("period_return"), F.lit(0.0))
+    r = F.col("period_return")
+    loss = F.when(r < 0, r).when(r.isNotNull(), F.lit(0.0))  # least() would count a null return as a period without a loss
     sums = rows.groupBy(*keys).agg(
         F.count("period_return").alias("periods"), (F.stddev_samp("period_return") * F.sqrt(F.lit(periods))).alias("volatility"), F.sqrt(F.avg(loss * loss) * periods).alias("downside_deviation"),
-        (F.count_if(r > 0) / F.count("period_return")).alias("win_rate"), (F.product(1 + r) - 1).alias("__twr"), F.min("drawdown").alias("__worst"), F.datediff(F.max(date), F.min(date)).alias("__span"), F.max("__days").cast("long").alias("longest_drawdown"),
+        (F.count_if(r > 0) / F.count("period_return")).alias("win_rate"), F.when(F.count("period_return") > 0, F.max_by("unit_index", F.struct(*order)) - 1).alias("__twr"), F.min("drawdown").alias("__worst"), F.datediff(F.max(date), F.min(date)).alias("__span"), F.max("__days").cast("long").alias("longest_drawdown"),
     )
     annual = F.when((F.col("__span") > 0) & (F.col("__twr") > -1), F.pow(1 + F.col("__twr"), F.lit(365.0) / F.col("__span")) - 1)
     return sums.withColumn("annual_return", annual).withColumn("calmar", F.when(F.col("__worst") < 0, F.col("annual_return") / -F.col("__worst"))).drop("__twr", "__worst", "__span")

@@ -140,9 +140,12 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.risk_checks(orders, accounts, holdings)
 
 
-_RET = """b AS (SELECT *, coalesce(lag(equity) OVER w, 0) + flow_in AS base FROM nav WINDOW w AS (PARTITION BY account ORDER BY d, seq)), r AS (SELECT *, CASE WHEN base > 0 THEN equity / base - 1 END AS period_return FROM b),
+_RET = f"""b AS (SELECT *, coalesce(lag(equity) OVER w, 0) + flow_in AS base FROM nav WINDOW w AS (PARTITION BY account ORDER BY d, seq)), r AS (SELECT *, CASE WHEN base > 0 THEN equity / base - 1 END AS period_return FROM b),
  u AS (SELECT *, product(1 + coalesce(period_return, 0)) OVER (PARTITION BY account ORDER BY d, seq) AS unit_index FROM r),
- dd AS (SELECT *, unit_index / greatest(1, max(unit_index) OVER (PARTITION BY account ORDER BY d, seq)) - 1 AS drawdown FROM u)"""
+ dd AS (SELECT *, {rnd("(unit_index / greatest(1, max(unit_index) OVER (PARTITION BY account ORDER BY d, seq)) - 1)", 12)} AS drawdown FROM u)"""
+
+#: The same with periods linked one after another: a product over a frame may group its factors in any way.
+_LINKED = _RET.replace("product(1 + coalesce(period_return, 0)) OVER (PARTITION BY account ORDER BY d, seq)", "list_reduce(list(1 + coalesce(period_return, 0)) OVER (PARTITION BY account ORDER BY d, seq), lambda a, x: a * x)")
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +164,9 @@ def w13_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w13_risk_metrics",
-    X.with_views("nav") + f""", {_RET}, s AS (SELECT *, coalesce(last_value(CASE WHEN drawdown >= 0 THEN d END IGNORE NULLS) OVER w, first_value(d) OVER w) AS since FROM dd WINDOW w AS (PARTITION BY account ORDER BY d, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    X.with_views("nav") + f""", {_LINKED}, s AS (SELECT *, coalesce(last_value(CASE WHEN drawdown >= 0 THEN d END IGNORE NULLS) OVER w, first_value(d) OVER w) AS since FROM dd WINDOW w AS (PARTITION BY account ORDER BY d, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  m AS (SELECT account, count(period_return) AS periods, stddev_samp(period_return) * sqrt(252) AS volatility, sqrt(avg(least(period_return, 0) * least(period_return, 0)) FILTER (WHERE period_return IS NOT NULL) * 252) AS downside_deviation, count(*) FILTER (WHERE period_return > 0) / count(period_return) AS win_rate,
-  product(1 + period_return) - 1 AS twr, min(drawdown) AS worst, date_diff('day', min(d), max(d)) AS span, max(CASE WHEN drawdown < 0 THEN date_diff('day', since, d) ELSE 0 END) AS longest_drawdown FROM s GROUP BY 1),
+  CASE WHEN count(period_return) > 0 THEN max(struct_pack(d := d, s := seq, u := unit_index)).u - 1 END AS twr, min(drawdown) AS worst, date_diff('day', min(d), max(d)) AS span, max(CASE WHEN drawdown < 0 THEN date_diff('day', since, d) ELSE 0 END) AS longest_drawdown FROM s GROUP BY 1),
  a AS (SELECT *, CASE WHEN span > 0 AND twr > -1 THEN pow(1 + twr, 365.0 / span) - 1 END AS ar FROM m)
  SELECT account, periods, round(volatility, 6) AS volatility, round(downside_deviation, 6) AS downside_deviation, round(win_rate, 6) AS win_rate, round(ar, 6) + 0 AS annual_return, round(CASE WHEN worst < 0 THEN ar / -worst END, 6) + 0 AS calmar, longest_drawdown FROM a""",
 )
