@@ -336,3 +336,13 @@ def test_risk_metrics_without_losses(spark):
     flat = spark.createDataFrame([(1, d, e, f) for d, e, f in steps], "k int, d date, equity double, flow_in double")
     r = one(lg.risk_metrics(lg.flow_adjusted_returns(flat, keys=["k"], order=["d"]), keys=["k"], date="d", order=["d"]))
     assert (r["calmar"], r["longest_drawdown"]) == (None, 0)
+
+
+def test_matrices_meet_while_they_are_wide(spark):
+    """Cells are taken apart after matrices have met, so none is shuffled; symbols and dates may lack in one of them."""
+    close = spark.createDataFrame([(1, 1.0, None), (2, float("nan"), 4.0), (4, float("inf"), 6.0)], "d int, a double, b double")
+    opened = spark.createDataFrame([(1, 10.0, 30.0, 50), (3, 20.0, 40.0, 60)], "d int, b double, a double, c int").withColumn("c", F.col("c").cast("double"))
+    out = files.matrices_to_rows({"close": close, "open": opened})
+    assert {tuple(r) for r in out.select("d", "symbol", "close", "open").collect()} == {(1, "a", 1.0, 30.0), (2, "b", 4.0, None), (4, "b", 6.0, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and "Expand" not in plan

@@ -59,13 +59,19 @@ def scan_symbol_files(spark: SparkSession, path: str, columns: Mapping[str, str]
 def matrices_to_rows(fields: Mapping[str, DataFrame], *, date: str = "d", required: str = "close", symbol: str = "symbol", others: Sequence[str] = ()) -> DataFrame:
     """Date by symbol matrices, one for each field, as rows; cells where the required field is finite are kept.
 
-    others are further columns that a matrix row is known by, such as the block of symbols its columns stand for.
+    others are further columns that a matrix row is known by, such as the block of symbols its columns stand for; date and others are unique in a matrix.
     """
-    keys = [date, *others]
-    long = [m.unpivot(keys, [c for c in m.columns if c not in keys], symbol, f) for f, m in fields.items()]
-    both = reduce(lambda a, b: a.join(b, [*keys, symbol], "full_outer"), long)
-    r = F.col(required)
-    return both.where(r.isNotNull() & ~F.isnan(r.cast("double")) & (F.abs(r) != float("inf")))
+    keys, names = [date, *others], list(fields)
+    cells = {f: [c for c in m.columns if c not in keys] for f, m in fields.items()}
+    # a row of one matrix meets a row of another while both are wide, so what is shuffled is a row for each date, not one for each cell
+    wide = [m.select(*keys, F.struct(*[F.col(c) for c in cells[f]]).alias(f"__{f}")) for f, m in fields.items()]
+    both = reduce(lambda a, b: a.join(b, keys, "full_outer"), wide)
+    symbols = list(dict.fromkeys(c for f in names for c in cells[f]))
+    kinds = {f: fields[f].schema[cells[f][0]].dataType for f in names}
+    cell = [F.struct(F.lit(c).alias(symbol), *[(F.col(f"__{f}").getField(c) if c in cells[f] else F.lit(None).cast(kinds[f])).alias(f) for f in names]) for c in symbols]
+    r = F.col(f"__c.{required}")
+    kept = both.select(*keys, F.explode(F.array(*cell)).alias("__c")).where(r.isNotNull() & ~F.isnan(r.cast("double")) & (F.abs(r) != float("inf")))
+    return kept.select(*keys, "__c.*")
 
 
 def check_import(df: DataFrame, manifest: Mapping, seen: DataFrame, *, eff: str = "effective_date", known: str = "known_at") -> DataFrame:
