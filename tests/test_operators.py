@@ -346,3 +346,15 @@ def test_matrices_meet_while_they_are_wide(spark):
     assert {tuple(r) for r in out.select("d", "symbol", "close", "open").collect()} == {(1, "a", 1.0, 30.0), (2, "b", 4.0, None), (4, "b", 6.0, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join") and "Expand" not in plan
+
+
+def test_orders_of_one_day_ask_once(spark):
+    """Orders of a key and day are one row of the stream of bars, and all come back; bars of keys without orders stay out of it."""
+    day = date(2020, 1, 1)
+    bars = spark.createDataFrame([(k, day + timedelta(i), 10.0 + i, i != 1) for k in ("a", "z") for i in range(4)], "symbol string, d date, open double, t boolean")
+    orders = spark.createDataFrame([(n, "a", day, 12.0 + n % 2) for n in range(50)] + [(50, "a", day + timedelta(3), 99.0), (51, "b", day, 1.0), (52, None, day, 1.0), (53, "a", None, 1.0)], "id int, symbol string, signal_date date, limit_price double")
+    out = lg.next_open_fill(orders, bars, tradable=F.col("t"), slippage_bps=0)
+    got = {r["id"]: (r["fill_date"], r["queued_days"], r["status"]) for r in out.collect()}
+    assert got == {n: (day + timedelta(2), 1, "FILLED") for n in range(50)} | {n: (None, None, "QUEUED") for n in (50, 51, 52, 53)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Window") < plan.index("Aggregate")

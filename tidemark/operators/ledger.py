@@ -202,17 +202,19 @@ def annual_pnl(checkpoints: DataFrame, *, keys: Sequence[str], at: Sequence[str]
 def next_open_fill(orders: DataFrame, bars: DataFrame, *, key: str = "symbol", signal_date: str = "signal_date", date: str = "d", price: str = "open", tradable: Column, slippage_bps: float, limit: str = "limit_price") -> DataFrame:
     """The first tradable open after each signal; FILLED if the slipped open is within the limit, REJECTED if not, QUEUED without one.
 
-    queued_days counts the days in between that could not trade. Orders and bars merge into
-    one ordered stream of each key.
+    queued_days counts the days in between that could not trade. A signal's fill depends on its key and date only: distinct ones and bars merge into
+    one ordered stream of each key, so however many orders a key has, it has no more rows there than days; orders then look theirs up.
     """
     b = bars.select(F.col(key).alias("__k"), F.col(date).alias("__at"), F.when(tradable, F.struct(F.col(date).alias("d"), F.col(price).alias("p"))).alias("__open"), F.lit(1).alias("__bar"))
-    o = orders.select(F.col(key).alias("__k"), F.col(signal_date).alias("__at"), F.lit(0).alias("__bar"), F.struct(*orders.columns).alias("__o"))
+    asked = orders.where(F.col(key).isNotNull() & F.col(signal_date).isNotNull()).select(F.col(key).alias("__k"), F.col(signal_date).alias("__at")).distinct()
+    b, o = b.join(asked.select("__k").distinct(), "__k", "left_semi"), asked.withColumn("__bar", F.lit(0))
     w = Window.partitionBy("__k").orderBy("__at", F.desc("__bar"))
     both = b.unionByName(o, allowMissingColumns=True).withColumn("__n", F.sum("__bar").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     back = Window.partitionBy("__k").orderBy(F.desc("__at"), F.asc("__bar")).rowsBetween(Window.unboundedPreceding, -1)  # read backwards, the next open is the last one seen
     both = both.withColumn("__next", F.last(F.when(F.col("__open").isNotNull(), F.struct("__open", "__n")), ignorenulls=True).over(back))
     slipped = F.col("__next.__open.p") * (1 + slippage_bps / 10000)
-    out = both.where("__bar = 0").select("__o.*", F.col("__next.__open.d").alias("fill_date"), slipped.alias("fill_price"), (F.col("__next.__n") - F.col("__n") - 1).alias("queued_days"))
+    found = both.where("__bar = 0").select("__k", "__at", F.col("__next.__open.d").alias("fill_date"), slipped.alias("fill_price"), (F.col("__next.__n") - F.col("__n") - 1).alias("queued_days"))
+    out = orders.join(found, (F.col(key) == F.col("__k")) & (F.col(signal_date) == F.col("__at")), "left").drop("__k", "__at")
     return out.withColumn("status", F.when(F.col("fill_date").isNull(), "QUEUED").when(F.col("fill_price") <= F.col(limit), "FILLED").otherwise("REJECTED"))
 
 
