@@ -358,3 +358,19 @@ def test_orders_of_one_day_ask_once(spark):
     assert got == {n: (day + timedelta(2), 1, "FILLED") for n in range(50)} | {n: (None, None, "QUEUED") for n in (50, 51, 52, 53)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("Window") < plan.index("Aggregate")
+
+
+def test_latest_valid_by_brute_force(spark):
+    """Facts before, after, between and across the dates; those of the same dates are one row before they are cut into blocks."""
+    rng, day = np.random.default_rng(5), date(2020, 1, 1)
+    rows = [(int(k), day + timedelta(int(a)), day + timedelta(int(a + n)), day + timedelta(int(a + late)), int(v)) for k, a, n, late, v in zip(rng.integers(0, 3, 400), rng.integers(-60, 200, 400), rng.integers(-3, 50, 400), rng.integers(0, 20, 400), rng.integers(0, 9, 400), strict=True)]
+    asks = sorted({day + timedelta(int(i)) for i in rng.integers(0, 120, 25)})
+    facts, probe = spark.createDataFrame(rows, "k int, s date, e date, known date, v int"), spark.createDataFrame([(d,) for d in asks], "d date")
+    out = pit.latest_valid(probe, facts, keys=["k"], date="d", start="s", end="e", known="known", value="v")
+    want = {}
+    for d in asks:
+        for k, a, z, known, v in rows:
+            if a <= d <= z and known <= d:
+                want[d, k] = min(want.get((d, k), (date.max - a, v)), (date.max - a, v))
+    assert {(r["d"], r["k"]): r["value"] for r in out.collect()} == {x: v for x, (_, v) in want.items()}
+    assert "__from" in out._jdf.queryExecution().optimizedPlan().toString()

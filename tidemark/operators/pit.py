@@ -188,21 +188,31 @@ def _blocks(first: Column, last: Column) -> Column:
 def latest_valid(probe: DataFrame, facts: DataFrame, *, keys: Sequence[str], date: str, start: str, end: str, known: str, value: str) -> DataFrame:
     """For each date and key the value of the latest start among facts with start <= date <= end and known <= date, of equal starts the least: (date, keys, value).
 
-    A fact's days are cut into binary blocks, and each block of a key keeps its best fact, before any date is met: a date then
-    looks its LEVELS blocks up. Nothing is paired with every day it is valid, and a key with very many facts comes down to one row a block.
+    Dates are numbered, and a fact is cut to the numbers of the dates that it is valid on, by a calendar from the first date to the last (so a broadcast of no
+    more rows than there are days). Facts valid on no date go, and of all that a key has for the same dates one is kept, in each task before they meet. What is
+    left is cut into binary blocks of numbers, and a date looks its LEVELS blocks up: nothing is paired with every date it is valid on.
     """
     keys = list(keys)
 
     def best(rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.groupBy(*by, "__s").agg(F.min("__v").alias("__v")).groupBy(*by).agg(F.max_by("__v", "__s").alias("__v"), F.max("__s").alias("__s"))
 
+    asked = probe.select(date).where(F.col(date).isNotNull()).distinct()
+    order = Window.orderBy("__day")  # days of a calendar: a few thousand rows
+    numbered = asked.select(_day(date).alias("__day")).distinct().select("__day", (F.row_number().over(order) - 1).alias("__n"), F.lag("__day").over(order).alias("__before"))
+    ends = numbered.agg(F.min("__day").alias("__first"), F.max("__day").alias("__last"), F.max("__n").alias("__most"))
+    calendar = numbered.select("__n", F.explode(F.sequence(F.coalesce(F.col("__before") + 1, "__day"), "__day")).alias("__day"))  # each day with the first date from it on
+    opens = calendar.select(F.col("__day").alias("__a"), F.col("__n").alias("__from"))
+    closes = calendar.select((F.col("__day") - 1).alias("__z"), (F.col("__n") - 1).alias("__to"))
     whole = facts.where(F.col(start).isNotNull() & F.col(known).isNotNull() & F.col(end).isNotNull())
     days = whole.select(*keys, F.col(start).alias("__s"), F.greatest(_day(start), _day(known)).alias("__a"), _day(end).alias("__z"), F.col(value).alias("__v"))
-    once = days.groupBy(*keys, "__s", "__a", "__z").agg(F.min("__v").alias("__v"))
-    cut = best(once.select(*keys, "__s", "__v", F.explode(_blocks(F.col("__a"), F.col("__z"))).alias("__b")), [*keys, "__b"])
-    asked = probe.select(date).where(F.col(date).isNotNull()).distinct()
-    asked = asked.select(date, F.explode(F.array(*[_block(k, F.shiftright(_day(date), k)) for k in range(LEVELS)])).alias("__b"))
-    return best(asked.join(cut, "__b"), [date, *keys]).select(date, *keys, F.col("__v").alias("value"))
+    within = days.join(F.broadcast(ends)).where("__a <= __z AND __a <= __last AND __z >= __first").withColumns({"__a": F.greatest("__a", "__first"), "__z": F.least("__z", "__last")})
+    cut = within.join(F.broadcast(opens), "__a").join(F.broadcast(closes), "__z", "left").withColumn("__to", F.coalesce("__to", "__most")).where("__from <= __to")
+    once = best(cut.select(*keys, "__from", "__to", "__s", "__v"), [*keys, "__from", "__to"])
+    blocks = best(once.select(*keys, "__s", "__v", F.explode(_blocks(F.col("__from"), F.col("__to"))).alias("__b")), [*keys, "__b"])
+    at = numbered.select("__day", F.explode(F.array(*[_block(k, F.shiftright("__n", k)) for k in range(LEVELS)])).alias("__b"))
+    found = best(at.join(blocks, "__b"), ["__day", *keys])
+    return asked.withColumn("__day", _day(date)).join(found, "__day").select(date, *keys, F.col("__v").alias("value"))
 
 
 def rate_signal(probe: DataFrame, observations: DataFrame, *, date: str = "d", bank: str = "bank", tenor: str = "tenor", rate: str = "rate", start: str = "start", end: str = "end", known: str = "known", synthetic: str | None = None, preferred: Column | None = None, least_banks: int = 2) -> DataFrame:
