@@ -13,6 +13,10 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
+#: Tasks move their own files into a new folder: where files are many, the driver would move one after another. A task that runs again writes the same names.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars(spark, sf_dir)
     dec = {c: F.col(c).cast("decimal(18,4)").alias(c) for c in ("open", "high", "low", "close")}
@@ -65,7 +69,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path, k = scratch(spark), F.col("s_suppkey")
     whole = F.to_json(F.struct(k.alias("id"), F.when(k % 5 != 0, F.col("s_name")).alias("name")))
     text = F.when(k % 7 == 0, F.concat(F.lit('{"id": '), k)).otherwise(whole)
-    X.table(spark, sf_dir, "supplier").repartition(16).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    X.table(spark, sf_dir, "supplier").repartition(4 * spark.sparkContext.defaultParallelism).select(text.alias("value")).write.options(**BY_TASKS).option("maxRecordsPerFile", 1).text(path)
     return files.scan_documents(spark, path, "id long, name string", ["id", "name"])
 
 
@@ -79,7 +83,7 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars(spark, sf_dir)
     name = F.concat(F.lpad(F.col("symbol").cast("string"), 6, "0"), F.when(F.col("symbol") % 3 == 0, ".SH").when(F.col("symbol") % 3 == 1, ".SZ").otherwise(".BJ"))
     text = b.select(name.alias("file"), F.col("d").cast("string").alias("d"), F.when(F.col("volume") % 9 == 0, "x").otherwise(F.col("close").cast("string")).alias("close"))
-    text.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    text.repartition("file").write.options(**BY_TASKS).partitionBy("file").option("header", True).csv(path)
     pattern = r"file=([0-9]{6})\.(SH|SZ|BJ)/"
     return text_dates(files.scan_symbol_files(spark, path, {"d": "date", "close": "double"}, pattern)[0])
 
