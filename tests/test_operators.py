@@ -206,6 +206,22 @@ def test_redaction_reads_strings_whole(spark):
     assert one(spark.createDataFrame([(None,)], "t string").select(nz.redact(F.col("t")).alias("o")))["o"] is None
 
 
+def test_redaction_withholds_open_quotes_and_brackets_anywhere(spark):
+    held = '"[REDACTED]"'
+    cases = {
+        '{"token":["a]}': held, '{"token":[}]}': held, '{"a":1}}': held, '{"k":1,"token":[1,{"a":[]}] ,"b":[2]}': f'{{"k":1,"token":{held} ,"b":[2]}}',
+        '{"token":"secret":{"a":1}}': f'{{"token":{held}:{{"a":1}}}}', '{"token":,"k":"v"}': '{"token":,"k":"v"}', r'{"to\x":1,"Secret\n":x}': rf'{{"to\x":1,"Secret\n":{held}}}',
+    }
+    got = {r["t"]: r["o"] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", nz.redact(F.col("t")).alias("o")).collect()}
+    assert got == cases
+
+
+def test_redaction_is_dealt_over_tasks(spark):
+    from tidemark.queries import QUERIES
+
+    assert QUERIES["p20_redact"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_quote_lines_with_known_answers(spark):
     parts = [""] * 50
     for i, v in {1: "name", 2: "600000", 3: "10.5", 31: "x", 36: "12", 37: "3", 38: "-1", 44: "2", 45: "1", 46: "0.9", 47: "11.55"}.items():

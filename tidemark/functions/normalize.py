@@ -1,9 +1,12 @@
-"""Scalar normalisation: every function takes and returns columns, so Catalyst sees all of it."""
+"""Scalar normalisation: every function takes and returns columns, so Catalyst sees all of it but the walk through a text of redact()."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,48 +242,65 @@ def trading_days(days: DataFrame, holidays: DataFrame, *, date: str = "d", first
 
 #: P20: fixed values: parts of key names whose values are withheld.
 SENSITIVE = ("api_key", "apikey", "authorization", "token", "secret", "cookie", "email", "phone")
-#: P20: what stands in for braces and brackets that are done with or lie in strings, and for the quotes around a string (the second: of one that names something sensitive). JSON text has none of these.
-_DONE, _INSIDE, _QUOTE, _NAMED, _CLOSE, _HELD = "\x01\x02\x03\x04", "\x0e\x0f\x10\x11\x13", "\x05", "\x06", "\x07", "\x12"
-_FLAT = r"[^\[\]{}]*+"
+_STRING, _BLANK = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"[\t\n\r ]*+"
 
 
 def redact(json_text: Column, sensitive: Sequence[str] = SENSITIVE) -> Column:
     """P20: JSON text with the values of sensitive keys replaced at any depth, whatever they are: strings, numbers, literals, objects, arrays.
 
-    Strings are taken as a whole first, so nothing inside one is read as a key or a bracket; a key counts as it reads once its escapes are
-    decoded. Then objects and arrays are gone through from the innermost out, as many rounds as the text is deep. A text whose brackets or quotes
-    don't match, or that has control characters, is withheld whole.
+    Strings are taken as a whole, so nothing inside one is read as a key or a bracket; a key counts as it reads once its escapes are
+    decoded. A text is gone through once, from string to bracket, with the open brackets at hand; an object or array that is withheld ends at its own bracket. A text whose
+    brackets or quotes don't match, or that has control characters, is withheld whole.
     """
-    withheld, value = '"[REDACTED]"', F.lit("$1" + _HELD)
-    named = rf"({_NAMED}[^{_CLOSE}]*+{_CLOSE}[\t\n\r ]*+:[\t\n\r ]*+)"
-
-    def string(part: Column) -> Column:
-        inner = F.translate(F.substr(part, F.lit(2), F.length(part) - 2), '{}[]"', _INSIDE)
-        name = F.when(F.contains(part, F.lit("\\")), F.from_json(F.concat(F.lit("["), part, F.lit("]")), "array<string>")[0]).otherwise(part)
-        mark = F.when(F.lower(name).rlike("|".join(sensitive)), _NAMED).otherwise(_QUOTE)
-        return F.concat(mark, inner, F.lit(_CLOSE))
-
-    parts = F.regexp_extract_all(json_text, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'), F.lit(0))
-    masked = F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')) & (F.length(p) > 1), string(p)).otherwise(p)), "")
-
-    def depth(text: Column) -> Column:
-        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-        step = lambda a, c: F.struct((a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))
-        return F.aggregate(F.filter(F.split(F.regexp_replace(text, r"[^\[\]{}]++", ""), ""), lambda c: c != ""), start, step, lambda a: a["most"])
-
-    def one_level(text: Column, _: Column) -> Column:
-        for opened, closed, done in ((r"\{", r"\}", _DONE[:2]), (r"\[", r"\]", _DONE[2:])):
-            text = F.regexp_replace(text, F.lit(rf"{named}(?:\{{{_FLAT}\}}|\[{_FLAT}\])"), value)
-            text = F.regexp_replace(text, F.lit(rf"{opened}({_FLAT}){closed}"), F.lit(f"{done[0]}$1{done[1]}"))
-        return text
-
-    def walked(text: Column) -> Column:
-        scalars = F.regexp_replace(text, F.lit(rf"{named}(?:[{_QUOTE}{_NAMED}][^{_CLOSE}]*+{_CLOSE}|[^\s,\[\]{{}}{_QUOTE}{_NAMED}{_CLOSE}\"]++)"), value)
-        out = F.aggregate(F.sequence(F.lit(0), depth(text)), scalars, one_level)
-        plain = F.translate(out, _DONE + _INSIDE + _QUOTE + _NAMED + _CLOSE, '{}[]{}[]""""')
-        return F.when(out.rlike(r'[\[\]{}"]'), withheld).otherwise(F.replace(plain, F.lit(_HELD), F.lit(withheld)))
-
-    return F.when(json_text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), withheld).when(json_text.isNotNull(), F.transform(F.array(masked), walked)[0])
+    withheld, closing = '"[REDACTED]"', {"{": "}", "[": "]"}
+    names, control = re.compile("|".join(sensitive)), re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    token, colon = re.compile(rf'(?s){_STRING}|[\[\]{{}}"]'), re.compile(f"{_BLANK}:{_BLANK}")
+    scalar = re.compile(rf'(?s){_STRING}|[^\t\n\r ,\[\]{{}}"]++')
+
+    def names_sensitive(part: str) -> bool:
+        if "\\" in part:
+            try:
+                part = json.loads(part)
+            except ValueError:
+                return False
+        return names.search(part.lower()) is not None
+
+    def walked(text: str, known: dict[str, bool]) -> str:
+        if control.search(text):
+            return withheld
+        out, done, at, opened, held = [], 0, 0, [], 0  # held: brackets open when the withheld object or array has ended, plus one
+        while m := token.search(text, at):
+            part, at = m[0], m.end()
+            if part == '"':
+                return withheld
+            if part in "{[":
+                opened.append(closing[part])
+            elif part in "}]":
+                if not opened or opened.pop() != part:
+                    return withheld
+                if held == len(opened) + 1:
+                    done, held = at, 0
+            elif not held:
+                named = known.get(part)
+                if named is None:
+                    if len(known) >= 10_000:
+                        known.clear()
+                    named = known[part] = names_sensitive(part)
+                if named and (c := colon.match(text, at)):
+                    value = c.end()
+                    if text[value : value + 1] in closing:
+                        out += [text[done:value], withheld]
+                        held = len(opened) + 1
+                    elif s := scalar.match(text, value):
+                        out += [text[done:value], withheld]
+                        at = done = s.end()
+        return withheld if opened else "".join([*out, text[done:]])
+
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}  # strings seen, and whether they name something sensitive
+        return pd.Series([None if t is None else walked(t, known) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(json_text)
 
 
 def standard_bars(vendor: DataFrame, mapping: Mapping[str, str], *, adjustment: str, expected_end: str) -> tuple[DataFrame, DataFrame]:

@@ -231,7 +231,8 @@ def p19_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p20_redact", """SELECT event_id, '{"user":' || user_id || ',"inner":{"api_key":"[REDACTED]","Token":"[REDACTED]","tokens":"[REDACTED]"},"kind":"' || event_type || '","Phone_no":"[REDACTED]","rest":[{"email":"[REDACTED]"},' || event_id || ']}' AS json FROM events""")
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.format_string('{"user":%d,"inner":{"api_key":"k%d","Token":%d,"tokens":{"a":["x","]}"],"b":{"c":null}}},"kind":"%s","Phone_no":[1,[2,"\\""]],"rest":[{"email":false},%d]}', "user_id", "event_id", "event_id", "event_type", "event_id")
-    return X.table(spark, sf_dir, "events").select("event_id", nz.redact(raw).alias("json"))
+    events = X.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return events.repartition(4 * spark.sparkContext.defaultParallelism, "event_id").select("event_id", nz.redact(raw).alias("json"))  # a few small files are not a few tasks
 
 
 def _vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
