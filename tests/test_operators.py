@@ -96,6 +96,39 @@ def test_fifo_takes_only_earlier_lots(spark):
     assert [(r["k"], r["sell"]) for r in errors.collect()] == [("b", 6)]
 
 
+def test_fifo_by_brute_force_in_one_shuffle(spark):
+    import random
+
+    draw, rows = random.Random(3), []
+    for k in range(40):
+        for seq in range(draw.randint(0, 30)):
+            rows.append((k, seq, date(2020, 1, 1 + draw.randint(0, 8)), draw.choice(["BUY", "BUY", "SELL"]), draw.randint(0, 9)))
+    rows += [(99, 1, date(2020, 1, 1), "BUY", 5), (99, 2, None, "SELL", 1), (99, 3, date(2020, 1, 3), "SELL", 1)]
+    want, refused = [], []
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2] or date.min, r[1]))
+        lots, sold, bad = [[r[1], r[2], r[4]] for r in own if r[3] == "BUY"], 0, False
+        for _, seq, d, side, n in own:
+            if side == "BUY":
+                continue
+            sold += n
+            bad = bad or d is None or sold > sum(r[4] for r in own if r[3] == "BUY" and r[2] < d)
+            if bad:
+                refused.append((k, seq))
+                continue
+            for lot in lots:
+                took = min(n, lot[2])
+                lot[2], n = lot[2] - took, n - took
+                if took:
+                    want.append((k, seq, lot[0], took))
+    f = spark.createDataFrame(draw.sample(rows, len(rows)), "k long, seq long, d date, side string, quantity long")
+    matches, errors = lg.fifo_match(f, keys=["k"])
+    assert sorted(tuple(r) for r in matches.collect()) == sorted(want)
+    assert sorted((r["k"], r["sell"]) for r in errors.collect()) == sorted(refused)
+    plan = lg.fifo_match(f, keys=["k"])[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2, plan
+
+
 def test_screen_is_the_same_in_any_order(spark):
     from tidemark import fixtures as X
 

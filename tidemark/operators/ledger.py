@@ -222,28 +222,30 @@ def fifo_match(fills: DataFrame, *, keys: Sequence[str], date: str = "d", seq: s
     """(keys, sell, lot, quantity) by first in, first out, where a sale takes only lots of earlier days; and the sales refused.
 
     A sale that exceeds what may be sold is an error, and so are the key's later sales, as they
-    rest on it. Cumulative buys and sales cut the same line of shares; merging their cuts in order gives the matches
-    without a join of lots and sales.
+    rest on it; so is a sale without a date. Cumulative buys and sales cut the same line of shares; merging their cuts in order gives the matches
+    without a join of lots and sales. Fills are shuffled once, sorted by day for the running sums (what was bought before a day is known at its first
+    fill) and once more by their cuts.
     """
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(date, seq)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    is_buy = F.col(side) == "BUY"
-    f = fills.withColumns({"__b": F.coalesce(F.sum(F.when(is_buy, F.col(quantity))).over(run), F.lit(0)), "__s": F.coalesce(F.sum(F.when(~is_buy, F.col(quantity))).over(run), F.lit(0))})
-    earlier = F.coalesce(F.sum(F.when(is_buy, F.col(quantity))).over(Window.partitionBy(*keys).orderBy(F.datediff(date, F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    f = f.withColumn("__short", ~is_buy & (F.col("__s") > earlier))
-    f = f.withColumn("__bad", F.max(F.col("__short").cast("int")).over(run) == 1)
-    errors = f.where(~is_buy & F.col("__bad")).select(*keys, F.col(seq).alias("sell"), F.col(date), F.col(quantity).alias("quantity"))
-    cuts = f.where(is_buy).select(*keys, (F.col("__b") - F.col(quantity)).alias("__at"), F.col(seq).alias("lot"), F.lit(None).cast(fills.schema[seq].dataType).alias("sell"), F.lit(False).alias("__end"))
-    sells = f.where(~is_buy & ~F.col("__bad"))
-    cuts = cuts.unionByName(sells.select(*keys, (F.col("__s") - F.col(quantity)).alias("__at"), F.lit(None).cast(fills.schema[seq].dataType).alias("lot"), F.col(seq).alias("sell"), F.lit(False).alias("__end")))
-    ends = sells.groupBy(*keys).agg(F.max("__s").alias("__at")).select(*keys, "__at", F.lit(None).cast(fills.schema[seq].dataType).alias("lot"), F.lit(None).cast(fills.schema[seq].dataType).alias("sell"), F.lit(True).alias("__end"))
-    line = Window.partitionBy(*keys).orderBy("__at", "__end")
-    upto = Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
-    merged = cuts.unionByName(ends)
-    merged = merged.withColumns({"lot": F.last("lot", ignorenulls=True).over(upto), "sell": F.last("sell", ignorenulls=True).over(upto), "__next": F.lead("__at").over(line), "__stop": F.max(F.when(F.col("__end"), F.col("__at"))).over(Window.partitionBy(*keys))})
-    pieces = merged.where(F.col("sell").isNotNull() & (F.col("__next") > F.col("__at")) & (F.col("__at") < F.col("__stop")))
-    return pieces.select(*keys, "sell", "lot", (F.least("__next", "__stop") - F.col("__at")).alias("quantity")), errors
+    bought = F.when(F.col("__buy"), F.col(quantity))
+    f = fills.select(*keys, date, seq, quantity, (F.col(side) == "BUY").alias("__buy"), F.datediff(date, F.lit("1970-01-01")).alias("__day"))
+    run = Window.partitionBy(*keys).orderBy("__day", date, seq).rowsBetween(Window.unboundedPreceding, 0)
+    same_day = Window.partitionBy(*keys, "__day").orderBy(date, seq).rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumns({"__b": F.coalesce(F.sum(bought).over(run), F.lit(0)), "__s": F.coalesce(F.sum(F.when(~F.col("__buy"), F.col(quantity))).over(run), F.lit(0))})
+    f = f.withColumn("__earlier", F.first(F.col("__b") - F.coalesce(bought, F.lit(0))).over(same_day))
+    short = ~F.col("__buy") & (F.col("__day").isNull() | (F.col("__s") > F.col("__earlier")))
+    f = f.withColumn("__bad", F.max(short.cast("int")).over(run) == 1)
+    errors = f.where(~F.col("__buy") & F.col("__bad")).select(*keys, F.col(seq).alias("sell"), F.col(date), F.col(quantity).alias("quantity"))
+    end = F.when(F.col("__buy"), F.col("__b")).otherwise(F.col("__s"))
+    cuts = f.where((F.col("__buy") | ~F.col("__bad")) & (F.col(quantity) > 0)).select(
+        *keys, (end - F.col(quantity)).alias("__at"), F.when(F.col("__buy"), F.col(seq)).alias("lot"), F.when(~F.col("__buy"), F.col(seq)).alias("sell"), F.when(~F.col("__buy"), F.col("__s")).alias("__sold")
+    )
+    line = Window.partitionBy(*keys).orderBy("__at")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)  # of a lot and a sale cut at one place only the second gives a piece
+    merged = cuts.withColumns({"lot": F.last("lot", ignorenulls=True).over(upto), "sell": F.last("sell", ignorenulls=True).over(upto), "__next": F.lead("__at").over(line), "__stop": F.max("__sold").over(Window.partitionBy(*keys))})
+    until = F.least("__next", "__stop")  # skips nulls
+    pieces = merged.where(F.col("sell").isNotNull() & (until > F.col("__at")))
+    return pieces.select(*keys, "sell", "lot", (until - F.col("__at")).alias("quantity")), errors
 
 
 def moving_average_cost(fills: DataFrame, *, keys: Sequence[str], order: Sequence[str], side: str = "side", quantity: str = "quantity", price: str = "price", fees: Column | None = None) -> DataFrame:
