@@ -129,6 +129,15 @@ def test_fifo_by_brute_force_in_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2, plan
 
 
+def test_only_latest_cards_are_scored(spark):
+    from tidemark.queries import QUERIES
+
+    out = QUERIES["h12_qualified"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("collect_list(") :]
+    assert "Join LeftSemi" in below, plan
+
+
 def test_screen_is_the_same_in_any_order(spark):
     from tidemark import fixtures as X
 

@@ -214,10 +214,15 @@ def research_score(cards: DataFrame, *, card_id: str = "card_id") -> DataFrame:
     return out.withColumn("passed", F.size("hard_failures") == 0).withColumn("score", F.greatest(F.lit(0.0), 100.0 - 15 * F.size("hard_failures") - 3 * F.col("warnings")))
 
 
+def latest_cards(cards: DataFrame, *, card_id: str, symbol: str, as_of: str) -> DataFrame:
+    """(symbol, card_id, as_of) of each symbol's latest card, of equal instants the greatest id; cut in each task before they meet."""
+    best = cards.groupBy(symbol).agg(F.max(F.struct(as_of, card_id)).alias("__b"))
+    return best.select(symbol, F.col(f"__b.{card_id}").alias(card_id), F.col(f"__b.{as_of}").alias(as_of))
+
+
 def qualified(cards: DataFrame, scores: DataFrame, *, card_id: str, symbol: str, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """Each symbol's latest card if it passed, by score; and the rejected ones with their reasons."""
-    latest = cards.withColumn("__r", F.row_number().over(Window.partitionBy(symbol).orderBy(F.desc(as_of), F.desc(card_id)))).where("__r = 1")
-    both = latest.select(symbol, card_id, as_of).join(scores, card_id)
+    """Each symbol's latest card if it passed, by score; and the rejected ones with their reasons. Scores are needed of the latest cards only."""
+    both = latest_cards(cards, card_id=card_id, symbol=symbol, as_of=as_of).join(scores, card_id)
     return both.where("passed").select(symbol, card_id, "score"), both.where("NOT passed").select(symbol, card_id, "hard_failures")
 
 

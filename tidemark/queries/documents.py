@@ -149,9 +149,11 @@ def h9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.links(X.table(spark, sf_dir, "pages"), page_id="page_id", html="html")
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards out of orders: an order's lines are its evidence, its claims point at line numbers."""
+def _cards(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Cards out of orders: an order's lines are its evidence, its claims point at line numbers; of the orders in only (card_id), if it is given."""
     o, l = X.table(spark, sf_dir, "orders"), X.table(spark, sf_dir, "lineitem")
+    if only is not None:
+        l = l.join(only, F.col("l_orderkey") == F.col("card_id"), "left_semi")
     quality = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "B").otherwise("D")
     ev = l.groupBy("l_orderkey").agg(
         F.collect_list(
@@ -202,8 +204,11 @@ def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h12_qualified", f"WITH {_SCORE}, l AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY tm DESC, k DESC) = 1) SELECT symbol, k AS card_id, greatest(CAST(0 AS DOUBLE), CAST(100 - 15 * nf - 3 * warnings AS DOUBLE)) AS score FROM l WHERE nf = 0")
 def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _cards(spark, sf_dir)
-    return dc.qualified(cards, dc.research_score(cards), card_id="card_id", symbol="symbol", as_of="as_of")[0]
+    o, lines = X.table(spark, sf_dir, "orders"), X.table(spark, sf_dir, "lineitem").select("l_orderkey")
+    heads = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("card_id"), F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("as_of"))
+    names = {"card_id": "card_id", "symbol": "symbol", "as_of": "as_of"}
+    cards = _cards(spark, sf_dir, dc.latest_cards(heads, **names).select("card_id"))  # what is not a symbol's latest card is not scored
+    return dc.qualified(heads, dc.research_score(cards), **names)[0]
 
 
 @query(
