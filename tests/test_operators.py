@@ -129,6 +129,24 @@ def test_fifo_by_brute_force_in_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2, plan
 
 
+def test_bars_are_sorted_once_for_a_security_day(spark):
+    from tidemark.queries import QUERIES
+
+    for name, windows in (("g1_security_day", 2), ("g3_decision_held", 1), ("g4_prescreen", 1), ("g5_first_exit", 1)):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        each = 2 if name == "g5_first_exit" else 1  # holdings and signals
+        assert plan.count("Window [min(d#") == each, (name, plan)
+        assert plan.count("Window [min(d#") + plan.count("Window [collect_list(") == windows * each and "percentile(amount" not in plan, (name, plan)
+
+
+def test_rolling_median_with_nulls_and_few_rows(spark):
+    rows = [("a", 1, None), ("a", 2, 3.0), ("a", 3, 1.0), ("a", 4, 8.0), ("a", 5, 0.1), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    for n, want in ((3, [None, 3.0, 2.0, 3.0, 1.0, None]), (100, [None, 3.0, 2.0, 3.0, 2.0, None])):
+        out = ts.rolling_median(df, keys=["k"], order=["i"], value="v", n=n)
+        assert [r["median"] for r in out.orderBy("k", "i").collect()] == want
+
+
 def test_only_latest_cards_are_scored(spark):
     from tidemark.queries import QUERIES
 

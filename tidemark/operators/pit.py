@@ -113,15 +113,16 @@ def missing_components(probe: DataFrame, found: DataFrame, required: Sequence[tu
     return wanted.select(date, venue, "__r.*").join(found, [date, venue, "side", "component"], "left_anti")
 
 
-def trailing_sum(probe: DataFrame, events: DataFrame, *, keys: Sequence[str], date: str = "d", signal: str | None = None, event_date: str = "ex_date", known: str = "known", value: str = "cash", days: int = 365, lower_inclusive: bool = False, alias: str = "total") -> DataFrame:
+def trailing_sum(probe: DataFrame, events: DataFrame, *, keys: Sequence[str], date: str = "d", signal: str | None = None, event_date: str = "ex_date", known: str = "known", value: str = "cash", days: int = 365, lower_inclusive: bool = False, alias: str = "total", asked: DataFrame | None = None) -> DataFrame:
     """Probe with the sum of its keys' events in the days before its date that are known at its signal; 0 without one.
 
     The window ends with the date itself; its far end is open unless lower_inclusive.
-    Probe and events meet by key and year bucket, so a long history is not paired with every probe row.
+    Probe and events meet by key and year bucket, so a long history is not paired with every probe row. asked: the keys, dates and signals of probe, each once,
+    where they are to be had by a shorter way than from probe.
     """
     keys, signal = list(keys), signal or date
     bucket = 1 + days
-    p = probe.select(*keys, date, signal).distinct() if signal != date else probe.select(*keys, date).distinct()
+    p = asked if asked is not None else probe.select(*keys, date, signal).distinct() if signal != date else probe.select(*keys, date).distinct()
     day = F.datediff(F.col(date), F.lit("1970-01-01"))
     near = p.withColumn("__b", F.explode(F.array(F.floor(day / bucket), F.floor(day / bucket) - 1)))
     e = events.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(event_date).alias("__d"), F.col(known).alias("__k"), F.col(value).alias("__v")).withColumn("__eb", F.floor(F.datediff("__d", F.lit("1970-01-01")) / bucket))

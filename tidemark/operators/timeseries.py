@@ -26,7 +26,9 @@ def _ordered(keys: Sequence[str], order: Sequence[str]):
 
 def rolling_median(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, n: int = 20, alias: str = "median") -> DataFrame:
     """Median of the last n rows; fewer count too."""
-    return df.withColumn(alias, F.percentile(value, F.lit(0.5)).over(_last(keys, order, n)))
+    values = F.sort_array(F.collect_list(F.col(value).cast("double")).over(_last(keys, order, n)))  # n numbers at most; a percentile keeps a map of counts for each row
+    middle = [F.get(values, half((F.size(values) - 1) / 2).cast("int")) for half in (F.floor, F.ceil)]
+    return df.withColumn(alias, 0.5 * middle[0] + 0.5 * middle[1])
 
 
 def sma(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str = "close", windows: Sequence[int] = (5, 10, 20, 60)) -> DataFrame:
@@ -247,7 +249,7 @@ def rate_coverage(observations: DataFrame, *, first: str, last: str, bank: str =
     return counts.unionAll(gaps.agg(F.lit(RANGES).alias("counter"), F.count("*").alias("n"))), gaps
 
 
-def first_of_month(rows: DataFrame, *, keys: Sequence[str], date: str) -> DataFrame:
-    """All rows of the first day of each month that has any."""
-    w = Window.partitionBy(*keys, F.trunc(date, "month"))
+def first_of_month(rows: DataFrame, *, keys: Sequence[str], date: str, month: str | None = None) -> DataFrame:
+    """All rows of the first day of each month that has any; month names a column of the month, if there is one that rows are sorted by."""
+    w = Window.partitionBy(*keys, F.col(month) if month else F.trunc(date, "month"))
     return rows.withColumn("__f", F.min(date).over(w)).where(F.col(date) == F.col("__f")).drop("__f")

@@ -14,10 +14,10 @@ from tidemark.operators import pit, timeseries
 SPREAD = 0.03
 
 
-def conservative_dividend(probe: DataFrame, events: DataFrame, years: DataFrame, *, keys: Sequence[str], date: str = "d", include_special: bool = True, kind: str = "kind", decimals: int = 8) -> DataFrame:
-    """Probe with d_ttm, d_med3 and d_cons, the lesser of both; all null unless three resolved years are known."""
+def conservative_dividend(probe: DataFrame, events: DataFrame, years: DataFrame, *, keys: Sequence[str], date: str = "d", include_special: bool = True, kind: str = "kind", decimals: int = 8, asked: DataFrame | None = None) -> DataFrame:
+    """Probe with d_ttm, d_med3 and d_cons, the lesser of both; all null unless three resolved years are known. asked: see pit.trailing_sum()."""
     usable = events if include_special else events.where(F.col(kind) != "SPECIAL")
-    ttm = pit.trailing_sum(probe, usable, keys=keys, date=date, alias="d_ttm")
+    ttm = pit.trailing_sum(probe, usable, keys=keys, date=date, alias="d_ttm", asked=asked)
     both = pit.median_of_newest(ttm, years, keys=keys, date=date, alias="d_med3")
     ok = F.col("d_med3").isNotNull()
     return both.withColumns({"d_ttm": F.when(ok, F.round("d_ttm", decimals)), "d_cons": F.when(ok, F.least(F.round("d_ttm", decimals), "d_med3"))})
@@ -137,14 +137,18 @@ def security_day(bars: DataFrame, *, facts: DataFrame, events: DataFrame, years:
 
     Bars with their 20-row median amount are cut to each key's first day of a month, then joined
     to the bitemporal fact (and when it was known), dividends and the deposit-rate signal.
+
+    Median and cut share one sort by key, month and day. Dividends and rates ask for the first days alone, which are counted out before they are shuffled, so
+    that bars are sorted for the frame only.
     """
-    keys = list(keys)
-    rolled = timeseries.rolling_median(bars, keys=keys, order=[date], value="amount", alias="median_amount")
-    firsts = timeseries.first_of_month(rolled, keys=keys, date=date)
+    keys, month = list(keys), "__month"
+    rolled = timeseries.rolling_median(bars.withColumn(month, F.trunc(date, "month")), keys=keys, order=[month, date], value="amount", alias="median_amount")
+    firsts = timeseries.first_of_month(rolled, keys=keys, date=date, month=month).drop(month)
+    asked = pit.month_firsts(bars, keys=keys, date=date).where(F.col(date).isNotNull()).select(*keys, date)
     known = facts.withColumn("fact_known", F.col("known"))
     with_fact = pit.bitemporal_asof(firsts, known, keys=keys, date=date, values=["value", "fact_known"])
-    paid = conservative_dividend(with_fact, events, years, keys=keys, date=date)
-    rated = paid.join(pit.rate_signal(firsts, rates, date=date), date, "left")
+    paid = conservative_dividend(with_fact, events, years, keys=keys, date=date, asked=asked)
+    rated = paid.join(pit.rate_signal(asked, rates, date=date), date, "left")
     made = decide(
         F.lit(False),
         known_late=F.coalesce(F.col("fact_known") > F.col(date), F.lit(False)),
