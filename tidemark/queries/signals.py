@@ -98,7 +98,8 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = _held(spark, sf_dir).select("symbol", "d", "decision")
-    holdings = signals.groupBy("symbol").agg(F.date_add(F.min("d"), 400).alias("entry"))
+    months = q.month_probe(spark, sf_dir).where("d IS NOT NULL")  # the days that signals have; the frame is not made again for them
+    holdings = months.groupBy("symbol").agg(F.date_add(F.min("d"), 400).alias("entry"))
     return text_dates(sg.first_exit(holdings, signals, key="symbol", entry="entry"))
 
 
