@@ -356,6 +356,26 @@ def test_concentration_steps_find_the_core(spark):
     assert np.allclose([est[f"v{i}{i}"] for i in range(len(names))], np.diag(cov)) and math.isclose(est["det"], det, rel_tol=1e-9)
 
 
+def test_concentration_steps_are_compiled(spark, monkeypatch):
+    """HotSpot leaves methods of over 8,000 bytes to its interpreter, which took ten times as long."""
+    rng = np.random.default_rng(3)
+    names, seen, cut = [x for x, _ in quality.VECTOR], [], quality.C.cut
+
+    def kept(df, *a):
+        seen.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen"))
+        return cut(df, *a)
+
+    monkeypatch.setattr(quality.C, "cut", kept)
+    rows = spark.createDataFrame([(f"{k % 2}", *map(float, x)) for k, x in enumerate(rng.normal(0, 1, (200, len(names))))], ["stratum", *names])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows no code before it ran
+    try:
+        quality.mcd_estimates(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for text in seen for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_kept_by_brute_force(result, small, spark):
     """Distances and verdicts of every document against NumPy: estimates of table, language and source, each leaning on the next."""
     got = result("op5_quality_rules").set_index("doc_id")

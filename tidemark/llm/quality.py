@@ -143,9 +143,12 @@ def _estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Dat
     now = C.cut(first.unionByName(second.select("stratum", F.lit(1).alias("start"), "m", shape).select(*key, "m", _cholesky("v").alias("l"))))
     for _ in range(steps):
         reach = _distance(held(now)).groupBy(key).agg(F.percentile_approx("d2", share).alias("reach"))
-        inner = _distance(held(now.join(reach, key))).where(F.col("d2") <= F.col("reach"))
-        core = inner.groupBy(key).agg(*each(lambda i, x: f"avg({x}) AS m{i}"), *[F.expr(f"covar_pop({names[i]}, {names[j]}) AS c{i}{j}") for i, j in _cells()])
-        core = core.select(*key, means(lambda i: f"m{i}"), triangle(lambda i, j: f"c{i}{j}" + (f" + {ridge[i]!r}D" if i == j else ""), "v"))
+        # sums of deviations from where the step starts; a filter on d2 would be written out over all the distance is made of
+        inner = _distance(held(now.join(reach, key)).withColumns({f"e{i}": F.expr(f"{x} - m[{i}]") for i, x in enumerate(names)}))
+        inner = inner.withColumn("inside", F.col("d2") <= F.col("reach")).select(*key, F.expr("IF(inside, 1D, 0D) AS w"), *each(lambda i, x: f"IF(inside, e{i}, 0D) AS e{i}"))
+        sums = inner.groupBy(key).agg(F.sum("w").alias("w"), *each(lambda i, x: f"sum(e{i}) AS s{i}"), *[F.expr(f"sum(e{i} * e{j}) AS c{i}{j}") for i, j in _cells()])
+        core = sums.join(now.select(*key, "m"), key)
+        core = core.select(*key, means(lambda i: f"m[{i}] + s{i} / w"), triangle(lambda i, j: f"c{i}{j} / w - s{i} / w * (s{j} / w)" + (f" + {ridge[i]!r}D" if i == j else ""), "v"))
         now = C.cut(core.select("*", _cholesky("v").alias("l")))
     log_det = F.expr(f"2 * ({' + '.join(['0.0D', *(f'ln(l[{_cell(i, i)}])' for i in _p())])})")
     best = now.withColumn("det", log_det).groupBy("stratum").agg(F.min_by(F.struct("m", "v", "l", "det"), F.struct("det", "start")).alias("best"))
