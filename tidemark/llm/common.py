@@ -35,11 +35,20 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+#: With this setting Spark removes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written once to the shared folder and read back, so that no lost executor recomputes what came before."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the shared folder and read back, so that no lost executor recomputes what came before; the write's shuffle files go with its end."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, n: int) -> list[str]:

@@ -34,7 +34,7 @@ SHORT, SHORT_SKETCHES, SHORT_SIZE = 24, 24, 4
 #: Bits of a signature, and standard deviations by which a pair at the least similarity may differ more than expected (lost: one in thirty thousand).
 BITS, SLACK = 2048, 4.0
 #: Rows of a group that meet in one task; larger groups are dealt over several.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Slots in which shingles are counted to tell rare from frequent ones; any order of them gives the same links.
 SLOTS = 1 << 18
 #: First groups that a row carries, by which pairs that share several are made once; others are made more often and put together after.
@@ -159,7 +159,14 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar, written once."""
-    pairs = C.cut(pairs)
+    # _close() deals large groups out itself; where both sides of a join are one group, Spark would split it into as many tasks as its parts have pairs
+    spark, key = pairs.sparkSession, "spark.sql.adaptive.skewJoin.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        pairs = C.cut(pairs)
+    finally:
+        spark.conf.set(key, before)
     if pairs.count() <= BROADCAST_PAIRS:  # of checked size
         texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
 
