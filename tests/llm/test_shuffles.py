@@ -1,11 +1,13 @@
 """What a run leaves behind or deals out, beside its results."""
 
 import time
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
-from tidemark.llm import near_dedup
+from tidemark.llm import lm, near_dedup
 
 
 def test_one_group_is_dealt_out_once(spark):
@@ -43,3 +45,22 @@ def test_cut_leaves_no_shuffle_files(spark):
 
 def _list(seq):
     return [seq.apply(i) for i in range(seq.size())]
+
+
+def _exchanges(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").count("Exchange ")
+
+
+def test_words_are_shuffled_once(spark, monkeypatch):
+    """Counts of words, beside classes too, by one exchange, whatever the tasks hand on in between."""
+    monkeypatch.setattr(lm, "COUNTED", 3)
+    texts = ["a b A c\td", None, "", "b \u00e9\x0bb z", "Q r s t a"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["word"]: r["n"] for r in lm.count_words(docs, "text").collect()}
+    assert got == Counter(w for t in texts for w in [*(t or "").encode().lower().decode().split(), "\n"])
+    vocab = lm.vocabulary(lm.count_words(docs, "text"), 3)
+    encoded = lm.encode(docs, vocab, id_col="doc_id", text_col="text", held_out=F.lit(False))
+    near = lm.rare_counts(encoded, np.concatenate([[lm.FINAL], np.zeros(len(vocab.counts) - 1, int), [lm.REST], np.arange(lm.CLASSES)]))
+    assert _exchanges(near) == 1
+    frequent = {w.decode() for w in vocab.words}
+    assert {bytes(r["word"]).decode(): sum(p["n"] for p in r["near"] if p["place"] < lm.N) for r in near.collect()} == {w: n for w, n in got.items() if w not in frequent}

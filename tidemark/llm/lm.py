@@ -30,12 +30,15 @@ REST, FINAL = CLASSES, CLASSES + 1
 N = CLASSES + 2
 #: Counts of a word beside classes: after each, before each, and after itself.
 WIDTH, BLOCK, HELD = 2 * N + 1, 256, 1 << 21
+#: Words that a task counts before it hands them on.
+COUNTED = 500_000
 ADD, PULL = 0.1, 5.0
 END = b"\n"
 
 
-def _tokens(text: Column) -> Column:
-    return F.concat(C.split_words(C.ascii_lower(F.coalesce(text, F.lit("")))), F.array(F.lit("\n")))
+def _lowered(text: Column) -> Column:
+    """The text whose words are what bytes.split() finds, END apart."""
+    return C.ascii_lower(F.coalesce(text, F.lit(""))).cast("binary").alias("__text")
 
 
 @dataclass
@@ -52,8 +55,26 @@ class Vocabulary:
 
 
 def count_words(train: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) for every token of the training texts, END as a line end."""
-    return C.cut(train.select(F.explode(_tokens(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    """(word, n) for every token of the training texts, END as a line end. Tasks count before words meet, up to COUNTED at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(text.split())
+            seen[END] += batch.num_rows
+            if len(seen) > COUNTED:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    C.small_batches(train.sparkSession, 256)
+    found = train.select(_lowered(F.col(text_col))).mapInArrow(run, "word binary, n long").select(F.col("word").cast("string").alias("word"), "n")
+    return C.cut(found.repartition("word").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -90,7 +111,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, id_col: str, text_col: str, he
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["__row", "__id", "held_out", "ids", "rare"])
 
     C.small_batches(docs.sparkSession, 256)
-    texts = docs.select(F.col(id_col).alias("__id"), held_out.alias("held_out"), C.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("__text"))
+    texts = docs.select(F.col(id_col).alias("__id"), held_out.alias("held_out"), _lowered(F.col(text_col)))
     return C.cut(texts.mapInArrow(run, f"__row long, __id {kind}, held_out boolean, ids binary, rare array<binary>"))
 
 
@@ -216,7 +237,7 @@ def rare_counts(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
 
     C.small_batches(encoded.sparkSession, 256)
     rows = encoded.where("NOT held_out").select("ids", "rare").mapInArrow(run, "word binary, place int, n long")
-    return rows.groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("near"))  # WIDTH pairs at most
+    return rows.repartition("word").groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("near"))  # WIDTH pairs at most
 
 
 def assigned(near: DataFrame, big: np.ndarray) -> DataFrame:
