@@ -64,3 +64,27 @@ def test_words_are_shuffled_once(spark, monkeypatch):
     assert _exchanges(near) == 1
     frequent = {w.decode() for w in vocab.words}
     assert {bytes(r["word"]).decode(): sum(p["n"] for p in r["near"] if p["place"] < lm.N) for r in near.collect()} == {w: n for w, n in got.items() if w not in frequent}
+
+
+def test_rare_words_go_out_once_for_each_block(spark, monkeypatch):
+    """A block lists a rare word once, however often it stands there, and scores do not depend on where blocks end, on held-out rows among them, or on what goes back together."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{x}" for x in rng.zipf(1.3, 60) % 5000) for _ in range(700)] + ["alone " * 500, "", None, " \t\n", "\u00c9t\u00e9 \x0bW1  W1 a\x1cb "] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(lm.vocabulary, "__defaults__", (50,))
+    out = C.bucket_of(F.col("doc_id"), 10) == 0
+    vocab = lm.vocabulary(lm.count_words(docs.where(~out), "text"), 50)
+
+    def scores():
+        found, words, block = lm.score_documents(docs, passes=1).collect(), 0, lm.encode(docs, vocab, id_col="doc_id", text_col="text", held_out=out).collect()
+        for r in block:
+            assert len(set(map(bytes, r["rare"]))) == len(r["rare"]) and sum(r["sizes"]) * 4 == len(r["ids"]) and len(r["__ids"]) == len(r["sizes"])
+            words += len(r["which"])
+        assert words == sum(w not in vocab.words for t in texts for w in (t or "").encode().lower().split())
+        return len(block), {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in found}
+
+    few, want = scores()
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(lm, "RETURNED", 1)
+    more, got = scores()
+    assert few < more and got == want and {i: x[1] for i, x in got.items()} == {i: len((t or "").encode().split()) + 1 for i, t in enumerate(texts)}
